@@ -34,7 +34,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", slices: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, slices: int = 64) -> DataFrame:
     """Add each row's 0-based rank within its group, without one task per group.
 
     Rows of a group are dealt over ``slices`` by a hash of the ordering columns;
@@ -53,7 +53,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     for c in same[1:]:
         on = on & c
     kept = [rows[c] for c in rows.columns if c not in ("_slice", "_row")]
-    return rows.join(F.broadcast(starts), on).select(*kept, (F.col("_before") + F.col("_row")).alias(name))
+    return rows.join(starts, on).select(*kept, (F.col("_before") + F.col("_row")).alias(name))
 
 
 def components(edges: DataFrame) -> DataFrame:

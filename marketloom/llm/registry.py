@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import minhash_dedup
+from marketloom.llm import minhash_dedup, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model learned from the labels that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(training_rows(docs, labels), label_col="toxic")
+    docs = docs.select("doc_id", "text").withColumn("held_out", toxicity.is_held_out("doc_id"))
+    scored = toxicity.with_score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of the labelled documents outside the held-out quarter."""
+    labels = labels.where(~toxicity.is_held_out("doc_id") & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+
+
 def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles at similarity 0.8 over every document."""
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op3_superminhash_dedup": op3_superminhash_dedup,
+    "op5_minimum_bin_slack": op5_minimum_bin_slack,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,8 @@ than space and U+0009-U+000D, with A-Z lower-cased; null texts are empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ SEGMENT = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: every ASCII byte that is no letter or digit
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +81,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts at text starts or white space, about SEGMENT bytes apart; words stay whole."""
+def _segments(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts at text starts or gaps between words, about SEGMENT bytes apart; words stay whole."""
     low, n = 0, len(data)
     while low < n:
         high = min(low + SEGMENT, n)
@@ -88,7 +91,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]
             if len(starts) and starts[-1] > low:
                 high = int(starts[-1])
                 break
-            gaps = np.flatnonzero(SPACE[data[low + 1 : high]])
+            gaps = np.flatnonzero(gap[data[low + 1 : high]])
             if len(gaps):
                 high = low + 1 + int(gaps[-1])
                 break
@@ -97,24 +100,54 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]
         low = high
 
 
-def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, for each text the number of words before it, and the total)."""
+@dataclass(frozen=True)
+class Words:
+    """All words of a column: hashes, byte ranges in ``data``, and words before each text."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+
+
+def word_table(
+    column: pa.Array | pa.ChunkedArray,
+    gap: np.ndarray = SPACE,
+    fold_case: bool = True,
+    split: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> Words:
+    """Words of every text of the column.
+
+    ``gap`` tells which byte values separate words; ``split`` may mark further
+    bytes (of the array it gets) before which a word ends and another starts.
+    """
     data, offsets = utf8(column)
-    codes, hashes, places = byte_codes(fold_case=True), [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)]
+    codes = byte_codes(fold_case)
+    hashes, starts, ends = [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     with np.errstate(over="ignore"):
-        for low, high in _segments(data, offsets):
+        for low, high in _segments(data, offsets, gap):
             part = data[low:high]
-            inside = ~SPACE[part]
-            cut = np.ones(len(part) + 1, dtype=bool)  # cut before this byte
+            inside = ~gap[part]
+            cut = np.ones(len(part) + 1, dtype=bool)  # a word cannot run over this place
             cut[1:-1] = ~inside[:-1]
-            own = offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, "right")] - low
-            cut[own] = True
-            start = np.flatnonzero(inside & cut[:-1])
-            ends = inside.copy()
-            ends[:-1] &= ~inside[1:] | cut[1:-1]
-            hashes.append(range_hashes(part, start, np.flatnonzero(ends) + 1, codes))
-            places.append(start + low)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+            cut[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, "right")] - low] = True
+            if split is not None:
+                cut[:-1] |= split(part)
+            last = inside.copy()
+            last[:-1] &= ~inside[1:] | cut[1:-1]
+            start, end = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(last) + 1
+            hashes.append(range_hashes(part, start, end, codes))
+            starts.append(start + low)
+            ends.append(end + low)
+    start = np.concatenate(starts)
+    return Words(data, np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets))
+
+
+def word_hashes(column: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, for each text the number of words before it, and the total)."""
+    words = word_table(column, gap)
+    return words.hashes, words.at
 
 
 def text_slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import minhash_dedup, packing, toxicity
+from marketloom.llm import minhash_dedup, mixing, packing, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,28 @@ def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+#: target weights of op9 and the pipeline: the first sources count more, the others once
+TARGET_WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2}
+
+
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    out = mixing.mix(docs, TARGET_WEIGHTS)
+    names = {"_phase": "phase", "_block": "block", "_slot": "slot", "_position": "position"}
+    return out.withColumnsRenamed(names)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op3_superminhash_dedup": op3_superminhash_dedup,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
+    "op8_weak_supervision_pii": op8_weak_supervision_pii,
+    "op9_pfair_mixing": op9_pfair_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -55,7 +55,7 @@ def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, s1, s2, keys, sketch) per document; s1 and s2 identify the shingle set."""
+    """(id, h, n, s1, s2, keys, sketch) per document; s1 and s2 identify the shingle set, h the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +77,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                     for x in (keys, bits)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(size), pa.array(s1), pa.array(s2), *lists], ["id", "n", "s1", "s2", "keys", "sketch"]
+                    [part.column("id"), part.column("h"), pa.array(size), pa.array(s1), pa.array(s2), *lists],
+                    ["id", "h", "n", "s1", "s2", "keys", "sketch"],
                 )
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>, sketch array<long>")
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows_in.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, keys array<long>, sketch array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -122,7 +123,7 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 5,
 ) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id, kept.
+    """One row per document: id_col, n_shingles, component_id, kept, text_hash.
 
     component_id is the smallest id reachable over links, the own id included;
     kept tells whether it is the own id.  Texts without words (null, empty,
@@ -175,7 +176,25 @@ def near_duplicates(
 
     label = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     classes = written(classes.join(label, "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id")))
-    out = sig.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
+    out = sig.select("id", "h", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), None).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id.
+
+    Of rows repeating an id and a text one stays.  Documents without words, and
+    rows with a null id, stay.
+    """
+    judged = near_duplicates(docs, id_col, text_col, words, percent)
+    fate = judged.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"))
+    fate = written(fate.agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies")).where("not _kept or _copies > 1"))
+    marked = docs.withColumn("_h2", F.xxhash64(text_col))
+    on = (marked[id_col] == fate["_id"]) & (marked["_h2"] == fate["_h"])
+    marked = marked.join(fate, on, "left")
+    once = marked.where("_kept is null").select(*docs.columns)
+    if fate.where("_kept").isEmpty():
+        return once
+    return once.union(marked.where("_kept").dropDuplicates(["_id", "_h"]).select(*docs.columns))

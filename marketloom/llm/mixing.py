@@ -82,13 +82,13 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with columns _phase, _block, _slot and _position; ordering by _position is the mix.
+    """``docs`` with columns _phase, _block, _slot, _share and _position; ordering by _position is the mix.
 
     ``weights`` are whole numbers in proportion to the target; sources not named
     (null is one too) get ``default_weight``.  Documents of a source follow each
     other in hash order of their ids, so repeated rows and null ids are placed
     like any row.  _position rises along the mix; the last block of a source
-    may leave a gap.  An empty table stays empty.  Sources are limited to
+    may leave a gap.  _share is the part of the mix before the row's slot.  An empty table stays empty.  Sources are limited to
     MAX_SOURCES and the sum of their weights to MAX_CYCLE (an error says so).
     """
     spark = docs.sparkSession
@@ -109,4 +109,17 @@ def mix(
     out = rows.join(F.broadcast(plan), here).select(
         *kept, plan["phase"].alias("_phase"), F.col("_block").cast("long").alias("_block"), slot.cast("long").alias("_slot"), F.col("_rank")
     )
-    return out.withColumn("_position", F.col("_slot") * block + F.col("_rank") % block).drop("_rank")
+    out = out.withColumn("_position", F.col("_slot") * block + F.col("_rank") % block).drop("_rank")
+    slots = sum(-(-n // block) for n in counts.values())
+    return out.withColumn("_share", F.col("_slot") / F.lit(float(max(slots, 1))))
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` laid out by _position: partition after partition, sorted within.
+
+    Positions are dense but for small gaps, so equal ranges of them hold about
+    equally many rows and no sampling pass is needed.
+    """
+    spark = mixed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionById(parts, F.floor(F.col("_share") * parts).cast("int")).sortWithinPartitions("_position")

@@ -32,7 +32,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles at similarity 0.8 over every document."""
-    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80).drop("text_hash")
 
 
 def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     out = mixing.mix(docs, TARGET_WEIGHTS)
     names = {"_phase": "phase", "_block": "block", "_slot": "slot", "_position": "position"}
-    return out.withColumnsRenamed(names)
+    return out.withColumnsRenamed(names).drop("_share")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

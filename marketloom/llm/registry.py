@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import minhash_dedup, mixing, packing, pii, toxicity
+from marketloom.llm import lm_score, minhash_dedup, mixing, packing, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a bigram model of the documents that are not held out."""
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.detect(_table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op3_superminhash_dedup": op3_superminhash_dedup,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_pfair_mixing": op9_pfair_mixing,
 }

@@ -155,14 +155,16 @@ def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[byt
     return written(questions.groupBy("range").applyInArrow(run, "block long, range int, reply binary"))
 
 
-def resolved(blocks: DataFrame, replies: DataFrame, use: Callable[[bytes, bool, list[bytes]], pa.Table], schema: str) -> DataFrame:
-    """``use(blob, marked, replies by range)`` for every block with its replies."""
+def resolved(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
+    """``use(block, blob, replies by range)`` for every block with its replies.
+
+    ``use`` is also called once with an empty blob, for an empty table.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("range").to_numpy(), kind="stable")
-        answers = right.column("reply").take(pa.array(order)).to_pylist()
-        made = [use(left.column("blob")[i].as_py(), left.column("marked")[i].as_py(), answers) for i in range(left.num_rows)]
+        answers = dict(zip(right.column("range").to_pylist(), right.column("reply").to_pylist(), strict=True))
+        made = [use(left.column("block")[i].as_py(), left.column("blob")[i].as_py(), answers) for i in range(left.num_rows)]
         return pa.concat_tables(made) if made else empty
 
-    empty = use(b"", False, [])
+    empty = use(0, b"", {})
     return blocks.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(run, schema)

@@ -133,10 +133,10 @@ class Counts:
     pair: np.ndarray
 
 
-def _counts(t: Tokens, answers: list[bytes], count: int, fit: bool) -> Counts:
+def _counts(t: Tokens, answers: dict[int, bytes], count: int, fit: bool) -> Counts:
     found = []
     for order, hashes in enumerate((t.one, t.two)):
-        own = [bl.apart(a) for a in answers[order * count : (order + 1) * count]]
+        own = [bl.apart(answers[order * count + r]) for r in range(count)]
         n = np.concatenate([bl.unpacked(a[0]) for a in own])
         if fit:
             n = n - np.concatenate([bl.unpacked(a[1]) for a in own])
@@ -153,7 +153,7 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 
 
 def _histogram(count: int, totals: Totals):  # noqa: ANN202
-    def use(blob: bytes, marked: bool, answers: list[bytes]) -> pa.Table:
+    def use(block: int, blob: bytes, answers: dict[int, bytes]) -> pa.Table:
         if not blob:
             return pa.table({"bucket": pa.array([], pa.int32()), "ratio": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
         c = _counts(tokens(bl.block_rows(blob)), answers, count, fit=True)
@@ -198,7 +198,7 @@ def _scores(count: int, totals: Totals, weights: np.ndarray):  # noqa: ANN202
     names = [x.split()[0] for x in _SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def use(blob: bytes, marked: bool, answers: list[bytes]) -> pa.Table:
+    def use(block: int, blob: bytes, answers: dict[int, bytes]) -> pa.Table:
         if not blob:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         table = bl.block_rows(blob)

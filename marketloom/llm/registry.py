@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import lm_score, minhash_dedup, mixing, packing, pii, toxicity
+from marketloom.llm import lm_score, minhash_dedup, mixing, packing, pii, repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed(names).drop("_share")
 
 
+def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 200-byte strings that occur elsewhere."""
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=200, real=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op3_superminhash_dedup": op3_superminhash_dedup,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_pfair_mixing": op9_pfair_mixing,
+    "op10_maximal_repeats": op10_maximal_repeats,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import lm_score, minhash_dedup, mixing, packing, pii, repeats, toxicity
+from marketloom.llm import (
+    hash_index,
+    lm_score,
+    minhash_dedup,
+    mixing,
+    packing,
+    pii,
+    repeats,
+    toxicity,
+    url_filter,
+    vector_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +51,31 @@ def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth vector."""
+    return hash_index.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op4_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 among all vectors."""
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+#: fixed values of op6: verdict, host, path
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op6_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a bigram model of the documents that are not held out."""
     return lm_score.score(_table(spark, sf_dir, "documents"))
@@ -71,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op3_superminhash_dedup": op3_superminhash_dedup,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
+    "op2_multi_index_hashing": op2_multi_index_hashing,
+    "op4_subspace_pigeonhole": op4_subspace_pigeonhole,
+    "op6_link_propagation": op6_link_propagation,
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_pfair_mixing": op9_pfair_mixing,

@@ -10,14 +10,15 @@ A document is the set of its distinct word shingles; two are linked when
    the full shingle sets confirm it.
 3. The centre sharing the most bands is tried first for each member, then all
    other centres that would join two components.
-4. What is left are buckets holding several components.  There, members outside
-   the centre's component are compared with every member of another component,
-   behind size and bit-sketch conditions inside the join, and confirmed on the
-   full sets.  So no pair that shares a bucket is left out unless its ends
-   already share a component.
+4. What is left are buckets holding several components.  Members outside the
+   centre's component are compared with all members of the buckets around that
+   component: block against block, so a task holds two bounded blocks.  Byte
+   signatures rule pairs out, the full sets decide, and only links that join
+   two components leave the task.  So no pair that shares a bucket is left out
+   unless its ends already share a component.
 
 With 40 bands of 5 values a pair at similarity 0.8 misses every bucket with
-probability 1e-7; the sketch condition is six deviations away from such pairs.
+probability 1e-7; the byte signatures rule out pairs five deviations away.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from marketloom.llm.text_arrays import distinct, shingle_hashes, text_slices, wo
 
 SKETCH_WORDS = 4
 AT_ONCE = 32_768
+BLOCK = 512
 
 
 def _chunks(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -55,7 +57,10 @@ def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, h, n, s1, s2, keys, sketch) per document; s1 and s2 identify the shingle set, h the text."""
+    """(id, h, n, s1, s2, keys, sketch, low) per document.
+
+    s1 and s2 identify the shingle set, h the text; low has the signature's lowest bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +74,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                 bits = np.zeros((len(sets), SKETCH_WORDS), dtype=np.int64)
                 keys[size > 0] = band_keys(sig, bands)
                 bits[size > 0] = bit_sketch(sig, SKETCH_WORDS)
+                low = np.full(len(sets), b"", dtype=object)
+                low[size > 0] = [row.tobytes() for row in (sig & np.uint32(255)).astype(np.uint8)]
                 with np.errstate(over="ignore"):
                     s1 = np.array([int(s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
                     s2 = np.array([int(np.bitwise_xor.reduce(s * (s | np.uint64(1)))) for s in sets], dtype=np.uint64).view(np.int64)
@@ -77,12 +84,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                     for x in (keys, bits)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("h"), pa.array(size), pa.array(s1), pa.array(s2), *lists],
-                    ["id", "h", "n", "s1", "s2", "keys", "sketch"],
+                    [part.column("id"), part.column("h"), pa.array(size), pa.array(s1), pa.array(s2), *lists, pa.array(low, pa.binary())],
+                    ["id", "h", "n", "s1", "s2", "keys", "sketch", "low"],
                 )
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, keys array<long>, sketch array<long>")
+    return rows_in.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, keys array<long>, sketch array<long>, low binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -102,6 +109,68 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _joining(around: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among the rows (main, id, comp) of each ``main``.
+
+    Rows outside the component ``main`` are compared with all rows of their
+    ``main``, in blocks of about BLOCK rows a side.
+    """
+    sizes = around.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("out"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = written(sizes.select("main", blocks("all").alias("nr"), blocks("out").alias("nl")))
+    rows = around.join(reps.select("id", "low"), "id").join(texts, "id").join(sizes, "main")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["main", "id", "comp", "low", "text"]
+    left = rows.where("comp <> main").select(*cols, place("nl").alias("l"), every("nr").alias("r"))
+    right = rows.select(*cols, place("nr").alias("r"), every("nl").alias("l"))
+    right = right.toDF(*right.columns)  # fresh columns, so the two sides are told apart
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = _links_between(x, y, words, percent) if x.num_rows and y.num_rows else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return left.groupBy("main", "l", "r").cogroup(right.groupBy("main", "l", "r")).applyInArrow(run, "a long, b long")
+
+
+def _links_between(x: pa.Table, y: pa.Table, words: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links from rows of x to rows of y that join components, most similar first."""
+    facts = []
+    for t in (x, y):
+        low = np.frombuffer(b"".join(t.column("low").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+        facts.append((low, t.column("id").to_pylist(), t.column("comp").to_pylist()))
+    (lx, ix, cx), (ly, iy, cy) = facts
+    m, j = lx.shape[1], percent / 100
+    least = m * (j - 5.5 * (j * (1 - j) / m) ** 0.5)
+    sets: dict[tuple[int, int], np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    def shingled(side: int, table: pa.Table, i: int) -> np.ndarray:
+        if (side, i) not in sets:
+            sets[side, i] = _shingle_sets(table.column("text").slice(i, 1), words)[0]
+        return sets[side, i]
+
+    pairs = []
+    for i in range(len(lx)):
+        same = (ly == lx[i]).sum(axis=1)
+        pairs += [(-int(same[k]), i, int(k)) for k in np.flatnonzero(same >= least)]
+    out = []
+    for _, i, k in sorted(pairs):
+        if root(cx[i]) == root(cy[k]):
+            continue
+        p, q = shingled(0, x, i), shingled(1, y, k)
+        both = len(p) + len(q) - len(distinct(np.concatenate((p, q))))
+        if 100 * both >= percent * (len(p) + len(q) - both):
+            out.append((ix[i], iy[k]))
+            parent[root(cx[i])] = root(cy[k])
+    return out
+
+
 def _similar(percent: int) -> F.Column:
     """Join condition over x and y: sizes allow the link and the bit sketches do not rule it out."""
     total = SKETCH_WORDS * 64
@@ -136,7 +205,7 @@ def near_duplicates(
     valid = sig.where("n > 0 and id is not null")
     classes = written(valid.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     lead = classes.select(F.col("rep").alias("id"), "s1", "s2")
-    reps = written(valid.join(lead, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "n", "keys", "sketch"))
+    reps = written(valid.join(lead, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "n", "keys", "sketch", "low"))
 
     in_band = reps.select("id", F.explode("keys").alias("key"))
     shared = written(in_band.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
@@ -165,14 +234,8 @@ def near_duplicates(
     hub = label.select(F.col("node").alias("centre"), F.col("component").alias("cc"))
     placed = written(placed.join(hub, "centre", "left").withColumn("main", F.coalesce("cc", "centre")).drop("cc"))
     open_keys = placed.where("comp <> main").select("key").distinct()
-    facts = reps.select("id", "n", "sketch")
-    everyone = written(placed.join(open_keys, "key", "left_semi").join(facts, "id").select("key", "id", "comp", "main", "n", "sketch"))
-    outside = everyone.where("comp <> main")
-    pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    found = outside.alias("x").join(everyone.alias("y"), pair & once & _similar(percent))
-    found = found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = written(links.union(_confirmed(found, texts, words, percent)))
+    around = placed.join(open_keys, "key", "left_semi").groupBy("main", "id").agg(F.min("comp").alias("comp"))
+    links = written(links.union(_joining(written(around), reps, texts, words, percent)))
 
     label = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     classes = written(classes.join(label, "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id")))

@@ -1,0 +1 @@
+"""marketloom.plans"""

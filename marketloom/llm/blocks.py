@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import written
-from marketloom.llm.text_arrays import U64
+from marketloom.llm.text_arrays import U64, text_slices
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -102,10 +102,10 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, apart_by: Callable[
             row = [pa.array([base + made]), pa.array([mark]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["block", "marked", "blob"])
 
-        for batch in batches:
-            marks = np.array([bool(apart_by and apart_by(i)) for i in batch.column("id").to_pylist()], dtype=bool)
+        for part in (part for batch in batches for part in text_slices(batch, "text", BLOCK_BYTES // 8)):
+            marks = np.array([bool(apart_by and apart_by(i)) for i in part.column("id").to_pylist()], dtype=bool)
             for mark in (False, True):
-                own = batch.filter(pa.array(marks == mark)) if len(marks) else batch
+                own = part.filter(pa.array(marks == mark))
                 if own.num_rows:
                     held[mark].append(own)
                 if sum(b.nbytes for b in held[mark]) >= BLOCK_BYTES:
@@ -133,6 +133,7 @@ def asked(blocks: DataFrame, ask: Callable[[bytes, bool], Iterator[tuple[int, by
                 made = list(ask(blob, marked))
                 arrays = [pa.array([r for r, _ in made], pa.int32()), pa.array([block] * len(made), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([b for _, b in made], pa.binary())], ["range", "block", "ask"])
+                pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "marked", "blob").mapInArrow(run, "range int, block long, ask binary")
 
@@ -164,6 +165,7 @@ def resolved(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes, d
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right.column("range").to_pylist(), right.column("reply").to_pylist(), strict=True))
         made = [use(left.column("block")[i].as_py(), left.column("blob")[i].as_py(), answers) for i in range(left.num_rows)]
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(made) if made else empty
 
     empty = use(0, b"", {})

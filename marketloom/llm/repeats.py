@@ -37,7 +37,7 @@ from marketloom.llm.text_arrays import U64, byte_codes, range_hashes, text_slice
 
 GRAM = 64
 GROUP = 2_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 LOW32 = U64(0xFFFFFFFF)
 
 

@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Training takes a bounded, documented sample of labelled rows (the
-``max_train`` rows with the smallest hash of their text), dealt over ``shards``
+``max_train`` labels with the smallest hash of their id), dealt over ``shards``
 tasks that each run FTRL over their share; the shards' weights are averaged by
 how strongly each coordinate was updated.  L1 keeps few weights, which travel to
 the scoring tasks as two arrays of at most ``2**bits`` entries.  Scoring is one
@@ -87,15 +87,20 @@ def _featured(texts: pa.Array, bits: int) -> list[np.ndarray]:
     return [features(hashes[at[i] : at[i + 1]], bits) for i in range(len(at) - 1)]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", cfg: Settings = Settings()) -> Model:
-    """Learn from rows with a non-null 0/1 label; null texts count as empty.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cfg: Settings = Settings()
+) -> Model:
+    """Learn from the documents that ``labels`` gives a 0/1 label; null texts count as empty.
 
-    No rows, or rows of one label only, still give a model (bias, few weights).
-    Repeated rows count as often as they occur.
+    The sample is drawn among the labels, so only its texts are moved.  Labels
+    that are null or neither 0 nor 1 are left out.  No rows, or rows of one
+    label only, still give a model (bias, few weights).  Repeated rows count as
+    often as they occur, within the bound.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1))
-    rows = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.withColumn("h", F.xxhash64("text", "label")).orderBy("h").limit(cfg.max_train)
+    sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    sample = sample.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "label").limit(cfg.max_train)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
+    rows = rows.select("text", "label", F.xxhash64("text", "label").alias("h")).orderBy("h").limit(cfg.max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, np.ndarray, int]] = []

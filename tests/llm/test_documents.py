@@ -133,7 +133,7 @@ def test_toxicity_learns_planted_words(spark):
     r = random.Random(3)
     data = [(i, prose(40, i) + (" " + r.choice(["vile", "rotten"]) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     frame = spark.createDataFrame(data, "doc_id long, text string, label int")
-    model = toxicity.fit(frame.where("doc_id < 300"))
+    model = toxicity.fit(frame, frame.where("doc_id < 300"), label_col="label")
     got = {x.doc_id: x.score for x in toxicity.with_score(frame, model).collect()}
     bad = [got[i] for i in range(300, 400) if i % 4 == 0]
     good = [got[i] for i in range(300, 400) if i % 4]
@@ -141,11 +141,11 @@ def test_toxicity_learns_planted_words(spark):
 
 
 def test_toxicity_edges(spark, docs, empty):
-    model = toxicity.fit(docs.limit(0).selectExpr("text", "0 as label"))
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(null as int) as toxic"))
     out = toxicity.with_score(docs, model)
     assert out.columns == docs.columns and all(0 <= r.score <= 1 for r in out.collect())
     assert toxicity.with_score(empty, model).count() == 0
-    only = toxicity.fit(docs.selectExpr("text", "1 as label"))
+    only = toxicity.fit(docs, docs.selectExpr("doc_id", "1 as toxic"))
     assert only.bias > 0
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import ranked, written
-from marketloom.llm.text_arrays import text_slices, word_table
+from marketloom.llm.text_arrays import text_slices, utf8, word_table
 
 _LETTER = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _MARK = np.array([chr(b) in ",.;:!?" for b in range(256)])
@@ -35,6 +35,14 @@ def _between_word_and_mark(part: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased but for those before a non-ASCII byte, which may be a mark that joins the letter."""
+    data, offsets = utf8(texts)
+    alone = np.append(data[1:] < 128, True) if len(data) else np.empty(0, dtype=bool)
+    upper = (data >= 65) & (data <= 90) & alone
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data + upper.astype(np.uint8) * np.uint8(32)))
+
+
 class WordTokens:
     """Token ids of whole texts, with the ids of words remembered.
 
@@ -47,6 +55,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        apart = ((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not x.normalized)
+        self.mark = next(apart, (None, -1))
+        self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -54,25 +66,43 @@ class WordTokens:
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.first = np.zeros(1 << 12, dtype=np.int64)  # place of a word's ids in self.ids
 
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids per text); many texts a call, kept apart by a special token."""
+        mark, number = self.mark
+        if mark is not None and not any(mark in x for x in texts):
+            joined = [mark.join(texts[i : i + 64]) + mark for i in range(0, len(texts), 64)]
+            made = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            flat = np.concatenate(made)
+            ends = np.flatnonzero(flat == number)
+            if len(ends) == len(texts):
+                return flat[flat != number], np.diff(ends, prepend=-1) - 1
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in made for i in x], dtype="<u4"), np.array([len(x) for x in made], dtype=np.int64)
+
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         for low in range(0, len(texts), 4096):
-            made = self.tokenizer.encode_batch_fast(texts[low : low + 4096], add_special_tokens=False)
-            ids = [e.ids for e in made]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.array([i for x in ids for i in x], dtype="<u4")
+            flat, sizes = self._encoded(texts[low : low + 4096])
             n = len(self.known)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while n + len(ids) + 1 > len(self.first):
+            while n + len(sizes) + 1 > len(self.first):
                 self.first = np.concatenate((self.first, np.zeros_like(self.first)))
             self.ids[self.used : self.used + len(flat)] = flat
-            self.first[n + 1 : n + 1 + len(ids)] = self.used + np.cumsum(sizes)
+            self.first[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
             self.used += len(flat)
-            self.known.update(zip(hashes[low : low + 4096], range(n, n + len(ids)), strict=True))
+            self.known.update(zip(hashes[low : low + 4096], range(n, n + len(sizes)), strict=True))
+
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """Lower-cased if the tokenizer does so too and no special token comes about by it."""
+        if not self.folds or len(texts) == 0:
+            return texts
+        lower = _lower(texts)
+        before, after = (utf8(x)[0].tobytes() for x in (texts, lower))
+        return lower if all(before.count(x) == after.count(x) for x in self.special) else texts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, for each text the ids before it, and the total)."""
-        words = word_table(texts, fold_case=False, split=_between_word_and_mark)
+        words = word_table(self._folded(texts), fold_case=False, split=_between_word_and_mark)
         values, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(values) > self.bound:
             self._forget()

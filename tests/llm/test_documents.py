@@ -213,9 +213,12 @@ def test_tokens_of_odd_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     coder, own = Tokenizer.from_file(path), packing.WordTokens(path, bound=20)
     texts = ["a<|endoftext|>b c", "don't I'LL, we.re", "é ́x\u00a0y", "x,.y;z 1.2,3 ﬁ İ Σς", "", "A,B.", "\x1cq\x00r", "名前,です."]
+    texts += ["T\u0308x t\u0308 É", "<|startoftext|> B<|startoftext|>,C"]
     ids, at = own.encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == coder.encode(t, add_special_tokens=False).ids
+    for t in ("A <|ENDOFTEXT|> b", "Only Words HERE"):
+        assert own.encode(pa.array([t]))[0].tolist() == coder.encode(t, add_special_tokens=False).ids
 
 
 def test_fullest_is_optimal():

@@ -12,6 +12,8 @@ packed row.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import written
 from marketloom.llm.text_arrays import U64, text_slices
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = RANGE_BYTES = 8 << 20
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -66,13 +68,37 @@ def apart(blob: bytes) -> list[bytes]:
     return out
 
 
-def ranges(keys: np.ndarray, count: int) -> np.ndarray:
-    """For sorted keys, the places where each of ``count`` equal hash ranges starts, and the end."""
-    edges = [U64(-(-(i << 64) // count)) for i in range(1, count)]
-    return np.concatenate(([0], np.searchsorted(keys, np.array(edges, dtype=U64)), [len(keys)])).astype(np.int64)
+def ranges(keys: np.ndarray, count: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of sorted keys for those of ``count`` equal hash ranges that hold some.
+
+    A block never asks an empty range, so its messages are bounded by its own
+    keys however many ranges a large corpus has.
+    """
+    if len(keys) == 0:
+        return []
+    number = ((keys >> U64(32)) * U64(count)) >> U64(32)
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    return list(zip(number[first].astype(np.int64).tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def between(answers: dict[int, bytes], low: int, high: int) -> list[bytes]:
+    """The replies of ranges low..high-1 in order."""
+    return [answers[r] for r in sorted(answers) if low <= r < high]
+
+
+def joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """Concatenated 64-bit unsigned integers; of no arrays, none."""
+    return np.concatenate([np.empty(0, dtype=U64), *arrays])
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which workers that are reused would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def range_count(docs: DataFrame, text_col: str, bytes_each: int) -> int:
+def range_count(docs: DataFrame, text_col: str, bytes_each: int = RANGE_BYTES) -> int:
     """Hash ranges to use: one per ``bytes_each`` bytes of text, 8 at least."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     return max(8, -(-total // bytes_each))
@@ -133,7 +159,8 @@ def asked(blocks: DataFrame, ask: Callable[[bytes, bool], Iterator[tuple[int, by
                 made = list(ask(blob, marked))
                 arrays = [pa.array([r for r, _ in made], pa.int32()), pa.array([block] * len(made), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([b for _, b in made], pa.binary())], ["range", "block", "ask"])
-                pa.default_memory_pool().release_unused()
+                del made, arrays, blob
+                give_back()
 
     return blocks.select("block", "marked", "blob").mapInArrow(run, "range int, block long, ask binary")
 
@@ -150,6 +177,7 @@ def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[byt
         table = table.take(pa.array(order))
         number = table.column("range")[0].as_py()
         replies = answer(number, table.column("ask").to_pylist())
+        give_back()
         blocks = table.column("block").to_pylist() + [-1] * (len(replies) - table.num_rows)
         return pa.table({"block": pa.array(blocks, pa.int64()), "range": pa.array([number] * len(blocks), pa.int32()), "reply": pa.array(replies, pa.binary())})
 
@@ -165,7 +193,7 @@ def resolved(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes, d
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right.column("range").to_pylist(), right.column("reply").to_pylist(), strict=True))
         made = [use(left.column("block")[i].as_py(), left.column("blob")[i].as_py(), answers) for i in range(left.num_rows)]
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.concat_tables(made) if made else empty
 
     empty = use(0, b"", {})

@@ -92,9 +92,7 @@ def _ask(count: int):  # noqa: ANN202
         for order, hashes in enumerate((t.one, t.two)):
             keys, place = np.unique(hashes, return_inverse=True)
             n = np.bincount(place, train, len(keys)).astype(U64)
-            cut = bl.ranges(keys, count)
-            for r in range(count):
-                a, b = cut[r], cut[r + 1]
+            for r, a, b in bl.ranges(keys, count):
                 held = n[a:b] if marked else n[:0]
                 yield order * count + r, bl.several(bl.packed_sorted(keys[a:b]), bl.packed(n[a:b]), bl.packed(held))
 
@@ -124,6 +122,12 @@ def _answer(count: int):  # noqa: ANN202
     return answer
 
 
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the ranges' facts."""
+    found = np.array([bl.unpacked(x) for b in batches for x in b.column("reply").to_pylist()], dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found.reshape(-1, 4).sum(axis=0)], ["n", "v", "fit_n", "fit_v"])
+
+
 @dataclass(frozen=True)
 class Counts:
     """Corpus counts for the tokens of a block: word, context, bigram; held-back parts of each."""
@@ -136,10 +140,10 @@ class Counts:
 def _counts(t: Tokens, answers: dict[int, bytes], count: int, fit: bool) -> Counts:
     found = []
     for order, hashes in enumerate((t.one, t.two)):
-        own = [bl.apart(answers[order * count + r]) for r in range(count)]
-        n = np.concatenate([bl.unpacked(a[0]) for a in own])
+        own = [bl.apart(x) for x in bl.between(answers, order * count, (order + 1) * count)]
+        n = bl.joined([bl.unpacked(a[0]) for a in own])
         if fit:
-            n = n - np.concatenate([bl.unpacked(a[1]) for a in own])
+            n = n - bl.joined([bl.unpacked(a[1]) for a in own])
         found.append(n.astype(np.float64)[np.unique(hashes, return_inverse=True)[1]])
     word, pair = found
     context = np.empty_like(word)
@@ -225,11 +229,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     estimate is the add-one unigram.  Null ids train; repeated rows count as
     often as they occur; other columns are ignored; an empty table gives no rows.
     """
-    count = bl.range_count(docs, text_col, 12 << 20)
+    count = bl.range_count(docs, text_col)
     texts = bl.text_blocks(docs, id_col, text_col, apart_by=held_back)
     replies = bl.answered(bl.asked(texts, _ask(count)), _answer(count))
-    facts = np.array([bl.unpacked(bytes(r[0])) for r in replies.where("block < 0").select("reply").collect()], dtype=np.int64)
-    totals = Totals(*(int(x) for x in facts.reshape(-1, 4).sum(axis=0)))
+    facts = replies.where("block < 0").select("reply").mapInArrow(_facts, "n long, v long, fit_n long, fit_v long")
+    totals = Totals(*(int(x or 0) for x in facts.groupBy().sum().first()))
     marked = texts.where("marked")
     own = replies.join(marked.select("block"), "block", "left_semi")
     hist = bl.resolved(marked, own, _histogram(count, totals), "bucket int, ratio int, n long")

@@ -116,9 +116,8 @@ def entries(blob: bytes, length: int) -> Entries:
 def _ask_spans(count: int, length: int):  # noqa: ANN202
     def ask(blob: bytes, marked: bool) -> Iterator[tuple[int, bytes]]:
         e = entries(blob, length)
-        cut = bl.ranges(e.gram, count)
-        for r in range(count):
-            own = slice(cut[r], cut[r + 1])
+        for r, a, b in bl.ranges(e.gram, count):
+            own = slice(a, b)
             yield r, bl.several(bl.packed_sorted(e.gram[own]), bl.packed(e.span[own]), bl.packed(e.count[own]))
 
     return ask
@@ -197,25 +196,20 @@ def _ask_contexts(count: int, length: int):  # noqa: ANN202
         if not blob:
             return _ASKS.empty_table()
         e = entries(blob, length)
-        codes = np.concatenate([bl.unpacked(answers[r]) for r in range(count)]).astype(np.int64)
+        codes = bl.joined([bl.unpacked(x) for x in bl.between(answers, 0, count)]).astype(np.int64)
         entry = np.flatnonzero(np.isin(codes, (EXAMPLE, OPEN)))
-        cut = bl.ranges(e.gram[entry], count)
         out = []
-        for r in range(count):
-            own = entry[cut[r] : cut[r + 1]]
-            if len(own):
-                made = [_context(e, int(e.example[i]), length) for i in own]
-                lefts, sizes = np.array([a for a, _ in made]), np.array([len(b) for _, b in made])
-                blobs = zstandard.compress(b"".join(b for _, b in made), 1)
-                out.append((r, bl.several(bl.packed_sorted(e.gram[own]), bl.packed(codes[own] == OPEN), bl.packed(lefts), bl.packed(sizes), blobs)))
+        for r, low, high in bl.ranges(e.gram[entry], count):
+            own = entry[low:high]
+            made = [_context(e, int(e.example[i]), length) for i in own]
+            lefts, sizes = np.array([a for a, _ in made]), np.array([len(b) for _, b in made])
+            blobs = zstandard.compress(b"".join(b for _, b in made), 1)
+            out.append((r, bl.several(bl.packed_sorted(e.gram[own]), bl.packed(codes[own] == OPEN), bl.packed(lefts), bl.packed(sizes), blobs)))
         hashes, number, _ = _strings(e, codes, length)
         keys, first = np.unique(hashes, return_index=True)
         n = np.bincount(np.searchsorted(keys, hashes), np.where(codes[e.of[number]] == EXAMPLE_LARGE, 2, 1), len(keys)) if len(keys) else first
-        cut = bl.ranges(keys, count)
-        for r in range(count):
-            own = slice(cut[r], cut[r + 1])
-            if cut[r + 1] > cut[r]:
-                out.append((count + r, bl.several(bl.packed_sorted(keys[own]), bl.packed(n[own].astype(np.int64)))))
+        for r, low, high in bl.ranges(keys, count):
+            out.append((count + r, bl.several(bl.packed_sorted(keys[low:high]), bl.packed(n[low:high].astype(np.int64)))))
         return pa.Table.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], schema=_ASKS)
 
     return use
@@ -327,7 +321,7 @@ _DDL_REAL = ", spans array<struct<start:long,end:long>>, kept binary"
 
 def _marks(e: Entries, answers: dict[int, bytes], count: int, length: int) -> list[np.ndarray]:
     """For each slice of the block, which bytes go."""
-    codes = np.concatenate([bl.unpacked(answers[r]) for r in range(count)]).astype(np.int64)
+    codes = bl.joined([bl.unpacked(x) for x in bl.between(answers, 0, count)]).astype(np.int64)
     whole = np.isin(codes, (REPEATED, EXAMPLE, EXAMPLE_LARGE))[e.of]
     bases = np.cumsum([0, *(len(p.lo) for p in e.parts)])
     deltas = [np.zeros(len(p.data) + 1, dtype=np.int32) for p in e.parts]
@@ -337,11 +331,8 @@ def _marks(e: Entries, answers: dict[int, bytes], count: int, length: int) -> li
         np.add.at(delta, p.hi[own] + length, -1)
 
     entry = np.flatnonzero(np.isin(codes, (EXAMPLE, OPEN)))
-    cut = bl.ranges(e.gram[entry], count)
-    for r in range(count):
-        own = entry[cut[r] : cut[r + 1]]
-        if not len(own):
-            continue
+    for r, low, high in bl.ranges(e.gram[entry], count):
+        own = entry[low:high]
         sizes, flat = (bl.unpacked(x).astype(np.int64) for x in bl.apart(answers[count + r]))
         at = 0
         for i, n in zip(own, sizes, strict=True):
@@ -357,8 +348,7 @@ def _marks(e: Entries, answers: dict[int, bytes], count: int, length: int) -> li
     hashes, number, starts = _strings(e, codes, length)
     if len(hashes):
         keys = np.unique(hashes)
-        cut = bl.ranges(keys, count)
-        seen = np.concatenate([bl.unpacked(answers[2 * count + r]) for r in range(count) if cut[r + 1] > cut[r]])
+        seen = bl.joined([bl.unpacked(x) for x in bl.between(answers, 2 * count, 3 * count)])
         hit = seen[np.searchsorted(keys, hashes)] > 0
         part = np.searchsorted(bases, number[hit], "right") - 1
         for k in np.unique(part):
@@ -403,7 +393,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
-    count = bl.range_count(docs, text_col, 12 << 20)
+    count = bl.range_count(docs, text_col)
     texts = bl.text_blocks(docs, id_col, text_col)
     codes = bl.answered(bl.asked(texts, _ask_spans(count, length)), _answer_spans)
     contexts = bl.resolved(texts, codes, _ask_contexts(count, length), "range int, block long, ask binary")

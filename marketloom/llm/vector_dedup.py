@@ -5,9 +5,10 @@ rotation the vectors are cut into blocks; the squared-distance budget is shared
 out in proportion to the blocks' energy, so a close pair keeps within the
 budget in at least one block.  Each block is a range join: a grid over the
 block's two widest dimensions, cells as wide as the budget's root, so partners
-lie in the same or an adjacent cell.  Cells are cut into bounded chunks, and a
-pair of chunks is one task's group: a small matrix product finds the pairs
-within budget, and the original vectors confirm them.  A confirmed pair counts
+lie in the same or an adjacent cell.  A cell's rows stay at home once and visit
+the cells on one side.  Cells are cut into bounded chunks; a chunk at home and
+the visiting chunks of one number are one group: small matrix products find the
+pairs within budget, and the original vectors confirm them.  A confirmed pair counts
 in the first block in which it keeps within budget, so nothing counts twice.
 Groups return link counts per vector and a spanning forest of their links, not
 the pairs.  Equal vectors are one class with a weight.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import components, written
 from marketloom.llm.vectors import matrix, sample, usable
 
-BLOCKS, CHUNK = 4, 1_024
+BLOCKS, CHUNK, STRIP = 4, 4_096, 512
 PAIRS_AT_ONCE = 1 << 16
 
 
@@ -80,24 +81,29 @@ def _linked(model: Subspaces, cosine: float):  # noqa: ANN202
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         block = left.column("b")[0].as_py()
-        same = left.column("same")[0].as_py()
         (x, ix, wx), (y, iy, wy) = ((matrix(t.column("v")), t.column("id").to_numpy(), t.column("weight").to_numpy()) for t in (left, right))
         nx, ny, tx, ty = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1), model.turned(x), model.turned(y)
         px, py = tx[:, model.dims[block]], ty[:, model.dims[block]]
-        far = (px**2).sum(axis=1)[:, None] + (py**2).sum(axis=1)[None, :] - 2 * px @ py.T
-        i, j = np.nonzero(far <= model.budget[block] + 1e-9)
-        if same:  # both sides are the same rows: each pair once
-            i, j = i[ix[i] < iy[j]], j[ix[i] < iy[j]]
-        good = np.zeros(len(i), dtype=bool)
-        for low in range(0, len(i), PAIRS_AT_ONCE):
-            p, q = i[low : low + PAIRS_AT_ONCE], j[low : low + PAIRS_AT_ONCE]
-            ok = (x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q]) >= cosine
-            difference = tx[p] - ty[q]
-            ok &= model.keeps(difference, block)
-            for earlier in range(block):
-                ok &= ~model.keeps(difference, earlier)
-            good[low : low + PAIRS_AT_ONCE] = ok
-        i, j = i[good], j[good]
+        same = np.asarray(left.column("same").to_numpy(), dtype=bool)  # visitors that are home rows too: each pair once
+        own, other, squares = [], [], (py**2).sum(axis=1)
+        for low in range(0, len(x), STRIP):
+            strip = px[low : low + STRIP]
+            far = (strip**2).sum(axis=1)[:, None] + squares[None, :] - 2 * strip @ py.T
+            i, j = np.nonzero(far <= model.budget[block] + 1e-9)
+            i += low
+            once = ~same[i] | (ix[i] < iy[j])
+            i, j = i[once], j[once]
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                p, q = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+                ok = (x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q]) >= cosine
+                p, q = p[ok], q[ok]
+                difference = tx[p] - ty[q]
+                ok = model.keeps(difference, block)
+                for earlier in range(block):
+                    ok &= ~model.keeps(difference, earlier)
+                own.append(p[ok])
+                other.append(q[ok])
+        i, j = (np.concatenate([np.empty(0, dtype=np.int64), *z]) for z in (own, other))
         counts: dict[int, int] = {}
         for ids, own, other, weights in ((ix, i, j, wy), (iy, j, i, wx)):
             n = np.bincount(own, weights[other], len(ids)).astype(np.int64)
@@ -144,20 +150,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     model = fit(x, cosine)
     placed = written(reps.mapInArrow(_cells(model), "id long, v array<double>, weight long, b int, cx int, cy int"))
     cells = written(placed.groupBy("b", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n")))
+    # cells on one side of a cell, and itself, visit it
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
     near = cells.select("b", "cx", "cy", F.col("n").alias("nl"), F.inline(steps)).alias("p")
     other = cells.select("b", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("n").alias("nr")).alias("o")
     on = (F.col("p.b") == F.col("o.b")) & (F.col("cx") + F.col("dx") == F.col("ox")) & (F.col("cy") + F.col("dy") == F.col("oy"))
     pairs = written(near.join(other, on).select("p.b", "cx", "cy", "ox", "oy", "nl", "nr", ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own")))
-    key = ["b", "cx", "cy", "ox", "oy", "l", "r"]
+    homes = pairs.groupBy("b", "ox", "oy", "nr").agg(F.max("nl").alias("nl"))
+    key = ["b", "ox", "oy", "l", "r"]
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    once = (~F.col("own")) | (F.col("l") <= F.col("r"))
-    left = placed.join(pairs, ["b", "cx", "cy"]).select(*key[:5], chunk("nl").alias("l"), all_of("nr").alias("r"), "id", "v", "weight", "own")
-    left = left.where(once).withColumn("same", F.col("own") & (F.col("l") == F.col("r"))).drop("own")
+    left = placed.join(pairs, ["b", "cx", "cy"]).select("b", "ox", "oy", chunk("nl").alias("l"), all_of("nr").alias("r"), "id", "v", "weight", "own")
+    left = left.where(~F.col("own") | (F.col("l") <= F.col("r"))).withColumn("same", F.col("own") & (F.col("l") == F.col("r"))).drop("own")
     there = placed.select("b", F.col("cx").alias("ox"), F.col("cy").alias("oy"), "id", "v", "weight")
-    right = there.join(pairs, ["b", "ox", "oy"]).select(*key[:5], all_of("nl").alias("l"), chunk("nr").alias("r"), "id", "v", "weight", "own")
-    right = right.where(once).drop("own")
+    right = there.join(homes, ["b", "ox", "oy"]).select("b", "ox", "oy", all_of("nl").alias("l"), chunk("nr").alias("r"), "id", "v", "weight")
     right = right.toDF(*right.columns)
     found = written(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_linked(model, cosine), "a long, n long, b long"))
     links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))

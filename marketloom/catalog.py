@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom import constants as C
 from marketloom.functions import scalars as S
-from marketloom.operators import baskets, listings, matching, predicates, quality, series, users
+from marketloom.operators import audits, baskets, listings, matching, predicates, quality, series, users
 from marketloom.sources import bind
 from marketloom.sources.bind import MAX_AGE_DAYS, Tables, now
 
@@ -475,3 +475,142 @@ _query(
   '([?&])(utm_[a-z]+|gclid|fbclid|msclkid|from|ref)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '^(https?://)www\.', '\1'), '/$', '') END AS url FROM pages""",
     bound=False,
 )
+
+_NOW, _RECENT = "TIMESTAMP '2001-11-05'", "recorded_at >= TIMESTAMP '2001-11-05' - INTERVAL 730 DAY"
+_INDEX_SQL = "(availability = 'in stock' AND NOT flagged AND NOT is_stale)"
+_UNEXPIRED_SQL = f"NOT coalesce(promo_valid_to < {_NOW}, false)"
+_LIVENESS = {
+    "current": (_is_current, CURRENT_SQL), "live": (lambda: predicates.is_live(now(), MAX_AGE_DAYS), f"active AND NOT flagged AND {_RECENT}"),
+    "index": (predicates.is_index_live, _INDEX_SQL), "meta": (lambda: predicates.is_meta_live(now(), MAX_AGE_DAYS), f"active AND {_INDEX_SQL} AND {_RECENT}"),
+    "visible": (lambda: predicates.is_visible(now()), f"{_INDEX_SQL} AND price_bani > 0 AND {_UNEXPIRED_SQL}"), "listed": (predicates.is_listed, "NOT is_stale AND active"),
+    "publishable": (predicates.is_publishable, "NOT flagged AND NOT aggregator"), "publishable_all": (lambda: predicates.is_publishable(True), "NOT flagged"),
+}
+_query(
+    "liveness_counts",
+    lambda t: audits.predicate_counts(t.placed, {n: p() for n, (p, _) in _LIVENESS.items()}),
+    " UNION ALL ".join(f"SELECT '{n}' AS predicate, count(*) FILTER ({sql}) AS offers FROM placed" for n, (_, sql) in _LIVENESS.items()),
+)
+_query(
+    "buyable_reasons",
+    lambda t: audits.reasons_not_buyable(t.placed, predicates.why_not_buyable(now(), ["Brand#11"])),
+    f"""SELECT CASE WHEN lower(brand) = 'brand#11' THEN 'blocked' WHEN flagged THEN 'anomaly' WHEN is_stale THEN 'stale' WHEN NOT {_UNEXPIRED_SQL} THEN 'expired'
+  WHEN availability <> 'in stock' THEN 'stale' ELSE 'ok' END AS reason, count(*) AS offers FROM placed GROUP BY 1""",
+)
+_query(
+    "liveness_disagreement",
+    lambda t: audits.disagreement(t.placed, _is_current(), predicates.is_meta_live(now(), MAX_AGE_DAYS)),
+    f"""SELECT product_id, merchant_id, CASE WHEN a THEN 'first' ELSE 'second' END AS only_in
+  FROM (SELECT product_id, merchant_id, {CURRENT_SQL} AS a, ({_LIVENESS["meta"][1]}) AS b FROM placed) WHERE a <> b""",
+)
+_query(
+    "listing_page",
+    lambda t: audits.listing_page(t.current, page=2),
+    """, low AS (SELECT product_id, min(price_bani) AS low_bani FROM cur WHERE class_id IS NULL GROUP BY 1),
+  n AS (SELECT *, row_number() OVER (ORDER BY low_bani, product_id) AS rn, least(2, greatest(1, (count(*) OVER () + 119) // 120)) AS page FROM low)
+  SELECT product_id, low_bani FROM n WHERE rn > (page - 1) * 120 AND rn <= page * 120""",
+)
+_query(
+    "price_chart",
+    lambda t: audits.price_chart(t.history),
+    "SELECT product_id, CAST(recorded_at AS DATE) AS day, " + ", ".join(f"min(price_bani) FILTER (merchant_id % 3 = {i}) AS kind_{i}" for i in range(3)) + " FROM history GROUP BY 1, 2",
+)
+_query(
+    "sitemap_chunks",
+    lambda t: audits.sitemap_chunks(t.placed, predicates.is_listed()),
+    "SELECT product_id // 10000 AS chunk, count(DISTINCT product_id) AS urls, min(product_id) AS first_id FROM placed WHERE NOT is_stale AND active GROUP BY 1",
+)
+_query(
+    "merchant_provenance",
+    lambda t: audits.merchant_provenance(t.placed),
+    """SELECT merchant_id, count(*) AS offers, count(*) FILTER (reference_bani > price_bani) AS with_reference, count(promo_valid_to) AS with_promo,
+  count(*) FILTER (flagged) AS flagged, count(*) FILTER (availability <> 'in stock') AS out_of_stock FROM placed GROUP BY 1""",
+)
+_query(
+    "gap_analysis",
+    lambda t: audits.gap_analysis(t.placed.where(~F.coalesce(_is_current(), F.lit(False))), ["merchant_id", "availability"], "price_bani"),
+    f"SELECT merchant_id, availability, count(*) AS pending, list_sort(list(price_bani))[count(*) // 2 + 1] AS median_upper FROM placed WHERE NOT {CURRENT_SQL} GROUP BY ALL",
+)
+_query(
+    "dead_streak",
+    lambda t: audits.dead_streak(t.runs),
+    """, n AS (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY day DESC) AS rn FROM runs)
+  SELECT merchant, coalesce(min(rn) FILTER (written > 0) - 1, count(*)) AS streak FROM n WHERE rn <= 5 GROUP BY 1""",
+)
+_query(
+    "pool_collapse",
+    lambda t: audits.pool_collapse(t.runs),
+    """, n AS (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY day) AS rn FROM runs),
+  p AS (SELECT a.merchant, a.day, a.attempted, list_sort(list(b.attempted))[count(*) // 2 + 1] AS usual FROM n a JOIN n b ON a.merchant = b.merchant AND b.rn BETWEEN a.rn - 6 AND a.rn - 1
+    AND b.day >= a.day - 14 GROUP BY a.merchant, a.day, a.attempted HAVING count(*) >= 3)
+  SELECT * FROM p WHERE attempted * 100 < usual * 60""",
+)
+_query(
+    "queue_total",
+    lambda t: audits.queue_total(t.read("events")),
+    """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS "new" FROM events GROUP BY 1, 2)
+  SELECT *, CAST(sum("new") OVER (PARTITION BY event_type ORDER BY day) AS BIGINT) AS total FROM d""",
+    bound=False,
+)
+_query(
+    "fabricated",
+    lambda t: audits.fabricated(t.placed),
+    """, g AS (SELECT merchant_id, price_bani, count(*) AS offers, count(DISTINCT name) AS names FROM placed GROUP BY 1, 2),
+  w AS (SELECT *, CAST(sum(offers) OVER (PARTITION BY merchant_id) AS BIGINT) AS all_offers FROM g) SELECT * FROM w WHERE all_offers >= 50 AND names >= 2 AND offers * 100 > all_offers * 2""",
+)
+_query(
+    "class_health",
+    lambda t: audits.class_health(t.current),
+    """, c AS (SELECT class_id, count(*) AS offers, count(DISTINCT merchant_id) AS shops, min(unit_size) AS smallest, max(unit_size) AS largest FROM cur WHERE class_id IS NOT NULL GROUP BY 1)
+  SELECT * FROM c WHERE largest > 1.5::DOUBLE * smallest OR shops < 2""",
+)
+_query(
+    "score_sweep",
+    lambda t: audits.score_sweep(_signals(t)),
+    SIGNALS_SQL + "SELECT k * 500 AS threshold_bp, count(*) AS products FROM signals JOIN range(11) AS r(k) ON greatest(spread_bp, drop_bp) >= k * 500 GROUP BY 1",
+)
+_query(
+    "home_drops",
+    lambda t: audits.home_drops(_signals(t)),
+    SIGNALS_SQL + """, top AS (SELECT * FROM signals WHERE drop_bp > 200 ORDER BY drop_bp DESC, product_id LIMIT 24)
+  SELECT product_id, drop_bp, live FROM top WHERE live >= 2 ORDER BY drop_bp DESC, product_id LIMIT 6""",
+)
+_query("store_list", lambda t: audits.store_list(t.current), "SELECT merchant_id, slug, count(*) AS offers, count(DISTINCT product_id) AS products FROM cur GROUP BY ALL")
+_query(
+    "expired_unmarked",
+    lambda t: audits.expired_unmarked(t.placed, now()),
+    f"SELECT merchant_id, count(*) AS offers, min(promo_valid_to) AS oldest FROM placed WHERE promo_valid_to < {_NOW} AND NOT is_stale AND availability = 'in stock' GROUP BY 1",
+)
+_query(
+    "price_jumps",
+    lambda t: audits.price_jumps(t.history, pct=108),
+    """, h AS (SELECT *, lag(price_bani) OVER (PARTITION BY product_id, merchant_id ORDER BY recorded_at, ord, line) AS before FROM history)
+  SELECT product_id, merchant_id, ord, line, before, price_bani, CASE WHEN price_bani * 100 > before * 108 THEN 'up' ELSE 'down' END AS way FROM h
+  WHERE price_bani * 100 > before * 108 OR price_bani * 108 < before * 100""",
+)
+_query(
+    "seeded_sample",
+    lambda t: audits.seeded_sample(t.product, seed=7),
+    "SELECT id, name FROM product ORDER BY md5(id || ':7'), id LIMIT 50",
+)
+_query(
+    "pending_rank",
+    lambda t: users.pending_rank(audits.pending_queue(t.current)),
+    """, q AS (SELECT product_id AS id, count(DISTINCT merchant_id) AS merchants, max(price_bani) - min(price_bani) AS spread_bani, (product_id * 37) % 10000 AS score_bp FROM cur GROUP BY 1),
+  top AS (SELECT * FROM q ORDER BY score_bp DESC, id LIMIT 120),
+  v AS (SELECT id, CAST(CASE WHEN merchants = 1 THEN 10000 ELSE 0 END + 2000 // (merchants + 1) + least(CAST(floor(spread_bani / 10 + 0.5) AS BIGINT), 1000) + score_bp // 100 AS BIGINT) AS value FROM top),
+  r AS (SELECT *, row_number() OVER (ORDER BY value DESC, id) AS place FROM v) SELECT id, value, place FROM r WHERE place <= 20""",
+)
+_query(
+    "unit_price_order",
+    lambda t: audits.unit_price_order(t.current),
+    """, l AS (SELECT product_id, unit_size, min(price_bani) AS low_bani FROM cur GROUP BY 1, 2),
+  p AS (SELECT product_id, low_bani, CASE WHEN unit_size > 0 THEN CAST(floor(low_bani / unit_size + 0.5) AS BIGINT) END AS per_unit_bani FROM l)
+  SELECT * FROM p ORDER BY nullif(per_unit_bani, 0) NULLS LAST, low_bani, product_id LIMIT 40""",
+)
+_query(
+    "token_coverage",
+    lambda t: audits.token_coverage(matching.vocabulary(t.product)),
+    """, w AS (SELECT DISTINCT id, unnest(string_split(lower(name), ' ')) AS token FROM product),
+  v AS (SELECT token, count(*) AS products FROM w GROUP BY 1 ORDER BY products DESC, token LIMIT 50)
+  SELECT token, products, CAST(sum(products) OVER (ORDER BY products DESC, token ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v""",
+)

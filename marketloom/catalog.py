@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom import constants as C
+from marketloom.functions import prices
 from marketloom.functions import scalars as S
-from marketloom.operators import audits, baskets, listings, matching, predicates, quality, series, users
+from marketloom.operators import audits, baskets, listings, matching, predicates, quality, series, taxonomy, users
 from marketloom.sources import bind
 from marketloom.sources.bind import MAX_AGE_DAYS, Tables, now
 
@@ -614,3 +615,46 @@ _query(
   v AS (SELECT token, count(*) AS products FROM w GROUP BY 1 ORDER BY products DESC, token LIMIT 50)
   SELECT token, products, CAST(sum(products) OVER (ORDER BY products DESC, token ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v""",
 )
+
+
+def _word_rules(t: Tables) -> DataFrame:
+    """Every word of the names as a category rule of its own."""
+    none = F.lit(None).cast("string")
+    return matching.vocabulary(t.product).select(F.col("token").alias("category"), F.substring("token", 1, 1).alias("department"), F.col("token").alias("word"), none.alias("phrase"), none.alias("avoid"))
+
+
+def _price_text() -> F.Column:
+    lei = F.col("price_bani")
+    return F.concat(F.floor(lei / 100).cast("string"), F.lit(","), F.lpad((lei % 100).cast("string"), 2, "0"), F.lit(" lei"))
+
+
+_query(
+    "category_assign",
+    lambda t: taxonomy.assign_by_name(t.product, _word_rules(t)),
+    "SELECT id, string_split(lower(name), ' ')[1] AS category, 95 AS score, 'AUTO' AS band FROM product",
+)
+_query(
+    "brand_inferred",
+    lambda t: taxonomy.infer_brand(t.product, t.product.select(F.get(F.split("name", " "), F.lit(0)).alias("brand")).distinct()),
+    "SELECT id, string_split(name, ' ')[1] AS brand FROM product",
+)
+_query(
+    "class_membership",
+    lambda t: taxonomy.class_members(
+        t.product,
+        matching.vocabulary(t.product).select(F.col("token").alias("class_id"), F.array("token").alias("require"), F.array(F.reverse("token")).alias("exclude")),
+    ),
+    "SELECT DISTINCT unnest(string_split(lower(name), ' ')) AS class_id, id FROM product",
+)
+_query(
+    "parse_price_text",
+    lambda t: t.offer.select("product_id", "merchant_id", prices.parse_price(_price_text())["bani"].alias("read_bani")),
+    "SELECT product_id, merchant_id, price_bani AS read_bani FROM offer",
+)
+_query(
+    "parse_quantity_text",
+    lambda t: t.product.withColumn("q", prices.parse_quantity(F.concat(F.col("name"), F.lit(" "), F.col("id") % 7 + 2, F.lit(" x "), F.format_number("unit_size", 1), F.lit(" l")))).select(
+        "id", F.col("q.unit").alias("read_unit"), F.col("q.pack_count").alias("packs"), S.half_up(F.col("q.value")).alias("read_ml")
+    ),
+    "SELECT id, 'ML' AS read_unit, CAST(id % 7 + 2 AS INTEGER) AS packs, CAST(floor((id % 7 + 2) * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM product",
+)

@@ -27,3 +27,17 @@ UNIT_FLOOR = 0.05
 SILENT_HOURS = 48
 SEARCH_MIN_SCORE = 0.35
 COSINE_MIN = 0.8
+
+# fixed values: words that make another product of a name
+VARIANT_MARKERS = [
+    "men", "women", "barbati", "femei", "copii", "kids", "baby", "junior",
+    "bio", "eco", "organic", "vegan", "light", "zero", "fara", "diet",
+    "instant", "macinat", "macinata", "boabe", "feliat", "feliata",
+    "afumat", "afumata", "congelat", "congelata",
+    "cadou", "set", "caseta", "borseta", "pachet", "multipack",
+    "forte", "intense", "extra", "max", "plus", "premium", "sensitive", "clasic", "classic",
+]
+# fixed values: the same outside groceries only
+ALCOHOL_VARIANT_MARKERS = [
+    "brut", "rose", "sec", "demisec", "dulce", "demidulce", "spumant", "alb", "rosu", "negru", "neon", "magnum",
+]

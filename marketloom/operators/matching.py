@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom import constants as C
@@ -59,16 +59,39 @@ def semantic_candidates(vectors: DataFrame, least: float = C.COSINE_MIN) -> Data
     return a.join(b, on).where(dot >= least).select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("other_id"))
 
 
+def _literal(words: list[str]) -> Column:
+    return F.array(*(F.lit(w) for w in words))
+
+
+def _variants(tokens: str) -> Column:
+    """Variant markers among the words; outside groceries those of drinks too."""
+    everywhere = F.array_intersect(F.col(tokens), _literal(C.VARIANT_MARKERS))
+    drinks = F.array_intersect(F.col(tokens), _literal(C.ALCOHOL_VARIANT_MARKERS))
+    return F.when(F.col("section") == "grocery", everywhere).otherwise(F.array_union(everywhere, drinks))
+
+
+def _codes(tokens: str, size: str) -> Column:
+    """Bare numbers of two to four digits that do not restate the size."""
+    sizes = F.array((F.col(size) * 1000).cast("long").cast("string"), F.col(size).cast("long").cast("string"))
+    codes = F.filter(F.col(tokens), lambda t: t.rlike("^[0-9]{2,4}$"))
+    return F.coalesce(F.array_except(codes, sizes), F.array().cast("array<string>"))
+
+
 def decide(pairs: DataFrame) -> DataFrame:
     """Band, reason and score of (catalog, store) pairs, by the first rule that fits.
 
-    Needs c_name, c_brand, c_unit, c_size, c_ean and the same with s_; keeps
-    all columns.
+    Needs section, c_name, c_brand, c_unit, c_size, c_ean and the same with s_;
+    c_pack and s_pack (pieces of a pack) count where both are given.  Keeps all
+    columns.
     """
     ct, st = S.tokens(S.normalize(F.col("c_name"))), S.tokens(S.normalize(F.col("s_name")))
     rows = pairs.withColumn("_ct", ct).withColumn("_st", st).withColumn("jaccard", S.jaccard(F.col("_ct"), F.col("_st")))
-    none = F.array().cast("array<string>")
-    head = S.head_noun(F.col("_ct"), S.tokens(S.normalize(F.col("c_brand"))), none)
+    head = S.head_noun(F.col("_ct"), S.tokens(S.normalize(F.col("c_brand"))), _literal(C.VARIANT_MARKERS))
+    packs = F.lit(False)
+    if {"c_pack", "s_pack"} <= set(pairs.columns):
+        packs = (F.col("c_pack") != F.col("s_pack")) & (F.greatest("c_pack", "s_pack") > 1)
+    cv, sv = _variants("_ct"), _variants("_st")
+    cc, sc = _codes("_ct", "c_size"), _codes("_st", "s_size")
     brand, store = S.normalize(F.col("c_brand")), S.normalize(F.concat_ws(" ", "s_brand", "s_name"))
     brand_hit = (brand != "") & F.contains(store, brand)
     j = F.col("jaccard")
@@ -84,8 +107,11 @@ def decide(pairs: DataFrame) -> DataFrame:
         (F.abs(F.col("c_size") - F.col("s_size")) > C.SIZE_TOLERANCE * F.col("c_size") + 1e-9, "size", F.lit("REJECT"), F.lit(0.0)),
         ((head != "") & ~F.contains(store, head), "head-noun", F.lit("REJECT"), F.lit(0.0)),
         ((brand != "") & ~brand_hit, "brand", F.lit("REJECT"), F.lit(0.0)),
+        (packs, "pack-shape", F.lit("REJECT"), F.lit(0.0)),
         ((left > 0) & (right > 0) & (j < 0.5), "mutually-distinct", band_by(j >= C.REVIEW_BAND), j),
+        (F.size(F.array_except(cv, sv)) + F.size(F.array_except(sv, cv)) > 0, "variant-mismatch", F.lit("REJECT"), F.lit(0.0)),
         ((cd != "") & (sd != "") & (cd != sd), "dose-mismatch", F.lit("REJECT"), F.lit(0.0)),
+        ((F.size(cc) > 0) & (F.size(sc) > 0) & ~F.arrays_overlap(cc, sc), "variant-code-mismatch", F.lit("REJECT"), F.lit(0.0)),
         (few, "low-overlap", band_by(j >= C.REVIEW_BAND), j),
     ]
     reason = F.when(brand_hit, "brand+size").otherwise("name+size")

@@ -138,3 +138,14 @@ def test_small_rules(spark):
     assert {r.reason: r.verdict for r in matching.confirm_rates(decided).collect()} == {"brand": "good", "size": "too-few"}
     parsed = spark.createDataFrame([("x", None)] * 3 + [("y", 1)] * 20, "raw string, v int")
     assert quality.parse_tally(parsed, "raw", "v").first().alarm
+
+
+def test_decide_rejects_other_variants_codes_and_packs(spark):
+    rows = [
+        (1, "Cafea boabe", "Cafea boabe", 1.0, 1, 1), (2, "Cafea boabe", "Cafea macinata boabe", 1.0, 1, 1),
+        (3, "Vopsea par 110", "Vopsea par 210", 0.05, 1, 1), (4, "Apa plata", "Apa plata", 0.5, 1, 6), (5, "Vin alb", "Vin", 0.7, 1, 1),
+    ]
+    pairs = spark.createDataFrame(rows, "id int, c_name string, s_name string, c_size double, c_pack int, s_pack int")
+    pairs = pairs.selectExpr("*", "'alcohol' as section", "'' as c_brand", "'' as s_brand", "'l' as c_unit", "'l' as s_unit", "c_size as s_size", "'' as c_ean", "'' as s_ean")
+    got = {r.id: r.reason for r in matching.decide(pairs).collect()}
+    assert got == {1: "name+size", 2: "variant-mismatch", 3: "variant-code-mismatch", 4: "pack-shape", 5: "variant-mismatch"}

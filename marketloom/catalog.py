@@ -386,8 +386,17 @@ def _pool(t: Tables) -> DataFrame:
     return p.select((F.col("id") + 1_000_000).alias("item_id"), F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), "brand", "section", "unit", "unit_size")
 
 
-_query("match_decide", lambda t: matching.resolve(t.product, _pool(t).withColumn("name", F.concat_ws(" ", F.reverse(F.split("name", " "))))))
-_query("match_bands_stats", lambda t: matching.band_stats(matching.resolve(t.product, _pool(t))))
+def _coded(rows: DataFrame, key: F.Column) -> DataFrame:
+    """Rows with the codes of ``ean_valid``, of which about one in ten is a valid EAN."""
+    return rows.withColumn("ean", F.concat(F.lpad((key * 7919 % 1000000000000).cast("string"), 12, "0"), (key % 10).cast("string")))
+
+
+def _resolved(t: Tables, pool: DataFrame) -> DataFrame:
+    return matching.resolve(_coded(t.product, F.col("id")), _coded(pool, F.col("item_id") - 1_000_000))
+
+
+_query("match_decide", lambda t: _resolved(t, _pool(t).withColumn("name", F.concat_ws(" ", F.reverse(F.split("name", " "))))))
+_query("match_bands_stats", lambda t: matching.band_stats(_resolved(t, _pool(t))))
 _query(
     "corrections",
     lambda t: matching.corrections(matching.vocabulary(t.product).select(F.regexp_replace("token", "^(.)(.)", "$2").alias("word")), matching.vocabulary(t.product)),

@@ -124,21 +124,49 @@ def decide(pairs: DataFrame) -> DataFrame:
     return out.drop("_ct", "_st", "jaccard")
 
 
+def _size_bucket(size: str) -> Column:
+    """Steps a little wider than the tolerance, so that sizes within it are one step apart at most."""
+    step = F.ln(F.lit(1.01 / (1 - C.SIZE_TOLERANCE)))
+    return F.floor(F.ln(F.greatest(F.col(size), F.lit(1e-6))) / step)
+
+
+def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
+    """(id, item_id) once for every pair that can match.
+
+    A pair has one unit, neighbouring size buckets, and one of the catalog row's
+    two head words (brand counted or not) among the words of the store item's
+    name; or both have the same valid EAN, whatever their sizes.  As in the
+    reference, a head that is only part of a longer word makes no candidate.
+    """
+    words, brand, markers = S.tokens(S.normalize(F.col("name"))), S.tokens(S.normalize(F.col("brand"))), _literal(C.VARIANT_MARKERS)
+    heads = F.array_distinct(F.array(S.head_noun(words, F.array().cast("array<string>"), markers), S.head_noun(words, brand, markers)))
+    c = catalog.where("unit_size IS NOT NULL").select("id", "unit", _size_bucket("unit_size").alias("bucket"), F.explode(heads).alias("word")).where("word <> ''")
+    p = pool.where("unit_size IS NOT NULL").select("item_id", "unit", _size_bucket("unit_size").alias("bucket"), F.explode(F.array_distinct(words)).alias("word"))
+    p = p.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
+    ids = c.join(p, ["unit", "bucket", "word"]).select("id", "item_id")
+    if "ean" in catalog.columns and "ean" in pool.columns:
+        valid = S.ean_ok(F.col("ean"))
+        ids = ids.union(catalog.where(valid).select("id", "ean").join(pool.where(valid).select("item_id", "ean"), "ean").select("id", "item_id"))
+    return ids.distinct()
+
+
 def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
-    """Each store item's decided catalog products: blocked by unit, size bucket and head word, fan-out vetoed.
+    """Each store item's decided catalog products: ``match_candidates``, decisions, fan-out vetoed.
 
-    catalog: id, name, brand, section, unit, unit_size; pool: item_id and the
-    same.  A store item that is AUTO for two products or more goes to review.
+    catalog: id, name, brand, section, unit, unit_size, and ean where known;
+    pool: item_id and the same.  A store item that is AUTO for two products or
+    more goes to review, but for pairs of one EAN.
     """
-    c, p = _sized(catalog).alias("c"), _sized(pool.withColumnRenamed("item_id", "id"))
-    p = p.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1))))).alias("p")
-    on = (F.col("c.unit") == F.col("p.unit")) & (F.col("c.bucket") == F.col("p.bucket")) & (F.col("c.head") == F.col("p.head"))
-    ids = c.join(p, on).select(F.col("c.id").alias("id"), F.col("p.id").alias("item_id")).distinct()
-    left = catalog.select("id", "section", F.col("name").alias("c_name"), F.col("brand").alias("c_brand"), F.col("unit").alias("c_unit"), F.col("unit_size").alias("c_size"), F.lit(None).cast("string").alias("c_ean"))
-    right = pool.select("item_id", F.col("name").alias("s_name"), F.col("brand").alias("s_brand"), F.col("unit").alias("s_unit"), F.col("unit_size").alias("s_size"), F.lit(None).cast("string").alias("s_ean"))
+
+    def ean(rows: DataFrame) -> Column:
+        return F.col("ean") if "ean" in rows.columns else F.lit(None).cast("string")
+
+    ids = match_candidates(catalog, pool)
+    left = catalog.select("id", "section", F.col("name").alias("c_name"), F.col("brand").alias("c_brand"), F.col("unit").alias("c_unit"), F.col("unit_size").alias("c_size"), ean(catalog).alias("c_ean"))
+    right = pool.select("item_id", F.col("name").alias("s_name"), F.col("brand").alias("s_brand"), F.col("unit").alias("s_unit"), F.col("unit_size").alias("s_size"), ean(pool).alias("s_ean"))
     out = decide(ids.join(left, "id").join(right, "item_id")).where("band <> 'REJECT'")
     autos = F.count_if(F.col("band") == "AUTO").over(Window.partitionBy("item_id"))
-    veto = (F.col("band") == "AUTO") & (F.col("autos") >= 2)
+    veto = (F.col("band") == "AUTO") & (F.col("autos") >= 2) & (F.col("reason") != "ean")
     out = out.withColumn("autos", autos)
     return out.select("item_id", "id", F.when(veto, "REVIEW").otherwise(F.col("band")).alias("band"), F.when(veto, "fan-out").otherwise(F.col("reason")).alias("reason"), "score_bp")
 

@@ -149,3 +149,40 @@ def test_decide_rejects_other_variants_codes_and_packs(spark):
     pairs = pairs.selectExpr("*", "'alcohol' as section", "'' as c_brand", "'' as s_brand", "'l' as c_unit", "'l' as s_unit", "c_size as s_size", "'' as c_ean", "'' as s_ean")
     got = {r.id: r.reason for r in matching.decide(pairs).collect()}
     assert got == {1: "name+size", 2: "variant-mismatch", 3: "variant-code-mismatch", 4: "pack-shape", 5: "variant-mismatch"}
+
+
+def test_resolve_equals_brute_force_decisions(spark):
+    ean = "4006381333931"
+    catalog = [
+        (1, "Lapte Zuzu", "Zuzu", "grocery", "l", 1.0, None),
+        (2, "Zuzu Lapte", "Zuzu", "grocery", "l", 1.0, None),
+        (3, "BUCEGI Carne Porc", "Bucegi", "grocery", "kg", 0.3, None),
+        (4, "Cablu negru", "", "tools", "buc", 2.0, ean),
+        (5, "Eco turmeric", "", "grocery", "kg", 0.94, None),
+        (6, "Eco turmeric", None, "grocery", "kg", 1.0, "123"),
+        (7, "Milka", "Milka", "grocery", "kg", None, None),
+        (8, "12 x", "", "grocery", "kg", 1.0, None),
+    ]
+    pool = [
+        (11, "Zuzu proaspat Lapte", "", "grocery", "l", 1.06, None),
+        (12, "Carne Porc Bucegi", "Bucegi", "grocery", "kg", 0.3, None),
+        (13, "alt nume", "x", "tools", "kg", None, ean),
+        (14, "Turmeric macinat eco", "", "grocery", "kg", 0.94, "123"),
+        (15, "turmeric eco", "", "grocery", "kg", 1.0, None),
+        (16, "Milka", "Milka", "grocery", "kg", 1.0, None),
+        (17, "Zuzu Lapte", "Zuzu", "grocery", "l", 1.0, None),
+        (18, "turmeric eco", "", "grocery", "kg", 0.94, None),
+    ]
+    schema = "name string, brand string, section string, unit string, unit_size double, ean string"
+    c, p = spark.createDataFrame(catalog, "id long, " + schema), spark.createDataFrame(pool, "item_id long, " + schema)
+    left = c.select("id", "section", *(F.col(x).alias("c_" + x) for x in ("name", "brand", "unit", "ean")), F.col("unit_size").alias("c_size"))
+    right = p.select("item_id", *(F.col(x).alias("s_" + x) for x in ("name", "brand", "unit", "ean")), F.col("unit_size").alias("s_size"))
+    want = {(r.item_id, r.id): (r.band, r.reason, r.score_bp) for r in matching.decide(left.crossJoin(right)).collect() if r.band != "REJECT"}
+    for item in {i for i, _ in want}:
+        autos = [k for k, v in want.items() if k[0] == item and v[0] == "AUTO"]
+        for k in autos:
+            if len(autos) > 1 and want[k][1] != "ean":
+                want[k] = ("REVIEW", "fan-out", want[k][2])
+    out = matching.resolve(c, p).collect()
+    assert {(r.item_id, r.id): (r.band, r.reason, r.score_bp) for r in out} == want and len(out) == len(want)
+    assert want[13, 4] == ("AUTO", "ean", 10000) and want[12, 3][0] == "AUTO" and {(11, 1), (15, 6), (18, 5), (18, 6)} <= set(want)

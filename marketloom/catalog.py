@@ -381,9 +381,8 @@ _query("search_rank", lambda t: matching.search_rank(t.product, "red"), None)
 
 
 def _pool(t: Tables) -> DataFrame:
-    """Store items: every third product under another id, its name's words turned round."""
-    p = t.product.where("id % 3 = 1")
-    return p.select((F.col("id") + 1_000_000).alias("item_id"), F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), "brand", "section", "unit", "unit_size")
+    """Store items: every product under another id, its name's words turned round."""
+    return t.product.select((F.col("id") + 1_000_000).alias("item_id"), F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), "brand", "section", "unit", "unit_size")
 
 
 def _coded(rows: DataFrame, key: F.Column) -> DataFrame:
@@ -395,7 +394,7 @@ def _resolved(t: Tables, pool: DataFrame) -> DataFrame:
     return matching.resolve(_coded(t.product, F.col("id")), _coded(pool, F.col("item_id") - 1_000_000))
 
 
-_query("match_decide", lambda t: _resolved(t, _pool(t).withColumn("name", F.concat_ws(" ", F.reverse(F.split("name", " "))))))
+_query("match_decide", lambda t: _resolved(t, _pool(t)))
 _query("match_bands_stats", lambda t: matching.band_stats(_resolved(t, _pool(t))))
 _query(
     "corrections",

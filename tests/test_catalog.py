@@ -42,3 +42,12 @@ def test_query_equals_its_sql(spark, tables, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_store_items_are_all_products_turned_round(spark):
+    t = catalog.Tables(spark, FOLDER)
+    names = {r.id: r["name"] for r in t.product.collect()}
+    pool = {r.item_id - 1_000_000: r["name"] for r in catalog._pool(t).collect()}
+    assert pool == {i: " ".join(reversed(n.split(" "))) for i, n in names.items()}
+    decided = catalog.QUERIES["match_decide"](spark, FOLDER).collect()
+    assert {(r.item_id - 1_000_000, r.id) for r in decided} >= {(i, i) for i in names}

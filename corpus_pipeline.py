@@ -37,13 +37,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, in the order of the mix, which the files keep for the packing."""
     return mixing.in_order(mixing.mix(docs, TARGET_WEIGHTS)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    """Pieces of the documents (as read from files) and their places in sequences of 2048 tokens, which follow the mix."""
+    return packing.pack(mixing.laid_out(docs), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, place_col="_place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

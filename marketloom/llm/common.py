@@ -34,15 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, slices: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, slices: int = 64, part: Column | None = None) -> DataFrame:
     """Add each row's 0-based rank within its group, without one task per group.
 
     Rows of a group are dealt over ``slices`` by a hash of the ordering columns;
     slices are numbered one after the other.  The order is the slice, then
-    ``order``: fixed for given rows, and ties differ only among equal rows.
+    ``order``: fixed for given rows, and ties differ only among equal rows.  A
+    ``part`` that never falls along ``order`` is taken as the slice; ranks then
+    follow ``order``.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(slices))
-    rows = df.withColumn("_slice", part)
+    rows = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)) if part is None else part)
     sizes = rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +124,20 @@ def in_order(mixed: DataFrame) -> DataFrame:
     spark = mixed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionById(parts, F.floor(F.col("_share") * parts).cast("int")).sortWithinPartitions("_position")
+
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """Rows read from Parquet files that ``in_order`` was written to, with _place, their 0-based place in that order.
+
+    Files are numbered by partition and keep their rows in order, so the counts
+    per file (as many as partitions were written) place every row.
+    """
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = [(r["_file"], r["_n"]) for r in rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).collect()]
+    starts, before = [], 0
+    for file, n in sorted(sizes, key=lambda x: (int(re.search(r"part-(\d+)[^/]*$", x[0])[1]), x[0])):
+        starts.append({"_file": file, "_before": before})
+        before += n
+    found = F.from_json(F.lit(json.dumps(starts)), "array<struct<_file:string,_before:bigint>>")
+    starts = docs.sparkSession.range(1).select(F.inline(found))
+    return rows.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_before") + F.col("_row")).alias("_place"))

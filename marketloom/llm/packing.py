@@ -17,12 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import ranked, written
 from marketloom.llm.text_arrays import text_slices, utf8, word_table
 
+STRETCHES = 64  # most stretches of documents packed one after the other
+STRETCH_BINS = 32  # sequences of a stretch at least, about
+
 _LETTER = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _MARK = np.array([chr(b) in ",.;:!?" for b in range(256)])
 
@@ -120,8 +123,9 @@ class WordTokens:
         return ids, before[words.at]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, end_id: int, keep_ids: bool) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of every document's tokens and end id."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, end_id: int, keep_ids: bool, place_col: str | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids][, _place]) of every document's tokens and end id."""
+    names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["_place"] * bool(place_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokens(tokenizer)
@@ -141,10 +145,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
                         blobs.append(raw if keep_ids else None)
                 out = [part.column("id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
                 out += [pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + [pa.array(blobs, pa.binary())] * keep_ids
-                yield pa.RecordBatch.from_arrays(out, ["id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+                if place_col:
+                    out.append(part.column("_place").take(pa.array(doc, pa.int64())))
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("_place")] if place_col else []))
+    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", _place long" * bool(place_col))
 
 
 @dataclass(frozen=True)
@@ -218,6 +224,7 @@ def pack(
     text_col: str = "text",
     end_id: int = 0,
     keep_ids: bool = False,
+    place_col: str | None = None,
 ) -> DataFrame:
     """Every piece of every document with its sequence_id and offset in it.
 
@@ -226,28 +233,61 @@ def pack(
     rows and null ids are packed like any row.  ``keep_ids`` adds the ids as
     little-endian 32-bit integers.  An empty table gives no rows; other columns
     are ignored.
+
+    With ``place_col`` (0-based places of the documents) the sequences follow
+    that order: up to STRETCHES stretches of documents are packed one after the
+    other, pieces of a length take their places in order, and the sequences of
+    a stretch are ordered by the mean place of their tokens.
     """
-    cut = written(pieces(docs, tokenizer, capacity, id_col, text_col, end_id, keep_ids))
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
-    total = sum(counts.values())
-    sent = docs.sparkSession.sparkContext.broadcast(_places(minimum_bin_slack(counts, capacity)))
+    cut = written(pieces(docs, tokenizer, capacity, id_col, text_col, end_id, keep_ids, place_col))
+    if place_col:
+        tokens, last = cut.agg(F.sum("length"), F.max("_place") + 1).first()
+        stretches = max(1, min(STRETCHES, (tokens or 0) // (capacity * STRETCH_BINS)))
+        cut = cut.withColumn("_stretch", F.floor(F.col("_place") * stretches / F.lit(last or 1)).cast("int"))
+    else:
+        cut = cut.withColumn("_stretch", F.lit(0))
+    counts: dict[int, dict[int, int]] = {}
+    for r in cut.groupBy("_stretch", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # <= capacity rows a stretch
+        counts.setdefault(r["_stretch"], {})[r["length"]] = r["n"]
+    total = sum(sum(x.values()) for x in counts.values())
+    places, bins = {}, 0
+    for k in sorted(counts):
+        plan = minimum_bin_slack(counts[k], capacity)
+        for x, rows in _places(plan).items():
+            rows[:, 2] += bins
+            places[k * (capacity + 1) + x] = rows
+        bins += sum(p.times for p in plan)
+    sent = docs.sparkSession.sparkContext.broadcast(places)
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):  # noqa: ANN001, ANN202
+    def place(key, length, rank):  # noqa: ANN001, ANN202
         import pandas as pd
 
         sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
-        lengths, ranks = length.to_numpy(), rank.to_numpy()
-        for x in np.unique(lengths):
-            rows, own = sent.value[int(x)], lengths == x
+        keys, lengths, ranks = key.to_numpy(), length.to_numpy(), rank.to_numpy()
+        by_key = np.argsort(keys, kind="stable")
+        for own in np.split(by_key, np.flatnonzero(np.diff(keys[by_key])) + 1) if len(keys) else []:
+            rows = sent.value[int(keys[own[0]])]
             row = rows[np.searchsorted(rows[:, 0], ranks[own], "right") - 1]
             done = ranks[own] - row[:, 0]
             sequence[own] = row[:, 2] + done // row[:, 1]
-            offset[own] = row[:, 3] + done % row[:, 1] * x
+            offset[own] = row[:, 3] + done % row[:, 1] * lengths[own]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    order = [F.col("id"), F.col("piece"), F.col("ids_crc32")]
-    rows = ranked(cut, ["length"], order, "_rank", slices=max(64, total // 100_000))
-    rows = rows.withColumn("_at", place("length", "_rank"))
-    kept = [F.col(c) for c in cut.columns if c != "id"]
-    return rows.select(F.col("id").alias(id_col), *kept, "_at.sequence_id", "_at.offset")
+    slices = max(64, total // 100_000)
+    if place_col:
+        part = F.floor(F.col("_place") * slices / F.lit(last or 1))
+        rows = ranked(cut, ["_stretch", "length"], [F.col("_place"), F.col("piece")], "_rank", slices, part)
+    else:
+        rows = ranked(cut, ["length"], [F.col("id"), F.col("piece"), F.col("ids_crc32")], "_rank", slices)
+    rows = rows.withColumn("_at", place(F.col("_stretch") * (capacity + 1) + F.col("length"), "length", "_rank"))
+    kept = [F.col(c) for c in cut.columns if c not in ("id", "_place", "_stretch")]
+    if not place_col:
+        return rows.select(F.col("id").alias(id_col), *kept, "_at.sequence_id", "_at.offset")
+    rows = written(rows.select("id", *kept, "_place", "_stretch", "_at.sequence_id", "_at.offset"))
+    mean = (F.sum(F.col("_place").cast("decimal(38,0)") * F.col("length")) / F.sum("length")).alias("_mean")
+    found = rows.groupBy("_stretch", "sequence_id").agg(mean)
+    own = Window.partitionBy("_stretch")
+    order = own.orderBy("_mean", "sequence_id")
+    found = found.select("sequence_id", (F.min("sequence_id").over(own) + F.row_number().over(order) - 1).alias("_new"))
+    return rows.join(found, "sequence_id").select(F.col("id").alias(id_col), *kept, F.col("_new").alias("sequence_id"), "offset")

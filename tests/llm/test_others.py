@@ -144,3 +144,28 @@ def test_pipeline_runs_on_the_smallest_table(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Written as the mix, read again and packed: a brute-force count of every prefix stays near the weights."""
+    import corpus_pipeline
+    from marketloom.llm import mixing
+    from marketloom.llm.common import written
+
+    data = [(i, "word " * 200, "en", "ab"[i % 4 > 1], 1000) for i in range(4000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int")
+    mixed = written(mixing.in_order(mixing.mix(docs, {"a": 3, "b": 1})).select(*docs.columns))
+    places = {r.doc_id: r._place for r in mixing.laid_out(mixed).collect()}
+    order = [r.doc_id for r in mixing.mix(docs, {"a": 3, "b": 1}).orderBy("_position").collect()]
+    assert [places[i] for i in order] == list(range(4000))
+    got = sorted((r.sequence_id, r.offset, r.doc_id) for r in corpus_pipeline.pack_sequences(spark, mixed, "").collect())
+    assert sorted(i for _, _, i in got) == list(range(4000))
+    assert {s for s, _, _ in got} == set(range(max(got)[0] + 1))
+    seen = 0
+    for n, (_, _, i) in enumerate(got, 1):
+        seen += i % 4 <= 1
+        if n <= 2600:  # until source a is used up
+            assert abs(seen - 0.75 * n) <= 16
+    plain = written(docs.coalesce(1))
+    other = {(r.doc_id, r.sequence_id) for r in corpus_pipeline.pack_sequences(spark, plain, "").collect()}
+    assert other != {(i, s) for s, _, i in got}

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.llm.blocks import give_back
 from marketloom.llm.common import ranked, written
-from marketloom.llm.text_arrays import text_slices, utf8, word_table
+from marketloom.llm.text_arrays import Words, same_ranges, text_slices, utf8, word_table
 
 STRETCHES = 64  # most stretches of documents packed one after the other
 STRETCH_BINS = 32  # sequences of a stretch at least, about
@@ -65,7 +66,7 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.first = np.zeros(1 << 12, dtype=np.int64)  # place of a word's ids in self.ids
 
@@ -82,9 +83,9 @@ class WordTokens:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in made for i in x], dtype="<u4"), np.array([len(x) for x in made], dtype=np.int64)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for low in range(0, len(texts), 4096):
-            flat, sizes = self._encoded(texts[low : low + 4096])
+    def _learn(self, words: list[bytes]) -> None:
+        for low in range(0, len(words), 4096):
+            flat, sizes = self._encoded([w.decode("utf-8", "replace") for w in words[low : low + 4096]])
             n = len(self.known)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -93,7 +94,7 @@ class WordTokens:
             self.ids[self.used : self.used + len(flat)] = flat
             self.first[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
             self.used += len(flat)
-            self.known.update(zip(hashes[low : low + 4096], range(n, n + len(sizes)), strict=True))
+            self.known.update(zip(words[low : low + 4096], range(n, n + len(sizes)), strict=True))
 
     def _folded(self, texts: pa.Array) -> pa.Array:
         """Lower-cased if the tokenizer does so too and no special token comes about by it."""
@@ -103,19 +104,33 @@ class WordTokens:
         before, after = (utf8(x)[0].tobytes() for x in (texts, lower))
         return lower if all(before.count(x) == after.count(x) for x in self.special) else texts
 
+    @staticmethod
+    def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(one place of each distinct word, which of them every word is), told apart by their bytes."""
+        _, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        least = where[inverse]
+        same = same_ranges(words.data, words.start, words.end, words.start[least], words.end[least])
+        odd = np.flatnonzero(~same)  # words whose hash another word has too
+        names: dict[bytes, int] = {}
+        for i in odd.tolist():
+            inverse[i] = names.setdefault(words.data[words.start[i] : words.end[i]].tobytes(), len(where) + len(names))
+        if names:
+            _, first = np.unique(inverse[odd], return_index=True)
+            where = np.concatenate((where, odd[first]))
+        return where, inverse
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, for each text the ids before it, and the total)."""
         words = word_table(self._folded(texts), fold_case=False, split=_between_word_and_mark)
-        values, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(values) > self.bound:
+        where, inverse = self._distinct(words)
+        raw = words.data.tobytes()
+        spans = zip(words.start[where].tolist(), words.end[where].tolist(), strict=True)
+        keys = [raw[a:b] for a, b in spans]
+        if len(self.known) + len(keys) > self.bound:
             self._forget()
-        keys = values.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        new = [k for k in keys if k not in self.known]
         if new:
-            at = where[new]
-            raw = words.data.tobytes()
-            spans = zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)
-            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            self._learn(new)
         index = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
         first, size = self.first[index], self.first[index + 1] - self.first[index]
         before = np.concatenate(([0], np.cumsum(size)))
@@ -148,6 +163,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
                 if place_col:
                     out.append(part.column("_place").take(pa.array(doc, pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names)
+                del out, blobs, ids
+        del coder
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("_place")] if place_col else []))
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", _place long" * bool(place_col))

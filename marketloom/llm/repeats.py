@@ -29,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
 from marketloom.llm import blocks as bl
-from marketloom.llm.text_arrays import U64, byte_codes, range_hashes, text_slices, utf8
+from marketloom.llm.text_arrays import U64, range_hashes, rolling_hashes, text_slices, utf8
 
 GRAM = 64
 GROUP = 2_000
@@ -64,10 +65,9 @@ def spans_of(texts: pa.Array, length: int) -> Spans:
     valid = np.flatnonzero(np.arange(max(n, 0)) + length <= ends)
     if len(valid) == 0:
         return Spans(data, offsets, none, none, none, none, none.astype(U64), none.astype(U64))
-    codes = byte_codes(fold_case=False)
     at = np.arange(len(data) - GRAM + 1)
     with np.errstate(over="ignore"):
-        gram = range_hashes(data, at, at + GRAM, codes)
+        gram = rolling_hashes(data, GRAM)
         least = (gram & ~LOW32) | at.astype(U64)
         width, size = length - GRAM + 1, 1
         while size * 2 <= width:
@@ -81,7 +81,7 @@ def spans_of(texts: pa.Array, length: int) -> Spans:
         first = np.flatnonzero(fresh)
         lo, hi = valid[first], valid[np.append(first[1:], len(valid)) - 1]
         doc = np.searchsorted(offsets, lo, "right") - 1
-        return Spans(data, offsets, doc, lo, hi, anchor[first], gram[anchor[first]], range_hashes(data, lo, hi + length, codes))
+        return Spans(data, offsets, doc, lo, hi, anchor[first], gram[anchor[first]], range_hashes(data, lo, hi + length))
 
 
 @dataclass(frozen=True)
@@ -157,24 +157,35 @@ def _answer_spans(number: int, questions: list[bytes]) -> list[bytes]:
     return [bl.packed(out[edges[i] : edges[i + 1]]) for i in range(len(grams))]
 
 
-def _strings(e: Entries, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, span number, start) of every string of the large groups' spans."""
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct pair first stands, in order; which of them every row is)."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    of = np.empty(len(a), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def _strings(e: Entries, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(128-bit hash in two halves, span number, start) of every string of the large groups' spans."""
     wanted = np.isin(codes, (EXAMPLE_LARGE, OPEN_LARGE))
     is_example = np.zeros(len(e.of), dtype=bool)
     is_example[e.example] = True
     use = wanted[e.of] & is_example
-    hashes, number, starts, base = [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], 0
+    hashes, number, starts, base = [b""], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], 0
     for p in e.parts:
         own = np.flatnonzero(use[base : base + len(p.lo)])
         if len(own):
             size = p.hi[own] - p.lo[own] + 1
             at = np.repeat(p.lo[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            with np.errstate(over="ignore"):
-                hashes.append(range_hashes(p.data, at, at + length, byte_codes(fold_case=False)))
+            raw = memoryview(np.ascontiguousarray(p.data))
+            hashes += [xxhash.xxh3_128_digest(raw[i : i + length]) for i in at.tolist()]
             number.append(np.repeat(own + base, size))
             starts.append(at)
         base += len(p.lo)
-    return np.concatenate(hashes), np.concatenate(number), np.concatenate(starts)
+    halves = np.frombuffer(b"".join(hashes), dtype=U64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1], np.concatenate(number), np.concatenate(starts)
 
 
 def _context(e: Entries, index: int, length: int) -> tuple[int, bytes]:
@@ -205,11 +216,12 @@ def _ask_contexts(count: int, length: int):  # noqa: ANN202
             lefts, sizes = np.array([a for a, _ in made]), np.array([len(b) for _, b in made])
             blobs = zstandard.compress(b"".join(b for _, b in made), 1)
             out.append((r, bl.several(bl.packed_sorted(e.gram[own]), bl.packed(codes[own] == OPEN), bl.packed(lefts), bl.packed(sizes), blobs)))
-        hashes, number, _ = _strings(e, codes, length)
-        keys, first = np.unique(hashes, return_index=True)
-        n = np.bincount(np.searchsorted(keys, hashes), np.where(codes[e.of[number]] == EXAMPLE_LARGE, 2, 1), len(keys)) if len(keys) else first
-        for r, low, high in bl.ranges(keys, count):
-            out.append((count + r, bl.several(bl.packed_sorted(keys[low:high]), bl.packed(n[low:high].astype(np.int64)))))
+        key, half, number, _ = _strings(e, codes, length)
+        first, of = distinct_pairs(key, half)
+        n = np.bincount(of, np.where(codes[e.of[number]] == EXAMPLE_LARGE, 2, 1), len(first)).astype(np.int64)
+        for r, low, high in bl.ranges(key[first], count):
+            own = first[low:high]
+            out.append((count + r, bl.several(bl.packed_sorted(key[own]), bl.packed(half[own]), bl.packed(n[low:high]))))
         return pa.Table.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], schema=_ASKS)
 
     return use
@@ -269,8 +281,8 @@ def _answer_contexts(count: int, length: int):  # noqa: ANN202
         parts = [bl.apart(q) for q in questions]
         keys = [bl.unpacked_sorted(p[0]) for p in parts]
         if number >= count:
-            values, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(place, np.concatenate([bl.unpacked(p[1]) for p in parts]), len(values))
+            first, place = distinct_pairs(np.concatenate(keys), np.concatenate([bl.unpacked(p[1]) for p in parts]))
+            n = np.bincount(place, np.concatenate([bl.unpacked(p[2]) for p in parts]), len(first))
             edges = np.cumsum([0, *(len(k) for k in keys)])
             return [bl.packed((n[place[edges[i] : edges[i + 1]]] > 1).astype(np.int64)) for i in range(len(keys))]
         gram = np.concatenate(keys)
@@ -345,11 +357,10 @@ def _marks(e: Entries, answers: dict[int, bytes], count: int, length: int) -> li
                     deltas[k][lo + b] -= 1
                 at += 2 * n
 
-    hashes, number, starts = _strings(e, codes, length)
-    if len(hashes):
-        keys = np.unique(hashes)
+    key, half, number, starts = _strings(e, codes, length)
+    if len(key):
         seen = bl.joined([bl.unpacked(x) for x in bl.between(answers, 2 * count, 3 * count)])
-        hit = seen[np.searchsorted(keys, hashes)] > 0
+        hit = seen[distinct_pairs(key, half)[1]] > 0
         part = np.searchsorted(bases, number[hit], "right") - 1
         for k in np.unique(part):
             np.add.at(deltas[k], starts[hit][part == k], 1)

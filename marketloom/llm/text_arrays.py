@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -32,17 +33,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def byte_codes(fold_case: bool) -> np.ndarray:
+def byte_codes() -> np.ndarray:
     """A random-looking 64-bit code per byte value."""
-    codes = mix((np.arange(256, dtype=U64) + U64(1)) * GOLD)
-    if fold_case:
-        codes[65:91] = codes[97:123]
-    return codes
+    return mix((np.arange(256, dtype=U64) + U64(1)) * GOLD)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return data + (((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint8)
 
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+LONG = 64
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)  # masks of the first k of eight bytes
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -55,11 +60,58 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges [start, end) of ``data``, equal for equal contents."""
+def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial hash of the ``width`` bytes from every place on, for choosing places only.
+
+    Equal strings have equal hashes.  The converse does not hold for certain
+    long strings, so nothing is taken for equal by this hash.
+    """
     sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(codes[data] * powers(_BASE, len(data)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(U64))
+    np.cumsum(byte_codes()[data] * powers(_BASE, len(data)), out=sums[1:])
+    n = len(data) - width + 1
+    return mix((sums[width:] - sums[:n]) * powers(_INVERSE, n) + U64(width))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [start, end) of ``data``, equal for equal contents.
+
+    Eight bytes at a time go through ``mix``, which is one to one, so ranges of
+    up to eight bytes have the same hash only if they are equal or differ in
+    length; those over LONG bytes are hashed one by one.
+    """
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    out = mix(size.astype(U64) * GOLD)
+    out = mix(out ^ (eight[start] & _FIRST[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        left = size[live] - at
+        out[live] = mix(out[live] * U64(3) ^ (eight[start[live] + at] & _FIRST[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        spans = zip(start[long].tolist(), end[long].tolist(), strict=True)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in spans), dtype=U64, count=len(long))
+    return out
+
+
+def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range [start, end) are those of the range [other, stop)."""
+    size = end - start
+    out = size == stop - other
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero(out & (start != other) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        differ = (eight[start[live] + at] ^ eight[other[live] + at]) & _FIRST[np.clip(left, 0, 8)]
+        out[live[differ != 0]] = False
+        live, at = live[(differ == 0) & (left > 8)], at + 8
+    for i in np.flatnonzero(out & (start != other) & (size > LONG)):
+        out[i] = np.array_equal(data[start[i] : end[i]], data[other[i] : stop[i]])
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +175,6 @@ def word_table(
     bytes (of the array it gets) before which a word ends and another starts.
     """
     data, offsets = utf8(column)
-    codes = byte_codes(fold_case)
     hashes, starts, ends = [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     with np.errstate(over="ignore"):
         for low, high in _segments(data, offsets, gap):
@@ -137,7 +188,7 @@ def word_table(
             last = inside.copy()
             last[:-1] &= ~inside[1:] | cut[1:-1]
             start, end = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(last) + 1
-            hashes.append(range_hashes(part, start, end, codes))
+            hashes.append(range_hashes(folded(part) if fold_case else part, start, end))
             starts.append(start + low)
             ends.append(end + low)
     start = np.concatenate(starts)

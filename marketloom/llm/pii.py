@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.blocks import give_back
 from marketloom.llm.common import written
+from marketloom.llm.text_arrays import text_slices
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "phone_local")
@@ -39,7 +42,14 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-@")
+
+# The same, so that every character is read a fixed number of times.  A match of
+# IP ends with a run of digits and no other start in that run could match, so it
+# starts at the beginning of a run; nothing after CARD asks digits back.
+NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+DOMAIN_ONCE = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD_ONCE = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 
 NUMBER_RUN = re.compile(r"[0-9+][\x20().0-9+-]*")
 LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
@@ -62,19 +72,23 @@ def _luhn(digits: str) -> bool:
 
 
 def _is_ip(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
+    parts = [p.lstrip("0") or "0" for p in text.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    at = text.find("@")
+    """Matches of EMAIL, found from their ``@``: a name must end and a domain must start there."""
+    done, at = 0, text.find("@")
     while at >= 0:
-        low, high = at, at + 1
-        while low > 0 and text[low - 1] in EMAIL_CHARS:
-            low -= 1
-        while high < len(text) and text[high] in EMAIL_CHARS:
-            high += 1
-        yield from (m.span() for m in EMAIL.finditer(text, low, high))
-        at = text.find("@", high)
+        if at > done and text[at - 1] in NAME_CHARS:
+            domain = DOMAIN_ONCE.match(text, at + 1)
+            if domain:
+                low = at - 1
+                while low > done and text[low - 1] in NAME_CHARS:
+                    low -= 1
+                yield low, domain.end()
+                done = domain.end()
+        at = text.find("@", at + 1)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -84,8 +98,10 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
         low, high = run.span()
         if high - low < 7:
             continue
-        out += [(m.start(), "ip", m.end()) for m in IP.finditer(text, low, high) if _is_ip(m.group())]
-        for m in CARD.finditer(text, low, high):
+        out += [(m.start(), "ip", m.end()) for m in IP_ONCE.finditer(text, low, high) if _is_ip(m.group())]
+        for m in CARD_ONCE.finditer(text, low, high):
+            if not 12 <= m.end() - m.start() <= 37:  # 19 digits and a separator between any two
+                continue
             digits = re.sub("[^0-9]", "", m.group())
             if 12 <= len(digits) <= 19 and _luhn(digits):
                 out.append((m.start(), "card", m.end()))
@@ -125,13 +141,20 @@ def _span_features(kind: str, text: str, low: int, high: int) -> list[int]:
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[str, int, int]]:
     """Loose spans of the added kinds that overlap no base span (nor each other within a kind)."""
-    out = []
+    out, starts, ends = [], [], []
+    for low, _, high in taken:  # in order of their starts
+        if ends and low <= ends[-1]:
+            ends[-1] = max(ends[-1], high)
+        else:
+            starts.append(low)
+            ends.append(high)
     for kind, pattern in (("secret", LONG_RUN), ("account", DIGITS_RUN), ("phone_local", LOCAL_PHONE)):
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind == "secret" and not any(c.isdigit() for c in m.group()):
                 continue
-            if not any(a < e and s < b for s, _, e in taken):
+            before = bisect_left(starts, b) - 1  # the last base span starting before b
+            if before < 0 or ends[before] <= a:
                 out.append((kind, a, b))
     return out
 
@@ -203,7 +226,7 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "text")):
             rows = []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
@@ -224,6 +247,8 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 + [("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("features", pa.list_(pa.int32()))])))]
             )
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            del rows
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _THIN)
 
@@ -259,21 +284,18 @@ def with_spans(found: DataFrame, model: SpanModel, threshold: float = 0.5) -> Da
     """The thin rows with ``all_spans``: base spans and the candidates the classifier accepts."""
     sent = found.sparkSession.sparkContext.broadcast(model.weights)
 
-    @F.pandas_udf("string")
-    def joined(base, spans):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def joined(base: pa.Array, spans: pa.Array) -> pa.Array:
         w, out = sent.value, []
-        for b, s in zip(base, spans, strict=True):
+        for b, s in zip(base.to_pylist(), spans.to_pylist(), strict=True):
             all_spans = [(int(x.split(":")[1]), ORDER[x.split(":")[0]], x) for x in b.split(",") if x]
-            for c in s if s is not None else []:
+            for c in s or []:
                 p = 1 / (1 + np.exp(-(w[np.asarray(c["features"], dtype=np.int64)].sum() + w[-1])))
                 if p >= threshold:
                     all_spans.append((c["start"], ORDER[c["kind"]], f"{c['kind']}:{c['start']}:{c['end']}"))
             out.append(",".join(x for _, _, x in sorted(all_spans)))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    return found.withColumn("all_spans", joined("base", "spans"))
+    return found.withColumn("all_spans", F.arrow_udf(joined, "string")("base", "spans"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,28 +320,33 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     model = fit(written(found_spans(docs, id_col, text_col).select("id", "spans")))
     sent = docs.sparkSession.sparkContext.broadcast(model.weights)
 
-    @F.pandas_udf("string")
-    def clean(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        w, out = sent.value, []
-        for text in texts:
-            if not text:
-                out.append(text)
-                continue
-            base = base_spans(text)
-            spans = [(a, b, k) for a, k, b in base]
-            for k, a, b in candidates(text, base):
-                if w[np.array(_span_features(k, text, a, b))].sum() + w[-1] >= 0:
-                    spans.append((a, b, k))
-            done, parts = 0, []
-            for a, b, k in sorted(spans):
-                if b <= done:
-                    continue
-                if a >= done:
-                    parts += [text[done:a], f"[{k}]"]
-                done = b
-            out.append("".join([*parts, text[done:]]))
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(text_col, clean(text_col))
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = sent.value
+        for column in columns:
+            out = []
+            for part in text_slices(pa.table({"text": column}), "text"):
+                out += [_redacted(text, w) for text in part.column("text").to_pylist()]
+            yield pa.array(out, pa.string())
+            del out
+        give_back()
+
+    return docs.withColumn(text_col, F.arrow_udf(clean, "string")(F.col(text_col)))
+
+
+def _redacted(text: str | None, weights: np.ndarray) -> str | None:
+    """The text with its base spans and the accepted candidates replaced; overlapping ones are one place."""
+    if not text:
+        return text
+    base = base_spans(text)
+    spans = [(a, b, k) for a, k, b in base]
+    for k, a, b in candidates(text, base):
+        if weights[np.array(_span_features(k, text, a, b))].sum() + weights[-1] >= 0:
+            spans.append((a, b, k))
+    done, parts = 0, []
+    for a, b, k in sorted(spans):
+        if b <= done:
+            continue
+        if a >= done:
+            parts += [text[done:a], f"[{k}]"]
+        done = b
+    return "".join([*parts, text[done:]])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +10,10 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a new one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset, one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return found.rstrip("/")
 
 
@@ -23,7 +21,7 @@ def written(df: DataFrame) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back.
 
     Later steps read the files instead of recomputing, so a lost executor costs
-    its own tasks only.  The files go when the JVM ends.
+    its own tasks only.  The files go with ``clear_written``, or when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marketloom/{uuid.uuid4().hex}"
@@ -31,9 +29,35 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete what ``written`` has left so far and tell how many tables; for when all results have been taken."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return count
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` behind as many underscores as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns renamed c0, c1, ... so that no name of theirs can clash or needs quoting."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, slices: int = 64, part: Column | None = None) -> DataFrame:
     """Add each row's 0-based rank within its group, without one task per group.
 

@@ -85,8 +85,8 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
-#: target weights of op9 and the pipeline: the first sources count more, the others once
-TARGET_WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2}
+#: target weights of op9 and the pipeline: the first sources count more, the others once; unknown ones are one pool
+TARGET_WEIGHTS = {f"src{i}": 1 for i in range(6, 20)} | {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2}
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

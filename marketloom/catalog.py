@@ -377,7 +377,6 @@ _query(
     "SELECT a.vec_id, b.vec_id AS other_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4::DOUBLE",
     bound=False,
 )
-_query("search_rank", lambda t: matching.search_rank(t.product, "red"), None)
 
 
 def _pool(t: Tables) -> DataFrame:
@@ -396,11 +395,6 @@ def _resolved(t: Tables, pool: DataFrame) -> DataFrame:
 
 _query("match_decide", lambda t: _resolved(t, _pool(t)))
 _query("match_bands_stats", lambda t: matching.band_stats(_resolved(t, _pool(t))))
-_query(
-    "corrections",
-    lambda t: matching.corrections(matching.vocabulary(t.product).select(F.regexp_replace("token", "^(.)(.)", "$2").alias("word")), matching.vocabulary(t.product)),
-)
-
 _query(
     "favourites_inferred",
     lambda t: users.favourites_inferred(t.adds),
@@ -666,3 +660,5 @@ _query(
     ),
     "SELECT id, 'ML' AS read_unit, CAST(id % 7 + 2 AS INTEGER) AS packs, CAST(floor((id % 7 + 2) * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM product",
 )
+
+from marketloom import catalog_shopping  # noqa: E402, F401  registers further queries

@@ -25,7 +25,8 @@ CONFIRM_LOW, CONFIRM_WEAK, CONFIRM_SAMPLE = 0.15, 0.40, 30
 PRICE_CEILING_BANI = {"kg": 50_000 * 100, "l": 100_000 * 100, "buc": 100_000 * 100}
 UNIT_FLOOR = 0.05
 SILENT_HOURS = 48
-SEARCH_MIN_SCORE = 0.35
+SEARCH_MIN_SCORE, SPECIFICITY_WEIGHT, SPECIFICITY_FLOOR = 0.35, 0.5, 3
+RARE_MAX, DOMINANCE, BRAND_HEADS = 2, 20, 5
 COSINE_MIN = 0.8
 
 # fixed values: words that make another product of a name
@@ -41,3 +42,39 @@ VARIANT_MARKERS = [
 ALCOHOL_VARIANT_MARKERS = [
     "brut", "rose", "sec", "demisec", "dulce", "demidulce", "spumant", "alb", "rosu", "negru", "neon", "magnum",
 ]
+
+# fixed values: words that never make a matching anchor
+STOPWORDS = ["de", "cu", "la", "si", "din", "fara", "pentru", "sau", "un", "o", "cel", "the", "and", "for"]
+# fixed values: words of a brand column that name no brand
+NOT_BRANDS = ["non", "brand", "nobrand", "no", "diverse", "altele", "generic", "x", "y", "n", "a", "produs", "marca", "propriu", "fara"]
+# fixed values: words by class; two names that each state a value of a class and share none are different products
+VARIANT_CLASSES = {
+    "flavour": [
+        "zmeura", "zmeure", "capsuni", "capsuna", "lamaie", "portocale", "portocala", "cola",
+        "vanilie", "cirese", "cireasa", "visine", "visina", "piersici", "piersica",
+        "mango", "ananas", "pepene", "tropical", "afine", "afina", "mure", "mura", "kiwi",
+        "banane", "banana", "ciocolata", "caramel", "menta", "cocos", "alune", "aluna",
+        "fistic", "mar", "mere", "para", "pere", "struguri", "strugure", "grepfrut", "rodie", "lime",
+    ],
+    "qualifier": ["zero", "light", "max", "twist", "dietetic", "clasic", "classic", "intens", "extra", "forte", "plus", "original", "premium"],
+    "fat": [
+        "degresat", "degresata", "integral", "integrala", "semidegresat", "semidegresata",
+        "slab", "gras", "grasime", "0.1", "1.5", "1.8", "2.5", "3.2", "3.5", "3.8",
+    ],
+    "format": ["doza", "doze", "pet", "sticla", "sticle", "carton", "cutie", "cutii", "bidon", "galeata", "punga", "plic", "tetra"],
+}
+# fixed values: what may follow "fara" (without) as one qualifier
+WITHOUT = ["zahar", "gluten", "lactoza", "alcool", "cofeina"]
+# fixed values: forms of one flavour, the first standing for both
+FLAVOUR_FORMS = [
+    ["portocale", "portocala"], ["capsuni", "capsuna"], ["cirese", "cireasa"], ["visine", "visina"], ["piersici", "piersica"],
+    ["mere", "mar"], ["pere", "para"], ["banane", "banana"], ["afine", "afina"], ["mure", "mura"], ["struguri", "strugure"],
+    ["alune", "aluna"], ["zmeura", "zmeure"],
+]
+# fixed values: describing words by dimension; those without one are noise
+DESCRIPTORS = {
+    "treatment": ["uht", "pasteurizat", "pasteurizata", "sterilizat", "sterilizata", "proaspat", "proaspata", "refrigerat", "refrigerata"],
+    "fat-level": ["integral", "integrala", "degresat", "degresata", "semidegresat", "semidegresata"],
+    "packaging": ["pet", "cutie", "sticla", "punga", "caserola", "borcan", "doza", "bidon", "brick", "tetra"],
+    "": ["grasime", "consum", "ambalat", "ambalata", "vidat", "vidata"],
+}

@@ -171,33 +171,6 @@ def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     return out.select("item_id", "id", F.when(veto, "REVIEW").otherwise(F.col("band")).alias("band"), F.when(veto, "fan-out").otherwise(F.col("reason")).alias("reason"), "score_bp")
 
 
-def search_rank(products: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Products whose names hold every word of the query: exact name, then phrase, then words; ties by id."""
-    words = [w for w in query.lower().split() if w]
-    name = S.normalize(F.col("name"))
-    has = F.lit(True)
-    for w in words:
-        has = has & F.array_contains(S.tokens(name), w)
-    phrase = " ".join(words)
-    tier = F.when(name == phrase, 400).when(F.contains(name, F.lit(phrase)), 300).otherwise(100)
-    coverage = S.half_up(F.lit(len(words) * 10000) / F.size(F.array_distinct(S.tokens(name))))
-    return products.where(has).select("id", "name", tier.alias("tier"), coverage.alias("coverage_bp")).orderBy(F.desc("tier"), F.desc("coverage_bp"), "id").limit(limit)
-
-
-def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """For each query word (word) the closest vocabulary word within its edit budget; frequent words stay.
-
-    Vocabulary is blocked by length, and distances beyond the budget are cut
-    off inside the function.
-    """
-    budget = F.when(F.length("word") <= 2, 0).when(F.length("word") <= 5, 1).otherwise(2)
-    w = words.withColumn("budget", budget).withColumn("len", F.explode(F.sequence(F.length("word") - F.col("budget"), F.length("word") + F.col("budget"))))
-    v = vocab.withColumn("len", F.length("token"))
-    rows = w.join(v, "len").withColumn("d", F.levenshtein("word", "token", 2)).where((F.col("d") >= 0) & (F.col("d") <= F.col("budget")))
-    order = Window.partitionBy("word").orderBy("d", F.desc("products"), "token")
-    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("word", F.col("token").alias("corrected"), "d")
-
-
 def band_stats(decided: DataFrame) -> DataFrame:
     """Pairs per reason and band."""
     return decided.groupBy("reason", "band").agg(F.count(F.lit(1)).alias("pairs"))

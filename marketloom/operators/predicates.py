@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketloom.functions import scalars as S
+
 
 def _no(name: str) -> Column:
     return ~F.coalesce(F.col(name), F.lit(False))
@@ -63,10 +65,38 @@ def is_publishable(include_platforms: bool = False) -> Column:
     return _no("flagged") if include_platforms else _no("flagged") & _no("aggregator")
 
 
-def why_not_buyable(now: Column, blocked_brands: list[str]) -> Column:
-    """The first reason against buying, or null: blocked, anomaly, stale, expired."""
+def is_displayed(now: Column, days: int, show_platforms: bool = False) -> Column:
+    """``is_current`` of rows at hand: a flyer offer without a date counts, other ones without a date do not.
+
+    Needs price_source beside the other columns; merchants are not asked.
+    """
+    dated = F.when(F.col("recorded_at").isNull(), F.col("price_source") == "FLYER").otherwise(observed_since(now, days))
+    shown = in_stock() & _no("is_stale") & _no("flagged") & unexpired(now) & dated
+    return shown if show_platforms else shown & (F.coalesce("price_source", F.lit("")) != "DELIVERY_PLATFORM")
+
+
+def is_searchable(now: Column, days: int) -> Column:
+    """Offers of the public search: as the metadata counts, without platforms."""
+    return is_meta_live(now, days) & _no("aggregator")
+
+
+def why_not_buyable(
+    now: Column, blocked_brands: list[str], blocked_products: list[int] | None = None, blocked_tags: list[str] | None = None, has_cards: bool = True, columns: list[str] | None = None
+) -> Column:
+    """The first reason against buying, or null: blocked, anomaly, stale, expired, loyalty.
+
+    A product is blocked by its id, its brand, or a tag that its folded name
+    holds; card prices count only where ``columns`` has needs_card.
+    """
     blocked = F.lower("brand").isin([b.lower() for b in blocked_brands]) if blocked_brands else F.lit(False)
-    return (
+    if blocked_products:
+        blocked = blocked | F.col("product_id").isin(blocked_products)
+    for tag in blocked_tags or []:
+        blocked = blocked | F.contains(S.normalize(F.col("name"), glue_storage=False), S.normalize(F.lit(tag), glue_storage=False))
+    why = (
         F.when(blocked, "blocked").when(~_no("flagged"), "anomaly").when(~_no("is_stale"), "stale")
         .when(~unexpired(now), "expired").when(~in_stock(), "stale")
     )
+    if not has_cards and "needs_card" in (columns or []):
+        why = why.when(~_no("needs_card"), "loyalty")
+    return why

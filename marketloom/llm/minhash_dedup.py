@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import components, written
+from marketloom.llm.blocks import give_back
+from marketloom.llm.common import components, numbered, written
 from marketloom.llm.sketch import band_keys, bit_sketch, super_minhash
 from marketloom.llm.text_arrays import distinct, shingle_hashes, text_slices, word_hashes
 
@@ -87,6 +88,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                     [part.column("id"), part.column("h"), pa.array(size), pa.array(s1), pa.array(s2), *lists, pa.array(low, pa.binary())],
                     ["id", "h", "n", "s1", "s2", "keys", "sketch", "low"],
                 )
+        give_back()
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     return rows_in.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, keys array<long>, sketch array<long>, low binary")
@@ -103,6 +105,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                     both = len(x) + len(y) - len(distinct(np.concatenate((x, y))))
                     good.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -249,15 +252,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """``docs`` with one document of each group: the one with the smallest id.
 
     Of rows repeating an id and a text one stays.  Documents without words, and
-    rows with a null id, stay.
+    rows with a null id, stay.  Other columns, whatever their names, come along.
     """
-    judged = near_duplicates(docs, id_col, text_col, words, percent)
-    fate = judged.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"))
-    fate = written(fate.agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies")).where("not _kept or _copies > 1"))
-    marked = docs.withColumn("_h2", F.xxhash64(text_col))
-    on = (marked[id_col] == fate["_id"]) & (marked["_h2"] == fate["_h"])
-    marked = marked.join(fate, on, "left")
-    once = marked.where("_kept is null").select(*docs.columns)
-    if fate.where("_kept").isEmpty():
-        return once
-    return once.union(marked.where("_kept").dropDuplicates(["_id", "_h"]).select(*docs.columns))
+    names, rows = docs.columns, numbered(docs)
+    key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    judged = near_duplicates(rows, key, text, words, percent)
+    fate = judged.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id"), F.col("text_hash").alias("h"))
+    fate = written(fate.agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("copies")).where("not kept or copies > 1"))
+    marked = rows.withColumn("hash", F.xxhash64(text))
+    marked = marked.join(fate, (F.col(key) == F.col("id")) & (F.col("hash") == F.col("h")), "left")
+    once = marked.where("kept is null").select(*rows.columns)
+    if fate.where("kept").isEmpty():
+        return once.toDF(*names)
+    return once.union(marked.where("kept").dropDuplicates(["id", "h"]).select(*rows.columns)).toDF(*names)

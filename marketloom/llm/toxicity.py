@@ -1,11 +1,13 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Training takes a bounded, documented sample of labelled rows (the
-``max_train`` labels with the smallest hash of their id), dealt over ``shards``
-tasks that each run FTRL over their share; the shards' weights are averaged by
-how strongly each coordinate was updated.  L1 keeps few weights, which travel to
-the scoring tasks as two arrays of at most ``2**bits`` entries.  Scoring is one
-pass over the whole texts, without a shuffle.
+``max_train`` labels with the smallest hash of their id, and of their texts, in
+hash order, as many as have ``max_coordinates`` coordinates together), dealt
+over ``shards`` tasks that each run FTRL over their share; the shards' weights
+are averaged by how strongly each coordinate was updated.  L1 keeps few weights,
+which travel to the scoring tasks as two arrays of at most ``2**bits`` entries.
+Scoring is one pass over the whole texts, without a shuffle; a text of any
+length is read in slices of a few MB with its neighbours, a longer one alone.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.blocks import give_back
 from marketloom.llm.text_arrays import GOLD, PUNCTUATION, U64, distinct, mix, text_slices, word_hashes
 
 
@@ -32,6 +35,7 @@ class Settings:
     l2: float = 1.0
     epochs: int = 3
     max_train: int = 16_000
+    max_coordinates: int = 24_000_000
     shards: int = 1
 
 
@@ -53,7 +57,7 @@ def features(hashes: np.ndarray, bits: int) -> np.ndarray:
             parts.append(mix(hashes[:-1] * U64(3) + hashes[1:]))
         if len(hashes) > 2:
             parts.append(mix(hashes[:-2] * U64(5) + hashes[2:] + U64(1)))
-    return distinct((np.concatenate(parts) >> U64(64 - bits)).astype(np.int64))
+    return distinct((np.concatenate(parts) >> U64(64 - bits)).astype(np.int32))
 
 
 def fit_rows(rows: list[tuple[np.ndarray, int]], cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -94,28 +98,38 @@ def fit(
 
     The sample is drawn among the labels, so only its texts are moved.  Labels
     that are null or neither 0 nor 1 are left out.  No rows, or rows of one
-    label only, still give a model (bias, few weights).  Repeated rows count as
-    often as they occur, within the bound.
+    label only, still give a model (bias, few weights).  Of rows repeating an
+    id the smallest text counts, once for each of its labels.  Empty tables
+    give a model without weights; other columns, whatever their names, are not
+    read.
     """
-    sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    sample = sample.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "label").limit(cfg.max_train)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
-    rows = rows.select("text", "label", F.xxhash64("text", "label").alias("h")).orderBy("h").limit(cfg.max_train)
+    sample = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("label")).where("label in (0, 1) and i is not null")
+    sample = sample.select("i", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("i"), "label").limit(cfg.max_train)
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "i")
+    rows = rows.groupBy("i", "label").agg(F.min("text").alias("text"))  # as many as labels at most
+    rows = rows.select("text", "label", F.xxhash64("text", "label").alias("h"))
+    room = cfg.max_coordinates // cfg.shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, np.ndarray, int]] = []
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                made = _featured(part.column("text"), cfg.bits)
-                found += zip(part.column("h").to_pylist(), made, part.column("label").to_pylist(), strict=True)
-        if not found:
-            return
-        found.sort(key=lambda r: (r[0], r[2], len(r[1])))
-        weights, seen = fit_rows([(x, label) for _, x, label in found], cfg)
+        found: list[tuple[np.ndarray, int]] = []
+        total = 0
+        for part in (part for batch in batches for part in text_slices(batch, "text")):
+            made = _featured(part.column("text"), cfg.bits)
+            for x, label in zip(made, part.column("label").to_pylist(), strict=True):
+                total += len(x)
+                if total > room:
+                    break
+                found.append((x, label))
+            if total > room:
+                break
+        weights, seen = fit_rows(found, cfg)
+        del found
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at]), pa.array(seen[at])], ["at", "w", "n"])
+        del weights, seen
+        give_back()
 
-    dealt = rows.repartition(cfg.shards, F.pmod("h", F.lit(cfg.shards)))
+    dealt = rows.repartition(cfg.shards, F.pmod("h", F.lit(cfg.shards))).sortWithinPartitions("h")
     parts = dealt.mapInArrow(run, "at long, w double, n double")
     mean = parts.groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).where("w <> 0")
     got = mean.toArrow()  # at most 2**bits + 1 rows
@@ -137,20 +151,20 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.bits, model.index, model.weight, model.bias))
 
-    @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bits, index, weight, bias = sent.value
-        dense = np.zeros(1 << bits)
+        dense = np.zeros(1 << bits, dtype=np.float64)
         dense[index] = weight
-        table = pa.table({"text": pa.array(texts, pa.large_string(), from_pandas=True)})
-        out = []
-        for part in text_slices(table, "text"):
-            out += [bias + float(dense[x].sum()) for x in _featured(part.column("text"), bits)]
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(np.array(out, dtype=float), -35.0, 35.0))))
-
-    return docs.withColumn(name, score(F.col(text_col)))
+        for texts in columns:
+            out = [np.empty(0)]
+            for part in text_slices(pa.table({"text": texts}), "text"):
+                out.append(np.array([bias + dense[x].sum() for x in _featured(part.column("text"), bits)]))
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(np.concatenate(out), -35.0, 35.0))), pa.float64())
+            del out
+        del dense
+        give_back()
+
+    return docs.withColumn(name, F.arrow_udf(score, "double")(F.col(text_col)))
 
 
 def is_held_out(id_col: str, modulus: int = 4, remainder: int = 2) -> Column:

@@ -74,7 +74,7 @@ _query("drop_pct", lambda t: listings.drop_pct(listings.daily_low(t.history)), "
 _query("product_signals", _signals, SIGNALS_SQL + "SELECT *, greatest(spread_bp, drop_bp) AS deal_score_bp FROM signals")
 _query(
     "deals",
-    lambda t: listings.deals(_signals(t), _summary(t)),
+    lambda t: listings.deals(t.placed, _is_current(), t.history, _history_since(MAX_AGE_DAYS)),
     SIGNALS_SQL + f""", summary AS ({SUMMARY_SQL})
   SELECT product_id, greatest(spread_bp, drop_bp) AS deal_score_bp, lowest_bani, highest_bani, CAST(floor(savings_bani * 10000 / highest_bani + 0.5) AS BIGINT) AS savings_bp
   FROM signals JOIN summary USING (product_id) WHERE live >= 2 AND greatest(spread_bp, drop_bp) >= 800 AND offer_count >= 2 ORDER BY deal_score_bp DESC, product_id LIMIT 60""",
@@ -329,11 +329,13 @@ _query(
 )
 _query(
     "basket_split",
-    lambda t: baskets.split(_lines(t), t.current),
+    lambda t: baskets.split(_lines(t), t.current, t.merchant),
     _LINES + """, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY basket_id, product_id ORDER BY cost, merchant_id) AS rn FROM priced) WHERE rn = 1),
   v AS (SELECT basket_id, merchant_id, sum(cost) AS value FROM f GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY value DESC, merchant_id) AS rn FROM v) WHERE rn <= 3),
-  m AS (SELECT p.*, row_number() OVER (PARTITION BY p.basket_id, product_id ORDER BY cost, p.merchant_id) AS rn FROM priced p SEMI JOIN k ON k.basket_id = p.basket_id AND k.merchant_id = p.merchant_id)
-  SELECT basket_id, merchant_id, count(*) AS lines, CAST(sum(cost) AS BIGINT) AS goods_bani FROM m WHERE rn = 1 GROUP BY 1, 2""",
+  m AS (SELECT p.*, row_number() OVER (PARTITION BY p.basket_id, product_id ORDER BY cost, p.merchant_id) AS rn FROM priced p SEMI JOIN k ON k.basket_id = p.basket_id AND k.merchant_id = p.merchant_id),
+  g AS (SELECT basket_id, merchant_id, count(*) AS lines, CAST(sum(cost) AS BIGINT) AS goods_bani FROM m WHERE rn = 1 GROUP BY 1, 2), n AS (SELECT basket_id, count(*) AS all_lines FROM lines GROUP BY 1)
+  SELECT basket_id, merchant_id, lines, goods_bani, CASE WHEN goods_bani >= free_over THEN 0 ELSE delivery_fee END AS delivery_bani, all_lines - CAST(sum(lines) OVER (PARTITION BY basket_id) AS BIGINT) AS missing
+  FROM g JOIN n USING (basket_id) JOIN merchant USING (merchant_id)""",
 )
 _query(
     "class_pick",
@@ -348,9 +350,18 @@ _query(
     lambda t: baskets.index_per_shop(t.current),
     ", b AS (SELECT merchant_id, class_id, min(price_bani) AS p FROM cur WHERE class_id IS NOT NULL GROUP BY 1, 2) SELECT merchant_id, count(*) AS classes, CAST(sum(p) AS BIGINT) AS total_bani FROM b GROUP BY 1",
 )
+
+
+def _laddered(t: Tables) -> DataFrame:
+    """All offers; every fifth shop has a ladder: 95 % of the price from 3 pieces on, 90 % from 6."""
+    p = F.col("price_bani")
+    rungs = F.array(*(F.struct(F.lit(q).alias("qty"), S.half_up(p * c / 100).alias("bani")) for q, c in ((3, 95), (6, 90))))
+    return t.offer.withColumn("tiers", F.when(F.col("merchant_id") % 5 == 0, rungs))
+
+
 _query(
     "ladder_unit_price",
-    lambda t: baskets.ladder_unit_price(t.offer),
+    lambda t: baskets.ladder_unit_price(_laddered(t)),
     """, l AS (SELECT product_id, merchant_id, price_bani AS p, CAST(floor(price_bani * 95 / 100 + 0.5) AS BIGINT) AS a, CAST(floor(price_bani * 90 / 100 + 0.5) AS BIGINT) AS b FROM offer WHERE merchant_id % 5 = 0)
   SELECT product_id, merchant_id, p AS total_1, 3 * a AS total_3, 6 * b AS total_6 FROM l WHERE a < p AND b < a AND b >= p * 0.4::DOUBLE""",
 )
@@ -373,28 +384,13 @@ _query(
 )
 _query(
     "semantic_candidates",
-    lambda t: matching.semantic_candidates(t.read("embeddings"), 0.4),
-    "SELECT a.vec_id, b.vec_id AS other_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4::DOUBLE",
-    bound=False,
+    # the synthetic vectors are almost at right angles to each other, so a low threshold
+    lambda t: matching.semantic_candidates(t.product.join(t.read("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id"), 0.1),
+    """, e AS (SELECT product.*, embedding FROM product JOIN embeddings ON vec_id = id) SELECT a.id, b.id AS other_id FROM e a JOIN e b ON a.section = b.section AND a.unit = b.unit AND a.id < b.id
+  AND abs(a.unit_size - b.unit_size) <= 0.06::DOUBLE * a.unit_size + 1e-9::DOUBLE WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1::DOUBLE""",
 )
 
 
-def _pool(t: Tables) -> DataFrame:
-    """Store items: every product under another id, its name's words turned round."""
-    return t.product.select((F.col("id") + 1_000_000).alias("item_id"), F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), "brand", "section", "unit", "unit_size")
-
-
-def _coded(rows: DataFrame, key: F.Column) -> DataFrame:
-    """Rows with the codes of ``ean_valid``, of which about one in ten is a valid EAN."""
-    return rows.withColumn("ean", F.concat(F.lpad((key * 7919 % 1000000000000).cast("string"), 12, "0"), (key % 10).cast("string")))
-
-
-def _resolved(t: Tables, pool: DataFrame) -> DataFrame:
-    return matching.resolve(_coded(t.product, F.col("id")), _coded(pool, F.col("item_id") - 1_000_000))
-
-
-_query("match_decide", lambda t: _resolved(t, _pool(t)))
-_query("match_bands_stats", lambda t: matching.band_stats(_resolved(t, _pool(t))))
 _query(
     "favourites_inferred",
     lambda t: users.favourites_inferred(t.adds),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom import constants as C
 from marketloom.catalog import _query
 from marketloom.functions import scalars as S
-from marketloom.operators import matching, search, substitution, users
+from marketloom.operators import ingest, matching, search, substitution, users
 from marketloom.sources.bind import Tables, now
 
 
@@ -229,3 +229,124 @@ _query(
     _PICKS + """ SELECT request, count(*) AS classes, count(price_bani) AS found, CAST(coalesce(sum(price_bani), 0) AS BIGINT) AS total_bani, (count(*) - count(price_bani)) * 3 > count(*) AS bad
   FROM recipes LEFT JOIN picks USING (request, class_id) GROUP BY 1""",
 )
+
+
+def _pool(t: Tables) -> DataFrame:
+    """Store items: every product under another id, its name's words turned round, with a price of its own at one of ten shops."""
+    rows = t.product.join(t.read("part").select(F.col("p_partkey").alias("id"), "p_retailprice"), "id")
+    price = F.when(F.col("id") % 31 == 0, 0).otherwise(F.floor(F.col("p_retailprice") * (90 + F.col("id") % 20))).cast("long")
+    tobacco = F.when(F.col("id") % 17 == 0, F.lit("Tigari ")).otherwise("")
+    return rows.select(
+        (F.col("id") + 1_000_000).alias("item_id"), (F.col("id") % 10).alias("merchant_id"), F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), "brand", "section", "unit",
+        "unit_size", price.alias("price_bani"), (F.col("id") % 7 != 0).alias("available"), F.when(F.col("id") % 25 != 0, F.concat(tobacco, "name", F.lit(" "), price, F.lit(" bani"))).alias("raw_text"),
+    )
+
+
+def _coded(rows: DataFrame, key: F.Column) -> DataFrame:
+    """Rows with the codes of ``ean_valid``, of which about one in ten is a valid EAN."""
+    return rows.withColumn("ean", F.concat(F.lpad((key * 7919 % 1000000000000).cast("string"), 12, "0"), (key % 10).cast("string")))
+
+
+def _decided(t: Tables) -> DataFrame:
+    return matching.resolve(_coded(t.product, F.col("id")), _coded(_pool(t), F.col("item_id") - 1_000_000))
+
+
+def _overrides(t: Tables) -> DataFrame:
+    """Every fifth product's item is confirmed for it, every seventh's rejected."""
+    verdict = F.when(F.col("id") % 5 == 0, "confirm").when(F.col("id") % 7 == 0, "reject")
+    return t.product.select((F.col("id") + 1_000_000).alias("item_id"), "id", verdict.alias("verdict")).where("verdict is not null")
+
+
+def _standing(t: Tables) -> DataFrame:
+    return ingest.standing(_decided(t), _pool(t), _overrides(t))
+
+
+def _chosen(t: Tables) -> DataFrame:
+    return ingest.best_items(_standing(t), _pool(t)).select("merchant_id", F.col("id").alias("product_id"), "price_bani")
+
+
+def _pool_shops(t: Tables) -> DataFrame:
+    """Offers of the shops that the pool covers."""
+    return t.offer.join(_pool(t).select("merchant_id").distinct(), "merchant_id", "left_semi").select("merchant_id", "product_id", "price_bani")
+
+
+_POOL = """, pool AS (SELECT id + 1000000 AS item_id, id % 10 AS merchant_id, array_to_string(list_reverse(string_split(name, ' ')), ' ') AS name, brand, section, unit, unit_size,
+    CAST(CASE WHEN id % 31 = 0 THEN 0 ELSE floor(p_retailprice * (90 + id % 20)) END AS BIGINT) AS price_bani, id % 7 <> 0 AS available FROM product JOIN part ON p_partkey = id)"""
+_CODE = "lpad(CAST({k} * 7919 % 1000000000000 AS VARCHAR), 12, '0') || CAST({k} % 10 AS VARCHAR)"
+_DECIDED = (
+    _POOL + f""", code AS (SELECT id, {_CODE.format(k="id")} AS ean FROM product),
+  valid AS (SELECT id, ean FROM code WHERE list_sum(list_transform(range(1, 14), lambda i: CAST(ean[i:i] AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0),
+  by_code AS (SELECT b.id + 1000000 AS item_id, a.id, 'AUTO' AS band, 'ean' AS reason, 10000 AS score_bp FROM valid a JOIN valid b USING (ean)),
+  keyed AS (SELECT *, array_to_string(list_sort(string_split(name, ' ')), ' ') AS bag FROM product),
+  by_name AS (SELECT p.item_id, k.id, 'AUTO' AS band, 'brand+size' AS reason, 10000 AS score_bp FROM keyed k JOIN pool p ON k.bag = array_to_string(list_sort(string_split(p.name, ' ')), ' ') AND k.brand = p.brand AND k.unit = p.unit
+    AND abs(k.unit_size - p.unit_size) <= 0.06::DOUBLE * k.unit_size + 1e-9::DOUBLE WHERE NOT EXISTS (SELECT 1 FROM by_code b WHERE b.item_id = p.item_id AND b.id = k.id)),
+  allof AS (SELECT * FROM by_code UNION ALL SELECT * FROM by_name), counted AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS autos FROM allof),
+  decided AS (SELECT item_id, id, CASE WHEN autos >= 2 AND reason <> 'ean' THEN 'REVIEW' ELSE band END AS band, CASE WHEN autos >= 2 AND reason <> 'ean' THEN 'fan-out' ELSE reason END AS reason, CAST(score_bp AS BIGINT) AS score_bp FROM counted)"""
+)
+_STANDING = (
+    _DECIDED + """, said AS (SELECT id + 1000000 AS item_id, id, CASE WHEN id % 5 = 0 THEN 'confirm' WHEN id % 7 = 0 THEN 'reject' END AS verdict FROM product),
+  standing AS (SELECT * FROM decided d WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.item_id = d.item_id AND (verdict = 'confirm' OR (verdict = 'reject' AND s.id = d.id)))
+    UNION ALL SELECT item_id, id, 'AUTO', 'override', 10000 FROM said WHERE verdict = 'confirm'),
+  best AS (SELECT merchant_id, id, item_id, price_bani, available, reason FROM (SELECT s.*, p.merchant_id, p.price_bani, p.available, row_number() OVER (PARTITION BY merchant_id, id ORDER BY available DESC, price_bani, s.item_id) AS rn
+    FROM standing s JOIN pool p ON p.item_id = s.item_id WHERE band = 'AUTO' AND price_bani > 0) WHERE rn = 1),
+  shop_offers AS (SELECT merchant_id, product_id, price_bani FROM offer WHERE merchant_id IN (SELECT merchant_id FROM pool)),
+  merged AS (SELECT coalesce(o.merchant_id, b.merchant_id) AS merchant_id, coalesce(o.product_id, b.id) AS product_id, coalesce(b.price_bani, o.price_bani) AS price_bani,
+    CASE WHEN b.id IS NULL THEN 'stale' WHEN o.product_id IS NULL THEN 'added' WHEN o.price_bani <> b.price_bani THEN 'moved' ELSE 'seen' END AS fate, b.id IS NULL AS is_stale
+    FROM shop_offers o FULL JOIN best b ON o.merchant_id = b.merchant_id AND o.product_id = b.id),
+  guard AS (SELECT coalesce(b.merchant_id, c.merchant_id) AS merchant_id, coalesce(baseline, 0) AS baseline, coalesce(chosen, 0) AS chosen, coalesce(chosen, 0) * 100 < coalesce(baseline, 0) * 60 AS refused
+    FROM (SELECT merchant_id, count(*) AS baseline FROM shop_offers GROUP BY 1) b FULL JOIN (SELECT merchant_id, count(*) AS chosen FROM best GROUP BY 1) c ON b.merchant_id = c.merchant_id)"""
+)
+_query("match_decide", _decided, _DECIDED + " SELECT * FROM decided")
+_query("match_bands_stats", lambda t: matching.band_stats(_decided(t)), _DECIDED + " SELECT reason, band, count(*) AS pairs FROM decided GROUP BY 1, 2")
+_query("standing_decisions", _standing, _STANDING + " SELECT * FROM standing")
+_query("best_pool_item", lambda t: ingest.best_items(_standing(t), _pool(t)), _STANDING + " SELECT * FROM best")
+_query(
+    "pool_contract",
+    lambda t: ingest.pool_contract(_pool(t), ["merchant_id"], ["brand", "unit_size"]),
+    _POOL + """ SELECT merchant_id, count(*) AS rows, count(*) FILTER (item_id % 25 <> 0) AS with_raw, count(*) AS has_brand, count(unit_size) AS has_unit_size, count(*) FILTER (item_id % 25 <> 0) * 100 >= count(*) * 95 AS accepted FROM pool GROUP BY 1""",
+)
+_query(
+    "pool_refusals",
+    lambda t: ingest.refusals(_pool(t).withColumn("name", F.when(F.col("item_id") % 17 == 0, F.concat(F.lit("Tigari "), "name")).otherwise(F.col("name"))), keep=12),
+    _POOL + """ SELECT item_id, CASE WHEN item_id % 17 = 0 THEN 'tobacco' ELSE 'no-price' END AS why, CASE WHEN (item_id - 1000000) % 25 <> 0 THEN
+    (CASE WHEN (item_id - 1000000) % 17 = 0 THEN 'Tigari ' ELSE '' END || array_to_string(list_reverse(string_split(name, ' ')), ' ') || ' ' || price_bani || ' bani')[1:12] END AS kept_text FROM pool WHERE item_id % 17 = 0 OR price_bani <= 0""",
+)
+_query(
+    "new_products",
+    lambda t: ingest.new_products(_standing(t), _pool(t)),
+    _STANDING + """ SELECT item_id, replace(lower(name), ' ', '-') || '-s' || CAST(floor(unit_size * 1000 + 0.5) AS BIGINT) || unit AS new_slug, 5000 AS score_bp, 'new' AS reason FROM pool
+  WHERE price_bani > 0 AND item_id NOT IN (SELECT item_id FROM standing)""",
+)
+_query(
+    "pool_census",
+    lambda t: ingest.pool_census(_standing(t), _pool(t)),
+    _STANDING + """, b AS (SELECT item_id, min(CASE WHEN band = 'AUTO' THEN 0 ELSE 1 END) AS b FROM standing GROUP BY 1)
+  SELECT CASE b WHEN 0 THEN 'matched' WHEN 1 THEN 'review' ELSE 'unmatched' END AS fate, count(*) AS items FROM pool LEFT JOIN b USING (item_id) GROUP BY 1""",
+)
+_query("collapse_guard", lambda t: ingest.collapse_guard(_chosen(t), _pool_shops(t), "merchant_id"), _STANDING + " SELECT * FROM guard")
+_query("merged_offers", lambda t: ingest.merged_offers(_pool_shops(t), _chosen(t)), _STANDING + " SELECT * FROM merged")
+_query(
+    "run_record",
+    lambda t: ingest.run_record(ingest.merged_offers(_pool_shops(t), _chosen(t)), ingest.collapse_guard(_chosen(t), _pool_shops(t), "merchant_id")),
+    _STANDING + """, r AS (SELECT merchant_id, count(*) FILTER (fate <> 'stale') AS written, count(*) FILTER (fate = 'added') AS added, count(*) FILTER (fate = 'moved') AS moved, count(*) FILTER (fate = 'stale') AS stale FROM merged GROUP BY 1)
+  SELECT r.*, coalesce(refused, false) OR written = 0 AS aborted FROM r LEFT JOIN guard USING (merchant_id)""",
+)
+_query(
+    "ingest_flags",
+    lambda t: ingest.flags(_pool_shops(t), _pool_shops(t).withColumn("price_bani", F.floor(F.col("price_bani") * (1 + F.col("product_id") % 9)).cast("long")), _pool_shops(t)),
+    _POOL + """, c AS (SELECT merchant_id, product_id, price_bani FROM offer WHERE merchant_id IN (SELECT merchant_id FROM pool)),
+  o AS (SELECT c.merchant_id, c.product_id, c.price_bani, c.price_bani * (1 + c.product_id % 9) AS old, median(d.price_bani) AS mid, count(d.price_bani) AS n FROM c LEFT JOIN c d ON d.product_id = c.product_id AND d.merchant_id <> c.merchant_id GROUP BY ALL),
+  f AS (SELECT merchant_id, product_id, price_bani, CASE WHEN price_bani > 4 * old OR 4 * price_bani < old THEN 'jump' WHEN n >= 2 AND (price_bani > 6 * mid OR 6 * price_bani < mid) THEN 'outlier' END AS flag FROM o) SELECT * FROM f WHERE flag IS NOT NULL""",
+)
+_query(
+    "pending_upsert",
+    lambda t: ingest.pending_matches(_standing(t), t.product.where("id % 4 = 0").select((F.col("id") + 1_000_000).alias("item_id"), "id", F.lit(4_800).cast("long").alias("score_bp"))),
+    _STANDING + """, rows AS (SELECT item_id, id, score_bp, true AS fresh FROM standing WHERE band = 'REVIEW' UNION ALL SELECT id + 1000000, id, 4800, false FROM product WHERE id % 4 = 0)
+  SELECT item_id, id, CAST(max(score_bp) AS BIGINT) AS score_bp, bool_and(fresh) AS added FROM rows GROUP BY 1, 2""",
+)
+_query(
+    "addnew_projection",
+    lambda t: ingest.addnew_projection(t.product, _pool(t), S.normalize(F.concat_ws(" ", "name", "brand"))),
+    _POOL + """, q AS (SELECT lower(name) || ' ' || replace(lower(brand), '#', ' ') AS k FROM pool)
+  SELECT count(DISTINCT k) AS new_products, count(*) AS pool_rows FROM q WHERE k NOT IN (SELECT lower(name) || ' ' || replace(lower(brand), '#', ' ') FROM product)""",
+)

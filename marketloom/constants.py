@@ -43,6 +43,10 @@ ALCOHOL_VARIANT_MARKERS = [
     "brut", "rose", "sec", "demisec", "dulce", "demidulce", "spumant", "alb", "rosu", "negru", "neon", "magnum",
 ]
 
+# fixed values: stop words of match decisions, and unit letters that say nothing
+MATCH_STOP = ["de", "cu", "la", "si", "din", "fara", "pentru", "sau", "un", "cel"]
+UNIT_NOISE = ["l", "g", "kg", "ml", "cl", "x", "buc", "gr", "bax"]
+
 # fixed values: words that never make a matching anchor
 STOPWORDS = ["de", "cu", "la", "si", "din", "fara", "pentru", "sau", "un", "o", "cel", "the", "and", "for"]
 # fixed values: words of a brand column that name no brand

@@ -111,10 +111,12 @@ def normalize_url(url: Column) -> Column:
 
 
 def dose_tokens(s: Column) -> Column:
-    """Doses, sizes and factors named in a product name, sorted and joined with |."""
+    """Doses, percentages, factors and clothing-style sizes named in a product name, sorted and joined with |."""
     t = F.lower(fold(F.coalesce(s, F.lit(""))))
     found = F.regexp_extract_all(t, F.lit(r"([0-9]+(?:[.,][0-9]+)?\s*(?:mg|mcg|ui|iu|%)|spf\s*[0-9]+)"), F.lit(1))
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s", "")))), "|")
+    sizes = F.regexp_extract_all(t, F.lit(r"\bmarim[a-z]*\s+(xxl|xl|xs|s|m|l)\b"), F.lit(1))
+    plain = F.transform(found, lambda x: F.replace(F.regexp_replace(x, r"\s", ""), F.lit(","), F.lit(".")))
+    return F.array_join(F.array_sort(F.array_distinct(F.concat(plain, F.transform(sizes, lambda x: F.concat(F.lit("size-"), x))))), "|")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.operators.quality import at_places
 
 
 def predicate_counts(placed: DataFrame, predicates: dict[str, Column]) -> DataFrame:
@@ -28,9 +29,12 @@ def disagreement(placed: DataFrame, one: Column, other: Column) -> DataFrame:
 def listing_page(current: DataFrame, page: int, size: int = 120) -> DataFrame:
     """One page of the products without a class, cheapest first; pages beyond the last show the last."""
     low = current.where("class_id is null").groupBy("product_id").agg(F.min("price_bani").alias("low_bani"))
-    last = max(1, -(-low.count() // size))
-    start = (min(max(page, 1), last) - 1) * size
-    return low.orderBy("low_bani", "product_id").offset(start).limit(size)
+    total = low.agg(F.count(F.lit(1)).alias("total"))  # one row
+    first = low.orderBy("low_bani", "product_id").limit(max(page, 1) * size)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("low_bani", "product_id"))  # at most the pages up to this one
+    shown = F.least(F.lit(max(page, 1)), F.greatest(F.ceil(F.col("total") / size), F.lit(1)))
+    rows = first.withColumn("place", place).join(F.broadcast(total)).withColumn("shown", shown)
+    return rows.where((F.col("place") > (F.col("shown") - 1) * size) & (F.col("place") <= F.col("shown") * size)).select("product_id", "low_bani")
 
 
 def price_chart(history: DataFrame, kinds: int = 3) -> DataFrame:
@@ -56,8 +60,8 @@ def merchant_provenance(placed: DataFrame) -> DataFrame:
 
 def gap_analysis(pending: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Unresolved rows per group, with the upper median of their score."""
-    out = pending.groupBy(*keys).agg(F.count(F.lit(1)).alias("pending"), F.array_sort(F.collect_list(score)).alias("s"))
-    return out.select(*keys, "pending", F.get("s", F.floor(F.col("pending") / 2).cast("int")).alias("median_upper"))
+    out = at_places(pending, keys, score, {"median_upper": F.floor(F.col("n") / 2)})
+    return out.select(*keys, F.col("n").alias("pending"), "median_upper")
 
 
 def token_coverage(vocabulary: DataFrame, top: int = 50) -> DataFrame:

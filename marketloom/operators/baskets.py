@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom import constants as C
@@ -31,8 +31,12 @@ def best_single(totals: DataFrame) -> DataFrame:
     return totals.where("missing = 0 and meets_minimum").withColumn("rn", F.row_number().over(order)).where("rn = 1").select("basket_id", "merchant_id", "total_bani")
 
 
-def split(lines: DataFrame, current: DataFrame, stores: int = C.MAX_STORES) -> DataFrame:
-    """Greedy split: the cheapest shop per line, the ``stores`` shops of most value stay, other lines move to those."""
+def split(lines: DataFrame, current: DataFrame, merchants: DataFrame, stores: int = C.MAX_STORES) -> DataFrame:
+    """Greedy split: the cheapest shop per line, the ``stores`` shops of most value stay, other lines move to those.
+
+    Every shop asks its own delivery fee; ``missing`` counts the basket's lines
+    that none of the shops kept sells.  A basket without any offer has no row.
+    """
     rows = priced_lines(lines, current)
     first = Window.partitionBy("basket_id", "product_id").orderBy("cost", "merchant_id")
     best = rows.withColumn("rn", F.row_number().over(first)).where("rn = 1")
@@ -40,7 +44,12 @@ def split(lines: DataFrame, current: DataFrame, stores: int = C.MAX_STORES) -> D
     keep = value.withColumn("rn", F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("value"), "merchant_id"))).where(F.col("rn") <= stores)
     moved = rows.join(keep.select("basket_id", "merchant_id"), ["basket_id", "merchant_id"], "left_semi")
     moved = moved.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    return moved.groupBy("basket_id", "merchant_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("cost").alias("goods_bani"))
+    out = moved.groupBy("basket_id", "merchant_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("cost").alias("goods_bani"))
+    size = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("all_lines"))
+    out = out.join(size, "basket_id").join(merchants.select("merchant_id", "delivery_fee", "free_over"), "merchant_id")
+    fee = F.when(F.col("goods_bani") >= F.col("free_over"), 0).otherwise(F.col("delivery_fee"))
+    taken = F.sum("lines").over(Window.partitionBy("basket_id"))
+    return out.select("basket_id", "merchant_id", "lines", "goods_bani", fee.alias("delivery_bani"), (F.col("all_lines") - taken).alias("missing"))
 
 
 def class_pick(current: DataFrame, favourites: DataFrame) -> DataFrame:
@@ -61,13 +70,31 @@ def index_per_shop(current: DataFrame) -> DataFrame:
     return best.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("classes"), F.sum("p").alias("total_bani"))
 
 
-def ladder_unit_price(offers: DataFrame) -> DataFrame:
-    """Price per piece at 1, 3 and 6 pieces for shops with a quantity ladder (95 %, 90 %)."""
+def ladder_unit_price(offers: DataFrame, pieces: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+    """Totals at numbers of pieces for offers with a sound quantity ladder (tiers: array<struct<qty,bani>>)."""
+    tiers, p = F.col("tiers"), F.col("price_bani")
+    at = [S.tiered_total(tiers, p, F.lit(q)).cast("long").alias(f"total_{q}") for q in pieces]
+    return offers.where(tiers.isNotNull() & S.valid_tiers(tiers, p)).select("product_id", "merchant_id", *at)
+
+
+def ladder_hints(offers: DataFrame, qty: Column, within: int = 2) -> DataFrame:
+    """Rungs to show, the discount of the best one, and the hint that a few pieces more cost less in all.
+
+    Shown are rungs above one piece and below the base, but not those that a
+    later rung is dearer than.  A hint names the next rung at most ``within``
+    pieces away whose total is below that of ``qty`` pieces now.
+    """
     p = F.col("price_bani")
-    tiers = F.array(F.struct(F.lit(3).alias("qty"), S.half_up(p * 95 / 100).alias("bani")), F.struct(F.lit(6).alias("qty"), S.half_up(p * 90 / 100).alias("bani")))
-    rows = offers.where("merchant_id % 5 = 0").withColumn("tiers", tiers)
-    at = [S.tiered_total(F.col("tiers"), p, F.lit(q)).cast("long").alias(f"total_{q}") for q in (1, 3, 6)]
-    return rows.where(S.valid_tiers(F.col("tiers"), p)).select("product_id", "merchant_id", *at)
+    good = F.filter("tiers", lambda t: (t["qty"] > 1) & (t["bani"] < p))
+    rows = offers.where("tiers is not null").withColumn("_good", F.array_sort(good)).withColumn("_qty", qty)
+    shown = F.filter("_good", lambda t: ~F.exists("_good", lambda u: (u["qty"] > t["qty"]) & (u["bani"] > t["bani"])))
+    rows = rows.withColumn("_shown", shown).withColumn("_now", S.tiered_total(F.col("_shown"), p, F.col("_qty")))
+    nearer = F.filter("_shown", lambda t: (t["qty"] > F.col("_qty")) & (t["qty"] <= F.col("_qty") + within) & (t["qty"] * t["bani"] < F.col("_now")))
+    best = F.array_min(F.transform("_shown", lambda t: t["bani"]))
+    return rows.select(
+        "product_id", "merchant_id", F.size("_shown").alias("rungs"), S.half_up((p - best) * 10000 / p).alias("discount_bp"),
+        F.get(nearer, F.lit(0))["qty"].alias("hint_qty"), (F.col("_now") - F.get(nearer, F.lit(0))["qty"] * F.get(nearer, F.lit(0))["bani"]).alias("hint_saves"),
+    )
 
 
 def smeared_ladders(offers: DataFrame) -> DataFrame:

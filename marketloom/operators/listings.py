@@ -60,12 +60,20 @@ def product_signals(offers: DataFrame, current: Column, history: DataFrame, sinc
     return out.withColumn("deal_score_bp", F.greatest("spread_bp", "drop_bp"))
 
 
-def deals(signals: DataFrame, summary: DataFrame, limit: int = 60) -> DataFrame:
-    """Products worth showing: two live offers or more and a score of 8 % or more."""
-    good = signals.where((F.col("live") >= C.DEAL_MIN_OFFERS) & (F.col("deal_score_bp") >= C.DEAL_MIN_SCORE * 100))
-    out = good.join(summary.where(F.col("offer_count") >= 2), "product_id")
-    saving = S.half_up(F.col("savings_bani") * 10000 / F.col("highest_bani"))
-    return out.select("product_id", "deal_score_bp", "lowest_bani", "highest_bani", saving.alias("savings_bp")).orderBy(F.desc("deal_score_bp"), "product_id").limit(limit)
+def deals(offers: DataFrame, current: Column, history: DataFrame, since: Column, limit: int = 60) -> DataFrame:
+    """Products worth showing: two live offers or more and a score of 8 % or more.
+
+    Signals and summary come from one aggregation of the offers: current offers
+    are never stale, so both look at the same prices.
+    """
+    price = F.when(current, F.col("price_bani"))
+    live = offers.groupBy("product_id").agg(F.min(price).alias("lo"), F.max(price).alias("hi"), F.count_if(current).alias("live")).where(F.col("live") >= C.DEAL_MIN_OFFERS)
+    drops = drop_pct(daily_low(history.where(F.col("recorded_at") >= since))).select("product_id", "drop_bp")
+    saving = S.half_up((F.col("hi") - F.col("lo")) * 10000 / F.col("hi"))
+    out = live.join(drops, "product_id", "left").withColumn("deal_score_bp", F.greatest(saving, F.coalesce("drop_bp", F.lit(0))))
+    out = out.where(F.col("deal_score_bp") >= C.DEAL_MIN_SCORE * 100)
+    out = out.select("product_id", "deal_score_bp", F.col("lo").alias("lowest_bani"), F.col("hi").alias("highest_bani"), saving.alias("savings_bp"))
+    return out.orderBy(F.desc("deal_score_bp"), "product_id").limit(limit)
 
 
 def price_story(history: DataFrame, current_low: DataFrame, now: Column) -> DataFrame:

@@ -21,20 +21,31 @@ def head_noun_frequency(products: DataFrame) -> DataFrame:
     return products.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("products"))
 
 
-def _sized(products: DataFrame) -> DataFrame:
-    """Products with their head word and the bucket of their size (steps a little over 6 %)."""
+def _size_step(size: str, tolerance: float) -> Column:
+    """Number of the size's step; sizes within the tolerance are in one step or in neighbouring ones."""
+    return F.floor(F.ln(F.greatest(F.col(size), F.lit(1e-6))) / F.ln(F.lit(1.01 / (1 - tolerance))))
+
+
+def _sized(products: DataFrame, tolerance: float) -> DataFrame:
+    """Products with their head word and the step of their size."""
     head = S.head_noun(S.tokens(S.normalize(F.col("name"))), F.array().cast("array<string>"), F.array().cast("array<string>"))
-    bucket = F.floor(F.ln("unit_size") / F.ln(F.lit(1 / (1 - C.SIZE_TOLERANCE))))
-    return products.where("unit_size > 0").select("id", "section", "unit", "unit_size", "brand", head.alias("head"), bucket.alias("bucket"))
+    rows = products.where("unit_size > 0").withColumn("head", head)
+    return rows.select("id", "section", "unit", "unit_size", "head", _size_step("unit_size", tolerance).alias("bucket"))
+
+
+def _neighbours(column: str) -> Column:
+    return F.explode(F.array(*(F.col(column) + d for d in (-1, 0, 1))))
 
 
 def structural_candidates(products: DataFrame, tolerance: float = C.SIZE_TOLERANCE) -> DataFrame:
-    """Pairs with the same section, unit and head word whose sizes differ by ``tolerance`` at most.
+    """Pairs with the same section, unit and head word whose sizes differ by ``tolerance`` (under 1) at most.
 
-    A range join as an equi join: sizes in steps of the tolerance, neighbours included.
+    A range join as an equi join: sizes in steps of the tolerance, neighbours
+    included.  Step and size are parts of the key, so a frequent head word is
+    spread over them.
     """
-    a = _sized(products).alias("a")
-    b = _sized(products).withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1))))).alias("b")
+    a = _sized(products, tolerance).alias("a")
+    b = _sized(products, tolerance).withColumn("bucket", _neighbours("bucket")).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("section", "unit", "head", "bucket")]
     near = F.abs(F.col("a.unit_size") - F.col("b.unit_size")) <= tolerance * F.col("a.unit_size") + 1e-9
     on = same[0] & same[1] & same[2] & same[3] & near & (F.col("a.id") != F.col("b.id"))
@@ -51,12 +62,19 @@ def alternatives(products: DataFrame, current: DataFrame, limit: int = 8) -> Dat
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("id", "other_id", "low", "place")
 
 
-def semantic_candidates(vectors: DataFrame, least: float = C.COSINE_MIN) -> DataFrame:
-    """Pairs of one section with cosine ``least`` or more; (vec_id, embedding, label)."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    dot = S.cosine(F.col("a.embedding"), F.col("b.embedding"))
-    on = (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))
-    return a.join(b, on).where(dot >= least).select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("other_id"))
+def semantic_candidates(products: DataFrame, least: float = C.COSINE_MIN, tolerance: float = C.SIZE_TOLERANCE) -> DataFrame:
+    """Pairs (id < other_id) of one section and unit, near sizes, and cosine ``least`` or more.
+
+    Needs id, section, unit, unit_size and embedding (unit vectors).  Only pairs
+    that share section, unit and a neighbouring size step are compared.
+    """
+    rows = products.where("unit_size > 0").withColumn("bucket", _size_step("unit_size", tolerance))
+    a, b = rows.alias("a"), rows.withColumn("bucket", _neighbours("bucket")).alias("b")
+    same = (F.col("a.section") == F.col("b.section")) & (F.col("a.unit") == F.col("b.unit")) & (F.col("a.bucket") == F.col("b.bucket"))
+    near = F.abs(F.col("a.unit_size") - F.col("b.unit_size")) <= tolerance * F.col("a.unit_size") + 1e-9
+    pairs = a.join(b, same & near & (F.col("a.id") < F.col("b.id")))
+    cosine = S.cosine(F.col("a.embedding"), F.col("b.embedding"))
+    return pairs.where(cosine >= least).select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"))
 
 
 def _literal(words: list[str]) -> Column:
@@ -77,6 +95,56 @@ def _codes(tokens: str, size: str) -> Column:
     return F.coalesce(F.array_except(codes, sizes), F.array().cast("array<string>"))
 
 
+def variant_words(name: Column) -> Column:
+    """Words and percentages of a name, with "fara x" as one word."""
+    words = S.tokens(S.normalize(name))
+    percent = F.transform(F.regexp_extract_all(name, F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*%"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")))
+    follows = F.transform(words, lambda w, i: F.when((w == "fara") & F.get(words, i + 1).isin(C.WITHOUT), F.concat(F.lit("fara-"), F.get(words, i + 1))))
+    return F.array_distinct(F.concat(words, percent, F.filter(follows, lambda w: w.isNotNull())))
+
+
+def variant_conflict(a: Column, b: Column) -> Column:
+    """The first class of which both names (``variant_words``) state a value and share none; else null.
+
+    Forms of one flavour are one value.
+    """
+    forms = {form: group[0] for group in C.FLAVOUR_FORMS for form in group[1:]}
+    one_form = F.create_map(*(F.lit(x) for kv in forms.items() for x in kv))
+    out = F.lit(None).cast("string")
+    for kind, values in reversed(C.VARIANT_CLASSES.items()):
+        if kind == "qualifier":
+            values = values + [f"fara-{w}" for w in C.WITHOUT]
+        x, y = (F.array_intersect(side, _literal(values)) for side in (a, b))
+        if kind == "flavour":
+            x, y = (F.transform(side, lambda w: F.coalesce(F.try_element_at(one_form, w), w)) for side in (x, y))
+        out = F.when((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y), kind).otherwise(out)
+    return out
+
+
+def descriptor_conflict(a: Column, b: Column) -> Column:
+    """Whether words on the two sides describe one dimension differently."""
+    out = F.lit(False)
+    for dimension, values in C.DESCRIPTORS.items():
+        if dimension:
+            x, y = (F.array_intersect(side, _literal(values)) for side in (a, b))
+            out = out | ((F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)) > 0))
+    return out
+
+
+def _fuzzy_except(a: Column, b: Column) -> Column:
+    """Words of a that no word of b equals, starts with (three letters or more) or differs from in one letter (six or more)."""
+    alike = lambda x, y: (
+        (x == y) | ((F.least(F.length(x), F.length(y)) >= 3) & (F.startswith(x, y) | F.startswith(y, x)))
+        | ((F.length(x) == F.length(y)) & (F.length(x) >= 6) & (F.levenshtein(x, y) == 1))
+    )
+    return F.filter(a, lambda x: ~F.exists(b, lambda y: alike(x, y)))
+
+
+def overlap_words(name: Column) -> Column:
+    """Words that say what a product is: no stop words, numbers, sizes or units."""
+    return F.array_distinct(F.filter(S.tokens(S.normalize(name)), lambda w: ~w.isin(C.MATCH_STOP) & ~w.isin(C.UNIT_NOISE) & ~w.rlike(r"^[0-9]+(ml|l|kg|g|gr|cl|mg|mcg|ui|iu|buc|x)?$")))
+
+
 def decide(pairs: DataFrame) -> DataFrame:
     """Band, reason and score of (catalog, store) pairs, by the first rule that fits.
 
@@ -85,33 +153,44 @@ def decide(pairs: DataFrame) -> DataFrame:
     columns.
     """
     ct, st = S.tokens(S.normalize(F.col("c_name"))), S.tokens(S.normalize(F.col("s_name")))
-    rows = pairs.withColumn("_ct", ct).withColumn("_st", st).withColumn("jaccard", S.jaccard(F.col("_ct"), F.col("_st")))
+    rows = pairs.withColumn("_ct", ct).withColumn("_st", st)
+    rows = rows.withColumn("_co", overlap_words(F.col("c_name"))).withColumn("_so", overlap_words(F.col("s_name")))
+    rows = rows.withColumn("_cl", _fuzzy_except(F.col("_co"), F.col("_so"))).withColumn("_sl", _fuzzy_except(F.col("_so"), F.col("_co")))
+    shared = F.greatest(F.size("_co") - F.size("_cl"), F.size("_so") - F.size("_sl"))
+    union = shared + F.size("_cl") + F.size("_sl")
+    rows = rows.withColumn("jaccard", F.when((F.size("_co") > 0) & (F.size("_so") > 0), shared / union).otherwise(0.0))
+    rows = rows.withColumn("_variant", variant_conflict(variant_words(F.col("c_name")), variant_words(F.col("s_name"))))
     head = S.head_noun(F.col("_ct"), S.tokens(S.normalize(F.col("c_brand"))), _literal(C.VARIANT_MARKERS))
     packs = F.lit(False)
     if {"c_pack", "s_pack"} <= set(pairs.columns):
         packs = (F.col("c_pack") != F.col("s_pack")) & (F.greatest("c_pack", "s_pack") > 1)
-    cv, sv = _variants("_ct"), _variants("_st")
+    cv, sv = _variants("_co"), _variants("_so")
     cc, sc = _codes("_ct", "c_size"), _codes("_st", "s_size")
     brand, store = S.normalize(F.col("c_brand")), S.normalize(F.concat_ws(" ", "s_brand", "s_name"))
     brand_hit = (brand != "") & F.contains(store, brand)
+    in_name = F.contains(S.normalize(F.col("s_name")), head)
     j = F.col("jaccard")
     cd, sd = S.dose_tokens(F.col("c_name")), S.dose_tokens(F.col("s_name"))
     score = F.least(F.lit(1.0), 0.45 + 0.4 * j + 0.15 * brand_hit.cast("int"))
     band_by = lambda ok: F.when(ok, "REVIEW").otherwise("REJECT")
     overlap = F.when(F.col("section") == "grocery", 0.55).otherwise(0.60)
-    few = (F.size("_ct") >= 2) & (F.size("_st") >= 2) & (j < overlap)
-    left, right = F.size(F.array_except("_ct", "_st")), F.size(F.array_except("_st", "_ct"))
+    few = (F.size("_co") >= 2) & (F.size("_so") >= 2) & (j < overlap)
+    described = [w for values in C.DESCRIPTORS.values() for w in values]
+    left, right = F.size("_cl"), F.size("_sl")
+    both_left = (F.size(F.array_except("_cl", _literal(described))) > 0) & (F.size(F.array_except("_sl", _literal(described))) > 0)
     rules = [
         (S.ean_ok(F.col("c_ean")) & (F.col("c_ean") == F.col("s_ean")), "ean", F.lit("AUTO"), F.lit(1.0)),
         (F.col("c_size").isNull() | F.col("s_size").isNull() | (F.col("c_unit") != F.col("s_unit")), "size-unit", F.lit("REJECT"), F.lit(0.0)),
         (F.abs(F.col("c_size") - F.col("s_size")) > C.SIZE_TOLERANCE * F.col("c_size") + 1e-9, "size", F.lit("REJECT"), F.lit(0.0)),
-        ((head != "") & ~F.contains(store, head), "head-noun", F.lit("REJECT"), F.lit(0.0)),
+        ((head != "") & ~in_name, "head-noun", F.lit("REJECT"), F.lit(0.0)),
         ((brand != "") & ~brand_hit, "brand", F.lit("REJECT"), F.lit(0.0)),
-        (packs, "pack-shape", F.lit("REJECT"), F.lit(0.0)),
-        ((left > 0) & (right > 0) & (j < 0.5), "mutually-distinct", band_by(j >= C.REVIEW_BAND), j),
-        (F.size(F.array_except(cv, sv)) + F.size(F.array_except(sv, cv)) > 0, "variant-mismatch", F.lit("REJECT"), F.lit(0.0)),
-        ((cd != "") & (sd != "") & (cd != sd), "dose-mismatch", F.lit("REJECT"), F.lit(0.0)),
-        ((F.size(cc) > 0) & (F.size(sc) > 0) & ~F.arrays_overlap(cc, sc), "variant-code-mismatch", F.lit("REJECT"), F.lit(0.0)),
+        (F.col("_variant").isNotNull(), F.concat(F.lit("variant-"), F.col("_variant")), F.lit("REJECT"), j),
+        (packs, "pack-shape", F.lit("REJECT"), j),
+        ((left > 0) & (right > 0) & descriptor_conflict(F.col("_cl"), F.col("_sl")), "descriptor-conflict", band_by(j >= C.REVIEW_BAND), j),
+        (both_left, "mutually-distinct", band_by(j >= C.REVIEW_BAND), j),
+        (F.size(F.array_except(cv, sv)) + F.size(F.array_except(sv, cv)) > 0, "variant-mismatch", F.lit("REJECT"), j),
+        ((cd != "") & (sd != "") & (cd != sd), "dose-mismatch", F.lit("REJECT"), j),
+        ((F.size(cc) > 0) & (F.size(sc) > 0) & ~F.arrays_overlap(cc, sc), "variant-code-mismatch", F.lit("REJECT"), j),
         (few, "low-overlap", band_by(j >= C.REVIEW_BAND), j),
     ]
     reason = F.when(brand_hit, "brand+size").otherwise("name+size")
@@ -121,13 +200,7 @@ def decide(pairs: DataFrame) -> DataFrame:
         ok = F.coalesce(ok, F.lit(False))
         reason, band, value = F.when(ok, name).otherwise(reason), F.when(ok, b).otherwise(band), F.when(ok, s).otherwise(value)
     out = rows.withColumn("reason", reason).withColumn("band", band).withColumn("score_bp", S.half_up(value * 10000))
-    return out.drop("_ct", "_st", "jaccard")
-
-
-def _size_bucket(size: str) -> Column:
-    """Steps a little wider than the tolerance, so that sizes within it are one step apart at most."""
-    step = F.ln(F.lit(1.01 / (1 - C.SIZE_TOLERANCE)))
-    return F.floor(F.ln(F.greatest(F.col(size), F.lit(1e-6))) / step)
+    return out.drop("_ct", "_st", "_co", "_so", "_cl", "_sl", "_variant", "jaccard")
 
 
 def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
@@ -140,9 +213,9 @@ def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     """
     words, brand, markers = S.tokens(S.normalize(F.col("name"))), S.tokens(S.normalize(F.col("brand"))), _literal(C.VARIANT_MARKERS)
     heads = F.array_distinct(F.array(S.head_noun(words, F.array().cast("array<string>"), markers), S.head_noun(words, brand, markers)))
-    c = catalog.where("unit_size IS NOT NULL").select("id", "unit", _size_bucket("unit_size").alias("bucket"), F.explode(heads).alias("word")).where("word <> ''")
-    p = pool.where("unit_size IS NOT NULL").select("item_id", "unit", _size_bucket("unit_size").alias("bucket"), F.explode(F.array_distinct(words)).alias("word"))
-    p = p.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))))
+    c = catalog.where("unit_size IS NOT NULL").select("id", "unit", _size_step("unit_size", C.SIZE_TOLERANCE).alias("bucket"), F.explode(heads).alias("word")).where("word <> ''")
+    p = pool.where("unit_size IS NOT NULL").select("item_id", "unit", _size_step("unit_size", C.SIZE_TOLERANCE).alias("bucket"), F.explode(F.array_distinct(words)).alias("word"))
+    p = p.withColumn("bucket", _neighbours("bucket"))
     ids = c.join(p, ["unit", "bucket", "word"]).select("id", "item_id")
     if "ean" in catalog.columns and "ean" in pool.columns:
         valid = S.ean_ok(F.col("ean"))

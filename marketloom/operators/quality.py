@@ -90,16 +90,29 @@ def staleness_bands(placed: DataFrame, now: Column) -> DataFrame:
     return placed.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("offers"), F.countDistinct("merchant_id").alias("merchants"))
 
 
+def at_places(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Per key the count n and the values at 0-based places (Columns over n) of its sorted values.
+
+    Equal values are counted first, and a running sum over the distinct ones
+    finds the places, so no group is gathered.
+    """
+    counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_to", upto).withColumn("n", F.sum("_c").over(group))
+    here = lambda at: F.max(F.when((at >= F.col("_to") - F.col("_c")) & (at < F.col("_to")), F.col("_v")))
+    return counts.groupBy(*keys).agg(F.max("n").alias("n"), *(here(at).alias(name) for name, at in places.items()))
+
+
 def pool_sizes(history: DataFrame) -> DataFrame:
     """Per merchant the four conventions of the middle and of the 95th percentile of its prices."""
-    p = F.array_sort(F.collect_list("price_bani"))
-    rows = history.groupBy("merchant_id").agg(p.alias("s"), F.count(F.lit(1)).alias("n"))
-    at = lambda i: F.get(F.col("s"), i.cast("int"))
-    lower, upper = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
-    return rows.select(
-        "merchant_id", (lower + upper).alias("median_x2"), upper.alias("median_upper"),
-        at(F.least(F.col("n") - 1, F.floor(F.col("n") * 95 / 100))).alias("p95_pn"), at(F.floor((F.col("n") - 1) * 95 / 100)).alias("p95_qn1"),
-    )
+    n = F.col("n")
+    places = {
+        "lower": F.floor((n - 1) / 2), "median_upper": F.floor(n / 2),
+        "p95_pn": F.least(n - 1, F.floor(n * 95 / 100)), "p95_qn1": F.floor((n - 1) * 95 / 100),
+    }
+    rows = at_places(history, ["merchant_id"], "price_bani", places)
+    return rows.select("merchant_id", (F.col("lower") + F.col("median_upper")).alias("median_x2"), "median_upper", "p95_pn", "p95_qn1")
 
 
 def parse_tally(parsed: DataFrame, raw: str, value: str, most_null: float = 0.05, least_rows: int = 20) -> DataFrame:

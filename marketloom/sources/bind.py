@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = "2001-11-05 00:00:00"
@@ -51,27 +51,41 @@ class Tables:
             F.when(key % 7 == 0, 5000).cast("long").alias("min_order"),
         )
 
-    @property
-    def history(self) -> DataFrame:
-        """One row per price observation of a product at a merchant."""
-        part = self.read("part").select("p_partkey", "p_retailprice")
-        rows = self.read("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-        return rows.select(
-            F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("merchant_id"),
-            F.floor(F.col("p_retailprice") * (1 - F.col("l_discount")) * 100 + 0.5).cast("long").alias("price_bani"),
-            F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").alias("reference_bani"),
+    def _observed(self) -> DataFrame:
+        """One row per price observation, before products are joined."""
+        return self.read("lineitem").select(
+            F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("merchant_id"), F.col("l_discount").alias("discount"),
             F.col("l_shipdate").alias("recorded_at"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"),
             ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).alias("flagged"),
-            F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), "out of stock").otherwise("in stock").alias("availability"),
-            (F.col("l_quantity") >= 49).alias("is_stale"),
-            F.when(F.col("l_linenumber") % 5 == 0, F.col("l_shipdate") + F.expr("interval 400 days")).alias("promo_valid_to"),
+            ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")).alias("sold_out"), (F.col("l_quantity") >= 49).alias("is_stale"),
+        )
+
+    def _priced(self, observed: DataFrame) -> DataFrame:
+        part = self.read("part").select(F.col("p_partkey").alias("product_id"), "p_retailprice")
+        return observed.join(part, "product_id").select(
+            "product_id", "merchant_id", F.floor(F.col("p_retailprice") * (1 - F.col("discount")) * 100 + 0.5).cast("long").alias("price_bani"),
+            F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").alias("reference_bani"), "recorded_at", "ord", "line", "flagged",
+            F.when(F.col("sold_out"), "out of stock").otherwise("in stock").alias("availability"), "is_stale",
+            F.when(F.col("line") % 5 == 0, F.col("recorded_at") + F.expr("interval 400 days")).alias("promo_valid_to"),
         )
 
+    @property
+    def history(self) -> DataFrame:
+        """One row per price observation of a product at a merchant."""
+        return self._priced(self._observed())
+
     @property
     def offer(self) -> DataFrame:
-        """The latest observation of every (product, merchant)."""
-        newest = Window.partitionBy("product_id", "merchant_id").orderBy(F.desc("recorded_at"), F.desc("ord"), F.desc("line"))
-        return self.history.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+        """The latest observation of every (product, merchant).
+
+        Time, order and line make one decimal, so that the latest values are
+        found by a hash aggregation that combines before the shuffle; products
+        are joined to what is left.
+        """
+        micros = F.unix_micros(F.col("recorded_at").cast("timestamp")).cast("decimal(20,0)")
+        rows = self._observed().withColumn("_at", (micros * F.lit(10**15).cast("decimal(17,0)") + F.col("ord") * 100 + F.col("line")).cast("decimal(38,0)"))
+        kept = [c for c in rows.columns if c not in ("product_id", "merchant_id", "_at")]
+        return self._priced(rows.groupBy("product_id", "merchant_id").agg(*(F.max_by(c, "_at").alias(c) for c in kept)))
 
     @property
     def current(self) -> DataFrame:

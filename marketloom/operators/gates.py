@@ -224,6 +224,14 @@ def invariant_transitions(nights: DataFrame) -> DataFrame:
     return rows.select("name", "day", F.when(F.col("ok"), "mended").otherwise("broken").alias("change"))
 
 
+def regressions(nights: DataFrame) -> DataFrame:
+    """Invariants (name, day, ok) that held on the night before last and broke on the last one."""
+    newest = Window.partitionBy("name").orderBy(F.desc("day"))
+    rows = nights.withColumn("rn", F.row_number().over(newest)).where("rn <= 2").groupBy("name")
+    out = rows.agg(*(F.max(F.when(F.col("rn") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("day", "ok")))
+    return out.where("ok2 and not ok1").select("name", F.col("day2").alias("before_day"), F.col("day1").alias("day"))
+
+
 def register_difference(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Values in use outside a register, and registered ones not in use."""
     used = rows.select(F.col(column).alias("value")).distinct().withColumn("used", F.lit(True))

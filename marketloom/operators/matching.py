@@ -223,6 +223,20 @@ def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
+def decided_pairs(catalog: DataFrame, pool: DataFrame) -> DataFrame:
+    """Every candidate pair with its decision, rejected ones too; both sides' columns as c_ and s_."""
+
+    def ean(rows: DataFrame) -> Column:
+        return F.col("ean") if "ean" in rows.columns else F.lit(None).cast("string")
+
+    def side(rows: DataFrame, prefix: str, kept: list[str]) -> DataFrame:
+        names = {"name": "name", "brand": "brand", "unit": "unit", "unit_size": "size"}
+        return rows.select(*kept, *(F.col(c).alias(prefix + n) for c, n in names.items()), ean(rows).alias(prefix + "ean"))
+
+    ids = match_candidates(catalog, pool)
+    return decide(ids.join(side(catalog, "c_", ["id", "section"]), "id").join(side(pool, "s_", ["item_id"]), "item_id"))
+
+
 def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     """Each store item's decided catalog products: ``match_candidates``, decisions, fan-out vetoed.
 
@@ -230,14 +244,7 @@ def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     pool: item_id and the same.  A store item that is AUTO for two products or
     more goes to review, but for pairs of one EAN.
     """
-
-    def ean(rows: DataFrame) -> Column:
-        return F.col("ean") if "ean" in rows.columns else F.lit(None).cast("string")
-
-    ids = match_candidates(catalog, pool)
-    left = catalog.select("id", "section", F.col("name").alias("c_name"), F.col("brand").alias("c_brand"), F.col("unit").alias("c_unit"), F.col("unit_size").alias("c_size"), ean(catalog).alias("c_ean"))
-    right = pool.select("item_id", F.col("name").alias("s_name"), F.col("brand").alias("s_brand"), F.col("unit").alias("s_unit"), F.col("unit_size").alias("s_size"), ean(pool).alias("s_ean"))
-    out = decide(ids.join(left, "id").join(right, "item_id")).where("band <> 'REJECT'")
+    out = decided_pairs(catalog, pool).where("band <> 'REJECT'")
     autos = F.count_if(F.col("band") == "AUTO").over(Window.partitionBy("item_id"))
     veto = (F.col("band") == "AUTO") & (F.col("autos") >= 2) & (F.col("reason") != "ean")
     out = out.withColumn("autos", autos)

@@ -73,7 +73,8 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, slic
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     rows = rows.withColumn("_row", F.row_number().over(inside) - 1)
-    same = [rows[c].eqNullSafe(starts[c]) for c in group] + [rows["_slice"] == starts["_slice"]]
+    # plain equality keeps the window's partitioning for the join
+    same = [rows[c].eqNullSafe(starts[c]) if rows.schema[c].nullable else rows[c] == starts[c] for c in group] + [rows["_slice"] == starts["_slice"]]
     on = same[0]
     for c in same[1:]:
         on = on & c

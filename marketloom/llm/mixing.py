@@ -51,13 +51,13 @@ def cycle_of(weights: list[int], left: list[int] | None = None) -> list[int]:
     return out
 
 
-def schedule(blocks: dict[str | None, int], weights: dict[str | None, int]) -> list[dict]:
+def schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     """Plan rows: blocks first..last-1 of a source lie in a phase's cycles at ``slots``."""
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
     out, start, phase = [], 0, 0
     while left:
-        names = sorted(left, key=lambda s: (s is None, s or ""))
+        names = sorted(left)
         own = [weights[s] for s in names]
         full = min(left[s] // weights[s] for s in names)
         # whole cycles, then one that ends when a source has no block left
@@ -112,15 +112,18 @@ def mix(
     rows = numbered(docs)
     id_, source = (f"c{names.index(c)}" for c in (id_col, source_col))
     text = F.col(source).cast("string")
-    rows = rows.withColumn("_source", F.when(text.isin(list(weights)), text) if weights else F.lit(None).cast("string"))
+    pool = "others"
+    while pool in weights:
+        pool += "*"
+    own = weights | {pool: default_weight}
+    rows = rows.withColumn("_source", F.coalesce(F.when(text.isin(list(weights)), text), F.lit(pool)) if weights else F.lit(pool))
     sizes = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
     counts = {r[0]: r[1] for r in sizes.collect()}  # one row more than weights at most
-    own = {s: weights.get(s, default_weight) for s in counts}
     plan = _plan_frame(spark, schedule({s: -(-n // block) for s, n in counts.items()}, own))
     slices = max(64, sum(counts.values()) // 100_000)
     rows = ranked(rows, ["_source"], [F.xxhash64(id_), F.col(id_)], "_rank", slices)
     rows = rows.withColumn("_block", F.floor(F.col("_rank") / block))
-    here = rows["_source"].eqNullSafe(plan["source"]) & (rows["_block"] >= plan["first"]) & (rows["_block"] < plan["last"])
+    here = (rows["_source"] == plan["source"]) & (rows["_block"] >= plan["first"]) & (rows["_block"] < plan["last"])
     step = F.col("_block") - plan["first"]
     slot = plan["start"] + F.floor(step / plan["per_cycle"]) * plan["cycle"] + F.get(plan["slots"], (step % plan["per_cycle"]).cast("int"))
     out = rows.join(F.broadcast(plan), here).withColumn("_slot", slot.cast("long"))

@@ -657,4 +657,4 @@ _query(
     "SELECT id, 'ML' AS read_unit, CAST(id % 7 + 2 AS INTEGER) AS packs, CAST(floor((id % 7 + 2) * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM product",
 )
 
-from marketloom import catalog_gates, catalog_shopping  # noqa: E402, F401  register further queries
+from marketloom import catalog_gates, catalog_pages, catalog_shopping  # noqa: E402, F401  register further queries

@@ -218,9 +218,10 @@ _query(
 )
 _query(
     "missing_nights",
-    lambda t: series.missing_nights(t.runs),
-    """, s AS (SELECT merchant, min(day) AS a, max(day) AS b FROM runs GROUP BY 1), d AS (SELECT merchant, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM s)
-  SELECT d.merchant, d.day FROM d ANTI JOIN runs r ON r.merchant = d.merchant AND r.day = d.day""",
+    # every user a source of its own, which is silent on some days
+    lambda t: series.missing_nights(t.read("events").select(F.col("user_id").alias("merchant"), F.to_date("ts").alias("day")).distinct()),
+    """, runs1 AS (SELECT DISTINCT user_id AS merchant, CAST(ts AS DATE) AS day FROM events), s AS (SELECT merchant, min(day) AS a, max(day) AS b FROM runs1 GROUP BY 1), d AS (SELECT merchant, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM s)
+  SELECT d.merchant, d.day FROM d ANTI JOIN runs1 r ON r.merchant = d.merchant AND r.day = d.day""",
 )
 _query(
     "restock_gap",
@@ -237,13 +238,32 @@ def _packs(t: Tables) -> DataFrame:
     return rows.where("size > 0")
 
 
-_query("shrinkflation", lambda t: series.shrinkflation(_packs(t)))
+_query(
+    "shrinkflation",
+    lambda t: series.shrinkflation(_packs(t)),
+    """WITH p AS (SELECT l_partkey AS product_id, l_shipdate AS recorded_at, min(l_quantity) AS size, min(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS price_bani FROM lineitem GROUP BY 1, 2),
+  l AS (SELECT *, last_value(size) OVER (PARTITION BY product_id ORDER BY recorded_at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_size FROM p WHERE size > 0),
+  o AS (SELECT *, max(CASE WHEN size <> last_size THEN recorded_at END) OVER (PARTITION BY product_id) AS other FROM l),
+  g AS (SELECT product_id, count(*) AS n, arg_min(size, recorded_at) AS first_size, any_value(last_size) AS last_size, arg_min(price_bani, recorded_at) AS fb, arg_max(price_bani, recorded_at) AS lb, count(*) FILTER (recorded_at > other) AS confirmed FROM o GROUP BY 1),
+  x AS (SELECT *, CAST(floor((first_size - last_size) * 10000 / first_size::DOUBLE + 0.5) AS BIGINT) AS shrink_bp, CAST(floor((lb / last_size::DOUBLE / (fb / first_size::DOUBLE) - 1) * 10000 + 0.5) AS BIGINT) AS unit_rise_bp FROM g)
+  SELECT product_id, first_size, last_size, shrink_bp, unit_rise_bp FROM x WHERE n >= 3 AND shrink_bp >= 300 AND confirmed >= 2 AND unit_rise_bp >= 200""",
+    bound=False,
+)
 
 _VISIBLE = "(availability = 'in stock' AND NOT flagged AND NOT is_stale AND price_bani > 0 AND NOT coalesce(promo_valid_to < TIMESTAMP '2001-11-05', false))"
+
+
+def _planted(rows: DataFrame, every: int, times: int) -> DataFrame:
+    """The offers, with the price of about one in ``every`` multiplied: faults to be found."""
+    wrong = (F.col("product_id") * 7 + F.col("merchant_id")) % every == 0
+    return rows.withColumn("price_bani", F.when(wrong, F.col("price_bani") * times).otherwise(F.col("price_bani")))
+
+
+_PLANTED = "* REPLACE (CASE WHEN (product_id * 7 + merchant_id) % {every} = 0 THEN price_bani * {times} ELSE price_bani END AS price_bani)"
 _query(
     "outliers",
-    lambda t: quality.outliers(t.offer, predicates.is_visible(now())),
-    f""", v AS (SELECT * FROM offer WHERE {_VISIBLE}), m AS (SELECT product_id, median(price_bani) AS med, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 3)
+    lambda t: quality.outliers(_planted(t.offer, 23, 3), predicates.is_visible(now())),
+    f""", v AS (SELECT {_PLANTED.format(every=23, times=3)} FROM offer WHERE {_VISIBLE}), m AS (SELECT product_id, median(price_bani) AS med, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 3)
   SELECT product_id, merchant_id, price_bani, CAST(floor(med * 2 + 0.5) AS BIGINT) AS median_x2, n FROM v JOIN m USING (product_id) WHERE abs(price_bani - med) > 0.7::DOUBLE * med""",
 )
 _BAG = "array_to_string(list_sort(list_distinct(string_split(lower(name), ' '))), ' ')"
@@ -259,11 +279,16 @@ _query(
     f""", k AS (SELECT id, min(id) OVER (PARTITION BY {_KEY}) AS keep_id FROM product)
   SELECT keep_id AS product_id, merchant_id, min(price_bani) AS price_bani, count(*) AS merged FROM offer JOIN k ON k.id = product_id GROUP BY 1, 2""",
 )
-_query("fanout", lambda t: quality.fan_out(t.offer), "SELECT merchant_id, price_bani, count(DISTINCT product_id) AS products FROM offer GROUP BY 1, 2 HAVING count(DISTINCT product_id) > 3")
+_query(
+    "fanout",
+    # a price in whole tens of lei stands for a store item
+    lambda t: quality.fan_out(t.offer.withColumn("price_bani", F.col("price_bani") - F.col("price_bani") % 1000)),
+    "SELECT merchant_id, price_bani - price_bani % 1000 AS price_bani, count(DISTINCT product_id) AS products FROM offer GROUP BY 1, 2 HAVING count(DISTINCT product_id) > 3",
+)
 _query(
     "orphans",
-    lambda t: quality.orphans(t.adds, t.product, "product_id", "id").select("user_id", "product_id"),
-    "SELECT user_id, product_id FROM adds WHERE product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM product WHERE id = product_id)",
+    lambda t: quality.orphans(t.offer, t.merchant.where("active"), "merchant_id", "merchant_id").select("product_id", "merchant_id"),
+    "SELECT product_id, merchant_id FROM offer WHERE NOT EXISTS (SELECT 1 FROM merchant m WHERE m.merchant_id = offer.merchant_id AND active)",
 )
 _query(
     "full_outer_census_diff",
@@ -293,8 +318,8 @@ _query(
 )
 _query(
     "withheld_spread",
-    lambda t: quality.withheld_spread(t.current),
-    """, p AS (SELECT product_id, merchant_id, CAST(floor(price_bani / unit_size + 0.5) AS BIGINT) AS ppu FROM cur WHERE unit_size > 0), l AS (SELECT *, min(ppu) OVER (PARTITION BY product_id) AS least FROM p WHERE ppu > 0) SELECT * FROM l WHERE ppu >= 2 * least""",
+    lambda t: quality.withheld_spread(_planted(t.current, 13, 2)),
+    f""", p AS (SELECT product_id, merchant_id, CAST(floor(price_bani / unit_size + 0.5) AS BIGINT) AS ppu FROM (SELECT {_PLANTED.format(every=13, times=2)} FROM cur) WHERE unit_size > 0), l AS (SELECT *, min(ppu) OVER (PARTITION BY product_id) AS least FROM p WHERE ppu > 0) SELECT * FROM l WHERE ppu >= 2 * least""",
 )
 _query(
     "staleness_bands",
@@ -552,8 +577,8 @@ _query(
 )
 _query(
     "fabricated",
-    lambda t: audits.fabricated(t.placed),
-    """, g AS (SELECT merchant_id, price_bani, count(*) AS offers, count(DISTINCT name) AS names FROM placed GROUP BY 1, 2),
+    lambda t: audits.fabricated(t.placed.withColumn("price_bani", F.col("price_bani") - F.col("price_bani") % 2000)),
+    """, g AS (SELECT merchant_id, price_bani - price_bani % 2000 AS price_bani, count(*) AS offers, count(DISTINCT name) AS names FROM placed GROUP BY 1, 2),
   w AS (SELECT *, CAST(sum(offers) OVER (PARTITION BY merchant_id) AS BIGINT) AS all_offers FROM g) SELECT * FROM w WHERE all_offers >= 50 AND names >= 2 AND offers * 100 > all_offers * 2""",
 )
 _query(
@@ -615,46 +640,74 @@ _query(
 )
 
 
-def _word_rules(t: Tables) -> DataFrame:
-    """Every word of the names as a category rule of its own."""
-    none = F.lit(None).cast("string")
-    return matching.vocabulary(t.product).select(F.col("token").alias("category"), F.substring("token", 1, 1).alias("department"), F.col("token").alias("word"), none.alias("phrase"), none.alias("avoid"))
+_RULES = [
+    ("fasteners", "hardware", "bolt", None, None), ("rods", "hardware", "rod", None, "hot"), ("gears", "machines", "gear", "large gear", None), ("rings", "jewels", "ring", None, None),
+    ("hot-goods", "kitchen", "hot", "hot plate", "anvil"), ("plates", "kitchen", "plate", None, None), ("second-hand", "used", "old", None, "gizmo"), ("small-parts", "hardware", "small", "small bolt", None),
+]
+
+
+def _rules(t: Tables) -> DataFrame:
+    """A small taxonomy of the names' words, with phrases and words to avoid."""
+    return t.spark.createDataFrame(_RULES, "category string, department string, word string, phrase string, avoid string")
+
+
+_RULES_SQL = ", rules(category, department, word, phrase, avoid) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in _RULES) + ")"
 
 
 def _price_text() -> F.Column:
-    lei = F.col("price_bani")
-    return F.concat(F.floor(lei / 100).cast("string"), F.lit(","), F.lpad((lei % 100).cast("string"), 2, "0"), F.lit(" lei"))
+    """A price written in six ways, some beside a reference, a date or a price per kilogram."""
+    p = F.col("price_bani")
+    whole, cents = F.floor(p / 100).cast("string"), F.lpad((p % 100).cast("string"), 2, "0")
+    comma, dear = F.concat(whole, F.lit(","), cents), F.concat(F.floor(p / 100 + 50).cast("string"), F.lit(",00"))
+    ways = [
+        F.concat(comma, F.lit(" lei")), F.concat(whole, F.lit("."), cents, F.lit(" RON")), F.concat(whole, F.lit(" "), cents, F.lit(" lei")), F.concat(F.lit("Pret: "), comma, F.lit(" lei, in loc de "), dear, F.lit(" lei")),
+        F.concat(comma, F.lit(" lei (valabil pana la 31.12.2001)")), F.concat(comma, F.lit(" lei  9,99 lei/kg")),
+    ]
+    return F.get(F.array(*ways), (F.col("product_id") % len(ways)).cast("int"))
 
 
 _query(
     "category_assign",
-    lambda t: taxonomy.assign_by_name(t.product, _word_rules(t)),
-    "SELECT id, string_split(lower(name), ' ')[1] AS category, 95 AS score, 'AUTO' AS band FROM product",
+    lambda t: taxonomy.assign_by_name(t.product, _rules(t)),
+    _RULES_SQL + """, w AS (SELECT id, string_split(lower(name), ' ') AS t, lower(name) AS norm FROM product), p AS (SELECT id, t, norm, unnest(t) AS word, unnest(range(len(t))) AS pos FROM w),
+  s AS (SELECT id, category, department, max(least(CASE pos WHEN 0 THEN 95 WHEN 1 THEN 90 WHEN 2 THEN 82 WHEN 3 THEN 70 ELSE 50 END + CASE WHEN coalesce(contains(norm, phrase), false) THEN 15 ELSE 0 END, 100)) AS score
+    FROM p JOIN rules r ON r.word = p.word WHERE avoid IS NULL OR NOT list_contains(t, avoid) GROUP BY 1, 2, 3),
+  k AS (SELECT *, count(DISTINCT department) OVER (PARTITION BY id, score) AS n, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rn FROM s),
+  b AS (SELECT id, category, CASE WHEN n > 1 THEN least(score, 52) ELSE score END AS score FROM k WHERE rn = 1)
+  SELECT *, CASE WHEN score >= 62 THEN 'AUTO' WHEN score >= 42 THEN 'REVIEW' ELSE 'NONE' END AS band FROM b""",
 )
 _query(
     "brand_inferred",
-    lambda t: taxonomy.infer_brand(t.product, t.product.select(F.get(F.split("name", " "), F.lit(0)).alias("brand")).distinct()),
-    "SELECT id, string_split(name, ' ')[1] AS brand FROM product",
+    lambda t: taxonomy.infer_brand(t.product, t.spark.createDataFrame([("Blue",), ("blue Bolt",), ("Cold Anvil",), ("ring",), ("Old",)], "brand string")),
+    """, b(brand) AS (VALUES ('Blue'), ('blue Bolt'), ('Cold Anvil'), ('ring'), ('Old')), m AS (SELECT id, b.brand, row_number() OVER (PARTITION BY id ORDER BY len(b.brand) DESC) AS rn FROM product JOIN b ON starts_with(lower(name) || ' ', lower(b.brand) || ' '))
+  SELECT id, brand FROM m WHERE rn = 1""",
 )
 _query(
     "class_membership",
     lambda t: taxonomy.class_members(
-        t.product,
-        matching.vocabulary(t.product).select(F.col("token").alias("class_id"), F.array("token").alias("require"), F.array(F.reverse("token")).alias("exclude")),
+        t.product, t.spark.createDataFrame([(1, ["bolt"], ["old"]), (2, ["cold", "ring"], []), (3, ["anvil"], ["hot", "cold"]), (4, ["gear", "bolt"], [])], "class_id long, require array<string>, exclude array<string>")
     ),
-    "SELECT DISTINCT unnest(string_split(lower(name), ' ')) AS class_id, id FROM product",
+    """, w AS (SELECT id, string_split(lower(name), ' ') AS t FROM product), r(class_id, req, exc) AS (VALUES (1, ['bolt'], ['old']), (2, ['cold', 'ring'], []), (3, ['anvil'], ['hot', 'cold']), (4, ['gear', 'bolt'], []))
+  SELECT class_id, id FROM w JOIN r ON list_has_all(t, req) AND NOT list_has_any(t, exc)""",
 )
 _query(
     "parse_price_text",
     lambda t: t.offer.select("product_id", "merchant_id", prices.parse_price(_price_text())["bani"].alias("read_bani")),
     "SELECT product_id, merchant_id, price_bani AS read_bani FROM offer",
 )
+def _size_text() -> F.Column:
+    """A size written in four ways: packs, packs turned round, one piece in litres, one in millilitres."""
+    n, size = (F.col("id") % 7 + 2).cast("string"), F.format_number("unit_size", 1)
+    litre = F.concat(size, F.lit(" l"))
+    ways = [F.concat_ws(" x ", n, litre), F.concat_ws(" x ", litre, n), litre, F.concat((F.col("unit_size") * 1000).cast("int").cast("string"), F.lit("ml"))]
+    return F.concat_ws(" ", "name", F.get(F.array(*ways), (F.col("id") % 4).cast("int")))
+
+
 _query(
     "parse_quantity_text",
-    lambda t: t.product.withColumn("q", prices.parse_quantity(F.concat(F.col("name"), F.lit(" "), F.col("id") % 7 + 2, F.lit(" x "), F.format_number("unit_size", 1), F.lit(" l")))).select(
-        "id", F.col("q.unit").alias("read_unit"), F.col("q.pack_count").alias("packs"), S.half_up(F.col("q.value")).alias("read_ml")
-    ),
-    "SELECT id, 'ML' AS read_unit, CAST(id % 7 + 2 AS INTEGER) AS packs, CAST(floor((id % 7 + 2) * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM product",
+    lambda t: t.product.withColumn("q", prices.parse_quantity(_size_text())).select("id", F.col("q.unit").alias("read_unit"), F.col("q.pack_count").alias("packs"), S.half_up(F.col("q.value")).alias("read_ml")),
+    """, n AS (SELECT id, unit_size, CASE WHEN id % 4 < 2 THEN id % 7 + 2 ELSE 1 END AS packs FROM product)
+  SELECT id, 'ML' AS read_unit, CAST(packs AS INTEGER) AS packs, CAST(floor(packs * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM n""",
 )
 
 from marketloom import catalog_gates, catalog_pages, catalog_shopping  # noqa: E402, F401  register further queries

@@ -104,15 +104,28 @@ def read_quantity(name: str | None) -> dict:
     return out | {"value": round(each * count, 6), "unit": kind, "pack_count": count, "pack_size": round(each, 6)}
 
 
+SIMPLE = r"(?i)^\s*([0-9]{1,3}(?:[.][0-9]{3})*|[0-9]+)[,]([0-9]{2})\s*(?:lei|ron)\s*$"
+
+
 def parse_price(raw: Column) -> Column:
-    """struct<bani,reference_bani,reference_kind>: ``read_price`` over Arrow batches; null texts give nulls."""
+    """struct<bani,reference_bani,reference_kind>: ``read_price`` of each text; null texts give nulls.
+
+    The usual shape ("1.234,50 lei") is read by a Column expression; other texts
+    go to Python in Arrow batches.
+    """
 
     @F.pandas_udf("bani long, reference_bani long, reference_kind string")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame([read_price(x) for x in texts], columns=["bani", "reference_bani", "reference_kind"])
         return out.astype({"bani": "Int64", "reference_bani": "Int64"})
 
-    return run(raw)
+    simple = F.coalesce(raw.rlike(SIMPLE), F.lit(False))
+    whole = F.replace(F.regexp_extract(raw, SIMPLE, 1), F.lit("."), F.lit("")).try_cast("long")
+    bani_ = whole * 100 + F.regexp_extract(raw, SIMPLE, 2).try_cast("long")
+    rest = run(F.when(~simple, raw))
+    return F.struct(
+        F.when(simple, F.when(bani_ > 0, bani_)).otherwise(rest["bani"]).alias("bani"), rest["reference_bani"].alias("reference_bani"), rest["reference_kind"].alias("reference_kind")
+    )
 
 
 def parse_quantity(name: Column) -> Column:

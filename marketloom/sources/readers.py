@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +63,90 @@ def html_cards(pages: DataFrame, card: str, fields: dict[str, str], html_col: st
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                parser = _Cards(card, fields)
-                parser.feed(row[html_col] or "")
-                out += [{**{c: row[c] for c in kept}, **{k: v.strip() or None for k, v in r.items()}} for r in parser.rows]
-            yield pd.DataFrame(out, columns=[*kept, *fields])
+            owner, found = [], []
+            for i, html in enumerate(batch.column(html_col).to_pylist()):
+                rows = cards_of(html, card, fields)
+                owner += [i] * len(rows)
+                found += rows
+            columns = [batch.column(c).take(pa.array(owner, pa.int64())) for c in kept]
+            columns += [pa.array([r[f] for r in found], pa.string()) for f in fields]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *fields])
 
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), *(f"`{c}` string" for c in fields)])
-    return pages.mapInPandas(run, schema)
+    return pages.mapInArrow(run, schema)
+
+
+def cards_of(html: str | None, card: str, fields: dict[str, str]) -> list[dict[str, str | None]]:
+    """The product cards of a page: text by field, null where empty."""
+    parser = _Cards(card, fields)
+    parser.feed(html or "")
+    return [{k: v.strip() or None for k, v in r.items()} for r in parser.rows]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes SQL names of what needs Python: parse_price, parse_quantity, osa_distance, and the table function explode_cards(html, card, name, price)."""
+    from marketloom.functions import prices
+
+    @F.pandas_udf("bani long, reference_bani long, reference_kind string")
+    def parse_price(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([prices.read_price(x) for x in texts], columns=["bani", "reference_bani", "reference_kind"])
+        return out.astype({"bani": "Int64", "reference_bani": "Int64"})
+
+    @F.pandas_udf("value double, unit string, pack_count int")
+    def parse_quantity(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([prices.read_quantity(x) for x in texts], columns=["value", "unit", "pack_count"]).astype({"pack_count": "Int64"})
+
+    @F.pandas_udf("int")
+    def osa_distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([prices.osa(p, q) if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype="Int64")
+
+    class ExplodeCards:
+        def eval(self, html: str, card: str, name: str, price: str):  # noqa: ANN202
+            for r in cards_of(html, card, {"name": name, "price": price}):
+                yield r["name"], r["price"]
+
+    for function in (parse_price, parse_quantity, osa_distance):
+        spark.udf.register(function.__name__, function)
+    spark.udtf.register("explode_cards", F.udtf(ExplodeCards, returnType="name string, price string"))
+
+
+@dataclass(frozen=True)
+class Adapter:
+    """How a source's landed payloads become products: JSON items by dotted paths, or HTML cards by class names.
+
+    ``refine`` may change the rows; rows without a name are dropped, and an item
+    counts once per ``url|name``.
+    """
+
+    mode: str
+    fields: dict[str, str]
+    items: str = ""
+    card: str = ""
+    template: str = ""
+    max_pages: int = 1
+    page_size: int = 0
+    refine: Callable[[DataFrame], DataFrame] | None = None
+
+    def routes(self, spark: SparkSession) -> DataFrame:
+        """The addresses to fetch."""
+        return page_urls(spark, self.template, self.max_pages, self.page_size)
+
+    def products(self, landed: DataFrame) -> DataFrame:
+        """Product rows of landed pages (payload or html)."""
+        if self.mode not in ("json", "dom"):
+            raise ValueError("mode is json or dom")
+        rows = json_products(landed, self.items, self.fields) if self.mode == "json" else html_cards(landed, self.card, self.fields)
+        if self.refine is not None:
+            rows = self.refine(rows)
+        rows = rows.where(F.coalesce(F.trim("name"), F.lit("")) != "")
+        return rows.dropDuplicates([c for c in ("url", "name") if c in rows.columns])
+
+
+def write_audit(findings: DataFrame, path: str) -> int:
+    """An audit's findings as JSON lines under their count; returns the count."""
+    n = findings.count()
+    findings.withColumn("findings", F.lit(n)).write.mode("overwrite").json(path)
+    return n
 
 
 def split_price(parts: Column) -> Column:

@@ -80,8 +80,7 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     length; those over LONG bytes are hashed one by one.
     """
     size = end - start
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    eight = _eights(data)
     out = mix(size.astype(U64) * GOLD)
     out = mix(out ^ (eight[start] & _FIRST[np.minimum(size, 8)]))
     live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
@@ -97,20 +96,25 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return out
 
 
-def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Whether the bytes of each range [start, end) are those of the range [other, stop)."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, zeros after the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, dtype=np.uint8))), strides=(1,))
+
+
+def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range [start, end) of ``data`` are those of the range [low, high) of ``other``."""
     size = end - start
-    out = size == stop - other
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    live, at = np.flatnonzero(out & (start != other) & (size <= LONG)), 0
+    out = size == high - low
+    x = _eights(data)
+    y = x if other is data else _eights(other)
+    live, at = np.flatnonzero(out & (size <= LONG) & ((start != low) | (other is not data))), 0
     while len(live):
         left = size[live] - at
-        differ = (eight[start[live] + at] ^ eight[other[live] + at]) & _FIRST[np.clip(left, 0, 8)]
+        differ = (x[start[live] + at] ^ y[low[live] + at]) & _FIRST[np.clip(left, 0, 8)]
         out[live[differ != 0]] = False
         live, at = live[(differ == 0) & (left > 8)], at + 8
-    for i in np.flatnonzero(out & (start != other) & (size > LONG)):
-        out[i] = np.array_equal(data[start[i] : end[i]], data[other[i] : stop[i]])
+    for i in np.flatnonzero(out & (size > LONG)):
+        out[i] = np.array_equal(data[start[i] : end[i]], other[low[i] : high[i]])
     return out
 
 

@@ -127,9 +127,11 @@ def search(
 
     score is the Euclidean distance of the original vectors in double
     precision; ties go to the smaller id.  Which rows take part is defined by
-    ``vectors.usable``; queries among the others have no result.  With k or
-    fewer candidates all are returned.  The rotation and radius are learned
-    from at most ``fit_rows`` rows; every row is indexed.
+    ``vectors.usable``; queries among the others, and null ids, have no result.
+    Of rows repeating an id one vector counts (the smallest), so an id is
+    returned once.  With k or fewer candidates all are returned; an empty table
+    gives no rows; other columns are ignored.  The rotation and radius are
+    learned from at most ``fit_rows`` rows; every row is indexed.
     """
     rows = written(usable(vectors, id_col, vec_col))
     queries = rows.where(is_query)

@@ -225,8 +225,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     base_score is the log10 probability under add-one unigrams, score under the
     interpolated model; both over the words and one end token, so null and
-    empty texts score the end token alone.  Without training documents every
-    estimate is the add-one unigram.  Null ids train; repeated rows count as
+    empty texts score the end token alone and long ones are scored whole.
+    Without training documents every estimate is the add-one unigram.  Null ids train; repeated rows count as
     often as they occur; other columns are ignored; an empty table gives no rows.
     """
     count = bl.range_count(docs, text_col)

@@ -201,8 +201,9 @@ def near_duplicates(
     kept tells whether it is the own id.  Texts without words (null, empty,
     white space) have no shingles and no links.  Rows with a null id are not
     linked: component_id is null, kept true.  Repeated rows are reported once
-    each, with the same values.  An empty table gives an empty result; columns
-    beside the two named ones are ignored.
+    each, with the same values.  Texts of any length are compared whole; sets at
+    exactly ``percent`` are linked.  An empty table gives an empty result;
+    columns beside the two named ones are ignored.
     """
     sig = written(signatures(docs, id_col, text_col, words, bands, rows))
     valid = sig.where("n > 0 and id is not null")

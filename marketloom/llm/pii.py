@@ -302,8 +302,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per document: counts of the base kinds, the hash of its base spans, and all spans.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind.
-    Null and empty texts have none.  Null ids and repeated rows are reported
-    like any row; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have none.  Long texts are read whole, every character
+    a fixed number of times.  Null ids and repeated rows are reported like any
+    row; other columns are ignored; an empty table gives no rows.
     """
     found = written(found_spans(docs, id_col, text_col))
     out = with_spans(found, fit(found))

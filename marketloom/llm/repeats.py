@@ -399,7 +399,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are UTF-8 bytes; null texts are empty.  Strings are judged on the
     input, matches never cross documents, and every occurrence goes, so equal
     texts of ``length`` bytes or more are emptied.  Shorter texts are never
-    touched.  Null ids and repeated rows are documents like any; other columns
+    touched; long ones are read whole.  Null ids and repeated rows are documents like any; other columns
     are ignored; an empty table gives no rows.  ``length`` is 128 at least.
     """
     if length < 2 * GRAM:

@@ -24,6 +24,9 @@ from marketloom.llm.blocks import give_back
 from marketloom.llm.text_arrays import GOLD, PUNCTUATION, U64, distinct, mix, text_slices, word_hashes
 
 
+UNTRAINED = float(np.log(0.1 / 0.9))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Learning rates, penalties, and the bound of the training sample."""
@@ -100,8 +103,8 @@ def fit(
     that are null or neither 0 nor 1 are left out.  No rows, or rows of one
     label only, still give a model (bias, few weights).  Of rows repeating an
     id the smallest text counts, once for each of its labels.  Empty tables
-    give a model without weights; other columns, whatever their names, are not
-    read.
+    give a model without weights, by which every text scores 0.1; other columns,
+    whatever their names, are not read.
     """
     sample = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("label")).where("label in (0, 1) and i is not null")
     sample = sample.select("i", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("i"), "label").limit(cfg.max_train)
@@ -138,15 +141,18 @@ def fit(
     at, w = at[order], w[order]
     last = 1 << cfg.bits
     bias = float(w[-1]) if len(at) and at[-1] == last else 0.0
+    if got.num_rows == 0:  # nothing was learned
+        bias = UNTRAINED
     return Model(cfg.bits, at[at < last], w[at < last], bias)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double column ``name`` in [0, 1]: the higher, the likelier label 1.
 
-    Every whole text is scored; null and empty texts get the bias alone.  Other
-    columns pass through unchanged, whatever their names; an older column
-    called ``name`` is replaced.
+    Every whole text is scored, however long; null and empty texts get the bias
+    alone; equal texts have equal scores, and repeated rows stay.  Other columns
+    pass through unchanged, whatever their names; an older column called
+    ``name`` is replaced.  An empty table stays empty.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.bits, model.index, model.weight, model.bias))

@@ -18,7 +18,7 @@ from marketloom.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?i)\bhref\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
+_LINK = r"(?i)\bhref\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -41,9 +41,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], value
 
 
 def host_edges(pages: DataFrame, host: Column, html: Column) -> DataFrame:
-    """(src, dst, n): links between different hosts in the pages' HTML."""
+    """(src, dst, n): links between different hosts in the pages' HTML, those without a scheme (//host/) too.
+
+    Links within a host (relative ones) carry nothing between hosts.
+    """
     links = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1))).alias("url"))
-    links = links.select("src", host_of(F.col("url")).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
+    url = F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), F.col("url"))).otherwise(F.col("url"))
+    links = links.select("src", host_of(url).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -70,10 +74,12 @@ def judge(
 ) -> DataFrame:
     """Per page: id_col, host, path, rule (its text or null), verdict, trust, distrust.
 
-    A rule's verdict holds; other pages take their host's.  Null urls and urls
-    without ``://`` have empty host and path, and an empty host is allowed.
-    Null pages have no links.  Repeated rows are judged alike; an empty table
-    gives no rows.
+    A rule's verdict holds; other pages take their host's.  Of rules that fit
+    equally long, the one later in the order of host and path holds.  Null urls
+    and urls without ``://`` have empty host and path, and an empty host is
+    allowed.  Null pages have no links; long ones are read whole.  Repeated rows
+    are judged alike, and count as often for their host; an empty table gives
+    no rows; other columns, whatever their names, are not read.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))

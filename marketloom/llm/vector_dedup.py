@@ -137,7 +137,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     included; kept tells whether it is the own id.  Rows that take no part (see
     ``vectors.usable``) have no links and are their own component; a null id
     has a null component and is kept.  Repeated ids are one vector, reported
-    once per row.  Other columns are ignored; an empty table gives no rows.
+    once per row.  A pair at exactly ``cosine`` is linked.  Other columns are
+    ignored; an empty table gives no rows.
     """
     rows = written(usable(vectors, id_col, vec_col))
     classes = written(rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))

@@ -84,8 +84,9 @@ _query(
     lambda t: listings.price_story(t.history, _summary(t), now()),
     f""", summary AS ({SUMMARY_SQL}), seen AS (SELECT product_id, min(recorded_at) AS f, count(*) AS points, min(price_bani) AS low, max(price_bani) AS high FROM history GROUP BY 1),
   k AS (SELECT seen.*, lowest_bani AS c, date_sub('day', f, TIMESTAMP '2001-11-05') AS d FROM seen LEFT JOIN summary USING (product_id)),
-  n AS (SELECT *, CASE WHEN coalesce(c, 0) <= 0 THEN 'no-price' WHEN d < 14 THEN 'too-new' WHEN low = high THEN 'unchanged' ELSE 'story' END AS kind FROM k)
-  SELECT product_id, kind, d AS observed_days, points, low, high, coalesce(kind = 'story' AND c * 100 <= low * 102, false) AS at_low FROM n""",
+  n AS (SELECT *, CASE WHEN coalesce(c, 0) <= 0 THEN 'no-price' WHEN d < 14 THEN 'too-new' WHEN points = 1 THEN 'unchanged' ELSE 'story' END AS kind FROM k),
+  f AS (SELECT *, coalesce(kind = 'story' AND c - low <= 0.02::DOUBLE * low, false) AS at_low, kind = 'story' AND points >= 3 AS trend FROM n)
+  SELECT product_id, kind, d AS observed_days, points, low, high, at_low, at_low AND trend AND high > low AS good_time, trend AS can_draw_trend FROM f""",
 )
 _query(
     "category_listing",
@@ -197,14 +198,26 @@ _PRIOR = """, r AS (SELECT *, first_value(price_bani) OVER w AS cur_p, row_numbe
     arg_min(price_bani, rn) FILTER (rn >= re AND recorded_at < TIMESTAMP '2001-11-05' - INTERVAL 730 DAY)) AS prior_min_bani,
     CAST(least(730, date_sub('day', min(recorded_at), TIMESTAMP '2001-11-05')) AS BIGINT) AS coverage_days FROM e GROUP BY 1, 2)"""
 _query("prior_minimum", lambda t: series.prior_minimum(t.history, now(), MAX_AGE_DAYS), _PRIOR + " SELECT * FROM prior")
-_query(
-    "discount_verdicts",
-    lambda t: series.discount_verdicts(t.offer, series.prior_minimum(t.history, now(), MAX_AGE_DAYS)),
-    _PRIOR + """, d AS (SELECT o.product_id, o.merchant_id, price_bani, CAST(floor((reference_bani - price_bani) * 10000 / reference_bani::DOUBLE + 0.5) AS BIGINT) AS claimed_bp,
-    CASE WHEN coverage_days >= 14 THEN prior_min_bani END AS base FROM offer o JOIN prior p ON p.product_id = o.product_id AND p.merchant_id = o.merchant_id WHERE reference_bani > price_bani),
-  v AS (SELECT *, CAST(floor((base - price_bani) * 10000 / base::DOUBLE + 0.5) AS BIGINT) AS real_bp FROM d)
-  SELECT product_id, merchant_id, claimed_bp, real_bp, CASE WHEN base IS NULL THEN 'unknown' WHEN base <= price_bani THEN 'none' WHEN real_bp < claimed_bp - 500 THEN 'smaller' ELSE 'real' END AS verdict FROM v""",
-)
+
+
+def _stated(t: Tables) -> DataFrame:
+    """Offers, of which those of every third shop state a 30-day figure: the price before reductions, less 2 %."""
+    return t.offer.withColumn("omnibus_bani", F.when(F.col("merchant_id") % 3 == 0, S.half_up(F.col("reference_bani") * 98 / 100)))
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    return series.discount_verdicts(_stated(t), series.prior_minimum(t.history, now(), MAX_AGE_DAYS))
+
+
+_VERDICTS = (
+    _PRIOR + """, d AS (SELECT o.product_id, o.merchant_id, price_bani AS p, reference_bani AS was, CASE WHEN o.merchant_id % 3 = 0 THEN CAST(floor(reference_bani * 98 / 100 + 0.5) AS BIGINT) END AS own, coverage_days,
+    CASE WHEN coverage_days >= 14 THEN prior_min_bani END AS ours FROM offer o JOIN prior r ON r.product_id = o.product_id AND r.merchant_id = o.merchant_id), w AS (SELECT *, coalesce(own, ours) AS base, CASE WHEN was > p THEN was - p ELSE 0 END AS saving FROM d),
+  v AS (SELECT product_id, merchant_id, CASE WHEN base IS NULL THEN 'unknown' WHEN p < base THEN 'real' WHEN saving > 0 THEN 'small' ELSE 'none' END AS verdict,
+    CASE WHEN own IS NOT NULL THEN 'RETAILER' WHEN ours IS NOT NULL THEN 'OUR_HISTORY' ELSE 'NONE' END AS basis, CAST(floor(saving * 10000 / was::DOUBLE + 0.5) AS BIGINT) AS claimed_bp,
+    CAST(floor(greatest(base - p, CASE WHEN base IS NULL THEN NULL ELSE 0 END) * 10000 / base::DOUBLE + 0.5) AS BIGINT) AS real_bp, coalesce(abs(own - ours) * 10000 > ours * 500, false) AS disagrees,
+    coalesce(abs(own - ours) * 10000 > ours * 500, false) OR was <= p AS needs_review, ours, coverage_days FROM w)"""
+)
+_query("discount_verdicts", _verdicts, _VERDICTS + " SELECT * EXCLUDE (ours, coverage_days) FROM v")
 _query(
     "run_collapse",
     lambda t: series.run_collapse(t.runs),
@@ -710,4 +723,4 @@ _query(
   SELECT id, 'ML' AS read_unit, CAST(packs AS INTEGER) AS packs, CAST(floor(packs * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM n""",
 )
 
-from marketloom import catalog_gates, catalog_pages, catalog_shopping  # noqa: E402, F401  register further queries
+from marketloom import catalog_gates, catalog_pages, catalog_shopping, catalog_stats  # noqa: E402, F401  register further queries

@@ -167,7 +167,7 @@ _query(
     lambda t: gates.best_rejected(_rejected(t)),
     catalog_shopping._POOL + """, k AS (SELECT *, string_split(lower(name), ' ') AS w FROM product), q AS (SELECT item_id, brand, unit, unit_size, string_split(lower(name), ' ') AS w FROM pool),
   r AS (SELECT q.item_id, k.id, 3333 AS score_bp, list_filter(k.w, lambda x: NOT list_contains(q.w, x))[1] AS only_catalog, list_filter(q.w, lambda x: NOT list_contains(k.w, x))[1] AS only_store,
-    row_number() OVER (PARTITION BY q.item_id ORDER BY k.id) AS rn FROM k JOIN q ON k.brand = q.brand AND k.unit = q.unit AND list_contains(q.w, k.w[1]) AND NOT list_contains(q.w, k.w[2])
+    row_number() OVER (PARTITION BY q.item_id ORDER BY k.id) AS rn FROM k JOIN q ON contains(replace(lower(q.brand), '#', ' '), replace(lower(k.brand), '#', ' ')) AND k.unit = q.unit AND list_contains(q.w, k.w[1]) AND NOT list_contains(q.w, k.w[2])
     AND abs(k.unit_size - q.unit_size) <= 0.06::DOUBLE * k.unit_size + 1e-9::DOUBLE) SELECT item_id, id, score_bp, only_catalog, only_store FROM r WHERE rn = 1""",
 )
 _query(
@@ -188,21 +188,10 @@ _query(
     catalog_shopping._STANDING + """, r AS (SELECT b.merchant_id, CASE WHEN c.price_bani IS NULL THEN 'gone' WHEN c.price_bani <> b.price_bani THEN 'price' END AS why FROM best b LEFT JOIN cur c ON c.merchant_id = b.merchant_id AND c.product_id = b.id)
   SELECT merchant_id, why, count(*) AS offers FROM r WHERE why IS NOT NULL GROUP BY 1, 2""",
 )
-_VERDICTS = (
-    catalog._PRIOR + """, d AS (SELECT o.product_id, o.merchant_id, price_bani, CAST(floor((reference_bani - price_bani) * 10000 / reference_bani::DOUBLE + 0.5) AS BIGINT) AS claimed_bp, coverage_days,
-    CASE WHEN coverage_days >= 14 THEN prior_min_bani END AS base FROM offer o JOIN prior p ON p.product_id = o.product_id AND p.merchant_id = o.merchant_id WHERE reference_bani > price_bani),
-  v AS (SELECT *, CAST(floor((base - price_bani) * 10000 / base::DOUBLE + 0.5) AS BIGINT) AS real_bp FROM d)"""
-)
-
-
-def _prior(t: Tables) -> DataFrame:
-    return series.prior_minimum(t.history, now(), MAX_AGE_DAYS)
-
-
 _query(
     "discount_gate",
-    lambda t: gates.discount_gate(series.discount_verdicts(t.offer, _prior(t)), _prior(t)),
-    _VERDICTS + """, g AS (SELECT merchant_id, count(*) AS claims, count(*) FILTER (abs(claimed_bp - real_bp) <= 500) AS agree, max(coverage_days) AS days FROM v WHERE real_bp IS NOT NULL GROUP BY 1)
+    lambda t: gates.discount_gate(catalog._verdicts(t), series.prior_minimum(t.history, now(), MAX_AGE_DAYS)),
+    catalog._VERDICTS + """, g AS (SELECT merchant_id, count(*) AS claims, count(*) FILTER (NOT disagrees) AS agree, max(coverage_days) AS days FROM v WHERE basis = 'RETAILER' AND ours IS NOT NULL GROUP BY 1)
   SELECT *, agree * 100 >= claims * 90 AND days >= 30 AS publish FROM g""",
 )
 _query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom import catalog
 from marketloom.catalog import CURRENT_SQL, _query
-from marketloom.operators import pages, predicates, series, users
+from marketloom.operators import pages, predicates, users
 from marketloom.sources.bind import MAX_AGE_DAYS, Tables, now
 
 _PER = "CASE WHEN unit_size > 0 THEN CAST(floor(price_bani / unit_size + 0.5) AS BIGINT) END"
@@ -46,12 +46,9 @@ _query(
 )
 _query(
     "discount_rows",
-    lambda t: pages.discount_rows(t.current, series.discount_verdicts(t.offer, series.prior_minimum(t.history, now(), MAX_AGE_DAYS))),
-    catalog._PRIOR + """, d AS (SELECT o.product_id, o.merchant_id, price_bani, CAST(floor((reference_bani - price_bani) * 10000 / reference_bani::DOUBLE + 0.5) AS BIGINT) AS claimed_bp,
-    CASE WHEN coverage_days >= 14 THEN prior_min_bani END AS base FROM offer o JOIN prior p ON p.product_id = o.product_id AND p.merchant_id = o.merchant_id WHERE reference_bani > price_bani),
-  v AS (SELECT *, CAST(floor((base - price_bani) * 10000 / base::DOUBLE + 0.5) AS BIGINT) AS real_bp FROM d)
-  SELECT v.product_id, v.merchant_id, c.price_bani, real_bp, CASE WHEN real_bp < claimed_bp - 500 THEN 'smaller' ELSE 'real' END AS verdict FROM v JOIN cur c ON c.product_id = v.product_id AND c.merchant_id = v.merchant_id
-  WHERE base > v.price_bani AND real_bp > 0 ORDER BY real_bp DESC, v.product_id, v.merchant_id LIMIT 50""",
+    lambda t: pages.discount_rows(t.current, catalog._verdicts(t)),
+    catalog._VERDICTS + """ SELECT v.product_id, v.merchant_id, price_bani, real_bp, basis FROM v JOIN cur c ON c.product_id = v.product_id AND c.merchant_id = v.merchant_id
+  WHERE verdict = 'real' AND NOT needs_review ORDER BY real_bp DESC, v.product_id, v.merchant_id LIMIT 50""",
 )
 _query(
     "class_opportunities",

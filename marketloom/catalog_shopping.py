@@ -278,7 +278,7 @@ _DECIDED = (
   valid AS (SELECT id, ean FROM code WHERE list_sum(list_transform(range(1, 14), lambda i: CAST(ean[i:i] AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0),
   by_code AS (SELECT b.id + 1000000 AS item_id, a.id, 'AUTO' AS band, 'ean' AS reason, 10000 AS score_bp FROM valid a JOIN valid b USING (ean)),
   keyed AS (SELECT *, array_to_string(list_sort(string_split(name, ' ')), ' ') AS bag FROM product),
-  by_name AS (SELECT p.item_id, k.id, 'AUTO' AS band, 'brand+size' AS reason, 10000 AS score_bp FROM keyed k JOIN pool p ON k.bag = array_to_string(list_sort(string_split(p.name, ' ')), ' ') AND k.brand = p.brand AND k.unit = p.unit
+  by_name AS (SELECT p.item_id, k.id, 'AUTO' AS band, 'brand+size' AS reason, 10000 AS score_bp FROM keyed k JOIN pool p ON k.bag = array_to_string(list_sort(string_split(p.name, ' ')), ' ') AND contains(replace(lower(p.brand), '#', ' ') || ' ' || lower(p.name), replace(lower(k.brand), '#', ' ')) AND k.unit = p.unit
     AND abs(k.unit_size - p.unit_size) <= 0.06::DOUBLE * k.unit_size + 1e-9::DOUBLE WHERE NOT EXISTS (SELECT 1 FROM by_code b WHERE b.item_id = p.item_id AND b.id = k.id)),
   allof AS (SELECT * FROM by_code UNION ALL SELECT * FROM by_name), counted AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS autos FROM allof),
   decided AS (SELECT item_id, id, CASE WHEN autos >= 2 AND reason <> 'ean' THEN 'REVIEW' ELSE band END AS band, CASE WHEN autos >= 2 AND reason <> 'ean' THEN 'fan-out' ELSE reason END AS reason, CAST(score_bp AS BIGINT) AS score_bp FROM counted)"""

@@ -177,12 +177,10 @@ def chosen_recheck(chosen: DataFrame, current: DataFrame) -> DataFrame:
     return rows.withColumn("why", why).where("why is not null").groupBy("merchant_id", "why").agg(F.count(F.lit(1)).alias("offers"))
 
 
-def discount_gate(verdicts: DataFrame, prior: DataFrame, least_pct: int = 90, least_days: int = 30, within_bp: int = 500) -> DataFrame:
-    """Per merchant whether its discounts may be published: claims within 5 % of our own minimum for nine in ten, with history enough."""
-    rows = verdicts.join(prior.select("product_id", "merchant_id", "coverage_days"), ["product_id", "merchant_id"]).where("real_bp is not null")
-    out = rows.groupBy("merchant_id").agg(
-        F.count(F.lit(1)).alias("claims"), F.count_if(F.abs(F.col("claimed_bp") - F.col("real_bp")) <= within_bp).alias("agree"), F.max("coverage_days").alias("days")
-    )
+def discount_gate(verdicts: DataFrame, prior: DataFrame, least_pct: int = 90, least_days: int = 30) -> DataFrame:
+    """Per merchant whether its discounts may be published: its own figures agree with our minimum nine times in ten, with history enough."""
+    rows = verdicts.where("basis = 'RETAILER'").join(prior.where(f"coverage_days >= {C.BASELINE_DAYS} and prior_min_bani is not null").select("product_id", "merchant_id", "coverage_days"), ["product_id", "merchant_id"])
+    out = rows.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(~F.col("disagrees")).alias("agree"), F.max("coverage_days").alias("days"))
     return out.withColumn("publish", (F.col("agree") * 100 >= F.col("claims") * least_pct) & (F.col("days") >= least_days))
 
 

@@ -77,16 +77,25 @@ def deals(offers: DataFrame, current: Column, history: DataFrame, since: Column,
 
 
 def price_story(history: DataFrame, current_low: DataFrame, now: Column) -> DataFrame:
-    """What a product's history says: no-price, too-new, unchanged or story, with its low and high."""
-    seen = history.groupBy("product_id").agg(
+    """What a product's history says: no-price, too-new, unchanged or story, with its low and high.
+
+    One observation of two weeks or more is unchanged.  A story is at its low
+    within 2 %, and a good time to buy if it also has STORY_MIN_POINTS
+    observations and ever was dearer; only then can a trend be drawn.
+    """
+    seen = history.where("price_bani > 0").groupBy("product_id").agg(
         F.min("recorded_at").alias("first"), F.count(F.lit(1)).alias("points"), F.min("price_bani").alias("low"), F.max("price_bani").alias("high")
     )
     days = F.timestamp_diff("DAY", "first", now)
     rows = seen.join(current_low.select("product_id", F.col("lowest_bani").alias("current")), "product_id", "left")
     no_price = F.coalesce("current", F.lit(0)) <= 0
-    kind = F.when(no_price, "no-price").when(days < C.STORY_MIN_DAYS, "too-new").when(F.col("low") == F.col("high"), "unchanged").otherwise("story")
-    at_low = (kind == "story") & (F.col("current") * 100 <= F.col("low") * 102)
-    return rows.select("product_id", kind.alias("kind"), days.alias("observed_days"), "points", "low", "high", F.coalesce(at_low, F.lit(False)).alias("at_low"))
+    kind = F.when(no_price, "no-price").when(days < C.STORY_MIN_DAYS, "too-new").when(F.col("points") == 1, "unchanged").otherwise("story")
+    at_low = (kind == "story") & (F.col("current") - F.col("low") <= C.STORY_LOW_SHARE * F.col("low"))
+    trend = (kind == "story") & (F.col("points") >= C.STORY_MIN_POINTS)
+    return rows.select(
+        "product_id", kind.alias("kind"), days.alias("observed_days"), "points", "low", "high", F.coalesce(at_low, F.lit(False)).alias("at_low"),
+        F.coalesce(at_low & trend & (F.col("high") > F.col("low")), F.lit(False)).alias("good_time"), F.coalesce(trend, F.lit(False)).alias("can_draw_trend"),
+    )
 
 
 def category_listing(current: DataFrame) -> DataFrame:

@@ -254,11 +254,3 @@ def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
 def band_stats(decided: DataFrame) -> DataFrame:
     """Pairs per reason and band."""
     return decided.groupBy("reason", "band").agg(F.count(F.lit(1)).alias("pairs"))
-
-
-def confirm_rates(decided: DataFrame) -> DataFrame:
-    """Per reason: reviewed pairs, confirmed ones, and the verdict on the rule (confirmed, label)."""
-    out = decided.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confirmed")).alias("confirmed"))
-    rate = F.col("confirmed") / F.col("n")
-    verdict = F.when(F.col("n") < C.CONFIRM_SAMPLE, "too-few").when(rate < C.CONFIRM_LOW, "drop").when(rate < C.CONFIRM_WEAK, "weak").otherwise("good")
-    return out.withColumn("verdict", verdict)

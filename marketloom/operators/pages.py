@@ -46,8 +46,8 @@ def change_within(series: DataFrame, days: int) -> DataFrame:
 
 def discount_rows(offers: DataFrame, verdicts: DataFrame, limit: int = 50) -> DataFrame:
     """Real reductions of offers on the shelf now, the largest first; (product_id, merchant_id, ...)."""
-    real = verdicts.where("verdict in ('real', 'smaller') and real_bp > 0").join(offers.select("product_id", "merchant_id", "price_bani", "recorded_at"), ["product_id", "merchant_id"])
-    return real.select("product_id", "merchant_id", "price_bani", "real_bp", "verdict").orderBy(F.desc("real_bp"), "product_id", "merchant_id").limit(limit)
+    real = verdicts.where("verdict = 'real' and not needs_review").join(offers.select("product_id", "merchant_id", "price_bani", "recorded_at"), ["product_id", "merchant_id"])
+    return real.select("product_id", "merchant_id", "price_bani", "real_bp", "basis").orderBy(F.desc("real_bp"), "product_id", "merchant_id").limit(limit)
 
 
 def class_opportunities(current: DataFrame, step: float = 1.25, most_spread: float = 2.0, per_noun: int = 3) -> DataFrame:

@@ -92,16 +92,28 @@ def prior_minimum(history: DataFrame, now: Column, days: int = C.HISTORY_DAYS) -
 
 
 def discount_verdicts(offers: DataFrame, prior: DataFrame) -> DataFrame:
-    """Is a claimed reduction real: against our own prior minimum where the history is long enough."""
-    rows = offers.select(*OFFER, "price_bani", "reference_bani").where("reference_bani > price_bani").join(prior.drop("current_bani"), OFFER)
-    base = F.when(F.col("coverage_days") >= C.BASELINE_DAYS, F.col("prior_min_bani"))
-    real = S.half_up((base - F.col("price_bani")) * 10000 / base)
-    claimed = S.half_up((F.col("reference_bani") - F.col("price_bani")) * 10000 / F.col("reference_bani"))
-    verdict = (
-        F.when(base.isNull(), "unknown").when(base <= F.col("price_bani"), "none")
-        .when(real < claimed - C.DISAGREEMENT * 10000, "smaller").otherwise("real")
+    """Is a reduction real: against the shop's own 30-day figure (omnibus_bani) if it states one, else our prior minimum.
+
+    Our minimum counts where the history is long enough.  real: cheaper than
+    that; small: only cheaper than the advertised price; none; unknown without
+    a baseline.  A shop's figure 5 % off ours, or an advertised price that is
+    no higher, is to be reviewed.
+    """
+    stated = F.col("omnibus_bani") if "omnibus_bani" in offers.columns else F.lit(None).cast("long")
+    rows = offers.select(*OFFER, "price_bani", "reference_bani", stated.alias("omnibus_bani")).join(prior.drop("current_bani"), OFFER)
+    p, was, own = F.col("price_bani"), F.col("reference_bani"), F.col("omnibus_bani")
+    ours = F.when(F.col("coverage_days") >= C.BASELINE_DAYS, F.col("prior_min_bani"))
+    base = F.coalesce(own, ours)
+    saving = F.coalesce(F.when(was > p, was - p), F.lit(0))
+    verdict = F.when(base.isNull(), "unknown").when(p < base, "real").when(saving > 0, "small").otherwise("none")
+    source = F.when(own.isNotNull(), "RETAILER").when(ours.isNotNull(), "OUR_HISTORY").otherwise("NONE")
+    off = F.coalesce(F.abs(own - ours) * 10000 > ours * int(C.DISAGREEMENT * 10000), F.lit(False))
+    review = off | F.coalesce(was <= p, F.lit(False))
+    real = F.when(base.isNotNull(), F.greatest(base - p, F.lit(0)))
+    return rows.select(
+        *OFFER, verdict.alias("verdict"), source.alias("basis"), S.half_up(saving * 10000 / was).alias("claimed_bp"), S.half_up(real * 10000 / base).alias("real_bp"),
+        off.alias("disagrees"), review.alias("needs_review"),
     )
-    return rows.select(*OFFER, claimed.alias("claimed_bp"), real.alias("real_bp"), verdict.alias("verdict"))
 
 
 def shrinkflation(observations: DataFrame) -> DataFrame:

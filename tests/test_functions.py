@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import prices, scalars as S
-from marketloom.operators import listings, matching, quality, series, taxonomy, users
+from marketloom.operators import listings, matching, quality, series, stats, taxonomy, users
 from marketloom.sources import readers
 from marketloom.streaming import twins
 
@@ -134,8 +134,12 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 def test_small_rules(spark):
     pending = spark.createDataFrame([(1, 7000, 1, 100), (2, 9000, 3, 0)], "id long, score_bp long, merchants int, spread_bani long")
     assert [r.id for r in users.pending_rank(pending, 1).collect()] == [1]
-    decided = spark.createDataFrame([("brand", i < 20) for i in range(40)] + [("size", True)], "reason string, confirmed boolean")
-    assert {r.reason: r.verdict for r in matching.confirm_rates(decided).collect()} == {"brand": "good", "size": "too-few"}
+    columns = "decision string, reason string, score_bp long, section string, merchant_id long, rank long"
+    rows = [("confirm" if i < 20 else "reject", "brand", 4500, "s", 1, i) for i in range(40)] + [("confirm", "size", 6000, "s", 2, None), ("reject", "pack", 5000, "s", 1, 300)] + [(None, "pack", 5000, "s", 1, 3)]
+    rows += [("reject", "dose", 5500, "s", 1, 80)] * 30
+    got = {(r.by, r.key): r for r in stats.match_stats(spark.createDataFrame(rows, columns)).collect()}
+    assert {k: got["rule", k].verdict for k in ("brand", "size", "pack", "dose")} == {"brand": "too aggressive", "size": "not enough signal", "pack": "not enough signal", "dose": "working"}
+    assert (got["all", "all"].confirmed, got["all", "all"].total) == (21, 72) and got["rank", "251+"].total == 1 and got["score", "0.58+"].total == 1 and got["rank", "bulk"].confirmed == 1
     parsed = spark.createDataFrame([("x", None)] * 3 + [("y", 1)] * 20, "raw string, v int")
     assert quality.parse_tally(parsed, "raw", "v").first().alarm
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from marketloom.catalog import _query
 from marketloom.functions import scalars as S
 from marketloom.operators import ingest, matching, search, substitution, users
 from marketloom.sources.bind import Tables, now
+from marketloom.sources.work import written
 
 
 def _sql_list(values: list[str]) -> str:
@@ -28,23 +31,27 @@ STOP = _sql_list(C.STOPWORDS)
 
 
 def searchable(t: Tables) -> DataFrame:
-    """Products a shopper can buy now, with a brand word, their category's name and their shops; kept, as every search reads it."""
+    """Products a shopper can buy now, with a brand word, their category's name and their shops; written once, as every search reads it several times."""
     shops = t.current.groupBy(F.col("product_id").alias("id")).agg(F.countDistinct("merchant_id").alias("merchants"))
     nation = t.read("nation").select(F.col("n_nationkey").alias("category_id"), F.col("n_name").alias("category"))
     brand = F.translate("brand", "#12345", "xabcde").alias("brand")
-    return t.product.join(shops, "id").join(nation, "category_id").select("id", "name", brand, "category", "merchants").persist()
+    return written(t.product.join(shops, "id").join(nation, "category_id").select("id", "name", brand, "category", "merchants"))
 
 
-def search_queries(t: Tables) -> DataFrame:
+def search_queries(shop: DataFrame) -> DataFrame:
     """Names, names with two letters swapped, with an unknown word and with a brand, and leading words with their brands."""
-    names = searchable(t).select("name").distinct()
     first = F.get(F.split("name", " "), F.lit(0))
     made = {
         "n": F.col("name"), "s": F.regexp_replace("name", "^(.)(.)", "$2$1"), "x": F.concat("name", F.lit(" zzqx")), "m": F.concat("name", F.lit(" brandxaa")),
+        "b": F.concat_ws(" ", first, "brand"),
     }
-    texts = names.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("query")) for k, v in made.items()))).alias("q")).select("q.*")
-    pairs = searchable(t).select(F.lit("b").alias("k"), F.concat_ws(" ", first, "brand").alias("query")).distinct()
-    return texts.union(pairs).select(F.concat_ws(":", "k", "query").alias("qid"), "query")
+    texts = shop.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("query")) for k, v in made.items()))).alias("q")).select("q.*").distinct()
+    return texts.select(F.concat_ws(":", "k", "query").alias("qid"), "query")
+
+
+def _searched(t: Tables, how: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    shop = searchable(t)
+    return how(shop, search_queries(shop))
 
 
 _SEARCHABLE = f""", shops AS (SELECT product_id, count(DISTINCT merchant_id) AS merchants FROM cur GROUP BY 1),
@@ -85,12 +92,12 @@ _FOUND = (
 )
 _query(
     "search_rank",
-    lambda t: search.search(searchable(t), search_queries(t), limit=20),
+    lambda t: _searched(t, lambda shop, asked: search.search(shop, asked, limit=20)),
     _FOUND + """ SELECT qid, place, id, tier, score_bp FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier DESC, score_bp DESC, merchants DESC, name, id) AS place FROM found) WHERE place <= 20""",
 )
 _query(
     "search_outcomes",
-    lambda t: search.outcomes(searchable(t), search_queries(t)),
+    lambda t: _searched(t, search.outcomes),
     _FOUND + """, n AS (SELECT qid, count(*) AS results, bool_or(fallback) AS fallback FROM found GROUP BY 1)
   SELECT a.qid, CASE WHEN len(words) = 0 THEN 'empty' WHEN coalesce(fallback, false) OR len(missing) > 0 THEN 'brand-miss' WHEN coalesce(results, 0) > 0 THEN 'results' ELSE 'empty' END AS kind,
     array_to_string(CASE WHEN fallback THEN list_concat(missing, list_filter(words, lambda w: NOT list_contains(required, w))) ELSE missing END, ' ') AS missing, corrections, coalesce(results, 0) AS results
@@ -98,12 +105,12 @@ _query(
 )
 _query(
     "corrections",
-    lambda t: search.correct(search_queries(t).select(F.explode(search.content_words(F.col("query"))).alias("token")), search.index(searchable(t))),
+    lambda t: _searched(t, lambda shop, asked: search.correct(asked.select(F.explode(search.content_words(F.col("query"))).alias("token")), search.index(shop))),
     _SEARCHABLE + _ASKED + " SELECT * FROM fixed",
 )
 _query(
     "suggestions",
-    lambda t: search.suggestions(searchable(t), searchable(t).select(F.substring("name", 1, 3).alias("prefix")).distinct().withColumn("qid", F.col("prefix"))),
+    lambda t: _searched(t, lambda shop, asked: search.suggestions(shop, shop.select(F.substring("name", 1, 3).alias("prefix")).distinct().withColumn("qid", F.col("prefix")))),
     _SEARCHABLE + """, q AS (SELECT DISTINCT name[1:3] AS qid FROM sp), r AS (SELECT DISTINCT qid, id FROM q JOIN hay ON starts_with(token, qid))
   SELECT qid, place, id FROM (SELECT qid, r.id, row_number() OVER (PARTITION BY qid ORDER BY merchants DESC, name, r.id) AS place FROM r JOIN sp ON sp.id = r.id) WHERE place <= 8""",
 )

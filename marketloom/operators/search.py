@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marketloom import constants as C
 from marketloom.functions import prices
 from marketloom.functions import scalars as S
+from marketloom.sources.work import written
 
 
 def words(text: Column) -> Column:
@@ -44,6 +45,10 @@ class Index:
     heads: DataFrame
     brands: DataFrame
 
+    def kept(self) -> Index:
+        """The same, written once, for searches that read it several times."""
+        return Index(written(self.vocab), written(self.heads), written(self.brands))
+
 
 def index(products: DataFrame, known_brands: list[str] | None = None) -> Index:
     """What searches need of the catalog (id, name, brand).
@@ -52,7 +57,7 @@ def index(products: DataFrame, known_brands: list[str] | None = None) -> Index:
     placeholder or number, and leads fewer than BRAND_HEADS names; words of
     ``known_brands`` count where the catalog uses them at all.
     """
-    vocab = products.select("id", F.explode(_hay()).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("products")).persist()
+    vocab = products.select("id", F.explode(_hay()).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("products"))
     heads = products.groupBy(lead_word(F.col("name")).alias("head")).agg(F.count(F.lit(1)).alias("products")).where("head <> ''")
     named = products.select(F.explode(words(F.col("brand"))).alias("token")).distinct()
     named = named.where((F.length("token") >= 3) & ~F.col("token").isin(C.NOT_BRANDS) & ~F.col("token").rlike("^[0-9]+$"))
@@ -136,8 +141,8 @@ def _resolved(queries: DataFrame, found: Index, known_brands: list[str] | None)
 
 
 def _answers(products: DataFrame, queries: DataFrame, known_brands: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    found = index(products, known_brands)
-    asked = _resolved(queries, found, known_brands).persist()  # a row per query, read by every step below
+    found = index(products, known_brands).kept()
+    asked = written(_resolved(queries, found, known_brands))  # a row per query, read by every step below
     usual = _matched(products, asked.where(F.size("words") > 0), found).withColumn("fallback", F.lit(False))
     lost = asked.join(usual.select("qid").distinct(), "qid", "left_anti").where((F.size("required") > 0) & (F.size("words") > F.size("required")))
     brand_only = _matched(products, lost.withColumn("words", F.col("required")), found).withColumn("fallback", F.lit(True))

@@ -2,47 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketloom.sources.work import clear_written, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset, one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder and read back.
-
-    Later steps read the files instead of recomputing, so a lost executor costs
-    its own tasks only.  The files go with ``clear_written``, or when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marketloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_WRITTEN: list[str] = []
-
-
-def clear_written(spark: SparkSession) -> int:
-    """Delete what ``written`` has left so far and tell how many tables; for when all results have been taken."""
-    count = len(_WRITTEN)
-    while _WRITTEN:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    return count
+__all__ = ["clear_written", "components", "numbered", "ranked", "shared_dir", "unused", "written"]
 
 
 def unused(name: str, columns: list[str]) -> str:

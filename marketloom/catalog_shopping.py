@@ -189,7 +189,7 @@ _query("resolve_line", _resolved, _RESOLVED + " SELECT * FROM resolved")
 _query("merchant_baskets", lambda t: substitution.merchant_baskets(_resolved(t), t.merchant), _STORE_BASKETS + " SELECT * FROM totals")
 _query(
     "basket_optimized",
-    lambda t: substitution.optimized(_resolved(t), t.merchant),
+    lambda t: substitution.optimized(written(_resolved(t)), t.merchant),
     _STORE_BASKETS + """, blocked AS (SELECT basket_id, arg_min(merchant_id, (total_bani, merchant_id)) AS merchant_id FROM totals WHERE complete AND NOT meets_minimum GROUP BY 1),
   ok AS (SELECT * FROM resolved WHERE status <> 'UNAVAILABLE'), f AS (SELECT *, row_number() OVER (PARTITION BY basket_id, product_id ORDER BY total_bani, merchant_id) AS rn FROM ok),
   v AS (SELECT basket_id, merchant_id, sum(total_bani) AS v FROM f WHERE rn = 1 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY v DESC, merchant_id) AS rn FROM v),
@@ -204,7 +204,7 @@ _query(
 )
 _query(
     "marginal_stores",
-    lambda t: substitution.marginal_stores(_resolved(t), t.merchant),
+    lambda t: substitution.marginal_stores(written(_resolved(t)), t.merchant),
     _STORE_BASKETS + """, r AS (SELECT r.*, s.merchant_id AS first, s.total_bani AS single_bani FROM resolved r JOIN single s USING (basket_id) WHERE status <> 'UNAVAILABLE'),
   mv AS (SELECT h.basket_id, h.merchant_id, h.first, h.single_bani, CAST(sum(h.total_bani) AS BIGINT) AS there, CAST(sum(o.total_bani) AS BIGINT) AS gone FROM r h JOIN r o ON o.basket_id = h.basket_id AND o.product_id = h.product_id AND o.merchant_id = o.first
     WHERE h.merchant_id <> h.first AND h.total_bani < o.total_bani GROUP BY 1, 2, 3, 4),

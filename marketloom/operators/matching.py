@@ -145,62 +145,74 @@ def overlap_words(name: Column) -> Column:
     return F.array_distinct(F.filter(S.tokens(S.normalize(name)), lambda w: ~w.isin(C.MATCH_STOP) & ~w.isin(C.UNIT_NOISE) & ~w.rlike(r"^[0-9]+(ml|l|kg|g|gr|cl|mg|mcg|ui|iu|buc|x)?$")))
 
 
-def decide(pairs: DataFrame) -> DataFrame:
+def described(rows: DataFrame, side: str) -> DataFrame:
+    """What decisions need to know of each row by itself, computed once a row: words, head, doses, codes (columns of ``side``_)."""
+    c = lambda name: F.col(f"{side}_{name}")
+    out = rows.withColumn(f"{side}_norm", S.normalize(c("name"))).withColumn(f"{side}_brandn", S.normalize(c("brand")))
+    out = out.withColumn(f"{side}_tokens", S.tokens(c("norm"))).withColumn(f"{side}_over", overlap_words(c("name")))
+    out = out.withColumn(f"{side}_head", S.head_noun(c("tokens"), S.tokens(c("brandn")), _literal(C.VARIANT_MARKERS)))
+    return out.withColumn(f"{side}_words", variant_words(c("name"))).withColumn(f"{side}_dose", S.dose_tokens(c("name"))).withColumn(f"{side}_codes", _codes(f"{side}_tokens", f"{side}_size"))
+
+
+_DESCRIBED = ("norm", "brandn", "tokens", "over", "head", "words", "dose", "codes")
+_RULES = [
+    "ean", "size-unit", "size", "head-noun", "brand", "variant", "pack-shape", "descriptor-conflict", "mutually-distinct",
+    "variant-mismatch", "dose-mismatch", "variant-code-mismatch", "low-overlap",
+]
+
+
+def decide(pairs: DataFrame, rejected: bool = True) -> DataFrame:
     """Band, reason and score of (catalog, store) pairs, by the first rule that fits.
 
     Needs section, c_name, c_brand, c_unit, c_size, c_ean and the same with s_;
     c_pack and s_pack (pieces of a pack) count where both are given.  Keeps all
-    columns.
+    columns but those of ``described``, which it adds itself where they are
+    missing.  Words are compared only where the cheap rules leave a pair open.
+    Without ``rejected`` the pairs that those rules reject are left out.
     """
-    ct, st = S.tokens(S.normalize(F.col("c_name"))), S.tokens(S.normalize(F.col("s_name")))
-    rows = pairs.withColumn("_ct", ct).withColumn("_st", st)
-    rows = rows.withColumn("_co", overlap_words(F.col("c_name"))).withColumn("_so", overlap_words(F.col("s_name")))
-    rows = rows.withColumn("_cl", _fuzzy_except(F.col("_co"), F.col("_so"))).withColumn("_sl", _fuzzy_except(F.col("_so"), F.col("_co")))
-    shared = F.greatest(F.size("_co") - F.size("_cl"), F.size("_so") - F.size("_sl"))
-    union = shared + F.size("_cl") + F.size("_sl")
-    rows = rows.withColumn("jaccard", F.when((F.size("_co") > 0) & (F.size("_so") > 0), shared / union).otherwise(0.0))
-    rows = rows.withColumn("_variant", variant_conflict(variant_words(F.col("c_name")), variant_words(F.col("s_name"))))
-    head = S.head_noun(F.col("_ct"), S.tokens(S.normalize(F.col("c_brand"))), _literal(C.VARIANT_MARKERS))
+    rows = pairs
+    for side in ("c", "s"):
+        if f"{side}_norm" not in pairs.columns:
+            rows = described(rows, side)
+    brand_hit = (F.col("c_brandn") != "") & F.contains(F.concat_ws(" ", "s_brandn", "s_norm"), F.col("c_brandn"))
+    sizes = F.col("c_size").isNull() | F.col("s_size").isNull() | (F.col("c_unit") != F.col("s_unit"))
+    early = (
+        F.when(S.ean_ok(F.col("c_ean")) & (F.col("c_ean") == F.col("s_ean")), 0).when(sizes, 1)
+        .when(F.abs(F.col("c_size") - F.col("s_size")) > C.SIZE_TOLERANCE * F.col("c_size") + 1e-9, 2)
+        .when((F.col("c_head") != "") & ~F.contains("s_norm", F.col("c_head")), 3).when((F.col("c_brandn") != "") & ~brand_hit, 4)
+    )
+    rows = rows.withColumn("_early", early).withColumn("_hit", brand_hit)
+    if not rejected:
+        rows = rows.where("_early is null or _early = 0")
+    alive = F.col("_early").isNull()
+    rows = rows.withColumn("_cl", F.when(alive, _fuzzy_except(F.col("c_over"), F.col("s_over")))).withColumn("_sl", F.when(alive, _fuzzy_except(F.col("s_over"), F.col("c_over"))))
+    rows = rows.withColumn("_variant", F.when(alive, variant_conflict(F.col("c_words"), F.col("s_words"))))
+    left, right, n, m = F.size("_cl"), F.size("_sl"), F.size("c_over"), F.size("s_over")
+    shared = F.greatest(n - left, m - right)
+    rows = rows.withColumn("_j", F.when(alive & (n > 0) & (m > 0), shared / (shared + left + right)).otherwise(0.0))
+    j = F.col("_j")
     packs = F.lit(False)
     if {"c_pack", "s_pack"} <= set(pairs.columns):
         packs = (F.col("c_pack") != F.col("s_pack")) & (F.greatest("c_pack", "s_pack") > 1)
-    cv, sv = _variants("_co"), _variants("_so")
-    cc, sc = _codes("_ct", "c_size"), _codes("_st", "s_size")
-    brand, store = S.normalize(F.col("c_brand")), S.normalize(F.concat_ws(" ", "s_brand", "s_name"))
-    brand_hit = (brand != "") & F.contains(store, brand)
-    in_name = F.contains(S.normalize(F.col("s_name")), head)
-    j = F.col("jaccard")
-    cd, sd = S.dose_tokens(F.col("c_name")), S.dose_tokens(F.col("s_name"))
-    score = F.least(F.lit(1.0), 0.45 + 0.4 * j + 0.15 * brand_hit.cast("int"))
-    band_by = lambda ok: F.when(ok, "REVIEW").otherwise("REJECT")
+    words = [w for values in C.DESCRIPTORS.values() for w in values]
+    distinct = (F.size(F.array_except("_cl", _literal(words))) > 0) & (F.size(F.array_except("_sl", _literal(words))) > 0)
+    cv, sv = _variants("c_over"), _variants("s_over")
+    doses = (F.col("c_dose") != "") & (F.col("s_dose") != "") & (F.col("c_dose") != F.col("s_dose"))
+    codes = (F.size("c_codes") > 0) & (F.size("s_codes") > 0) & ~F.arrays_overlap("c_codes", "s_codes")
     overlap = F.when(F.col("section") == "grocery", 0.55).otherwise(0.60)
-    few = (F.size("_co") >= 2) & (F.size("_so") >= 2) & (j < overlap)
-    described = [w for values in C.DESCRIPTORS.values() for w in values]
-    left, right = F.size("_cl"), F.size("_sl")
-    both_left = (F.size(F.array_except("_cl", _literal(described))) > 0) & (F.size(F.array_except("_sl", _literal(described))) > 0)
-    rules = [
-        (S.ean_ok(F.col("c_ean")) & (F.col("c_ean") == F.col("s_ean")), "ean", F.lit("AUTO"), F.lit(1.0)),
-        (F.col("c_size").isNull() | F.col("s_size").isNull() | (F.col("c_unit") != F.col("s_unit")), "size-unit", F.lit("REJECT"), F.lit(0.0)),
-        (F.abs(F.col("c_size") - F.col("s_size")) > C.SIZE_TOLERANCE * F.col("c_size") + 1e-9, "size", F.lit("REJECT"), F.lit(0.0)),
-        ((head != "") & ~in_name, "head-noun", F.lit("REJECT"), F.lit(0.0)),
-        ((brand != "") & ~brand_hit, "brand", F.lit("REJECT"), F.lit(0.0)),
-        (F.col("_variant").isNotNull(), F.concat(F.lit("variant-"), F.col("_variant")), F.lit("REJECT"), j),
-        (packs, "pack-shape", F.lit("REJECT"), j),
-        ((left > 0) & (right > 0) & descriptor_conflict(F.col("_cl"), F.col("_sl")), "descriptor-conflict", band_by(j >= C.REVIEW_BAND), j),
-        (both_left, "mutually-distinct", band_by(j >= C.REVIEW_BAND), j),
-        (F.size(F.array_except(cv, sv)) + F.size(F.array_except(sv, cv)) > 0, "variant-mismatch", F.lit("REJECT"), j),
-        ((cd != "") & (sd != "") & (cd != sd), "dose-mismatch", F.lit("REJECT"), j),
-        ((F.size(cc) > 0) & (F.size(sc) > 0) & ~F.arrays_overlap(cc, sc), "variant-code-mismatch", F.lit("REJECT"), j),
-        (few, "low-overlap", band_by(j >= C.REVIEW_BAND), j),
-    ]
-    reason = F.when(brand_hit, "brand+size").otherwise("name+size")
-    band = F.when(score >= C.AUTO_BAND, "AUTO").when(score >= C.REVIEW_BAND, "REVIEW").otherwise("REJECT")
-    value = score
-    for ok, name, b, s in reversed(rules):
-        ok = F.coalesce(ok, F.lit(False))
-        reason, band, value = F.when(ok, name).otherwise(reason), F.when(ok, b).otherwise(band), F.when(ok, s).otherwise(value)
+    rule = (
+        F.when(~alive, F.col("_early")).when(F.col("_variant").isNotNull(), 5).when(packs, 6).when((left > 0) & (right > 0) & descriptor_conflict(F.col("_cl"), F.col("_sl")), 7)
+        .when(distinct, 8).when(F.size(F.array_except(cv, sv)) + F.size(F.array_except(sv, cv)) > 0, 9).when(doses, 10).when(codes, 11)
+        .when((n >= 2) & (m >= 2) & (j < overlap), 12).otherwise(13)
+    )
+    rows = rows.withColumn("_rule", rule)
+    rule, score = F.col("_rule"), F.least(F.lit(1.0), 0.45 + 0.4 * j + 0.15 * F.col("_hit").cast("int"))
+    value = F.when(rule == 0, 1.0).when(rule <= 4, 0.0).when(rule <= 12, j).otherwise(score)
+    by_share = rule.isin(7, 8, 12)  # like enough for a person to look at
+    band = F.when((rule == 0) | ((rule == 13) & (score >= C.AUTO_BAND)), "AUTO").when((by_share | (rule == 13)) & (value >= C.REVIEW_BAND), "REVIEW").otherwise("REJECT")
+    reason = F.when(rule == 13, F.when(F.col("_hit"), "brand+size").otherwise("name+size")).when(rule == 5, F.concat_ws("-", F.lit("variant"), "_variant")).otherwise(F.get(_literal(_RULES), rule))
     out = rows.withColumn("reason", reason).withColumn("band", band).withColumn("score_bp", S.half_up(value * 10000))
-    return out.drop("_ct", "_st", "_co", "_so", "_cl", "_sl", "_variant", "jaccard")
+    return out.drop("_early", "_hit", "_cl", "_sl", "_variant", "_j", "_rule", *(f"{side}_{x}" for side in ("c", "s") for x in _DESCRIBED))
 
 
 def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
@@ -223,18 +235,19 @@ def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
-def decided_pairs(catalog: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every candidate pair with its decision, rejected ones too; both sides' columns as c_ and s_."""
+def decided_pairs(catalog: DataFrame, pool: DataFrame, rejected: bool = True) -> DataFrame:
+    """Every candidate pair with its decision, both sides' columns as c_ and s_; without ``rejected`` not those that cheap rules reject."""
 
     def ean(rows: DataFrame) -> Column:
         return F.col("ean") if "ean" in rows.columns else F.lit(None).cast("string")
 
     def side(rows: DataFrame, prefix: str, kept: list[str]) -> DataFrame:
         names = {"name": "name", "brand": "brand", "unit": "unit", "unit_size": "size"}
-        return rows.select(*kept, *(F.col(c).alias(prefix + n) for c, n in names.items()), ean(rows).alias(prefix + "ean"))
+        rows = rows.select(*kept, *(F.col(c).alias(f"{prefix}_{n}") for c, n in names.items()), ean(rows).alias(f"{prefix}_ean"))
+        return described(rows, prefix)
 
     ids = match_candidates(catalog, pool)
-    return decide(ids.join(side(catalog, "c_", ["id", "section"]), "id").join(side(pool, "s_", ["item_id"]), "item_id"))
+    return decide(ids.join(side(catalog, "c", ["id", "section"]), "id").join(side(pool, "s", ["item_id"]), "item_id"), rejected)
 
 
 def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
@@ -244,7 +257,7 @@ def resolve(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     pool: item_id and the same.  A store item that is AUTO for two products or
     more goes to review, but for pairs of one EAN.
     """
-    out = decided_pairs(catalog, pool).where("band <> 'REJECT'")
+    out = decided_pairs(catalog, pool, rejected=False).where("band <> 'REJECT'")
     autos = F.count_if(F.col("band") == "AUTO").over(Window.partitionBy("item_id"))
     veto = (F.col("band") == "AUTO") & (F.col("autos") >= 2) & (F.col("reason") != "ean")
     out = out.withColumn("autos", autos)

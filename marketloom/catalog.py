@@ -296,7 +296,7 @@ _query(
     "fanout",
     # a price in whole tens of lei stands for a store item
     lambda t: quality.fan_out(t.offer.withColumn("price_bani", F.col("price_bani") - F.col("price_bani") % 1000)),
-    "SELECT merchant_id, price_bani - price_bani % 1000 AS price_bani, count(DISTINCT product_id) AS products FROM offer GROUP BY 1, 2 HAVING count(DISTINCT product_id) > 3",
+    "SELECT merchant_id, price_bani - price_bani % 1000 AS price_bani, count(DISTINCT product_id) AS products, count(DISTINCT product_id) > 8 AS over_max FROM offer GROUP BY 1, 2 HAVING count(DISTINCT product_id) > 3",
 )
 _query(
     "orphans",

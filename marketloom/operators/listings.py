@@ -148,7 +148,7 @@ def offer_ladder(placed: DataFrame, steps: list[tuple[str, Column]]) -> DataFram
     return one.select(F.inline(F.array(*rows)))
 
 
-def offer_census(placed: DataFrame, now: Column, days: int) -> DataFrame:
+def offer_census(placed: DataFrame, now: Column, days: int = C.CENSUS_STALE_DAYS) -> DataFrame:
     """Every offer in the first bucket that fits; the buckets add up to all offers."""
     bucket = (
         F.when(~F.col("active"), "inactive").when(F.col("aggregator"), "platform").when(F.col("flagged"), "flagged")

@@ -35,9 +35,9 @@ def merged_duplicates(products: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def fan_out(offers: DataFrame) -> DataFrame:
-    """Store items (same merchant and price) that cover more products than allowed."""
+    """Store items (same merchant and price) that cover more products than usual, and whether more than ever allowed."""
     rows = offers.groupBy("merchant_id", "price_bani").agg(F.countDistinct("product_id").alias("products"))
-    return rows.where(F.col("products") > C.FANOUT_P95)
+    return rows.where(F.col("products") > C.FANOUT_P95).withColumn("over_max", F.col("products") > C.FANOUT_MAX)
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:

@@ -32,7 +32,7 @@ def appended_on_change(history: DataFrame) -> DataFrame:
     return rows.where("before is null or before <> price_bani").drop("before")
 
 
-def mass_move_days(history: DataFrame, writes: int, share: float = C.MASS_MOVE_SHARE, jump: float = C.MASS_MOVE_JUMP) -> DataFrame:
+def mass_move_days(history: DataFrame, writes: int = C.MASS_MOVE_WRITES, share: float = C.MASS_MOVE_SHARE, jump: float = C.MASS_MOVE_JUMP) -> DataFrame:
     """Days with ``writes`` or more on which over ``share`` of the offers moved by more than ``jump``."""
     rows = history.withColumn("before", F.lag("price_bani").over(_in_time()))
     big = F.abs(F.col("price_bani") - F.col("before")) > jump * F.col("before")
@@ -46,12 +46,13 @@ def basket_series(history: DataFrame, basket: DataFrame) -> DataFrame:
     Prices carry forward from a merchant's last observation on or before the
     day.  Only days on which some basket line was observed appear.
     """
-    seen = history.join(F.broadcast(basket), "product_id")
+    seen = history.join(basket, "product_id")
     day = seen.groupBy("product_id", "merchant_id", F.to_date("recorded_at").alias("day")).agg(
         F.max_by("price_bani", F.struct("recorded_at", "ord", "line")).alias("price")
     )
     days = day.select("day").distinct()
     pairs = day.select("product_id", "merchant_id").distinct()
+    # every line and shop on every observed day: as large as the basket times the calendar
     grid = pairs.join(F.broadcast(days)).join(day, ["product_id", "merchant_id", "day"], "left")
     back = Window.partitionBy("product_id", "merchant_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.withColumn("carried", F.last("price", ignorenulls=True).over(back)).where("carried is not null")

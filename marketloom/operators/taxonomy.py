@@ -17,7 +17,7 @@ def assign_by_name(products: DataFrame, rules: DataFrame) -> DataFrame:
     the category out.  Two departments with the same best score leave 0.52.
     """
     words = products.select("id", S.tokens(S.normalize(F.col("name"))).alias("t"), S.normalize(F.col("name")).alias("norm"))
-    by_word = words.select("id", "t", "norm", F.posexplode("t").alias("pos", "word")).join(F.broadcast(rules), "word")
+    by_word = words.select("id", "t", "norm", F.posexplode("t").alias("pos", "word")).join(rules, "word")
     by_word = by_word.where(F.col("avoid").isNull() | ~F.array_contains("t", F.col("avoid")))
     place = F.when(F.col("pos") == 0, 95).when(F.col("pos") == 1, 90).when(F.col("pos") == 2, 82).when(F.col("pos") == 3, 70).otherwise(50)
     bonus = F.when(F.coalesce(F.contains("norm", "phrase"), F.lit(False)), 15).otherwise(0)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from marketloom import catalog
+from marketloom import catalog, catalog_shopping
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,7 +47,7 @@ def test_entry(spark):
 def test_store_items_are_all_products_turned_round(spark):
     t = catalog.Tables(spark, FOLDER)
     names = {r.id: r["name"] for r in t.product.collect()}
-    pool = {r.item_id - 1_000_000: r["name"] for r in catalog._pool(t).collect()}
+    pool = {r.item_id - 1_000_000: r["name"] for r in catalog_shopping._pool(t).collect()}
     assert pool == {i: " ".join(reversed(n.split(" "))) for i, n in names.items()}
     decided = catalog.QUERIES["match_decide"](spark, FOLDER).collect()
     assert {(r.item_id - 1_000_000, r.id) for r in decided} >= {(i, i) for i in names}

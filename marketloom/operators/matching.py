@@ -52,6 +52,20 @@ def structural_candidates(products: DataFrame, tolerance: float = C.SIZE_TOLERAN
     return a.join(b, on).select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"))
 
 
+def undisputed(pairs: DataFrame, products: DataFrame, strict: bool = True) -> DataFrame:
+    """Pairs (id, other_id) whose names do not set them apart.
+
+    Strict: neither name has a word, brands aside, that the other lacks; else
+    each may have one.  Doses that both state must agree.
+    """
+    words = F.array_except(F.array_distinct(S.tokens(S.normalize(F.col("name")))), S.tokens(S.normalize(F.col("brand"))))
+    facts = products.select("id", words.alias("w"), S.dose_tokens(F.col("name")).alias("d"))
+    rows = pairs.join(facts, "id").join(facts.toDF("other_id", "w2", "d2"), "other_id")
+    most = 0 if strict else 1
+    alike = (F.size(F.array_except("w", "w2")) <= most) & (F.size(F.array_except("w2", "w")) <= most)
+    return rows.where(alike & ((F.col("d") == "") | (F.col("d2") == "") | (F.col("d") == F.col("d2")))).select("id", "other_id")
+
+
 def alternatives(products: DataFrame, current: DataFrame, limit: int = 8) -> DataFrame:
     """For each product up to ``limit`` purchasable candidates, cheapest first, another brand preferred on ties."""
     low = current.groupBy("product_id").agg(F.min("price_bani").alias("low"))

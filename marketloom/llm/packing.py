@@ -14,6 +14,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ class WordTokens:
     the memory for words; beyond it they are looked up anew.
     """
 
-    def __init__(self, path: str, bound: int = 1_200_000) -> None:
+    def __init__(self, path: str, bound: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,14 +154,20 @@ class WordTokens:
         return ids, before[words.at]
 
 
+@cache
+def coder_of(path: str) -> WordTokens:
+    """One coder a worker process, whose tasks follow each other."""
+    return WordTokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, end_id: int, keep_ids: bool, place_col: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids][, _place]) of every document's tokens and end id."""
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["_place"] * bool(place_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(tokenizer)
+        coder = coder_of(tokenizer)
         for batch in batches:
-            for part in text_slices(batch, "text", 8 << 20):
+            for part in text_slices(batch, "text"):
                 ids, at = coder.encode(part.column("text"))
                 doc, piece, start, length, crc, blobs = [], [], [], [], [], []
                 for i in range(part.num_rows):
@@ -179,7 +186,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
                     out.append(part.column("_place").take(pa.array(doc, pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names)
                 del out, blobs, ids
-        del coder
         give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("_place")] if place_col else []))

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.blocks import give_back
 from marketloom.llm.common import ranked, written
-from marketloom.llm.text_arrays import same_ranges, text_slices, utf8, word_table
+from marketloom.llm.text_arrays import text_slices, utf8, word_table
+from marketloom.llm.word_cache import WordCache
 
 STRETCHES = 64  # most stretches of documents packed one after the other
 STRETCH_BINS = 32  # sequences of a stretch at least, about
@@ -48,14 +49,7 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data + upper.astype(np.uint8) * np.uint8(32)))
 
 
-def _grown(array: np.ndarray, size: int) -> np.ndarray:
-    """The array with room for ``size`` entries, doubled as often as it takes."""
-    while size > len(array):
-        array = np.concatenate((array, np.zeros_like(array)))
-    return array
-
-
-class WordTokens:
+class WordTokens(WordCache):
     """Token ids of whole texts, with the ids of words remembered.
 
     For tokenizers that never make a token across white space.  ``bound`` limits
@@ -66,18 +60,12 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         apart = ((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not x.normalized)
         self.mark = next(apart, (None, -1))
         self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int | bytes, int] = {}  # by hash; words whose hash another word has, by their bytes
-        self.letters, self.end = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 12, dtype=np.int64)  # the words' bytes, and where each ends
-        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
-        self.first = np.zeros(1 << 12, dtype=np.int64)  # place of a word's ids in self.ids
+        super().__init__(bound)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids per text); many texts a call, kept apart by a special token."""
@@ -92,21 +80,6 @@ class WordTokens:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in made for i in x], dtype="<u4"), np.array([len(x) for x in made], dtype=np.int64)
 
-    def _learn(self, keys: list[int | bytes], words: list[bytes]) -> None:
-        for low in range(0, len(words), 4096):
-            part = words[low : low + 4096]
-            flat, sizes = self._encoded([w.decode("utf-8", "replace") for w in part])
-            n, own = len(self.known), np.frombuffer(b"".join(part), dtype=np.uint8)
-            self.ids = _grown(self.ids, self.used + len(flat))
-            self.first, self.end = _grown(self.first, n + len(part) + 1), _grown(self.end, n + len(part) + 1)
-            self.letters = _grown(self.letters, int(self.end[n]) + len(own))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.first[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-            self.letters[self.end[n] : self.end[n] + len(own)] = own
-            self.end[n + 1 : n + 1 + len(part)] = self.end[n] + np.cumsum([len(w) for w in part])
-            self.used += len(flat)
-            self.known.update(zip(keys[low : low + 4096], range(n, n + len(part)), strict=True))
-
     def _folded(self, texts: pa.Array) -> pa.Array:
         """Lower-cased if the tokenizer does so too and no special token comes about by it."""
         if not self.folds or len(texts) == 0:
@@ -116,42 +89,8 @@ class WordTokens:
         return lower if all(before.count(x) == after.count(x) for x in self.special) else texts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, for each text the ids before it, and the total).
-
-        Words meet by their hashes, and their bytes are compared with those of
-        the word that has the hash; others are looked up by their bytes.
-        """
-        words = word_table(self._folded(texts), fold_case=False, split=_between_word_and_mark)
-        raw = words.data.tobytes()
-        values, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        keys: list[int | bytes] = values.tolist()
-        if len(self.known) + len(keys) > self.bound:
-            self._forget()
-        least = where[inverse]
-        odd = np.flatnonzero(~same_ranges(words.data, words.start, words.end, words.data, words.start[least], words.end[least]))
-        for i in odd.tolist():
-            word = raw[words.start[i] : words.end[i]]
-            if word not in keys[len(values) :]:
-                keys.append(word)
-                where = np.append(where, i)
-            inverse[i] = len(values) + keys[len(values) :].index(word)
-        index = np.fromiter((self.known.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
-        plain = np.flatnonzero(index[: len(values)] >= 0)
-        at = index[plain]
-        same = same_ranges(words.data, words.start[where[plain]], words.end[where[plain]], self.letters[: self.end[len(self.known)]], self.end[at], self.end[at + 1])
-        for i in plain[~same].tolist():
-            keys[i] = raw[words.start[where[i]] : words.end[where[i]]]
-            index[i] = self.known.get(keys[i], -1)
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            spans = zip(words.start[where[new]].tolist(), words.end[where[new]].tolist(), strict=True)
-            index[new] = len(self.known) + np.arange(len(new))
-            self._learn([keys[i] for i in new.tolist()], [raw[a:b] for a, b in spans])
-        index = index[inverse]
-        first, size = self.first[index], self.first[index + 1] - self.first[index]
-        before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
-        return ids, before[words.at]
+        """(ids of all texts in a row, for each text the ids before it, and the total)."""
+        return self.ids_of(word_table(self._folded(texts), fold_case=False, split=_between_word_and_mark))
 
 
 @cache

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import (
+    byte_bpe,
+    centroids,
     hash_index,
     lm_score,
     minhash_dedup,
@@ -19,6 +21,7 @@ from marketloom.llm import (
     toxicity,
     url_filter,
     vector_dedup,
+    whitening,
 )
 
 
@@ -102,6 +105,23 @@ def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=200, real=False)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen centroids of all vectors after three rounds, and what each vector is assigned to."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)[0]
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as hashes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, spaced=True)
+
+
+def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's eight whitened components."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_toxicity": op1_ftrl_toxicity,
     "op3_superminhash_dedup": op3_superminhash_dedup,
@@ -113,5 +133,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_pfair_mixing": op9_pfair_mixing,
     "op10_maximal_repeats": op10_maximal_repeats,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_prefix_bpe": op12_prefix_bpe,
+    "op13_refined_whitening": op13_refined_whitening,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _assignment(name: str, before: str) -> str:
+    """SQL of each vector's nearest centroid in ``before``, ties to the smaller number."""
+    return f"""{name} AS MATERIALIZED (
+    SELECT vec_id, cluster, distance FROM (
+        SELECT e.vec_id, c.cluster, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS distance,
+               row_number() OVER (PARTITION BY e.vec_id ORDER BY sum((e.x - c.x) * (e.x - c.x)), c.cluster) AS place
+        FROM parts e JOIN {before} c ON e.pos = c.pos GROUP BY e.vec_id, c.cluster) WHERE place = 1)"""
+
+
+def _moves(name: str, before: str, found: str) -> str:
+    """SQL of the centroids moved to their vectors' floored means."""
+    floored = "(m.s - ((m.s % m.n) + m.n) % m.n) // m.n"
+    return f"""{name} AS MATERIALIZED (
+    SELECT c.cluster, c.pos, coalesce({floored}, c.x)::BIGINT AS x FROM {before} c LEFT JOIN (
+        SELECT f.cluster, p.pos, sum(p.x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM {found} f JOIN parts p USING (vec_id) GROUP BY f.cluster, p.pos) m
+    ON c.cluster = m.cluster AND c.pos = m.pos)"""
+
+
+#: for tables whose ids are distinct
+_CENTROIDS_SQL = f"""WITH kept AS (
+    SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c::DOUBLE))) = 64),
+parts AS MATERIALIZED (
+    SELECT vec_id, pos, floor(64 * (embedding[pos])::DOUBLE)::BIGINT AS x FROM kept, (SELECT unnest(range(1, 65)) AS pos)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < 16),
+c0 AS MATERIALIZED (SELECT f.cluster, p.pos, p.x FROM first f JOIN parts p USING (vec_id)),
+{_assignment("a0", "c0")}, {_moves("c1", "c0", "a0")},
+{_assignment("a1", "c1")}, {_moves("c2", "c1", "a1")},
+{_assignment("a2", "c2")}, {_moves("c3", "c2", "a2")},
+{_assignment("a3", "c3")},
+digests AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN digests USING (cluster)"""
+
+ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": _CENTROIDS_SQL}

@@ -11,13 +11,18 @@ vectors.  The radius comes from the sample: it covers ``cover`` of the true
 neighbours there, which lie farther away than in the whole table.  A shard that
 finds fewer than k codes widens its radius, so no query goes short.
 
-Shards and query blocks have bounded sizes; each pair of them is one task's
-group, and every group returns at most k rows per query.
+The index rows go to the shards, once for every QUERIES queries; a shard's rows
+come first in its partition and its queries stream past them, so a task holds
+one shard of bounded size.  Every shard returns at most k rows per query.
+Vectors of each length are a table of their own, with codes of its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from marketloom.llm.common import written
 from marketloom.llm.vectors import matrix, sample, usable
 
 BITS, PARTS = 64, 8
-SHARD, QUERIES = 8_192, 1_024
+SHARD_BYTES, LEAST_SHARD, QUERIES = 32 << 20, 8_192, 262_144
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -93,29 +98,55 @@ class Shard:
         return rows[POPCOUNT[self.codes[rows] ^ code].sum(axis=1) <= radius]
 
 
-def _nearest(coder: Coder, k: int):  # noqa: ANN202
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if not index.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        x, ids = matrix(index.column("v")), index.column("id").to_numpy()
-        q, own = matrix(queries.column("v")), queries.column("id").to_numpy()
-        shard, codes = Shard(coder.codes(x)), coder.codes(q)
-        out: list[tuple[int, int, float]] = []
-        for i in range(len(q)):
-            radius = coder.radius
-            while True:
-                rows = shard.within(codes[i], radius)
-                rows = rows[ids[rows] != own[i]]
-                if len(rows) >= k or radius >= BITS:
-                    break
-                radius = min(BITS, radius + PARTS)
-            d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[rows], d))[:k]
-            out += zip([int(own[i])] * len(best), ids[rows][best].tolist(), d[best].tolist(), strict=True)
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def shard_rows(n: int, d: int) -> int:
+    """Rows of a shard of a table of n vectors of length d: a sixty-fourth of the table, within bounds."""
+    return max(1, min(max(LEAST_SHARD, n // 64), SHARD_BYTES // (8 * d)))
+
+
+def _best(coder: Coder, shard: Shard, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k rows of a shard nearest to one query, of those whose codes are near."""
+    code, radius = coder.codes(q[None, :])[0], coder.radius
+    while True:
+        rows = shard.within(code, radius)
+        rows = rows[ids[rows] != own]
+        if len(rows) >= k or radius >= BITS:
+            break
+        radius = min(BITS, radius + PARTS)
+    d = np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
+    best = np.lexsort((ids[rows], d))[:k]
+    return ids[rows][best], d[best]
+
+
+def _streamed(coders: list[tuple[int, Coder]], k: int):  # noqa: ANN202
+    """Rows (g, kind, id, v), sorted by group and kind: a group's index rows (0), then its queries (1)."""
+    firsts = [g for g, _ in coders]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, shard, x, ids = None, None, [], []
+        for batch in batches:
+            g, kind = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("g", "kind"))
+            edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(g)], strict=True):
+                if high == low:
+                    continue
+                if g[low] != group:
+                    group, shard, x, ids = g[low], None, [], []
+                    coder = coders[bisect(firsts, int(group)) - 1][1]
+                part = batch.slice(low, high - low)
+                v, own = matrix(part.column("v")), part.column("id").to_numpy()
+                if kind[low] == 0:
+                    x.append(v)
+                    ids.append(own)
+                    continue
+                if not x:
+                    continue
+                if shard is None:
+                    x, ids = [np.concatenate(x)], [np.concatenate(ids)]
+                    shard = Shard(coder.codes(x[0]))
+                found = [_best(coder, shard, x[0], ids[0], q, i, k) for q, i in zip(v, own.tolist(), strict=True)]
+                query = np.repeat(own, [len(f[0]) for f in found])
+                columns = [query, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -126,26 +157,35 @@ def search(
     """(query_id, rank, vec_id, score): for each query row its k nearest other rows found.
 
     score is the Euclidean distance of the original vectors in double
-    precision; ties go to the smaller id.  Which rows take part is defined by
-    ``vectors.usable``; queries among the others, and null ids, have no result.
+    precision; ties go to the smaller id.  Vectors that are null, empty, zero,
+    or hold null or non-finite components, and null ids, take no part: as
+    queries they have no result.  Vectors meet those of their own length only.
     Of rows repeating an id one vector counts (the smallest), so an id is
     returned once.  With k or fewer candidates all are returned; an empty table
-    gives no rows; other columns are ignored.  The rotation and radius are
-    learned from at most ``fit_rows`` rows; every row is indexed.
+    gives no rows; other columns are ignored.  The rotation and radius of each
+    length are learned from at most ``fit_rows`` rows; every row is indexed.
     """
-    rows = written(usable(vectors, id_col, vec_col))
-    queries = rows.where(is_query)
-    n, nq = rows.count(), queries.count()
-    x = sample(rows, fit_rows)
-    if nq == 0 or len(x) < 2:
+    rows = written(usable(vectors, id_col, vec_col).withColumn("d", F.size("v")))
+    sizes = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("nq")).orderBy("d").collect()
+    parts: list[DataFrame] = []
+    coders: list[tuple[int, Coder]] = []
+    used = 0
+    for d, n, nq in sizes:
+        if n < 2 or nq == 0:
+            continue
+        mine = rows.where(F.col("d") == d)
+        coders.append((used, fit(sample(mine, fit_rows), k, cover)))
+        shards, blocks = -(-n // shard_rows(n, d)), -(-nq // QUERIES)
+        part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")  # noqa: B023, E731
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        index = mine.select("id", "v", part(shards).alias("s"), every(blocks).alias("b"), F.lit(0).alias("kind"))
+        asked = mine.where(is_query).select("id", "v", every(shards).alias("s"), part(blocks).alias("b"), F.lit(1).alias("kind"))
+        group = F.lit(used) + F.col("b") * shards + F.col("s")
+        parts.append(index.union(asked).select(group.alias("g"), "kind", "id", "v"))
+        used += shards * blocks
+    if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    coder = fit(x, k, cover)
-    shards, blocks = -(-n // SHARD), -(-nq // QUERIES)
-    part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.select("id", "v", part(shards).alias("s"), every(blocks).alias("q"))
-    right = queries.select("id", "v", part(blocks).alias("q"), every(shards).alias("s"))
-    right = right.toDF(*right.columns)
-    found = left.groupBy("s", "q").cogroup(right.groupBy("s", "q")).applyInArrow(_nearest(coder, k), "query_id long, vec_id long, score double")
+    together = reduce(DataFrame.union, parts).repartition("g").sortWithinPartitions("g", "kind")
+    found = together.mapInArrow(_streamed(coders, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) of ``pairs`` (a, ha, b, hb) whose full shingle sets are similar enough; h tells an id's texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +107,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
         give_back()
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    left = texts.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("text").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("text").alias("tb"))
+    return pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _joining(around: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between components among the rows (main, id, comp) of each ``main``.
+    """Links (a, b) between components among the rows (main, id, h, comp) of each ``main``.
 
     Rows outside the component ``main`` are compared with all rows of their
     ``main``, in blocks of about BLOCK rows a side.
@@ -121,7 +121,7 @@ def _joining(around: DataFrame, reps: DataFrame, texts: DataFrame, words: int, p
     sizes = around.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("out"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     sizes = written(sizes.select("main", blocks("all").alias("nr"), blocks("out").alias("nl")))
-    rows = around.join(reps.select("id", "low"), "id").join(texts, "id").join(sizes, "main")
+    rows = around.join(reps.select("id", "h", "low"), ["id", "h"]).join(texts, ["id", "h"]).join(sizes, "main")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["main", "id", "comp", "low", "text"]
@@ -201,48 +201,63 @@ def near_duplicates(
     kept tells whether it is the own id.  Texts without words (null, empty,
     white space) have no shingles and no links.  Rows with a null id are not
     linked: component_id is null, kept true.  Repeated rows are reported once
-    each, with the same values.  Texts of any length are compared whole; sets at
-    exactly ``percent`` are linked.  An empty table gives an empty result;
-    columns beside the two named ones are ignored.
+    each, with the same values.  An id with several texts is one document: it is
+    linked with what any of its texts is linked with, and its rows have one
+    component but an n_shingles each.  Texts of any length are compared whole;
+    sets at exactly ``percent`` are linked.  An empty table gives an empty
+    result; columns beside the two named ones are ignored.
     """
     sig = written(signatures(docs, id_col, text_col, words, bands, rows))
     valid = sig.where("n > 0 and id is not null")
-    classes = written(valid.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
-    lead = classes.select(F.col("rep").alias("id"), "s1", "s2")
-    reps = written(valid.join(lead, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "n", "keys", "sketch", "low"))
-
-    in_band = reps.select("id", F.explode("keys").alias("key"))
-    shared = written(in_band.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    # a class, of equal shingle sets, is led by its smallest id, with that id's text of the smallest hash
+    classes = written(valid.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "h")).alias("lead")).select("s1", "s2", "n", "lead.*"))
+    reps = valid.join(classes.select("id", "h", "s1", "s2"), ["id", "h", "s1", "s2"], "left_semi")
+    reps = written(reps.dropDuplicates(["id", "h"]).select("id", "h", "n", "keys", "sketch", "low"))
+    # an id of several classes joins their leaders
+    several = valid.groupBy("id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("id")
+    leads = classes.select("s1", "s2", "n", F.col("id").alias("b"))
+    same_id = valid.select("id", "s1", "s2", "n").join(several, "id").join(leads, ["s1", "s2", "n"]).select(F.col("id").alias("a"), "b")
+
+    in_band = reps.select("id", "h", F.explode("keys").alias("key"))
+    shared = in_band.groupBy("key").agg(F.min(F.struct("id", "h")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared.select("key", F.col("c.id").alias("centre"), F.col("c.h").alias("hc")))
     members = written(in_band.join(shared, "key"))
-    ids = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a repeated id may carry other texts too: keep the one its class is made of
-    texts = written(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    ids = members.select("id", "h").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = written(texts.join(ids, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min("text").alias("text")))
 
-    star = written(members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("c")))
-    first = star.groupBy("id").agg(F.max_by("centre", "c").alias("centre"))
-    links = written(_confirmed(first.select(F.col("centre").alias("a"), F.col("id").alias("b")), texts, words, percent))
+    star = members.where("id <> centre or h <> hc").groupBy("id", "h", "centre", "hc").agg(F.count(F.lit(1)).alias("c"))
+    star = written(star)
+    pair = lambda df: df.select(F.col("centre").alias("a"), F.col("hc").alias("ha"), F.col("id").alias("b"), F.col("h").alias("hb"))
+    first = star.groupBy("id", "h").agg(F.max_by(F.struct("centre", "hc"), "c").alias("x")).select("id", "h", "x.*")
+    links = written(_confirmed(pair(first), texts, words, percent).union(same_id))
 
     label = written(components(links))
     own = label.select(F.col("node").alias("id"), F.col("component").alias("ci"))
     hub = label.select(F.col("node").alias("centre"), F.col("component").alias("cc"))
     rest = star.join(own, "id", "left").join(hub, "centre", "left")
-    rest = rest.where(F.coalesce("ci", "id") != F.coalesce("cc", "centre")).select("id", "centre")
-    x, y = reps.select("id", "n", "sketch"), reps.select(F.col("id").alias("centre"), "n", "sketch")
-    rest = rest.join(x.alias("x"), "id").join(y.alias("y"), "centre").where(_similar(percent))
-    links = written(links.union(_confirmed(rest.select(F.col("centre").alias("a"), F.col("id").alias("b")), texts, words, percent)))
+    rest = written(rest.where(F.coalesce("ci", "id") != F.coalesce("cc", "centre")).select("id", "h", "centre", "hc"))
+    if not rest.isEmpty():
+        x, y = reps.select("id", "h", "n", "sketch"), reps.select(F.col("id").alias("centre"), F.col("h").alias("hc"), "n", "sketch")
+        close = rest.join(x.alias("x"), ["id", "h"]).join(y.alias("y"), ["centre", "hc"]).where(_similar(percent))
+        more = written(_confirmed(pair(close), texts, words, percent))
+        if not more.isEmpty():
+            links = written(links.union(more))
+            label = written(components(links))
 
-    label = written(components(links))
     own = label.select(F.col("node").alias("id"), F.col("component").alias("ci"))
-    placed = members.join(own, "id", "left").select("key", "id", "centre", F.coalesce("ci", "id").alias("comp"))
+    placed = members.join(own, "id", "left").select("key", "id", "h", "centre", F.coalesce("ci", "id").alias("comp"))
     hub = label.select(F.col("node").alias("centre"), F.col("component").alias("cc"))
     placed = written(placed.join(hub, "centre", "left").withColumn("main", F.coalesce("cc", "centre")).drop("cc"))
-    open_keys = placed.where("comp <> main").select("key").distinct()
-    around = placed.join(open_keys, "key", "left_semi").groupBy("main", "id").agg(F.min("comp").alias("comp"))
-    links = written(links.union(_joining(written(around), reps, texts, words, percent)))
-
-    label = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    classes = written(classes.join(label, "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id")))
+    open_keys = written(placed.where("comp <> main").select("key").distinct())
+    if not open_keys.isEmpty():
+        around = placed.join(open_keys, "key", "left_semi").groupBy("main", "id", "h").agg(F.min("comp").alias("comp"))
+        more = written(_joining(written(around), reps, texts, words, percent))
+        if not more.isEmpty():
+            label = components(links.union(more))
+
+    label = label.select(F.col("node").alias("id"), F.col("component").alias("root"))
+    classes = written(classes.join(label, "id", "left").select("s1", "s2", "n", F.coalesce("root", "id").alias("component_id")))
     out = sig.select("id", "h", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), None).otherwise(F.col("component_id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))

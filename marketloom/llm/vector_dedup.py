@@ -11,12 +11,14 @@ the visiting chunks of one number are one group: small matrix products find the
 pairs within budget, and the original vectors confirm them.  A confirmed pair counts
 in the first block in which it keeps within budget, so nothing counts twice.
 Groups return link counts per vector and a spanning forest of their links, not
-the pairs.  Equal vectors are one class with a weight.
+the pairs.  Equal vectors are one class with a weight.  Vectors of each length
+are a table of their own, with a rotation of its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import components, written
-from marketloom.llm.vectors import matrix, sample, usable
+from marketloom.llm.vectors import lengths, matrix, sample, usable
 
 BLOCKS, CHUNK, STRIP = 4, 4_096, 512
 PAIRS_AT_ONCE = 1 << 16
@@ -129,26 +131,8 @@ def _linked(model: Subspaces, cosine: float):  # noqa: ANN202
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 8_000) -> DataFrame:
-    """One row per vector: id_col, n_links, component_id, kept.
-
-    n_links counts the other vectors with cosine >= ``cosine`` in double
-    precision; component_id is the smallest id reachable over links, the own id
-    included; kept tells whether it is the own id.  Rows that take no part (see
-    ``vectors.usable``) have no links and are their own component; a null id
-    has a null component and is kept.  Repeated ids are one vector, reported
-    once per row.  A pair at exactly ``cosine`` is linked.  Other columns are
-    ignored; an empty table gives no rows.
-    """
-    rows = written(usable(vectors, id_col, vec_col))
-    classes = written(rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    reps = classes.select(F.col("rep").alias("id"), "v", "weight")
-    x = sample(reps, fit_rows)
-    every = vectors.select(F.col(id_col).cast("long").alias("id"))
-    if len(x) == 0:
-        out = every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-        return out.withColumn("kept", F.lit(True)).withColumnRenamed("id", id_col)
-    model = fit(x, cosine)
+def _found(reps: DataFrame, model: Subspaces, cosine: float) -> DataFrame:
+    """(a, n, b) of vectors of one length: the number n of links of a, or a link from a to b of a spanning forest."""
     placed = written(reps.mapInArrow(_cells(model), "id long, v array<double>, weight long, b int, cx int, cy int"))
     cells = written(placed.groupBy("b", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n")))
     # cells on one side of a cell, and itself, visit it
@@ -166,7 +150,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     there = placed.select("b", F.col("cx").alias("ox"), F.col("cy").alias("oy"), "id", "v", "weight")
     right = there.join(homes, ["b", "ox", "oy"]).select("b", "ox", "oy", all_of("nl").alias("l"), chunk("nr").alias("r"), "id", "v", "weight")
     right = right.toDF(*right.columns)
-    found = written(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_linked(model, cosine), "a long, n long, b long"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_linked(model, cosine), "a long, n long, b long")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 8_000) -> DataFrame:
+    """One row per vector: id_col, n_links, component_id, kept.
+
+    n_links counts the other vectors with cosine >= ``cosine`` in double
+    precision; component_id is the smallest id reachable over links, the own id
+    included; kept tells whether it is the own id.  Vectors that are null,
+    empty, zero, or hold null or non-finite components have no links and are
+    their own component; a null id has a null component and is kept.  Vectors
+    of different lengths have no cosine and no link.  Repeated ids are one
+    vector, the smallest, reported once per row.  A pair at exactly ``cosine``
+    is linked.  Other columns are ignored; an empty table gives no rows.
+    """
+    rows = written(usable(vectors, id_col, vec_col))
+    classes = written(rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    reps = classes.select(F.col("rep").alias("id"), "v", "weight")
+    every = vectors.select(F.col(id_col).cast("long").alias("id"))
+    parts = []
+    for d in lengths(reps):
+        mine = reps.where(F.size("v") == d)
+        parts.append(_found(mine, fit(sample(mine, fit_rows), cosine), cosine))
+    if not parts:
+        out = every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        return out.withColumn("kept", F.lit(True)).withColumnRenamed("id", id_col)
+    found = written(reduce(DataFrame.union, parts))
     links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     label = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     facts = classes.select("rep", "v", "weight").join(links, "rep", "left").join(label, "rep", "left")

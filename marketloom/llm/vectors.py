@@ -21,13 +21,12 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) with v the components as doubles, one row per id.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
-    are left out, and so are null ids and vectors of another length than most
-    others have.  Of rows repeating an id the one with the smallest vector counts.
+    are left out, and so are null ids.  Vectors of any length stay; operators
+    treat each length as a table of its own.  Of rows repeating an id the one
+    with the smallest vector counts.
     """
     rows = df.where(F.col(id_col).isNotNull() & finite(vec_col) & F.exists(vec_col, lambda x: x != 0))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    rows = rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 

@@ -266,6 +266,9 @@ COLUMNS = {
     "op8": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
     "op9": "doc_id:bigint source:string phase:int block:bigint slot:bigint position:bigint",
     "op10": "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string",
+    "op11": "vec_id:bigint cluster:int distance:bigint cluster_inertia:bigint inertia:bigint centroid_sha256:string",
+    "op12": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    "op13": "vec_id:bigint component:int n:bigint deviation:bigint whitened:double explained:double identity_error:double",
 }
 
 
@@ -275,9 +278,9 @@ def test_registered_queries_return_their_columns(spark, name):
     kinds = dict(frame.dtypes)
     assert {c: kinds[c] for c in kinds} | dict(x.split(":") for x in COLUMNS[name.split("_")[0]].split()) == kinds
     rows = frame.collect()
-    table = {"op2": None, "op4": "embeddings", "op6": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op2": None, "op4": "embeddings", "op6": "pages", "op11": "embeddings", "op13": "embeddings"}.get(name.split("_")[0], "documents")
     if table and not name.startswith("op5"):
-        assert len(rows) == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+        assert len(rows) == spark.read.parquet(f"{SMALL}/{table}.parquet").count() * (8 if name.startswith("op13") else 1)
     if name.startswith("op1_"):
         assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)

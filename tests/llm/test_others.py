@@ -126,7 +126,7 @@ def test_ranked_numbers_every_group(spark):
 
 
 def test_registry_names():
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline_runs_on_the_smallest_table(spark):

@@ -723,4 +723,4 @@ _query(
   SELECT id, 'ML' AS read_unit, CAST(packs AS INTEGER) AS packs, CAST(floor(packs * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM n""",
 )
 
-from marketloom import catalog_gates, catalog_pages, catalog_rules, catalog_shopping, catalog_stats  # noqa: E402, F401  register further queries
+from marketloom import catalog_changes, catalog_gates, catalog_pages, catalog_rules, catalog_shopping, catalog_stats  # noqa: E402, F401  register further queries

@@ -100,7 +100,7 @@ def decide_sql(pairs: str) -> str:
 #: what is added to a product's name on the catalog's and on the store's side, and what else is changed
 PLANTED = [
     ("", "", "ean"), ("", "", "unit"), ("", "", "size"), ("", "", "head"), ("", "", "brand"), (" capsuni", " vanilie", ""), (" zero", " light", ""),
-    (" fara zahar", " fara gluten", ""), (" grasime 1,5%", " grasime 3,5%", ""), ("", "", "pack"), (" uht", " pasteurizat", ""), (" rubin", " safir", ""), ("", " bio", ""),
+    (" fara zahar", " fara gluten", ""), (" 1,5%", " 3,5%", ""), ("", "", "pack"), (" uht", " pasteurizat", ""), (" rubin", " safir", ""), ("", " bio", ""),
     (" 500 mg", " 400 mg", ""), (" cod 123", " cod 456", ""), ("", " de lux pentru toata casa mare", ""), ("", "", ""), ("", "", "nobrand"), (" termometru", " termometri", ""),
     (" portocala", " portocale", ""), (" brut", " rose", ""), (" sticla", " doza", ""), (" pătrat", " patrat", ""), (" marime xl", " marime xs", ""),
 ]

@@ -15,6 +15,12 @@ def priced_lines(lines: DataFrame, current: DataFrame) -> DataFrame:
     return lines.join(cheapest, "product_id").select("basket_id", "product_id", "merchant_id", "qty", (F.col("bani") * F.col("qty")).alias("cost"))
 
 
+def shops_of(current: DataFrame) -> DataFrame:
+    """(product_id, shops): every shop of a product with its lowest price, cheapest first; an entry per shop at most."""
+    cheapest = current.groupBy("product_id", "merchant_id").agg(F.min("price_bani").alias("bani"))
+    return cheapest.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("bani", "merchant_id"))).alias("shops"))
+
+
 def store_totals(lines: DataFrame, current: DataFrame, merchants: DataFrame) -> DataFrame:
     """Per basket and shop: lines found and missing, goods, delivery, total, minimum order met."""
     size = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("lines"))
@@ -36,15 +42,16 @@ def split(lines: DataFrame, current: DataFrame, merchants: DataFrame, stores: in
 
     Every shop asks its own delivery fee; ``missing`` counts the basket's lines
     that none of the shops kept sells.  A basket without any offer has no row.
+    Quantities are positive, so a line's cheapest shop is its product's.
     """
-    rows = priced_lines(lines, current)
-    first = Window.partitionBy("basket_id", "product_id").orderBy("cost", "merchant_id")
-    best = rows.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    value = best.groupBy("basket_id", "merchant_id").agg(F.sum("cost").alias("value"))
-    keep = value.withColumn("rn", F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("value"), "merchant_id"))).where(F.col("rn") <= stores)
-    moved = rows.join(keep.select("basket_id", "merchant_id"), ["basket_id", "merchant_id"], "left_semi")
-    moved = moved.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    out = moved.groupBy("basket_id", "merchant_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("cost").alias("goods_bani"))
+    shops = shops_of(current)
+    best = F.get("shops", F.lit(0))
+    value = lines.join(shops, "product_id").groupBy("basket_id", best["merchant_id"].alias("merchant_id")).agg(F.sum(best["bani"] * F.col("qty")).alias("value"))
+    rank = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("value"), "merchant_id"))
+    keep = value.withColumn("rn", rank).where(F.col("rn") <= stores).groupBy("basket_id").agg(F.collect_set("merchant_id").alias("kept"))
+    moved = lines.join(keep, "basket_id").join(shops, "product_id")
+    moved = moved.select("basket_id", "qty", F.get(F.filter("shops", lambda s: F.array_contains("kept", s["merchant_id"])), F.lit(0)).alias("s")).where("s is not null")
+    out = moved.groupBy("basket_id", F.col("s.merchant_id").alias("merchant_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("s.bani") * F.col("qty")).alias("goods_bani"))
     size = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("all_lines"))
     out = out.join(size, "basket_id").join(merchants.select("merchant_id", "delivery_fee", "free_over"), "merchant_id")
     fee = F.when(F.col("goods_bani") >= F.col("free_over"), 0).otherwise(F.col("delivery_fee"))

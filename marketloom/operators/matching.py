@@ -229,8 +229,8 @@ def decide(pairs: DataFrame, rejected: bool = True) -> DataFrame:
     return out.drop("_early", "_hit", "_cl", "_sl", "_variant", "_j", "_rule", *(f"{side}_{x}" for side in ("c", "s") for x in _DESCRIBED))
 
 
-def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
-    """(id, item_id) once for every pair that can match.
+def match_candidates(catalog: DataFrame, pool: DataFrame, near: bool = False) -> DataFrame:
+    """(id, item_id) once for every pair that can match; with ``near``, but for one EAN, only those of fitting sizes.
 
     A pair has one unit, neighbouring size buckets, and one of the catalog row's
     two head words (brand counted or not) among the words of the store item's
@@ -239,10 +239,13 @@ def match_candidates(catalog: DataFrame, pool: DataFrame) -> DataFrame:
     """
     words, brand, markers = S.tokens(S.normalize(F.col("name"))), S.tokens(S.normalize(F.col("brand"))), _literal(C.VARIANT_MARKERS)
     heads = F.array_distinct(F.array(S.head_noun(words, F.array().cast("array<string>"), markers), S.head_noun(words, brand, markers)))
-    c = catalog.where("unit_size IS NOT NULL").select("id", "unit", _size_step("unit_size", C.SIZE_TOLERANCE).alias("bucket"), F.explode(heads).alias("word")).where("word <> ''")
-    p = pool.where("unit_size IS NOT NULL").select("item_id", "unit", _size_step("unit_size", C.SIZE_TOLERANCE).alias("bucket"), F.explode(F.array_distinct(words)).alias("word"))
+    c = catalog.where("unit_size IS NOT NULL").select("id", "unit", F.col("unit_size").alias("c_size"), _size_step("unit_size", C.SIZE_TOLERANCE).alias("bucket"), F.explode(heads).alias("word")).where("word <> ''")
+    p = pool.where("unit_size IS NOT NULL").select("item_id", "unit", F.col("unit_size").alias("s_size"), _size_step("unit_size", C.SIZE_TOLERANCE).alias("bucket"), F.explode(F.array_distinct(words)).alias("word"))
     p = p.withColumn("bucket", _neighbours("bucket"))
-    ids = c.join(p, ["unit", "bucket", "word"]).select("id", "item_id")
+    ids = c.join(p, ["unit", "bucket", "word"])
+    if near:
+        ids = ids.where(F.abs(F.col("c_size") - F.col("s_size")) <= C.SIZE_TOLERANCE * F.col("c_size") + 1e-9)
+    ids = ids.select("id", "item_id")
     if "ean" in catalog.columns and "ean" in pool.columns:
         valid = S.ean_ok(F.col("ean"))
         ids = ids.union(catalog.where(valid).select("id", "ean").join(pool.where(valid).select("item_id", "ean"), "ean").select("id", "item_id"))
@@ -260,7 +263,7 @@ def decided_pairs(catalog: DataFrame, pool: DataFrame, rejected: bool = True) ->
         rows = rows.select(*kept, *(F.col(c).alias(f"{prefix}_{n}") for c, n in names.items()), ean(rows).alias(f"{prefix}_ean"))
         return described(rows, prefix)
 
-    ids = match_candidates(catalog, pool)
+    ids = match_candidates(catalog, pool, near=not rejected)
     return decide(ids.join(side(catalog, "c", ["id", "section"]), "id").join(side(pool, "s", ["item_id"]), "item_id"), rejected)
 
 

@@ -17,6 +17,8 @@ from marketloom.functions import prices
 from marketloom.functions import scalars as S
 from marketloom.sources.work import written
 
+PREFIX = 8  # letters of a word that its keys are made of
+
 
 def words(text: Column) -> Column:
     """Words of a folded text, in order."""
@@ -37,17 +39,37 @@ def _hay() -> Column:
     return F.array_distinct(words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name")))
 
 
+def cut_short(word: Column) -> Column:
+    """A word's first PREFIX letters without up to two of them (one, for words of three letters or fewer): keys of a symmetric-delete index.
+
+    Words within two edits of each other, a swap of neighbours being one, share
+    a key: each edit takes at most one letter from either prefix.
+    """
+    first = F.substring(word, 1, PREFIX)
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    once = F.array_distinct(without(first))
+    twice = F.when(F.length(word) > 3, F.flatten(F.transform(once, lambda w: without(w)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(first), once, twice))
+
+
 @dataclass(frozen=True)
 class Index:
-    """Vocabulary (token, products), leading words (head, products), and the catalog's brand words (token)."""
+    """Vocabulary (token, products), leading words (head, products), the catalog's brand words (token), and the keys of ``cut_short`` of the first two (token, key; head, key)."""
 
     vocab: DataFrame
     heads: DataFrame
     brands: DataFrame
+    vocab_keys: DataFrame
+    head_keys: DataFrame
 
     def kept(self) -> Index:
         """The same, written once, for searches that read it several times."""
-        return Index(written(self.vocab), written(self.heads), written(self.brands))
+        vocab, heads = written(self.vocab), written(self.heads)
+        return Index(vocab, heads, written(self.brands), written(_keyed(vocab, "token")), written(_keyed(heads, "head")))
+
+
+def _keyed(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select(column).distinct().select(column, F.explode(cut_short(F.col(column))).alias("key"))
 
 
 def index(products: DataFrame, known_brands: list[str] | None = None) -> Index:
@@ -65,18 +87,17 @@ def index(products: DataFrame, known_brands: list[str] | None = None) -> Index:
     brands = named.join(common, "token", "left_anti")
     if known_brands:
         brands = brands.union(vocab.where(F.col("token").isin(known_brands)).select("token")).distinct()
-    return Index(vocab, heads, brands)
+    return Index(vocab, heads, brands, _keyed(vocab, "token"), _keyed(heads, "head"))
 
 
-def similar(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, sim) of words within the edit budget of the longer one; a swap of neighbours is one edit.
+def similar(left: DataFrame, keys: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, sim) of words within the edit budget of the longer one; a swap of neighbours is one edit; keys: b and its ``cut_short`` keys.
 
-    Words meet by length, Levenshtein distance (a swap is two) rules most pairs
+    Words meet on a key, Levenshtein distance (a swap is two) rules more pairs
     out inside the JVM, and the rest are measured in Arrow batches.
     """
-    x = left.select(a).distinct().withColumn("len", F.explode(F.sequence(F.greatest(F.length(a) - 2, F.lit(1)), F.length(a) + 2)))
-    y = right.select(b).distinct().withColumn("len", F.length(b))
-    rows = x.join(y, "len").where(F.levenshtein(a, b, 4) >= 0)
+    rows = _keyed(left, a).join(keys.select(F.col(keys.columns[0]).alias(b), "key"), "key").select(a, b).distinct()
+    rows = rows.where((F.abs(F.length(a) - F.length(b)) <= 2) & (F.levenshtein(a, b, 4) >= 0))
     longer = F.greatest(F.length(a), F.length(b))
     budget = F.when(longer <= 2, 0).when(longer <= 5, 1).otherwise(2)
     rows = rows.withColumn("d", prices.osa_distance(F.col(a), F.col(b))).where(F.col("d") <= budget)
@@ -95,7 +116,7 @@ def correct(tokens: DataFrame, found: Index, known_brands: list[str] | None = No
     fixed = (F.length("token") < 3) | F.col("token").rlike("[0-9]") | F.col("token").isin(known_brands or [])
     open_ = own.where((F.col("own") <= C.RARE_MAX) & ~fixed)
     vocab = found.vocab.select(F.col("token").alias("near"), "products")
-    close = similar(open_, vocab, "token", "near").where("token <> near").join(vocab, "near")
+    close = similar(open_, found.vocab_keys, "token", "near").where("token <> near").join(vocab, "near")
     best = close.groupBy("token").agg(F.min_by(F.struct("near", "products"), F.struct(-F.col("sim"), -F.col("products"), F.col("near"))).alias("best"))
     rows = own.join(best, "token", "left")
     common = (F.col("best.products") >= F.col("own") * C.DOMINANCE) & (F.col("best.products") >= C.DOMINANCE)
@@ -113,7 +134,7 @@ def _matched(products: DataFrame, asked: DataFrame, found: Index) -> DataFrame:
     keyed = facts.select("id", F.explode("hay").alias("token"))
     wanted = asked.select("qid", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("token"))
     hits = wanted.join(keyed, "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")).where("hits = n").select("qid", "id")
-    alike = similar(wanted, found.heads, "token", "head")
+    alike = similar(wanted, found.head_keys, "token", "head")
     heads = wanted.join(alike, "token").groupBy("qid", "head").agg(F.max("sim").alias("sim"))
     rows = hits.join(facts.drop("hay"), "id").join(asked, "qid").join(heads, ["qid", "head"], "left")
     phrase = F.array_join("words", " ")
@@ -140,8 +161,8 @@ def _resolved(queries: DataFrame, found: Index, known_brands: list[str] | None)
     )
 
 
-def _answers(products: DataFrame, queries: DataFrame, known_brands: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    found = index(products, known_brands).kept()
+def _answers(products: DataFrame, queries: DataFrame, known_brands: list[str] | None, found: Index | None) -> tuple[DataFrame, DataFrame]:
+    found = index(products, known_brands).kept() if found is None else found
     asked = written(_resolved(queries, found, known_brands))  # a row per query, read by every step below
     usual = _matched(products, asked.where(F.size("words") > 0), found).withColumn("fallback", F.lit(False))
     lost = asked.join(usual.select("qid").distinct(), "qid", "left_anti").where((F.size("required") > 0) & (F.size("words") > F.size("required")))
@@ -149,22 +170,23 @@ def _answers(products: DataFrame, queries: DataFrame, known_brands: list[str] |
     return asked, usual.union(brand_only)
 
 
-def search(products: DataFrame, queries: DataFrame, limit: int = 120, known_brands: list[str] | None = None) -> DataFrame:
+def search(products: DataFrame, queries: DataFrame, limit: int = 120, known_brands: list[str] | None = None, found: Index | None = None) -> DataFrame:
     """(qid, place, id, tier, score_bp): each query's products; (qid, query) and (id, name, brand, category, merchants).
 
     Exact names come first, then names holding the phrase, required brands and
     categories; then score, shops, name and id.  Where nothing holds all words,
-    the products of the required brands are shown instead.
+    the products of the required brands are shown instead.  ``found`` is an
+    ``index(...).kept()`` of the products, for several searches over one catalog.
     """
-    _, rows = _answers(products, queries, known_brands)
+    _, rows = _answers(products, queries, known_brands, found)
     order = Window.partitionBy("qid").orderBy(F.desc("tier"), F.desc("score_bp"), F.desc("merchants"), "name", "id")
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     return rows.select("qid", "place", "id", "tier", "score_bp")
 
 
-def outcomes(products: DataFrame, queries: DataFrame, known_brands: list[str] | None = None) -> DataFrame:
+def outcomes(products: DataFrame, queries: DataFrame, known_brands: list[str] | None = None, found: Index | None = None) -> DataFrame:
     """Per query what is to be said: results, brand-miss or empty; the missing words; corrections; results."""
-    asked, rows = _answers(products, queries, known_brands)
+    asked, rows = _answers(products, queries, known_brands, found)
     n = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("results"), F.bool_or("fallback").alias("fallback"))
     out = asked.join(n, "qid", "left").withColumn("results", F.coalesce("results", F.lit(0)))
     known = F.exists("missing", lambda w: w.isin(known_brands or []))
@@ -180,10 +202,12 @@ def outcomes(products: DataFrame, queries: DataFrame, known_brands: list[str] |
 def suggestions(products: DataFrame, prefixes: DataFrame, limit: int = 8) -> DataFrame:
     """(qid, place, id): products with a word that starts with the prefix (qid, prefix), most shops first.
 
-    Words and prefixes meet on their first two letters.
+    A word meets prefixes on each of its beginnings of two to PREFIX letters, so
+    only words that begin like the prefix meet it.
     """
-    keyed = products.select("id", "name", "merchants", F.explode(_hay()).alias("token")).withColumn("k", F.substring("token", 1, 2))
-    asked = prefixes.select("qid", F.lower("prefix").alias("prefix")).where(F.length("prefix") >= 2).withColumn("k", F.substring("prefix", 1, 2))
+    beginnings = F.transform(F.sequence(F.lit(2), F.least(F.length("token"), F.lit(PREFIX))), lambda n: F.substr(F.col("token"), F.lit(1), n))
+    keyed = products.select("id", "name", "merchants", F.explode(_hay()).alias("token")).where(F.length("token") >= 2).withColumn("k", F.explode(beginnings))
+    asked = prefixes.select("qid", F.lower("prefix").alias("prefix")).where(F.length("prefix") >= 2).withColumn("k", F.substring("prefix", 1, PREFIX))
     rows = asked.join(keyed, "k").where(F.startswith("token", F.col("prefix"))).select("qid", "id", "name", "merchants").distinct()
     order = Window.partitionBy("qid").orderBy(F.desc("merchants"), "name", "id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("qid", "place", "id")

@@ -42,7 +42,7 @@ def test_search_corrects_swaps_and_reports_what_is_missing(spark, shop):
 def test_similar_counts_a_swap_as_one_edit(spark):
     a = spark.createDataFrame([("imlk",), ("rde",), ("ab",)], "w string")
     b = spark.createDataFrame([("milk",), ("red",), ("ac",)], "v string")
-    assert {(r.w, r.v, r.sim) for r in search.similar(a, b, "w", "v").collect()} == {("imlk", "milk", 0.75), ("rde", "red", 1 - 1 / 3)}
+    assert {(r.w, r.v, r.sim) for r in search.similar(a, search._keyed(b, "v"), "w", "v").collect()} == {("imlk", "milk", 0.75), ("rde", "red", 1 - 1 / 3)}
 
 
 def test_structural_candidates_follow_the_tolerance(spark):

@@ -79,13 +79,15 @@ def op6_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by a bigram model of the documents that are not held out."""
-    return lm_score.score(_table(spark, sf_dir, "documents"))
+    """Every document scored by a bigram model of the documents that are not held out; token_score is the score of a token."""
+    out = lm_score.score(_table(spark, sf_dir, "documents"))
+    return out.withColumn("token_score", F.col("score") / F.col("n_tokens"))
 
 
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
-    return pii.detect(_table(spark, sf_dir, "documents"))
+    """Personal data in every document; n_spans counts all its spans."""
+    out = pii.detect(_table(spark, sf_dir, "documents"))
+    return out.withColumn("n_spans", F.size(F.filter(F.split("spans", ","), lambda s: s != "")).cast("long"))
 
 
 #: target weights of op9 and the pipeline: the first sources count more, the others once; unknown ones are one pool

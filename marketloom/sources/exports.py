@@ -50,9 +50,8 @@ def key_ranges(df: DataFrame, key: str, count: int) -> list[tuple[int, int]]:
 
 
 def _range_of(key: str, ranges: list[tuple[int, int]]) -> Column:
-    ends = F.array(*(F.lit(high) for _, high in ranges))
     k = F.col(key).cast("long")
-    return F.size(F.filter(ends, lambda e: e < k)).cast("int")
+    return sum(((k > high).cast("int") for _, high in ranges[:-1]), F.lit(0))
 
 
 def manifest(df: DataFrame, key: str, money: str, ranges: list[tuple[int, int]]) -> DataFrame:

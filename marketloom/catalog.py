@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,18 @@ from marketloom.sources import bind
 from marketloom.sources.bind import MAX_AGE_DAYS, Tables, now
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_QUERIES: dict[str, Query] = {}
+_ORACLE_SQL: dict[str, str] = {}
+#: modules that register further queries
+_PARTS = ("catalog_changes", "catalog_gates", "catalog_pages", "catalog_rules", "catalog_shopping", "catalog_stats")
 FLAGSHIP = "biggest_spreads"
 
 
 def _query(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None, bound: bool = True) -> None:
     """Register a query; ``bound`` puts the derived frames before its SQL."""
-    QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+    _QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
     if sql is not None:
-        ORACLE_SQL[name] = (bind.SQL if bound else "") + sql
+        _ORACLE_SQL[name] = (bind.SQL if bound else "") + sql
 
 
 def _is_current() -> F.Column:
@@ -723,4 +726,11 @@ _query(
   SELECT id, 'ML' AS read_unit, CAST(packs AS INTEGER) AS packs, CAST(floor(packs * unit_size * 1000 + 0.5) AS BIGINT) AS read_ml FROM n""",
 )
 
-from marketloom import catalog_changes, catalog_gates, catalog_pages, catalog_rules, catalog_shopping, catalog_stats  # noqa: E402, F401  register further queries
+
+def __getattr__(name: str) -> dict:
+    """QUERIES and ORACLE_SQL, complete: the parts register theirs when first asked for, so each part can be imported by itself."""
+    if name not in ("QUERIES", "ORACLE_SQL"):
+        raise AttributeError(name)
+    for part in _PARTS:
+        importlib.import_module(f"marketloom.{part}")
+    return _QUERIES if name == "QUERIES" else _ORACLE_SQL

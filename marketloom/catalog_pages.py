@@ -145,7 +145,7 @@ def _watch_fired(t: Tables) -> DataFrame:
 _query(
     "alerts_cooled",
     lambda t: users.alerts_fired(_watch_fired(t), t.current, now()),
-    f"{catalog.ORACLE_SQL['alerts_fired'].removeprefix(catalog.bind.SQL).replace('WHERE coalesce(low <= tgt', 'WHERE user_id % 3 <> 0 AND (coalesce(low <= tgt').rstrip()})",
+    f"{catalog._ORACLE_SQL['alerts_fired'].removeprefix(catalog.bind.SQL).replace('WHERE coalesce(low <= tgt', 'WHERE user_id % 3 <> 0 AND (coalesce(low <= tgt').rstrip()})",
 )
 _query(
     "product_searchable",

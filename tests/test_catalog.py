@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -39,6 +41,11 @@ def test_query_equals_its_sql(spark, tables, name):
         assert got == sorted(repr(tuple(plain(r[i]) for i in order)) for r in result.fetchall())
 
 
+@pytest.mark.parametrize("part", ["catalog", *catalog._PARTS])
+def test_parts_import_by_themselves(part):
+    subprocess.run([sys.executable, "-c", f"import marketloom.{part}"], check=True, timeout=60)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -126,7 +126,7 @@ def specs(name: Column) -> Column:
         "ram": F.regexp_extract(name, r"(?i)([0-9]{1,3})\s*GB\s*(?:RAM|memorie)", 1),
         "storage": F.upper(F.regexp_replace(F.regexp_extract(name, r"(?i)([0-9]{2,4}\s*(?:GB|TB))\b(?!\s*(?:RAM|memorie))", 1), r"\s", "")),
         "cpu": F.regexp_extract(name, r"(?i)\b(i[3579]|Ryzen\s*[0-9]|Snapdragon\s*[0-9]+|M[1-4](?:\s*Pro|\s*Max)?)\b", 1),
-        "battery": F.regexp_extract(name, r"(?i)([0-9]{3,5})\s*mAh", 1),
+        "battery": F.regexp_extract(name, r"(?i)(?<![0-9])([0-9]{3,5})\s*mAh", 1),
     }
     whole = F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v)))
     return F.map_filter(whole, lambda k, v: v != "")

@@ -29,3 +29,16 @@ def test_an_ean_counts_beside_the_pairs_of_its_class(spark):
     one = spark.createDataFrame([(10, "bolt red", "Acme", "tools", "kg", 1.0, code), (11, "bolt red", "Acme", "tools", "kg", 1.0, None)], NAMES.replace("id", "item_id", 1))
     got = {(r.item_id, r.id): (r.band, r.reason) for r in matching.resolve(catalog, one).collect()}
     assert got == {(10, 1): ("AUTO", "ean"), (10, 2): ("AUTO", "ean"), (11, 1): ("AUTO", "brand+size")}
+
+
+def test_equivalent_lines_take_near_sizes_of_their_shop(spark):
+    facts = "product_id long, name string, brand string, section string, class_id long, unit string, unit_size double"
+    rows = [(1, "red bolt", "A", "s", None, "kg", 1.0), (2, "red gear", "B", "s", None, "kg", 1.05), (3, "red rod", "C", "s", None, "kg", 1.2), (4, "red rod", "C", "t", None, "kg", 1.0)]
+    goods = spark.createDataFrame(rows, facts)
+    offers = goods.selectExpr("*", "cast(7 as bigint) merchant_id", "1000 - product_id price_bani", "'in stock' availability", "false is_stale", "false flagged", "cast(null as timestamp_ntz) promo_valid_to", "false needs_card")
+    lines = spark.createDataFrame([(1, 1, 1, "EQUIVALENT"), (1, 3, 1, "EQUIVALENT")], "basket_id long, product_id long, qty long, mode string")
+    shops = spark.createDataFrame([(1, 7)], "basket_id long, merchant_id long")
+    moment = F.lit("2026-01-01").cast("timestamp_ntz")
+    out = substitution.resolve_lines(lines, shops, goods.withColumnRenamed("product_id", "id"), offers, substitution.Shopper(), moment, 0.06)
+    got = {r.product_id: (r.code, r.chosen_id, r.alternatives) for r in out.collect()}
+    assert got == {1: ("SUBSTITUTED_STRUCTURAL", 2, 1), 3: ("EXACT_MATCH", 3, 0)}

@@ -11,6 +11,7 @@ from marketloom.functions import scalars as S
 from marketloom.operators import lookup, matching, paths, payloads
 from marketloom.operators.matching import _RULES
 from marketloom.sources.bind import Tables
+from marketloom.sources.work import spread, written
 
 
 def _list(words: list[str]) -> str:
@@ -107,10 +108,10 @@ PLANTED = [
 _VALID_EAN = "4006381333931"
 
 
-def _planted_pairs(t: Tables) -> DataFrame:
+def _planted_pairs(products: DataFrame) -> DataFrame:
     """Every product against a store item made of it, in each of the ways of PLANTED; half of the products are groceries."""
     ways = F.array(*(F.struct(F.lit(i).alias("way"), F.lit(a).alias("ca"), F.lit(b).alias("sa"), F.lit(x).alias("change")) for i, (a, b, x) in enumerate(PLANTED)))
-    rows = t.product.select("id", "name", "brand", "unit", "unit_size", F.inline(ways))
+    rows = products.select("id", "name", "brand", "unit", "unit_size", F.inline(ways))
     made = lambda change, other, own: F.when(F.col("change") == change, other).otherwise(own)
     ean = F.when(F.col("change") == "ean", _VALID_EAN)
     return rows.select(
@@ -126,9 +127,17 @@ _PLANTED_SQL = ", ways AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{
     CASE WHEN change = 'ean' THEN '{_VALID_EAN}' END AS c_ean, 1 AS c_pack, CASE WHEN change = 'head' THEN 'altceva' ELSE name || sa END AS s_name, CASE WHEN change = 'brand' THEN 'Alta' ELSE brand END AS s_brand,
     CASE WHEN change = 'unit' THEN 'pachet' ELSE unit END AS s_unit, CASE WHEN change = 'size' THEN unit_size * 1.5::DOUBLE ELSE unit_size END AS s_size, CASE WHEN change = 'ean' THEN '{_VALID_EAN}' END AS s_ean,
     CASE WHEN change = 'pack' THEN 6 ELSE 1 END AS s_pack FROM product, ways)"""
+def _match_rules(t: Tables) -> DataFrame:
+    """The planted pairs decided; products that read alike, and are groceries or not alike, once."""
+    rows = t.product.withColumn("half", F.col("id") % 2)
+    kinds, mine = matching.alike(rows, "id", ["half", *matching.FACTS], "c_class")
+    decided = written(matching.decide(spread(_planted_pairs(kinds), "id", "way")).select(F.col("id").alias("c_class"), "way", "reason", "band", "score_bp"))
+    return mine.join(decided, "c_class").select("id", "way", "reason", "band", "score_bp")
+
+
 _query(
     "match_rules",
-    lambda t: matching.decide(_planted_pairs(t)).select("id", "way", "reason", "band", "score_bp"),
+    _match_rules,
     _PLANTED_SQL + " SELECT id, way, reason, band, score_bp FROM (" + decide_sql("pairs") + ")",
 )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marketloom import constants as C
 from marketloom.operators import matching
 from marketloom.operators.search import content_words, words
-from marketloom.sources.work import written
+from marketloom.sources.work import spread, written
 
 GROUP = 3  # letters of a group
 
@@ -32,27 +32,24 @@ def letter_groups(text: Column, sizes: tuple[int, ...] = (1, 2, GROUP)) -> Colum
 
 @dataclass(frozen=True)
 class NameIndex:
-    """Products with their folded names (norm), the products of every letter group (grp, id), and how many each has (grp, n)."""
+    """Products with the number of their folded name (text), those names (text, norm), the names of every letter group (grp, text), and how many each has (grp, n)."""
 
     products: DataFrame
+    texts: DataFrame
     postings: DataFrame
     counts: DataFrame
 
 
 def name_index(products: DataFrame) -> NameIndex:
-    """An index of products (id, name, ...), written once for any number of searches; null names are empty."""
-    rows = written(products.withColumn("norm", F.array_join(words(F.col("name")), " ")))
-    postings = written(rows.select("id", F.explode(letter_groups(F.col("norm"))).alias("grp")))
-    return NameIndex(rows, postings, written(postings.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))))
+    """An index of products (id, name, ...), written once for any number of searches; null names are empty, equal names are indexed once."""
+    rows = products.withColumn("norm", F.array_join(words(F.col("name")), " "))
+    texts = written(rows.groupBy("norm").agg(F.min("id").alias("text")))
+    postings = written(spread(texts, "text").select("text", F.explode(letter_groups(F.col("norm"))).alias("grp")))
+    return NameIndex(written(rows.join(texts, "norm")), texts, postings, written(postings.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))))
 
 
-def containing(index: NameIndex, needles: DataFrame) -> DataFrame:
-    """(request_id, id): products whose folded names hold every string of a request as a substring; needles: request_id, needle.
-
-    Of all groups of all strings of a request the one that the fewest products
-    have is looked up.  Requests with an empty or null string have no rows for it;
-    equal rows count once.
-    """
+def _texts(index: NameIndex, needles: DataFrame) -> DataFrame:
+    """(request_id, text): the folded names that hold every string of a request."""
     asked = needles.where("needle is not null and needle <> ''").distinct()
     size = F.least(F.length("needle"), F.lit(GROUP))
     own = F.transform(F.sequence(F.lit(1), F.length("needle") - size + 1), lambda i: F.substr(F.col("needle"), i, size))
@@ -60,8 +57,18 @@ def containing(index: NameIndex, needles: DataFrame) -> DataFrame:
     rarity = groups.join(index.counts, "grp", "left").groupBy("request_id")
     rarest = rarity.agg(F.min_by("grp", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "grp")).alias("grp"))
     wanted = rarest.join(asked.groupBy("request_id").agg(F.collect_set("needle").alias("needles")), "request_id")
-    pairs = wanted.join(index.postings, "grp").join(index.products.select("id", "norm"), "id")
-    return pairs.where(F.forall("needles", lambda x: F.contains(F.col("norm"), x))).select("request_id", "id")
+    pairs = wanted.join(index.postings, "grp").join(index.texts, "text")
+    return pairs.where(F.forall("needles", lambda x: F.contains(F.col("norm"), x))).select("request_id", "text")
+
+
+def containing(index: NameIndex, needles: DataFrame) -> DataFrame:
+    """(request_id, id): products whose folded names hold every string of a request as a substring; needles: request_id, needle.
+
+    Of all groups of all strings of a request the one that the fewest names
+    have is looked up.  Requests with an empty or null string have no rows for it;
+    equal rows count once.
+    """
+    return _texts(index, needles).join(index.products.select("id", "text"), "text").select("request_id", "id")
 
 
 def anchors(text: Column) -> Column:
@@ -83,13 +90,16 @@ def name_lookup(index: NameIndex, requests: DataFrame, eligible: DataFrame) -> D
     """
     text = F.concat_ws(" ", "name", "size_text")
     asked = requests.select("request_id", "name", "unit", "unit_size", anchors(text).alias("words"))
-    found = containing(index, asked.select("request_id", F.explode("words").alias("needle"))).join(eligible.select("id").distinct(), "id", "left_semi")
+    found = _texts(index, asked.select("request_id", F.explode("words").alias("needle")))
     sides = {"name": "name", "brand": "brand", "unit": "unit", "unit_size": "size"}
     ean = F.col("ean") if "ean" in index.products.columns else F.lit(None).cast("string")
-    known = index.products.where("unit is not null and unit_size is not null")
-    known = known.select("id", "section", *(F.col(c).alias(f"c_{n}") for c, n in sides.items()), ean.alias("c_ean"))
+    # of products that read alike only the one with the smallest id can be the answer
+    known = index.products.where("unit is not null and unit_size is not null").join(eligible.select("id").distinct(), "id", "left_semi")
+    grocery = F.when(F.col("section") == "grocery", "grocery").alias("section")
+    known = known.groupBy("text", grocery, *(F.col(c).alias(f"c_{n}") for c, n in sides.items()), ean.alias("c_ean")).agg(F.min("id").alias("id"))
     mine = asked.select("request_id", F.col("name").alias("s_name"), F.lit("").alias("s_brand"), F.col("unit").alias("s_unit"), F.col("unit_size").alias("s_size"), F.lit(None).cast("string").alias("s_ean"))
-    scored = matching.decide(found.join(known, "id").join(mine, "request_id"))
+    pairs = found.join(matching.described(known, "c"), "text").join(matching.described(mine, "s"), "request_id")
+    scored = matching.decide(spread(pairs, "request_id", "id"))
     # the highest score, then the smallest id, then what was said about it
     best = scored.groupBy("request_id").agg(F.max(F.struct("score_bp", (-F.col("id")).alias("back"), "reason")).alias("b"))
     best = best.select("request_id", F.col("b.score_bp"), (-F.col("b.back")).alias("id"), F.col("b.reason").alias("why"))

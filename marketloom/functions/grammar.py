@@ -36,7 +36,7 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 def _bani(token: Column) -> Column:
     """A figure with any grouping as bani; null outside of what a price may be."""
     value = S.half_up(S.parse_decimal(F.regexp_replace(token, r"^[., ]+|[., ]+$", "")) * 100)
-    return F.when(value.between(LEAST_BANI, MOST_BANI), value)
+    return let(value, lambda v: F.when(v.between(LEAST_BANI, MOST_BANI), v))
 
 
 def _amounts(tokens: Column) -> Column:

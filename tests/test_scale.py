@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marketloom.functions import scalars as S
 from marketloom.operators import matching, stats, substitution
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -42,3 +43,10 @@ def test_equivalent_lines_take_near_sizes_of_their_shop(spark):
     out = substitution.resolve_lines(lines, shops, goods.withColumnRenamed("product_id", "id"), offers, substitution.Shopper(), moment, 0.06)
     got = {r.product_id: (r.code, r.chosen_id, r.alternatives) for r in out.collect()}
     assert got == {1: ("SUBSTITUTED_STRUCTURAL", 2, 1), 3: ("EXACT_MATCH", 3, 0)}
+
+
+def test_a_number_is_read_in_one_chain(spark):
+    assert str(S.parse_decimal(F.col("v"))._jc).count("regexp_replace") < 10
+    rows = spark.createDataFrame([("1.234,50",), ("1,234.5",), ("1.234",), ("12,5",), ("1.2.3,4",), ("1,2,3",), (".5",), ("5.",), ("1bt",), ("",)], "v string")
+    got = {r.v: r.x for r in rows.select("v", S.parse_decimal(F.col("v")).alias("x")).collect()}
+    assert got == {"1.234,50": 1234.5, "1,234.5": 1234.5, "1.234": 1234.0, "12,5": 12.5, "1.2.3,4": 123.4, "1,2,3": 123.0, ".5": None, "5.": None, "1bt": None, "": None}

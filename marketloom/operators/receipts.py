@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.functions.grammar import let
 
 # fixed values: what a receipt's text says of its shop, first hit counts
 SHOPS = [
@@ -44,6 +47,12 @@ def lines(text: Column) -> Column:
     return F.filter(each, lambda x: x != "")
 
 
+def _matched(line: Column, pattern: str, count: int, body: Callable[[list[Column]], Column]) -> Column:
+    """``body`` of a pattern's groups, found in one go; null where a line (which has no line feed) does not match."""
+    found = F.split(F.regexp_replace(line, pattern + "(?s:.*)", "\n".join(f"${i}" for i in range(1, count + 1))), "\n")
+    return let(found, lambda g: F.when(F.size(g) == count, body([F.get(g, F.lit(i)) for i in range(count)])))
+
+
 def read_line(line: Column) -> Column:
     """struct<kind, item> of one line: total, noise, item or skipped.
 
@@ -51,25 +60,21 @@ def read_line(line: Column) -> Column:
     4,99 A", whose name needs three letters in a row and whose price is below
     10,000.  A total's amount is its item's bani.
     """
-    part = lambda pattern, i: F.regexp_extract(line, pattern, i)
-    full, short, simple = rf"^(.+?)\s+{COUNT}{AMOUNT}\s+{AMOUNT}\s*[A-D]?$", rf"^(.+?)\s+{COUNT}{AMOUNT}\s*[A-D]?$", rf"^(.+?)\s+{AMOUNT}\s*[A-D]?$"
     item = lambda name, qty, unit, bani: F.struct(F.trim(name).alias("name"), qty.alias("qty"), unit.alias("unit_bani"), bani.alias("bani")).cast(LINE)
-    total = r"(?i)^total\b[^0-9]*" + AMOUNT
-    stated = _bani(part(total, 1))
-    qty, unit, whole = S.parse_decimal(part(full, 2)), _bani(part(full, 3)), _bani(part(full, 4))
-    qty2, unit2 = S.parse_decimal(part(short, 2)), _bani(part(short, 3))
-    price = _bani(part(simple, 2))
+    fact = lambda **parts: F.struct(*(x.alias(name) for name, x in parts.items()))
     nothing = F.lit(None).cast(LINE)
-    is_full = line.rlike(full) & (qty > 0) & (unit > 0) & whole.isNotNull()
-    is_short = line.rlike(short) & (qty2 > 0) & (unit2 > 0)
-    is_simple = line.rlike(simple) & part(simple, 1).rlike("(?i)[a-zăâîșț]{3,}") & (price > 0) & (price < 1_000_000)
+    total = r"(?i)^total\b[^0-9]*" + AMOUNT
+    stated = item(F.lit("total"), F.lit(None).cast("double"), F.lit(None).cast("long"), _bani(F.regexp_extract(line, total, 1)))
     noise = "(?i)^(" + "|".join(NOISE) + ")"
-    kind = (
-        F.when(line.rlike(total), "total").when(line.rlike(noise), "noise").when(F.coalesce(is_full | is_short | is_simple, F.lit(False)), "item").otherwise("skipped")
-    )
-    found = F.when(is_full, item(part(full, 1), qty, unit, whole)).when(is_short, item(part(short, 1), qty2, unit2, S.half_up(qty2 * unit2)))
-    found = found.when(is_simple, item(part(simple, 1), F.lit(1.0), price, price)).otherwise(nothing)
-    return F.struct(kind.alias("kind"), F.when(kind == "total", item(F.lit("total"), F.lit(None).cast("double"), F.lit(None).cast("long"), stated)).when(kind == "item", found).otherwise(nothing).alias("item"))
+    full = _matched(line, rf"^(.+?)\s+{COUNT}{AMOUNT}\s+{AMOUNT}\s*[A-D]?$", 4, lambda g: fact(name=g[0], qty=S.parse_decimal(g[1]), unit=_bani(g[2]), bani=_bani(g[3])))
+    full = let(full, lambda f: F.when((f["qty"] > 0) & (f["unit"] > 0) & f["bani"].isNotNull(), item(f["name"], f["qty"], f["unit"], f["bani"])))
+    short = _matched(line, rf"^(.+?)\s+{COUNT}{AMOUNT}\s*[A-D]?$", 3, lambda g: fact(name=g[0], qty=S.parse_decimal(g[1]), unit=_bani(g[2])))
+    short = let(short, lambda f: F.when((f["qty"] > 0) & (f["unit"] > 0), item(f["name"], f["qty"], f["unit"], S.half_up(f["qty"] * f["unit"]))))
+    simple = _matched(line, rf"^(.+?)\s+{AMOUNT}\s*[A-D]?$", 2, lambda g: F.when(g[0].rlike("(?i)[a-zăâîșț]{3,}"), fact(name=g[0], bani=_bani(g[1]))))
+    simple = let(simple, lambda f: F.when((f["bani"] > 0) & (f["bani"] < 1_000_000), item(f["name"], F.lit(1.0), f["bani"], f["bani"])))
+    made = lambda kind, found: fact(kind=F.lit(kind), item=found)
+    other = let(F.coalesce(full, short, simple), lambda x: F.when(x.isNotNull(), made("item", x)).otherwise(made("skipped", nothing)))
+    return F.when(line.rlike(total), made("total", stated)).when(line.rlike(noise), made("noise", nothing)).otherwise(other)
 
 
 def read(receipts: DataFrame, id_col: str = "receipt_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
-from marketloom.operators import matching, stats, substitution
+from marketloom.operators import ingest, matching, stats, substitution
+from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
 
@@ -50,3 +51,27 @@ def test_a_number_is_read_in_one_chain(spark):
     rows = spark.createDataFrame([("1.234,50",), ("1,234.5",), ("1.234",), ("12,5",), ("1.2.3,4",), ("1,2,3",), (".5",), ("5.",), ("1bt",), ("",)], "v string")
     got = {r.v: r.x for r in rows.select("v", S.parse_decimal(F.col("v")).alias("x")).collect()}
     assert got == {"1.234,50": 1234.5, "1,234.5": 1234.5, "1.234": 1234.0, "12,5": 12.5, "1.2.3,4": 123.4, "1,2,3": 123.0, ".5": None, "5.": None, "1bt": None, "": None}
+
+
+def test_what_is_asked_of_matches_equals_their_pairs(spark):
+    codes = ["4006381333931", "5901234123457", None, "1"]
+    words = ["red bolt", "red bolt", "blue gear", "green rod x", "red bolt"]
+    rows = [(i, words[i % 5], ["Acme", "Zed"][i % 2], "tools", "kg", 1.0 + (i % 3 == 2), codes[i % 7] if i % 7 < 4 else None) for i in range(24)]
+    catalog = spark.createDataFrame([*rows, (90, "lone nut", "Acme", "tools", "kg", 1.0, None)], NAMES)
+    rows = [(i + 100, words[i % 5], b, s, u, z, codes[(i + 1) % 9] if i % 9 < 3 else None) for i, _, b, s, u, z, _ in rows]
+    pool = spark.createDataFrame([*rows, (190, "lone nut", "Acme", "tools", "kg", 1.0, None), (191, "lone nut", "Acme", "tools", "kg", 1.0, None), (192, "unlike", "No", "tools", "kg", 5.0, None)], NAMES.replace("id", "item_id", 1))
+    said = spark.createDataFrame([(100, 0, "reject"), (101, 1, "reject"), (191, 90, "reject"), (107, 3, "confirm"), (192, 5, "reject"), (999, 1, "confirm"), (108, 4, "reject")], "item_id long, id long, verdict string")
+    said = said.union(catalog.where("name = 'red bolt'").selectExpr("cast(112 as bigint)", "id", "'reject'"))
+    found = matching.matches(catalog, pool)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    pairs = work.written(found.pairs())
+    assert {r.band for r in pairs.collect()} == {"AUTO", "REVIEW"} and same(found.stats(), matching.band_stats(pairs))
+    left, confirmed = ingest.overridden(found, pool, said)
+    want = work.written(ingest.standing(pairs, pool, said))
+    assert same(left.pairs().union(confirmed), want) and same(left.bands().union(confirmed.select("item_id", "band")).distinct(), want.select("item_id", "band").distinct())
+    assert all(same(left.pairs(b), left.pairs().where(F.col("band") == b)) for b in ("AUTO", "REVIEW"))
+    assert same(left.stats(), matching.band_stats(left.pairs()))
+    asked = pool.select("item_id").crossJoin(catalog.select("id")).where("(item_id + id) % 3 = 0")
+    assert same(left.of(asked), left.pairs().join(asked, ["item_id", "id"], "left_semi"))
+    known = asked.where("item_id % 2 = 0").withColumn("score_bp", F.lit(4_800).cast("long"))
+    assert same(ingest.pending_of(left, known), ingest.pending_matches(want, known))

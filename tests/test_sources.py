@@ -244,3 +244,12 @@ def test_ticks_forget(spark, rocks, tmp_path):
     feed([(9, 9, "2024-01-03 00:00:00")])
     feed([(9, 8, "2024-01-03 00:30:00")])
     assert feed.state("ticked") == 2
+
+
+def test_last_prices_of_a_bucket_are_kept_apart(spark, rocks, tmp_path):
+    feed = Feed(spark, tmp_path, "product_id long, merchant_id long, recorded_at string, ord long, line int, price_bani long", lambda d: expiring.price_changes(d, buckets=1))
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    feed([(p, m, at(1 + p % 3), 1, 1, p + m) for p in range(9) for m in range(9)])
+    assert feed.state("last") == 81
+    out = feed([(p, m, at(5 + m), 1, k, p + m + (p % 2) * k) for p in range(9) for m in range(9) for k in range(2)])
+    assert out == feed.batch(expiring.price_changes_batch) and len(out) == 81 + 36 and feed.state("last") == 81

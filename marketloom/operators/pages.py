@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.sources.work import written
 
 
 def unit_lows(offers: DataFrame, current: Column) -> DataFrame:
@@ -91,9 +92,20 @@ def index_by_class(current: DataFrame) -> DataFrame:
 
 
 def personal_deals(deals: DataFrame, products: DataFrame, favourites: DataFrame, limit: int = 10) -> DataFrame:
-    """Per user the best deals in the categories of its favourites, without the favourites themselves."""
-    kinds = favourites.select("user_id", F.col("product_id").alias("id")).join(products.select("id", "category_id"), "id").select("user_id", "category_id").distinct()
-    rows = deals.join(products.select(F.col("id").alias("product_id"), "category_id"), "product_id").join(kinds, "category_id")
-    rows = rows.join(favourites.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy(F.desc("deal_score_bp"), "product_id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("user_id", "place", "product_id", "deal_score_bp")
+    """Per user the best deals in the categories of its favourites, without the favourites themselves.
+
+    Deals are ranked within their category once; a user is offered as many of each
+    category's first as it has favourites among them, and ``limit`` more.
+    """
+    placed = products.select(F.col("id").alias("product_id"), "category_id")
+    liked = favourites.select("user_id", "product_id").distinct()
+    order = (F.desc("deal_score_bp"), "product_id")
+    ranked = written(deals.select("product_id", "deal_score_bp").join(placed, "product_id").withColumn("n", F.row_number().over(Window.partitionBy("category_id").orderBy(*order))))
+    own = ranked.groupBy("product_id").agg(F.count(F.lit(1)).alias("own"))
+    kinds = liked.join(placed, "product_id").join(own, "product_id", "left").groupBy("user_id", "category_id").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("own"))
+    kinds = written(kinds)
+    offered = ranked.join(F.broadcast(kinds.agg(F.max("own").alias("most"))), F.col("n") <= F.col("most") + limit).drop("most")
+    rows = kinds.select("user_id", "category_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own") + limit)).alias("n")).join(offered, ["category_id", "n"])
+    rows = rows.join(liked, ["user_id", "product_id"], "left_anti")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+    return rows.where(F.col("place") <= limit).select("user_id", "place", "product_id", "deal_score_bp")

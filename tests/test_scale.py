@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
-from marketloom.operators import ingest, matching, stats, substitution
+from marketloom.operators import ingest, matching, pages, stats, substitution
 from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -75,3 +75,12 @@ def test_what_is_asked_of_matches_equals_their_pairs(spark):
     assert same(left.of(asked), left.pairs().join(asked, ["item_id", "id"], "left_semi"))
     known = asked.where("item_id % 2 = 0").withColumn("score_bp", F.lit(4_800).cast("long"))
     assert same(ingest.pending_of(left, known), ingest.pending_matches(want, known))
+
+
+def test_a_user_is_offered_the_first_deals_of_a_category_only(spark):
+    products = spark.range(60).selectExpr("id", "id % 2 as category_id")
+    deals = products.selectExpr("id as product_id", "1000 - id as deal_score_bp").where("product_id <> 3")
+    liked = spark.createDataFrame([(1, 0), (1, 2), (1, 2), (1, 58), (2, 1), (2, 3)], "user_id long, product_id long")
+    out = pages.personal_deals(deals, products, liked, 3)
+    assert [(r.user_id, r.place, r.product_id) for r in out.orderBy("user_id", "place").collect()] == [(1, 1, 4), (1, 2, 6), (1, 3, 8), (2, 1, 5), (2, 2, 7), (2, 3, 9)]
+    assert "sequence(1" in out._jdf.queryExecution().optimizedPlan().toString()  # a user meets places of a category, not all its deals

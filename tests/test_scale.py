@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
-from marketloom.operators import ingest, matching, pages, stats, substitution
+from marketloom.operators import gates, ingest, matching, pages, stats, substitution
 from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -84,3 +84,11 @@ def test_a_user_is_offered_the_first_deals_of_a_category_only(spark):
     out = pages.personal_deals(deals, products, liked, 3)
     assert [(r.user_id, r.place, r.product_id) for r in out.orderBy("user_id", "place").collect()] == [(1, 1, 4), (1, 2, 6), (1, 3, 8), (2, 1, 5), (2, 2, 7), (2, 3, 9)]
     assert "sequence(1" in out._jdf.queryExecution().optimizedPlan().toString()  # a user meets places of a category, not all its deals
+
+
+def test_words_that_part_copies_are_counted_before_they_meet(spark):
+    names = ["red bolt"] * 30 + ["blue bolt"] * 20 + ["blue gear"]
+    rows = spark.createDataFrame([(i, x, "Acme", "kg", 1.0) for i, x in enumerate(names)], "id long, name string, brand string, unit string, unit_size double")
+    out = gates.descriptor_pairs(rows)
+    assert {(r.word, r.other): r.pairs for r in out.collect()} == {("blue", "red"): 600, ("bolt", "gear"): 20}
+    assert "a.id" not in out._jdf.queryExecution().analyzed().toString() and "id#" not in out._jdf.queryExecution().optimizedPlan().toString()

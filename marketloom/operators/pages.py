@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.operators.matching import alike
 from marketloom.sources.work import written
 
 
@@ -73,14 +74,17 @@ def class_proposals(products: DataFrame, classes: DataFrame, least: float = 0.34
 
     Unit equal, size within the window, and the class's leading word among the
     product's first two; then the largest Jaccard share, ``least`` or more.
+    Products (ids are unique) that read alike are compared with classes once.
     """
+    texts, rows = alike(products.where("class_id is null"), "id", ["name", "unit", "unit_size"], "text")
     words = F.array_distinct(S.tokens(S.normalize(F.col("name"))))
-    p = products.where("class_id is null").select("id", "unit", "unit_size", words.alias("w"), F.explode(F.array_distinct(F.slice(words, 1, 2))).alias("lead"))
+    p = texts.select("id", "unit", "unit_size", words.alias("w"), F.explode(F.array_distinct(F.slice(words, 1, 2))).alias("lead"))
     c = classes.select("class_id", "unit", "size", F.array_distinct(S.tokens(S.normalize(F.col("class_name")))).alias("cw"))
-    rows = p.join(c.withColumn("lead", F.get("cw", F.lit(0))), ["unit", "lead"]).where(F.abs(F.col("unit_size") - F.col("size")) <= size_window * F.col("size") + 1e-9)
-    rows = rows.withColumn("score_bp", S.half_up(S.jaccard(F.col("w"), F.col("cw")) * 10000)).where(F.col("score_bp") >= least * 10000)
+    found = p.join(c.withColumn("lead", F.get("cw", F.lit(0))), ["unit", "lead"]).where(F.abs(F.col("unit_size") - F.col("size")) <= size_window * F.col("size") + 1e-9)
+    found = found.withColumn("score_bp", S.half_up(S.jaccard(F.col("w"), F.col("cw")) * 10000)).where(F.col("score_bp") >= least * 10000)
     order = Window.partitionBy("id").orderBy(F.desc("score_bp"), "class_id")
-    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("id", "class_id", "score_bp")
+    best = found.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("id").alias("text"), "class_id", "score_bp")
+    return rows.join(best, "text").select("id", "class_id", "score_bp")
 
 
 def index_by_class(current: DataFrame) -> DataFrame:

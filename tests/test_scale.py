@@ -92,3 +92,13 @@ def test_words_that_part_copies_are_counted_before_they_meet(spark):
     out = gates.descriptor_pairs(rows)
     assert {(r.word, r.other): r.pairs for r in out.collect()} == {("blue", "red"): 600, ("bolt", "gear"): 20}
     assert "a.id" not in out._jdf.queryExecution().analyzed().toString() and "id#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_products_that_read_alike_are_proposed_a_class_together(spark):
+    rows = [(i, ["red bolt m8", "blue gear", None][i % 3], "kg", 1.0, None) for i in range(30)] + [(90, "red bolt m8", "kg", 1.0, 7)]
+    products = spark.createDataFrame(rows, "id long, name string, unit string, unit_size double, class_id long")
+    classes = spark.createDataFrame([(7, "bolt red", "kg", 1.1), (8, "red bolt", "kg", 1.0), (9, "gear", "l", 1.0)], "class_id long, class_name string, unit string, size double")
+    before = len(work._WRITTEN)
+    out = pages.class_proposals(products, classes)
+    assert work._WRITTEN[before:] and spark.read.parquet(work._WRITTEN[before]).count() == 3  # texts, not products, meet classes
+    assert sorted(map(tuple, out.collect())) == [(i, 7, 6667) for i in range(0, 30, 3)]

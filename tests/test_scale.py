@@ -1,8 +1,10 @@
 """Cases of the third review: what only larger tables show."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.llm import vector_dedup
 from marketloom.operators import gates, ingest, matching, pages, stats, substitution
 from marketloom.sources import work
 
@@ -102,3 +104,23 @@ def test_products_that_read_alike_are_proposed_a_class_together(spark):
     out = pages.class_proposals(products, classes)
     assert work._WRITTEN[before:] and spark.read.parquet(work._WRITTEN[before]).count() == 3  # texts, not products, meet classes
     assert sorted(map(tuple, out.collect())) == [(i, 7, 6667) for i in range(0, 30, 3)]
+
+
+def test_chunks_send_codes_and_vectors_only_of_near_rows(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1_500, 64)).astype(np.float32)
+    x[1_400:1_450] = x[:50] * 2 + rng.normal(scale=0.02, size=(50, 64))
+    x[1_450:] = x[7]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows.write.parquet(f"{tmp_path}/v")
+    monkeypatch.setattr(vector_dedup, "PACKED", 200, raising=False)
+    monkeypatch.setattr(vector_dedup, "CHUNK", 8)
+    before = len(work._WRITTEN)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/v")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate(linked.sum(axis=1).tolist()))
+    assert {i: c for i, (_, c) in got.items()} == {i: min(i, *np.flatnonzero(linked[i]).tolist()) if linked[i].any() else i for i in range(1_500)}
+    kept = [spark.read.parquet(p) for p in work._WRITTEN[before:]]
+    assert max(t.count() for t in kept if "v" in t.columns) < 300  # a vector without a near one is not copied

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marketloom import constants as C
 from marketloom.functions import scalars as S
+from marketloom.functions.grammar import let
 from marketloom.operators import taxonomy
+from marketloom.sources.work import written
 
 # fixed values: url parts behind which no category follows
 URL_MARKERS = ["p", "c", "produs", "product"]
@@ -33,11 +35,15 @@ def from_listed_paths(payload: Column, key: str = "categories") -> Column:
 
 def from_url_folders(url: Column, markers: list[str] | None = None) -> Column:
     """Levels of a product url: the folders before a marker part, without the product's own."""
-    parts = _parts(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "[?#].*$", ""))
     marks = F.array(*(F.lit(m) for m in markers or URL_MARKERS))
-    at = F.array_position(F.transform(parts, lambda p: F.array_contains(marks, F.lower(p))), F.lit(True))
-    head = F.when(at > 1, F.slice(parts, F.lit(1), (at - 1).cast("int"))).otherwise(parts)
-    return F.transform(F.slice(head, F.lit(1), F.greatest(F.size(head) - 1, F.lit(0))), lambda p: F.replace(p, F.lit("-"), F.lit(" ")))
+
+    def folders(parts: Column) -> Column:
+        at = F.array_position(F.transform(parts, lambda p: F.array_contains(marks, F.lower(p))), F.lit(True))
+        head = let(at, lambda n: F.when(n > 1, F.slice(parts, F.lit(1), (n - 1).cast("int"))).otherwise(parts))
+        own = let(head, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
+        return F.transform(own, lambda p: F.replace(p, F.lit("-"), F.lit(" ")))
+
+    return let(_parts(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "[?#].*$", "")), folders)
 
 
 def from_breadcrumbs(payload: Column) -> Column:
@@ -63,11 +69,16 @@ def recovered(offers: DataFrame, kinds: DataFrame) -> DataFrame:
     levels = from_stored_path(F.col("category_path"))
     for kind, reader in readers.items():
         levels = F.when(F.col("kind") == kind, reader).otherwise(levels)
-    rows = rows.withColumn("levels", levels).withColumn("levels", F.when(F.size("levels") > 0, F.col("levels")))
+    rows = rows.withColumn("levels", let(levels, lambda x: F.when(F.size(x) > 0, x)))
     source = F.when(F.col("levels").isNotNull(), F.coalesce("kind", F.lit("stored-path")))
     return rows.withColumn("path_source", source).drop("kind")
 
 
+def distinct_paths(paths: DataFrame) -> DataFrame:
+    """(levels) of all distinct paths that are there, written once: they are few, and those who read them would each read every offer's text again."""
+    return written(paths.select("levels").distinct()).where("levels is not null")
+
+
 def level_keys(levels: Column) -> Column:
     """Folded levels, empty ones left out."""
     return F.filter(F.transform(levels, lambda x: S.normalize(x, glue_storage=False)), lambda x: x != "")
@@ -102,7 +113,7 @@ def by_longest_prefix(paths: DataFrame, trie: DataFrame) -> DataFrame:
     deepest that it gives a department for: REVIEW, without a leaf.  Else NONE, depth 0.
     Null paths are left out.
     """
-    rows = paths.where("levels is not null").select("levels").distinct()
+    rows = distinct_paths(paths)
     hits = rows.select("levels", F.inline(prefixes(level_keys(F.col("levels"))))).join(trie.drop("depth", "paths"), "prefix")
     rank = F.struct(F.col("leaf").isNotNull().alias("whole"), "depth")
     best = hits.where("leaf is not null or department is not null").groupBy("levels").agg(F.max_by(F.struct("leaf", "department", "depth"), rank).alias("b"))
@@ -136,7 +147,7 @@ def assign_by_path(paths: DataFrame, rules: DataFrame, departments: DataFrame) -
     merchant said so.  A path of departments alone goes to the catch-all leaf of
     its deepest one; any other has no leaf, band NONE.
     """
-    rows = paths.where("levels is not null").select("levels").distinct().withColumn("path", F.col("levels"))
+    rows = distinct_paths(paths).withColumn("path", F.col("levels"))
     each = rows.select("path", F.posexplode("levels").alias("depth", "level"))
     named = named_departments(each, departments)
     other = each.select("level").distinct().join(named, "level", "left_anti").select(F.col("level").alias("id"), F.col("level").alias("name"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
 from marketloom.llm import vector_dedup
-from marketloom.operators import gates, ingest, matching, pages, stats, substitution
+from marketloom.operators import gates, ingest, matching, pages, paths, stats, substitution
 from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -124,3 +124,16 @@ def test_chunks_send_codes_and_vectors_only_of_near_rows(spark, tmp_path, monkey
     assert {i: c for i, (_, c) in got.items()} == {i: min(i, *np.flatnonzero(linked[i]).tolist()) if linked[i].any() else i for i in range(1_500)}
     kept = [spark.read.parquet(p) for p in work._WRITTEN[before:]]
     assert max(t.count() for t in kept if "v" in t.columns) < 300  # a vector without a near one is not copied
+
+
+def test_offers_are_read_once_for_their_paths(spark):
+    facts = "merchant_id long, payload string, url string, category_path string"
+    rows = [(1, '{"breadcrumbs":[{"name":"Food"},{"name":" Milk "}]}', None, None), (1, "{", None, None), (2, None, "https://x.y/Food/Milk/p/12?a=1", None), (3, None, None, "Food / Milk"), (3, None, None, "")]
+    kinds = spark.createDataFrame([(1, "breadcrumbs"), (2, "url-folders")], "merchant_id long, kind string")
+    found = paths.recovered(spark.createDataFrame(rows, facts), kinds)
+    assert sorted(r.levels for r in found.where("levels is not null").collect()) == [["Food"], ["Food", "Milk"], ["Food", "Milk"]]
+    tree = spark.createDataFrame([(["Food", "Milk"], "milk", "food")], "levels array<string>, leaf string, department string")
+    out = paths.by_longest_prefix(found, paths.path_trie(tree))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and "jsontostructs" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert ("Food", "Milk") in {tuple(r.levels) for r in out.collect() if r.leaf == "milk"}
+    assert str(paths.from_url_folders(F.col("u"))._jc).count("regexp_replace") == 2

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom import constants as C
 from marketloom.functions import scalars as S
-
-
-def priced_lines(lines: DataFrame, current: DataFrame) -> DataFrame:
-    """(basket_id, product_id, merchant_id, qty, cost): every shop's price of every line."""
-    cheapest = current.groupBy("product_id", "merchant_id").agg(F.min("price_bani").alias("bani"))
-    return lines.join(cheapest, "product_id").select("basket_id", "product_id", "merchant_id", "qty", (F.col("bani") * F.col("qty")).alias("cost"))
+from marketloom.sources.work import spread
 
 
 def shops_of(current: DataFrame) -> DataFrame:
@@ -21,11 +16,25 @@ def shops_of(current: DataFrame) -> DataFrame:
     return cheapest.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("bani", "merchant_id"))).alias("shops"))
 
 
+def dealt_lines(lines: DataFrame, current: DataFrame) -> DataFrame:
+    """(basket_id, qty, sellers, banis): a row per line with its shops, cheapest first, and their prices; both null where nobody sells it.
+
+    The rows of a basket lie in one partition, so that what is summed per basket
+    and shop afterwards is not shuffled again.
+    """
+    shops = shops_of(current).select("product_id", F.transform("shops", lambda s: s["merchant_id"]).alias("sellers"), F.transform("shops", lambda s: s["bani"]).alias("banis"))
+    rows = lines.where("basket_id is not null").join(shops, "product_id", "left")
+    return spread(rows.select("basket_id", "qty", "sellers", "banis"), "basket_id")
+
+
 def store_totals(lines: DataFrame, current: DataFrame, merchants: DataFrame) -> DataFrame:
     """Per basket and shop: lines found and missing, goods, delivery, total, minimum order met."""
-    size = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("lines"))
-    rows = priced_lines(lines, current).groupBy("basket_id", "merchant_id").agg(F.count(F.lit(1)).alias("found"), F.sum("cost").alias("goods_bani"))
-    rows = rows.join(size, "basket_id").join(merchants.select("merchant_id", "delivery_fee", "free_over", "min_order"), "merchant_id")
+    rows = dealt_lines(lines, current).select("basket_id", "qty", F.posexplode_outer(F.arrays_zip("sellers", "banis")).alias("at", "s"))
+    rows = rows.groupBy("basket_id", F.col("s.sellers").alias("merchant_id")).agg(
+        F.count(F.lit(1)).alias("found"), F.sum(F.col("s.banis") * F.col("qty")).alias("goods_bani"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("firsts")
+    )
+    size = F.sum("firsts").over(Window.partitionBy("basket_id"))  # a line counts at its first shop, or at none
+    rows = rows.withColumn("lines", size).where("merchant_id is not null").join(merchants.select("merchant_id", "delivery_fee", "free_over", "min_order"), "merchant_id")
     fee = F.when(F.col("goods_bani") >= F.col("free_over"), 0).otherwise(F.col("delivery_fee"))
     meets = F.col("goods_bani") >= F.coalesce("min_order", F.lit(0))
     return rows.select("basket_id", "merchant_id", "found", (F.col("lines") - F.col("found")).alias("missing"), "goods_bani", fee.alias("delivery_bani"), (F.col("goods_bani") + fee).alias("total_bani"), meets.alias("meets_minimum"))
@@ -44,16 +53,15 @@ def split(lines: DataFrame, current: DataFrame, merchants: DataFrame, stores: in
     that none of the shops kept sells.  A basket without any offer has no row.
     Quantities are positive, so a line's cheapest shop is its product's.
     """
-    shops = shops_of(current)
-    best = F.get("shops", F.lit(0))
-    value = lines.join(shops, "product_id").groupBy("basket_id", best["merchant_id"].alias("merchant_id")).agg(F.sum(best["bani"] * F.col("qty")).alias("value"))
-    rank = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("value"), "merchant_id"))
-    keep = value.withColumn("rn", rank).where(F.col("rn") <= stores).groupBy("basket_id").agg(F.collect_set("merchant_id").alias("kept"))
-    moved = lines.join(keep, "basket_id").join(shops, "product_id")
-    moved = moved.select("basket_id", "qty", F.get(F.filter("shops", lambda s: F.array_contains("kept", s["merchant_id"])), F.lit(0)).alias("s")).where("s is not null")
-    out = moved.groupBy("basket_id", F.col("s.merchant_id").alias("merchant_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("s.bani") * F.col("qty")).alias("goods_bani"))
-    size = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("all_lines"))
-    out = out.join(size, "basket_id").join(merchants.select("merchant_id", "delivery_fee", "free_over"), "merchant_id")
+    rows = dealt_lines(lines, current)
+    value = rows.groupBy("basket_id", F.get("sellers", F.lit(0)).alias("merchant_id")).agg(F.sum(F.get("banis", F.lit(0)) * F.col("qty")).alias("value"), F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("value"), "merchant_id"))  # lines that nobody sells come last
+    kept = F.collect_set(F.when(F.col("rn") <= stores, F.col("merchant_id")))
+    keep = value.withColumn("rn", rank).groupBy("basket_id").agg(kept.alias("kept"), F.sum("n").alias("all_lines")).where(F.size("kept") > 0)
+    sold = F.get(F.filter(F.arrays_zip("sellers", "banis"), lambda s: F.array_contains("kept", s["sellers"])), F.lit(0))
+    moved = rows.join(keep, "basket_id").select("basket_id", "all_lines", "qty", sold.alias("s")).where("s is not null")
+    out = moved.groupBy("basket_id", "all_lines", F.col("s.sellers").alias("merchant_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("s.banis") * F.col("qty")).alias("goods_bani"))
+    out = out.join(merchants.select("merchant_id", "delivery_fee", "free_over"), "merchant_id")
     fee = F.when(F.col("goods_bani") >= F.col("free_over"), 0).otherwise(F.col("delivery_fee"))
     taken = F.sum("lines").over(Window.partitionBy("basket_id"))
     return out.select("basket_id", "merchant_id", "lines", "goods_bani", fee.alias("delivery_bani"), (F.col("all_lines") - taken).alias("missing"))

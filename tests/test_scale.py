@@ -1,11 +1,13 @@
 """Cases of the third review: what only larger tables show."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
 from marketloom.llm import vector_dedup
-from marketloom.operators import gates, ingest, matching, pages, paths, stats, substitution
+from marketloom.operators import baskets, gates, ingest, matching, pages, paths, stats, substitution
 from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -137,3 +139,16 @@ def test_offers_are_read_once_for_their_paths(spark):
     assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and "jsontostructs" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert ("Food", "Milk") in {tuple(r.levels) for r in out.collect() if r.leaf == "milk"}
     assert str(paths.from_url_folders(F.col("u"))._jc).count("regexp_replace") == 2
+
+
+def test_lines_of_a_basket_are_dealt_once(spark):
+    lines = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 9, 1), (2, 1, 1), (3, 9, 4)], "basket_id long, product_id long, qty long")
+    current = spark.createDataFrame([(1, 7, 100), (1, 7, 90), (1, 8, 80), (2, 7, 50)], "product_id long, merchant_id long, price_bani long")
+    merchants = spark.createDataFrame([(7, 5, 200, 60), (8, 3, 1000, None)], "merchant_id long, delivery_fee long, free_over long, min_order long")
+    totals = baskets.store_totals(lines, current, merchants)
+    assert sorted(map(tuple, totals.collect())) == [(1, 7, 2, 1, 230, 0, 230, True), (1, 8, 1, 2, 160, 3, 163, True), (2, 7, 1, 0, 90, 5, 95, True), (2, 8, 1, 0, 80, 3, 83, True)]
+    single, parts = baskets.best_single(totals), baskets.split(lines, current, merchants, 1)
+    assert sorted(map(tuple, single.collect())) == [(2, 8, 83)]
+    assert sorted(map(tuple, parts.collect())) == [(1, 8, 1, 160, 3, 2), (2, 8, 1, 80, 3, 0)]
+    for out in (totals, single, parts):
+        assert not re.search(r"hashpartitioning\(basket_id#\d+L, merchant_id", out._jdf.queryExecution().executedPlan().toString())

@@ -160,14 +160,16 @@ def _packed(size: Column, count: Column) -> Column:
 
 def _base(text: Column) -> Column:
     """The size a name states, promotions aside."""
-    multi = let(_parts(text, MULTI, 3), lambda m: _packed(_one(m["g2"], m["g3"]), m["g1"]))
-    turned = let(_parts(text, TURNED, 3), lambda m: _packed(_one(m["g1"], m["g2"]), m["g3"]))
+    times = text.rlike("[xX×*]")  # without its sign no shape is looked for
+    multi = F.when(times, let(_parts(text, MULTI, 3), lambda m: _packed(_one(m["g2"], m["g3"]), m["g1"])))
+    turned = F.when(times, let(_parts(text, TURNED, 3), lambda m: _packed(_one(m["g1"], m["g2"]), m["g3"])))
 
     def counts(f: Column) -> Column:
         total = f["a"]["value"] + f["b"]["value"]
         return F.when((f["a"]["unit"] == "BUC") & (f["b"]["unit"] == "BUC"), _plain(total, F.lit("BUC"), F.lit(1), total))
 
     summed = let(let(_parts(text, SUMMED, 4), lambda m: F.struct(_one(m["g1"], m["g2"]).alias("a"), _one(m["g3"], m["g4"]).alias("b"))), counts)
+    summed = F.when(F.contains(text, F.lit("+")), summed)
     piece = F.struct(F.lit(1.0).alias("value"), F.lit("BUC").alias("unit"))
     packs = [_packed(piece, F.regexp_extract(text, p, 1)) for p in (PACKED, BAX)]
     sizes = F.filter(F.zip_with(_found(text, SIZE, 1), _found(text, SIZE, 2), lambda a, b: _one(a, b)), lambda q: q.isNotNull())
@@ -190,6 +192,8 @@ def quantity(name: Column) -> Column:
 
 
 def _quantity(text: Column) -> Column:
+    plus = F.contains(text, F.lit("+"))  # without its sign no shape is looked for
+
     def added(f: Column) -> Column:
         total = f["a"]["value"] + f["b"]["value"]
         return F.when(f["a"]["unit"] == f["b"]["unit"], _shape(total, f["a"]["unit"], F.lit(1), total, F.lit(1), F.lit(0), F.lit(True)))
@@ -208,7 +212,7 @@ def _quantity(text: Column) -> Column:
     price_of = let(two(PRICE_OF), lambda n: F.when((n["x"] > n["y"]) & (n["y"] > 0), deal(n["y"], n["x"] - n["y"], False, PRICE_OF)))
     more = let(_whole(F.regexp_extract(text, EXTRA, 1)), lambda n: F.when(n > 0, deal(F.lit(1), n, True, EXTRA)))
     plain = F.struct(F.lit(0).alias("paid"), F.lit(0).alias("free"), F.lit(False).alias("on_top"), text.alias("rest"))
-    facts = let(F.coalesce(pair, price_of, more, plain), lambda d: F.struct(d.alias("d"), let(d["rest"], _base).alias("own")))
+    facts = let(F.coalesce(F.when(plus, pair), price_of, F.when(plus, more), plain), lambda d: F.struct(d.alias("d"), let(d["rest"], _base).alias("own")))
 
     def dealt(f: Column) -> Column:
         d, own = f["d"], f["own"]
@@ -218,7 +222,7 @@ def _quantity(text: Column) -> Column:
         shaped = let(made, lambda m: _shape(m["each"] * m["n"], m["unit"], m["n"], m["each"], m["n"] - d["free"], d["free"], F.lit(True)))
         return F.when(d["free"] > 0, shaped).otherwise(own)
 
-    return F.coalesce(bonus, attached, let(facts, dealt))
+    return F.coalesce(F.when(plus, bonus), F.when(plus, attached), let(facts, dealt))
 
 
 def _number(x: Column) -> Column:

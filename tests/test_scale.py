@@ -5,9 +5,10 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from marketloom import catalog
 from marketloom.functions import scalars as S
 from marketloom.llm import vector_dedup
-from marketloom.operators import baskets, gates, ingest, matching, pages, paths, stats, substitution
+from marketloom.operators import baskets, disagree, gates, ingest, matching, pages, paths, stats, substitution
 from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -152,3 +153,18 @@ def test_lines_of_a_basket_are_dealt_once(spark):
     assert sorted(map(tuple, parts.collect())) == [(1, 8, 1, 160, 3, 2), (2, 8, 1, 80, 3, 0)]
     for out in (totals, single, parts):
         assert not re.search(r"hashpartitioning\(basket_id#\d+L, merchant_id", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_statements_of_products_are_read_once(spark):
+    rows = [(1, "Milk 3,5% grasime", "Acme", "s", "l", 1.0), (2, "Milk 1,5% grasime", "Acme", "s", "l", 1.0), (3, "Milk capsuni", "Acme", "s", "l", 1.0)]
+    products = spark.createDataFrame(rows, "id long, name string, brand string, section string, unit string, unit_size double")
+    before = len(work._WRITTEN)
+    out = disagree.duplicate_contradictions(products)
+    assert len(work._WRITTEN) > before and "grasime" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.products, r.statements, r.contradictions, r.could_merge) for r in out.collect()] == [(3, 3, "fat:15|35", 1)]
+
+
+def test_pack_names_are_read_on_all_partitions(spark, tmp_path):
+    spark.range(40).selectExpr("id p_partkey", "'red bolt' p_name", "'A' p_brand", "'T' p_type", "cast(5 as int) p_size", "1.0 p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = catalog.QUERIES["quantity_grammar"](spark, str(tmp_path))
+    assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 1

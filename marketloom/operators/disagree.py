@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marketloom import constants as C
 from marketloom.functions import scalars as S
+from marketloom.functions.grammar import let
+from marketloom.sources.work import spread, written
 
 # fixed values: words of a name that tell nothing apart
 NAME_NOISE = ["de", "cu", "la", "si", "din", "fara", "pentru", "sau", "un", "o"]
@@ -83,16 +85,20 @@ def disagreeing_groups(offers: DataFrame) -> DataFrame:
 
 def discriminators(text: Column) -> Column:
     """map<dimension, value> of what a name and brand state of fat, lactose, organic farming, skimming and flavour."""
-    n = F.concat(F.lit(" "), S.normalize(text, glue_storage=False), F.lit(" "))
+    return let(F.concat(F.lit(" "), S.normalize(text, glue_storage=False), F.lit(" ")), _discriminators)
+
+
+def _discriminators(n: Column) -> Column:
     stated = r"\b([0-9]{1,2})[ ,.]?([0-9])?\s*(?:%|la suta)?\s*grasime|\bgrasime\s*([0-9]{1,2})[ ,.]?([0-9])?"
     group = lambda i: F.regexp_extract(n, stated, i)
     digits = F.when(group(1) != "", F.concat(group(1), group(2))).when(group(3) != "", F.concat(group(3), group(4)))
     bare = r"\b([013])\s([5789])\b"
     fat = F.when(n.rlike(stated), digits).when(n.rlike(bare), F.concat(F.regexp_extract(n, bare, 1), F.regexp_extract(n, bare, 2)))
     flavours = F.array_sort(F.array_compact(F.array(*(F.when(n.rlike(rf"\b{f}"), f) for f in FLAVOURS))))
+    flavours = F.when(n.rlike(rf"\b({'|'.join(FLAVOURS)})"), flavours)
     values = {
         "fat": fat, "lactose": F.when(n.rlike(r"\bfara lactoza\b|\bdelactozat"), "free"), "organic": F.when(n.rlike(r"\b(bio|eco|ecologic|organic)\b"), "yes"),
-        "skim": F.when(n.rlike(r"\bdegresat\b"), "yes"), "flavour": F.when(F.size(flavours) > 0, F.array_join(flavours, "+")),
+        "skim": F.when(n.rlike(r"\bdegresat\b"), "yes"), "flavour": F.array_join(flavours, "+"),
     }
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()))
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
@@ -125,11 +131,12 @@ def duplicate_contradictions(products: DataFrame) -> DataFrame:
     unit_size, products, statements, contradictions (dimensions, sorted, with
     their values), could_merge (products that state nothing another contradicts).
     """
-    keyed = products.join(brand_of(products), "id").where("brand_key <> ''")
+    keyed = spread(products, "id").join(brand_of(products), "id").where("brand_key <> ''")  # few bytes, much to read in them
     size = F.format_string("%.2e", "unit_size")  # three significant digits
     rows = keyed.select("id", "section", "brand_key", "unit", size.alias("unit_size"), discriminators(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name")).alias("d"))
     key = ["section", "brand_key", "unit", "unit_size"]
     said = rows.select(*key, "id", F.array_join(F.array_sort(F.transform(F.map_entries("d"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ").alias("said"), "d")
+    said = written(said)  # read by every step below
     groups = said.groupBy(*key).agg(F.count(F.lit(1)).alias("products"), F.countDistinct("said").alias("statements")).where("products > 1")
     values = said.select(*key, "id", F.explode("d").alias("dimension", "value")).groupBy(*key, "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
     split = values.groupBy(*key, "dimension").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("values"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")

@@ -50,7 +50,7 @@ def disagreeing_groups(offers: DataFrame) -> DataFrame:
     counted before they meet, so a product with very many offers is no large array.
     """
     rows = offers.where("visible and price_bani > 0").select("product_id", "merchant_id", "price_bani", "store_name")
-    counts = rows.groupBy("product_id", "price_bani").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(rows.groupBy("product_id", "price_bani").agg(F.count(F.lit(1)).alias("n")))
     order = Window.partitionBy("product_id").orderBy("price_bani")
     rank = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("product_id")))
     rank = rank.withColumn("next", F.lead("price_bani").over(order))
@@ -63,7 +63,7 @@ def disagreeing_groups(offers: DataFrame) -> DataFrame:
     far = counts.join(facts.where(F.col("offers") >= C.OUTLIER_MIN_PEERS), "product_id").where(off).groupBy("product_id").agg(F.sum("n").alias("disagreeing"))
     groups = facts.join(far, "product_id").withColumn("cut", -F.col("gap.back"))
     sides = rows.join(groups.select("product_id", "cut"), "product_id").withColumn("side", F.when(F.col("price_bani") <= F.col("cut"), "low").otherwise("high"))
-    sides = sides.withColumn("words", telling_words(F.col("store_name")))
+    sides = written(sides.select("product_id", "side", "store_name", telling_words(F.col("store_name")).alias("words")))  # a name is read once
     on = lambda side: F.count_if(F.col("side") == side)
     named = F.size("words") > 0
     sizes = sides.groupBy("product_id").agg(

@@ -168,3 +168,11 @@ def test_pack_names_are_read_on_all_partitions(spark, tmp_path):
     spark.range(40).selectExpr("id p_partkey", "'red bolt' p_name", "'A' p_brand", "'T' p_type", "cast(5 as int) p_size", "1.0 p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     out = catalog.QUERIES["quantity_grammar"](spark, str(tmp_path))
     assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 1
+
+
+def test_names_of_disagreeing_offers_are_read_once(spark):
+    rows = [(1, m, 100 if m < 4 else 900, f"red bolt{' big' if m == 4 else ''}", True) for m in range(5)]
+    before = len(work._WRITTEN)
+    out = disagree.disagreeing_groups(spark.createDataFrame(rows, "product_id long, merchant_id long, price_bani long, store_name string, visible boolean"))
+    assert len(work._WRITTEN) > before and "translate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.offers, r.disagreeing, r.low, r.high, r.high_words) for r in out.collect()] == [(5, 1, 4, 1, "big")]

@@ -176,3 +176,22 @@ def test_names_of_disagreeing_offers_are_read_once(spark):
     out = disagree.disagreeing_groups(spark.createDataFrame(rows, "product_id long, merchant_id long, price_bani long, store_name string, visible boolean"))
     assert len(work._WRITTEN) > before and "translate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.offers, r.disagreeing, r.low, r.high, r.high_words) for r in out.collect()] == [(5, 1, 4, 1, "big")]
+
+
+def test_products_alike_are_compared_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MEMBERS", 3, raising=False)
+    names = ["Bolt red", "Bolt blue 5 mg", "Gear red", "Bolt red 7 mg"]
+    rows = [(i, names[i % 4], "Acme", ["s", "t", None][i % 3 if i < 30 else 0], "kg", [1.0, 1.05, 1.2, 0.0, 1.1][i % 5]) for i in range(45)]
+    frame = spark.createDataFrame(rows, "id long, name string, brand string, section string, unit string, unit_size double")
+    near = lambda x, y, t: x > 0 and y > 0 and abs(x - y) <= t * x + 1e-9
+    alike = lambda a, b, t: a[0] != b[0] and a[3] and a[3] == b[3] and a[1][:4] == b[1][:4] and near(a[5], b[5], t)
+    before = len(work._WRITTEN)
+    for t in (0.06, 0.25):
+        out = matching.structural_candidates(frame, t)
+        assert sorted(map(tuple, out.collect())) == sorted((a[0], b[0]) for a in rows for b in rows if alike(a, b, t))
+    lists = [spark.read.parquet(p) for p in work._WRITTEN[before:]]
+    assert len(lists) == 2 and all(r.k <= 3 for r in lists[1].select(F.size("ids").alias("k")).collect())
+    for strict in (True, False):
+        want = matching.undisputed(matching.structural_candidates(frame, 0.25), frame, strict)
+        got = matching.undisputed_candidates(frame, 0.25, strict)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0

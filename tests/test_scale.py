@@ -195,3 +195,21 @@ def test_products_alike_are_compared_as_lists(spark, monkeypatch):
         want = matching.undisputed(matching.structural_candidates(frame, 0.25), frame, strict)
         got = matching.undisputed_candidates(frame, 0.25, strict)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+
+
+def test_vectors_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 7, raising=False)
+    rng = np.random.default_rng(5)
+    vectors = [[float(x) for x in np.float32(rng.normal(size=4))] for _ in range(60)]
+    vectors[3], vectors[4], vectors[5], vectors[6], vectors[7] = None, [1.0, None, 0.0, 0.0], [1.0, 0.0], [float("nan"), 0.0, 0.0, 0.0], vectors[8]
+    vectors[10:12] = [[1.0, 0.0, 0.0, 0.0], [0.5, 3.0, 0.0, 0.0]]  # exactly at the limit
+    rows = [(i, ["s", None][i == 20], "kg", [1.0, 1.05, 1.2, 0.0, 1.1][i % 5 if i not in (10, 11) else 0], v) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "id long, section string, unit string, unit_size double, embedding array<float>")
+    a, b = frame.alias("a"), frame.alias("b")
+    near = F.abs(F.col("a.unit_size") - F.col("b.unit_size")) <= 0.06 * F.col("a.unit_size") + 1e-9
+    both = a.join(b, (F.col("a.id") < F.col("b.id")) & (F.col("a.section") == F.col("b.section")) & near & (F.col("a.unit_size") > 0) & (F.col("b.unit_size") > 0))
+    want = both.where(S.cosine(F.col("a.embedding"), F.col("b.embedding")) >= 0.5).select("a.id", "b.id")
+    out = matching.semantic_candidates(frame, 0.5)
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted(map(tuple, want.collect())) and (10, 11) in got
+    assert "zip_with" not in out._jdf.queryExecution().analyzed().toString()

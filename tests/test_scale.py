@@ -213,3 +213,13 @@ def test_vectors_are_compared_in_blocks(spark, monkeypatch):
     got = sorted(map(tuple, out.collect()))
     assert got == sorted(map(tuple, want.collect())) and (10, 11) in got
     assert "zip_with" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_only_offers_of_priceless_rows_are_told_apart(spark):
+    pool = spark.createDataFrame([(1, 1, 0, "0"), (1, 2, None, ""), (1, 3, 5, ""), (2, 1, 0, "la cerere"), (2, 1, 0, None), (None, 1, 0, "0")], "merchant_id long, product_id long, price_bani long, raw_text string")
+    live = spark.createDataFrame([(1, 1), (1, 1), (1, 3), (2, 1), (2, 1), (3, 1), (None, 1)], "merchant_id long, product_id long")
+    out = gates.dropped_prices(pool, live)
+    assert {(r.merchant_id, r.dropped, r.contradicted, r.stand_ins) for r in out.collect()} == {(1, 2, 1, 2), (2, 2, 2, 0), (None, 1, 0, 1)}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.QUERIES["dropped_prices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and plan.count("Aggregate") == 2  # observations meet priceless rows before anything is grouped

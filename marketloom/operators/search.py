@@ -1,8 +1,8 @@
 """Catalog search over many queries at once: correction, required words, tiers and scores.
 
 A query's words are corrected against the catalog's own vocabulary; what cannot
-be matched is reported, not dropped.  Products must hold every resolved word,
-which is a join on the word and a count, so no query scans the catalog.
+be matched is reported, not dropped.  Products must hold every resolved word:
+products that read alike are one row, which a query meets on its rarest word.
 """
 
 from __future__ import annotations
@@ -73,15 +73,16 @@ def _keyed(rows: DataFrame, column: str) -> DataFrame:
 
 
 def index(products: DataFrame, known_brands: list[str] | None = None) -> Index:
-    """What searches need of the catalog (id, name, brand).
+    """What searches need of the catalog (name, brand); equal names of a brand are read once.
 
     A word of a brand counts as a brand if it has three letters or more, is no
     placeholder or number, and leads fewer than BRAND_HEADS names; words of
     ``known_brands`` count where the catalog uses them at all.
     """
-    vocab = products.select("id", F.explode(_hay()).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("products"))
-    heads = products.groupBy(lead_word(F.col("name")).alias("head")).agg(F.count(F.lit(1)).alias("products")).where("head <> ''")
-    named = products.select(F.explode(words(F.col("brand"))).alias("token")).distinct()
+    texts = products.groupBy("name", "brand").agg(F.count(F.lit(1)).alias("k"))
+    vocab = texts.select("k", F.explode(_hay()).alias("token")).groupBy("token").agg(F.sum("k").alias("products"))
+    heads = texts.groupBy(lead_word(F.col("name")).alias("head")).agg(F.sum("k").alias("products")).where("head <> ''")
+    named = texts.select(F.explode(words(F.col("brand"))).alias("token")).distinct()
     named = named.where((F.length("token") >= 3) & ~F.col("token").isin(C.NOT_BRANDS) & ~F.col("token").rlike("^[0-9]+$"))
     common = heads.where(F.col("products") >= C.BRAND_HEADS).select(F.col("head").alias("token"))
     brands = named.join(common, "token", "left_anti")
@@ -124,19 +125,32 @@ def correct(tokens: DataFrame, found: Index, known_brands: list[str] | None = No
     return rows.select("token", F.coalesce(instead, F.when(F.col("own") > 0, F.col("token"))).alias("corrected"))
 
 
-def _matched(products: DataFrame, asked: DataFrame, found: Index) -> DataFrame:
-    """Products holding all words of each query (qid, words, required), with tier and score."""
-    facts = products.select(
-        "id", "name", S.normalize(F.col("name"), glue_storage=False).alias("norm"), words(F.col("category")).alias("cat"), "merchants",
-        lead_word(F.col("name")).alias("head"), _hay().alias("hay"),
+def _classes(products: DataFrame, first: int | None = None) -> DataFrame:
+    """Products of one name, brand and category as one row (cls): how many (n), or the ``first`` of them by shops and id."""
+    kind = ["name", "brand", "category"]
+    if first is None:
+        rows = products.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        place = F.row_number().over(Window.partitionBy(*kind).orderBy(F.desc("merchants"), "id"))
+        rows = products.select(*kind, "merchants", "id", place.alias("place")).where(F.col("place") <= first)
+        rows = rows.groupBy(*kind).agg(F.array_sort(F.collect_list(F.struct("place", "merchants", "id"))).alias("first"))
+    return written(rows.withColumn("cls", F.monotonically_increasing_id()))
+
+
+def _matched(classes: DataFrame, asked: DataFrame, found: Index) -> DataFrame:
+    """Classes holding all words of each query (qid, words, required), with tier and score."""
+    facts = classes.select(
+        "cls", S.normalize(F.col("name"), glue_storage=False).alias("norm"), words(F.col("category")).alias("cat"), lead_word(F.col("name")).alias("head"),
         F.size(F.filter(F.array_distinct(words(F.col("name"))), lambda w: ~w.isin(C.STOPWORDS) & ~w.rlike("^[0-9]"))).alias("name_size"),
     )
-    keyed = facts.select("id", F.explode("hay").alias("token"))
-    wanted = asked.select("qid", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("token"))
-    hits = wanted.join(keyed, "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")).where("hits = n").select("qid", "id")
+    keyed = classes.select("cls", _hay().alias("hay")).select("cls", "hay", F.explode("hay").alias("token"))
+    wanted = asked.select("qid", F.explode(F.array_distinct("words")).alias("token"))
+    used = wanted.join(found.vocab, "token", "left").withColumn("products", F.coalesce("products", F.lit(0)))
+    rarest = used.groupBy("qid").agg(F.min(F.struct("products", "token"))["token"].alias("token")).join(asked.select("qid", "words"), "qid")
+    hits = rarest.join(keyed, "token").where(F.size(F.array_except("words", "hay")) == 0).select("qid", "cls")
     alike = similar(wanted, found.head_keys, "token", "head")
     heads = wanted.join(alike, "token").groupBy("qid", "head").agg(F.max("sim").alias("sim"))
-    rows = hits.join(facts.drop("hay"), "id").join(asked, "qid").join(heads, ["qid", "head"], "left")
+    rows = hits.join(facts, "cls").join(asked, "qid").join(heads, ["qid", "head"], "left")
     phrase = F.array_join("words", " ")
     tier = (
         F.when(F.col("norm") == phrase, 400).when(F.contains("norm", phrase), 300)
@@ -144,7 +158,7 @@ def _matched(products: DataFrame, asked: DataFrame, found: Index) -> DataFrame:
     )
     about = F.when(F.col("name_size") > 0, F.least(F.lit(1.0), F.size("words") / F.greatest("name_size", F.lit(C.SPECIFICITY_FLOOR)))).otherwise(0.0)
     score = 1 + 0.6 * F.coalesce("sim", F.lit(0.0)) + C.SPECIFICITY_WEIGHT * about
-    return rows.select("qid", "id", "name", "merchants", tier.alias("tier"), S.half_up(score * 10000).alias("score_bp")).where(F.col("score_bp") >= C.SEARCH_MIN_SCORE * 10000)
+    return rows.select("qid", "cls", tier.alias("tier"), S.half_up(score * 10000).alias("score_bp")).where(F.col("score_bp") >= C.SEARCH_MIN_SCORE * 10000)
 
 
 def _resolved(queries: DataFrame, found: Index, known_brands: list[str] | None) -> DataFrame:
@@ -161,13 +175,12 @@ def _resolved(queries: DataFrame, found: Index, known_brands: list[str] | None)
     )
 
 
-def _answers(products: DataFrame, queries: DataFrame, known_brands: list[str] | None, found: Index | None) -> tuple[DataFrame, DataFrame]:
-    found = index(products, known_brands).kept() if found is None else found
+def _answers(classes: DataFrame, queries: DataFrame, known_brands: list[str] | None, found: Index) -> tuple[DataFrame, DataFrame]:
     asked = written(_resolved(queries, found, known_brands))  # a row per query, read by every step below
-    usual = _matched(products, asked.where(F.size("words") > 0), found).withColumn("fallback", F.lit(False))
+    usual = written(_matched(classes, asked.where(F.size("words") > 0), found))
     lost = asked.join(usual.select("qid").distinct(), "qid", "left_anti").where((F.size("required") > 0) & (F.size("words") > F.size("required")))
-    brand_only = _matched(products, lost.withColumn("words", F.col("required")), found).withColumn("fallback", F.lit(True))
-    return asked, usual.union(brand_only)
+    brand_only = _matched(classes, lost.withColumn("words", F.col("required")), found).withColumn("fallback", F.lit(True))
+    return asked, usual.withColumn("fallback", F.lit(False)).union(brand_only)
 
 
 def search(products: DataFrame, queries: DataFrame, limit: int = 120, known_brands: list[str] | None = None, found: Index | None = None) -> DataFrame:
@@ -178,16 +191,21 @@ def search(products: DataFrame, queries: DataFrame, limit: int = 120, known_bran
     the products of the required brands are shown instead.  ``found`` is an
     ``index(...).kept()`` of the products, for several searches over one catalog.
     """
-    _, rows = _answers(products, queries, known_brands, found)
+    classes = _classes(products, limit)
+    _, rows = _answers(classes, queries, known_brands, found or index(products, known_brands).kept())
     order = Window.partitionBy("qid").orderBy(F.desc("tier"), F.desc("score_bp"), F.desc("merchants"), "name", "id")
+    best = rows.join(classes.select("cls", "name", F.inline(F.slice("first", 1, 1))), "cls")
+    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)  # a class whose first comes later has none to show
+    rows = best.select("qid", "cls", "tier", "score_bp", "name").join(classes.select("cls", F.inline("first")), "cls")
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     return rows.select("qid", "place", "id", "tier", "score_bp")
 
 
 def outcomes(products: DataFrame, queries: DataFrame, known_brands: list[str] | None = None, found: Index | None = None) -> DataFrame:
     """Per query what is to be said: results, brand-miss or empty; the missing words; corrections; results."""
-    asked, rows = _answers(products, queries, known_brands, found)
-    n = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("results"), F.bool_or("fallback").alias("fallback"))
+    classes = _classes(products)
+    asked, rows = _answers(classes, queries, known_brands, found or index(products, known_brands).kept())
+    n = rows.join(classes.select("cls", "n"), "cls").groupBy("qid").agg(F.sum("n").alias("results"), F.bool_or("fallback").alias("fallback"))
     out = asked.join(n, "qid", "left").withColumn("results", F.coalesce("results", F.lit(0)))
     known = F.exists("missing", lambda w: w.isin(known_brands or []))
     instead = F.coalesce("fallback", F.lit(False))

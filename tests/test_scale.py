@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom import catalog
 from marketloom.functions import scalars as S
 from marketloom.llm import vector_dedup
-from marketloom.operators import baskets, disagree, gates, ingest, matching, pages, paths, stats, substitution
+from marketloom.operators import baskets, disagree, gates, ingest, matching, pages, paths, search, stats, substitution
 from marketloom.sources import work
 
 NAMES = "id long, name string, brand string, section string, unit string, unit_size double, ean string"
@@ -223,3 +223,21 @@ def test_only_offers_of_priceless_rows_are_told_apart(spark):
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
     plan = catalog.QUERIES["dropped_prices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan and plan.count("Aggregate") == 2  # observations meet priceless rows before anything is grouped
+
+
+def test_products_that_read_alike_are_searched_once(spark):
+    rows = [(i, f"Lapte {['alb', 'bun'][i % 2]}", ["Zuzu", None][i % 3 == 0], "dairy", i % 7) for i in range(200)] + [(900, "Lapte alb", "Napolact", "dairy", 99), (901, "Suc Zuzu", "Zuzu", "juice", 3)]
+    shop = spark.createDataFrame(rows, "id long, name string, brand string, category string, merchants long")
+    asked = spark.createDataFrame([("a", "lapte alb"), ("b", "lapte zuzu"), ("c", "lpate"), ("d", "zuzu sampon"), ("e", "paine"), ("f", "suc napolact")], "qid string, query string")
+    before = len(work._WRITTEN)
+    got = {}
+    for r in search.search(shop, asked, 9).orderBy("qid", "place").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    made = [spark.read.parquet(p) for p in work._WRITTEN[before:]]
+    assert any(t.count() == 6 and "cls" in t.columns for t in made)  # classes, not products, meet queries
+    first = lambda keep: [r[0] for r in sorted(filter(keep, rows), key=lambda r: (-r[4], r[1], r[0]))][:9]
+    assert got["a"] == first(lambda r: r[1] == "Lapte alb") and got["c"] == first(lambda r: r[1].startswith("Lapte"))
+    assert got["b"] == first(lambda r: r[1].startswith("Lapte") and r[2] == "Zuzu")
+    said = {r.qid: (r.kind, r.results) for r in search.outcomes(shop, asked).collect()}
+    zuzu = sum(r[2] == "Zuzu" for r in rows)
+    assert said == {"a": ("results", 101), "b": ("results", zuzu - 1), "c": ("results", 201), "d": ("brand-miss", zuzu), "e": ("empty", 0), "f": ("brand-miss", 1)}

@@ -125,9 +125,8 @@ def correct(tokens: DataFrame, found: Index, known_brands: list[str] | None = No
     return rows.select("token", F.coalesce(instead, F.when(F.col("own") > 0, F.col("token"))).alias("corrected"))
 
 
-def _classes(products: DataFrame, first: int | None = None) -> DataFrame:
-    """Products of one name, brand and category as one row (cls): how many (n), or the ``first`` of them by shops and id."""
-    kind = ["name", "brand", "category"]
+def _classes(products: DataFrame, first: int | None = None, kind: tuple[str, ...] = ("name", "brand", "category")) -> DataFrame:
+    """Products that agree in ``kind`` as one row (cls): how many (n), or the ``first`` of them by shops and id."""
     if first is None:
         rows = products.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"))
     else:
@@ -137,6 +136,14 @@ def _classes(products: DataFrame, first: int | None = None) -> DataFrame:
     return written(rows.withColumn("cls", F.monotonically_increasing_id()))
 
 
+def _shown(rows: DataFrame, classes: DataFrame, limit: int, *first: Column) -> DataFrame:
+    """The products of the classes found (qid, cls), ``limit`` a query: by ``first``, then shops, name and id."""
+    order = Window.partitionBy("qid").orderBy(*first, F.desc("merchants"), "name", "id")
+    placed = lambda found: found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    best = placed(rows.join(classes.select("cls", "name", F.inline(F.slice("first", 1, 1))), "cls"))  # a class whose first comes later has none to show
+    return placed(best.select(*rows.columns, "name").join(classes.select("cls", F.inline("first")), "cls"))
+
+
 def _matched(classes: DataFrame, asked: DataFrame, found: Index) -> DataFrame:
     """Classes holding all words of each query (qid, words, required), with tier and score."""
     facts = classes.select(
@@ -193,11 +200,7 @@ def search(products: DataFrame, queries: DataFrame, limit: int = 120, known_bran
     """
     classes = _classes(products, limit)
     _, rows = _answers(classes, queries, known_brands, found or index(products, known_brands).kept())
-    order = Window.partitionBy("qid").orderBy(F.desc("tier"), F.desc("score_bp"), F.desc("merchants"), "name", "id")
-    best = rows.join(classes.select("cls", "name", F.inline(F.slice("first", 1, 1))), "cls")
-    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)  # a class whose first comes later has none to show
-    rows = best.select("qid", "cls", "tier", "score_bp", "name").join(classes.select("cls", F.inline("first")), "cls")
-    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    rows = _shown(rows.select("qid", "cls", "tier", "score_bp"), classes, limit, F.desc("tier"), F.desc("score_bp"))
     return rows.select("qid", "place", "id", "tier", "score_bp")
 
 
@@ -218,14 +221,17 @@ def outcomes(products: DataFrame, queries: DataFrame, known_brands: list[str] |
 
 
 def suggestions(products: DataFrame, prefixes: DataFrame, limit: int = 8) -> DataFrame:
-    """(qid, place, id): products with a word that starts with the prefix (qid, prefix), most shops first.
+    """(qid, place, id): products (ids are unique) with a word that starts with the prefix (qid, prefix), most shops first.
 
     A word meets prefixes on each of its beginnings of two to PREFIX letters, so
-    only words that begin like the prefix meet it.
+    only words that begin like the prefix meet it.  Every word does so once;
+    products of one name and brand are one row, which takes its words' prefixes.
     """
+    classes = _classes(products, limit, ("name", "brand"))
+    said = classes.select("cls", F.explode(_hay()).alias("token")).where(F.length("token") >= 2).repartition("token")  # its size is known before it is joined
     beginnings = F.transform(F.sequence(F.lit(2), F.least(F.length("token"), F.lit(PREFIX))), lambda n: F.substr(F.col("token"), F.lit(1), n))
-    keyed = products.select("id", "name", "merchants", F.explode(_hay()).alias("token")).where(F.length("token") >= 2).withColumn("k", F.explode(beginnings))
+    keyed = said.select("token").distinct().withColumn("k", F.explode(beginnings))
     asked = prefixes.select("qid", F.lower("prefix").alias("prefix")).where(F.length("prefix") >= 2).withColumn("k", F.substring("prefix", 1, PREFIX))
-    rows = asked.join(keyed, "k").where(F.startswith("token", F.col("prefix"))).select("qid", "id", "name", "merchants").distinct()
-    order = Window.partitionBy("qid").orderBy(F.desc("merchants"), "name", "id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("qid", "place", "id")
+    begun = asked.join(keyed, "k").where(F.startswith("token", F.col("prefix"))).select("qid", "token").distinct()
+    rows = begun.join(said, "token").select("qid", "cls").distinct()
+    return _shown(rows, classes, limit).select("qid", "place", "id")

@@ -241,3 +241,17 @@ def test_products_that_read_alike_are_searched_once(spark):
     said = {r.qid: (r.kind, r.results) for r in search.outcomes(shop, asked).collect()}
     zuzu = sum(r[2] == "Zuzu" for r in rows)
     assert said == {"a": ("results", 101), "b": ("results", zuzu - 1), "c": ("results", 201), "d": ("brand-miss", zuzu), "e": ("empty", 0), "f": ("brand-miss", 1)}
+
+
+def test_prefixes_meet_words_not_products(spark):
+    rows = [(i, f"Lapte {['alb', 'bun'][i % 2]}", ["Zuzu", None][i % 3 == 0], i % 7) for i in range(200)] + [(900, "Alune lapte", "Albalact", 99), (901, "Suc", "La", 3), (902, None, None, 9)]
+    shop = spark.createDataFrame(rows, "id long, name string, brand string, merchants long")
+    asked = spark.createDataFrame([("a", "LAP"), ("b", "alb"), ("c", "la"), ("d", "l"), ("e", "lapte"), ("f", "laptex")], "qid string, prefix string")
+    before = len(work._WRITTEN)
+    got = {}
+    for r in search.suggestions(shop, asked, 5).orderBy("qid", "place").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert [spark.read.parquet(p).count() for p in work._WRITTEN[before:]] == [7]  # one row a name and brand
+    said = lambda r: f"{r[2] or ''} {r[1] or ''}".lower().split()
+    first = lambda p: [r[0] for r in sorted((r for r in rows if any(w.startswith(p) for w in said(r))), key=lambda r: (-r[3], r[1], r[0]))][:5]
+    assert got == {"a": first("lap"), "b": first("alb"), "c": first("la"), "e": first("lapte")}

@@ -255,3 +255,27 @@ def test_prefixes_meet_words_not_products(spark):
     said = lambda r: f"{r[2] or ''} {r[1] or ''}".lower().split()
     first = lambda p: [r[0] for r in sorted((r for r in rows if any(w.startswith(p) for w in said(r))), key=lambda r: (-r[3], r[1], r[0]))][:5]
     assert got == {"a": first("lap"), "b": first("alb"), "c": first("la"), "e": first("lapte")}
+
+
+def _shopped(spark):
+    """Lists at shops with ladders, blocked and missing offers; one list is asked at an unknown shop, one line has a mode of its own."""
+    goods = [(i, f"{['red', 'big'][i % 2]} bolt", ["A", "B", None][i % 3], "s", [None, 5][i % 4 == 0], ["kg", "buc"][i % 5 == 0], 1.0 + i % 4 / 20) for i in range(24)]
+    products = spark.createDataFrame(goods, "id long, name string, brand string, section string, class_id long, unit string, unit_size double")
+    placed = [(i, m, 100 + (37 * i + 11 * m) % 90, ["in stock", "out of stock"][(i + m) % 7 == 0], [(3, 80 + i)] if m == 2 else None) for i in range(24) for m in range(5) if (i + m) % 3]
+    offers = spark.createDataFrame(placed, "product_id long, merchant_id long, price_bani long, availability string, tiers array<struct<qty:int,bani:bigint>>").join(products.withColumnRenamed("id", "product_id"), "product_id")
+    offers = offers.selectExpr("*", "false is_stale", "product_id = 7 flagged", "cast(null as timestamp_ntz) promo_valid_to", "false needs_card")
+    modes = [*substitution.MODES, "OTHER"]
+    lines = [(b, (b * 5 + k * 3) % 26, 1 + (b + k) % 4, modes[(b + k) % 5]) for b in range(12) for k in range(1 + b % 4)]
+    shops = [(b, m) for b in range(11) for m in range(5) if (b + m) % 4] + [(11, 9)]
+    lists = spark.createDataFrame(lines, "basket_id long, product_id long, qty long, mode string")
+    rows = substitution.resolve_lines(lists, spark.createDataFrame(shops, "basket_id long, merchant_id long"), products, offers, substitution.Shopper(blocked_brands=("C",)), F.lit("2026-01-01").cast("timestamp_ntz"), 0.06)
+    return lines, shops, rows, spark.createDataFrame([(m, 2 * (m % 3), 400, 5000 if m in (1, 3) else None) for m in range(5)], "merchant_id long, delivery_fee long, free_over long, min_order long")
+
+
+def test_lists_and_offers_are_dealt_by_shop_once(spark):
+    lines, shops, rows, merchants = _shopped(spark)
+    got = rows.collect()
+    assert sorted((r.basket_id, r.product_id, r.merchant_id, r["mode"]) for r in got) == sorted((b, p, m, k) for b, p, _, k in lines for c, m in shops if b == c)
+    assert {r.status for r in got} == {"EXACT", "SUBSTITUTED", "UNAVAILABLE"} and {r.status for r in got if r["mode"] == "OTHER"} == {"EXACT", "UNAVAILABLE"}
+    for out in (rows, substitution.merchant_baskets(rows, merchants)):
+        assert not re.search(r"hashpartitioning\((merchant_id#\d+L, key|basket_id#\d+L, merchant_id)", out._jdf.queryExecution().executedPlan().toString())

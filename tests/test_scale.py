@@ -279,3 +279,46 @@ def test_lists_and_offers_are_dealt_by_shop_once(spark):
     assert {r.status for r in got} == {"EXACT", "SUBSTITUTED", "UNAVAILABLE"} and {r.status for r in got if r["mode"] == "OTHER"} == {"EXACT", "UNAVAILABLE"}
     for out in (rows, substitution.merchant_baskets(rows, merchants)):
         assert not re.search(r"hashpartitioning\((merchant_id#\d+L, key|basket_id#\d+L, merchant_id)", out._jdf.queryExecution().executedPlan().toString())
+
+
+def _paid(goods, shop):
+    return 0 if shop.delivery_fee <= 0 or goods >= shop.free_over else shop.delivery_fee
+
+
+def _singles(spark, rows, merchants):
+    """Rows of a basket, its shops, and (total, shop) of those with all its lines, by whether they meet their minimum."""
+    shops, out = {m.merchant_id: m for m in merchants.collect()}, {}
+    for r in rows.collect():
+        out.setdefault(r.basket_id, []).append(r)
+    for b, rs in out.items():
+        best = {True: [], False: []}
+        for m in {r.merchant_id for r in rs} & set(shops):
+            here = [r for r in rs if r.merchant_id == m]
+            goods = sum(r.total_bani for r in here)
+            if all(r.status != "UNAVAILABLE" for r in here):
+                best[goods >= (shops[m].min_order or 0)].append((goods + _paid(goods, shops[m]), m))
+        yield b, rs, shops, {met: min(v, default=None) for met, v in best.items()}
+
+
+def test_a_basket_is_split_on_one_row(spark):
+    _, _, rows, merchants = _shopped(spark)
+    want = []
+    for b, rs, shops, best in _singles(spark, rows, merchants):
+        had = [r for r in rs if r.status != "UNAVAILABLE"]
+        first = lambda of: {p: min((r.total_bani, r.merchant_id) for r in of if r.product_id == p) for p in {r.product_id for r in of}}
+        worth = {}
+        for total, m in first(had).values():
+            worth[m] = worth.get(m, 0) + total
+        kept = sorted(worth, key=lambda m: (-worth[m], m))[:2]
+        goods = {}
+        for total, m in first([r for r in had if r.merchant_id in kept]).values():
+            goods[m] = goods.get(m, []) + [total]
+        value, fees, missing = sum(map(sum, goods.values())), sum(_paid(sum(v), shops[m]) for m, v in goods.items()), len({r.product_id for r in rs}) - sum(map(len, goods.values()))
+        single, blocked = best[True], best[False]
+        saves = max(single[0] - value - fees, 0) if single and not missing else None
+        want.append((b, single and single[1], single and single[0], blocked[1] if blocked and not single else None, len(goods), value, fees, value + fees, missing, saves))
+    before = len(work._WRITTEN)
+    out = substitution.optimized(rows, merchants, 2)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len(work._WRITTEN) == before
+    assert {w[0] for w in want} == set(range(12)) and {w[4] for w in want} >= {0, 1, 2}
+    assert not re.search(r"hashpartitioning\(basket_id#\d+L, product_id", out._jdf.queryExecution().executedPlan().toString())

@@ -322,3 +322,22 @@ def test_a_basket_is_split_on_one_row(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len(work._WRITTEN) == before
     assert {w[0] for w in want} == set(range(12)) and {w[4] for w in want} >= {0, 1, 2}
     assert not re.search(r"hashpartitioning\(basket_id#\d+L, product_id", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_second_shop_is_weighed_on_the_row_of_its_basket(spark):
+    _, _, rows, merchants = _shopped(spark)
+    want = []
+    for b, rs, shops, best in _singles(spark, rows, merchants):
+        if best[True] is None:
+            continue
+        total, first = best[True]
+        own = {r.product_id: r.total_bani for r in rs if r.merchant_id == first}
+        for m in {r.merchant_id for r in rs} & set(shops) - {first}:
+            moved = [(r.total_bani, own[r.product_id]) for r in rs if r.merchant_id == m and r.status != "UNAVAILABLE" and r.total_bani < own[r.product_id]]
+            there, stay = sum(x for x, _ in moved), sum(own.values()) - sum(x for _, x in moved)
+            saves = total - there - stay - _paid(there, shops[m]) - (_paid(stay, shops[first]) if stay > 0 else 0)
+            if moved and saves > 0:
+                want.append((b, m, saves))
+    out = substitution.marginal_stores(rows, merchants)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and want
+    assert not re.search(r"hashpartitioning\(basket_id#\d+L, product_id", out._jdf.queryExecution().executedPlan().toString())
